@@ -74,7 +74,7 @@ def ngrams(words, lo: int = 1, hi: int = 1) -> Column:
 def clean_output(col) -> Column:
     """Model-output clean-up: newline -> space, curly apostrophe -> ', trim."""
     c = F.replace(F.replace(_c(col), F.lit("\n"), F.lit(" ")), F.lit("’"), F.lit("'"))
-    return F.btrim(c)
+    return strip_ws(c)
 
 
 def word_count(col) -> Column:
@@ -117,3 +117,18 @@ def review_stat_columns(col, polarity: Column | None = None, full: bool = True)
             }
         )
     return out
+
+
+def strip_ws(col) -> Column:
+    """``str.strip()``: remove leading/trailing whitespace (Python's set;
+    Spark's ``trim`` removes spaces only)."""
+    return F.regexp_replace(_c(col), "^" + WHITESPACE_RUN + "|" + WHITESPACE_RUN + "$", "")
+
+
+def py_str_literal(col) -> Column:
+    """Render a string as a single-quoted Python literal (escapes ``\\``,
+    ``'``, newline, carriage return and tab) — used to build nested fixtures."""
+    c = _c(col)
+    for a, b in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.concat(F.lit("'"), c, F.lit("'"))

@@ -105,7 +105,7 @@ def t7_ngrams(spark, d):
 
 @register(
     "t8_clean_output",
-    "SELECT conv_id, turn, trim(replace(replace(text, chr(10), ' '), '’', '''')) AS clean FROM conversations",
+    f"SELECT conv_id, turn, {S.clean_output('text')} AS clean FROM conversations",
     "T8",
 )
 def t8_clean_output(spark, d):

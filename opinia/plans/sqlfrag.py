@@ -60,3 +60,15 @@ def md5_unit(key_expr: str, seed: int) -> str:
     """Uniform [0,1) from md5 of ``key:seed`` — pairs with
     ``opinia.operators.prep.hash_unit``."""
     return f"(('0x' || substr(md5(CAST({key_expr} AS VARCHAR) || ':{seed}'), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def strip_ws(expr: str) -> str:
+    return f"regexp_replace({expr}, '^' || {WS} || '|' || {WS} || '$', '', 'g')"
+
+
+def clean_output_inner(expr: str) -> str:
+    return f"replace(replace({expr}, chr(10), ' '), '’', '''')"
+
+
+def clean_output(expr: str) -> str:
+    return strip_ws(clean_output_inner(expr))
