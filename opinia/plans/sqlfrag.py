@@ -72,3 +72,34 @@ def clean_output_inner(expr: str) -> str:
 
 def clean_output(expr: str) -> str:
     return strip_ws(clean_output_inner(expr))
+
+
+def str_list(words) -> str:
+    return "[" + ", ".join(q(w) for w in words) + "]"
+
+
+def tfidf_ctes(src: str, spec, p: str = "tf") -> str:
+    """DuckDB CTEs computing the TF-IDF of ``src`` (a SELECT of ``id, text``)
+    with the same semantics as ``opinia.operators.tfidf``; the final CTE
+    ``{p}_w`` has ``(id, term, weight)`` and ``{p}_voc`` has ``(term, idf)``."""
+    text = "coalesce(text, '')"
+    if spec.letters_only:
+        text = letters_only(text)
+    tk = tokens(text)
+    if spec.stop_words:
+        tk = f"list_filter({tk}, lambda w: NOT list_contains({str_list(spec.stop_words)}, w))"
+    min_count = spec.min_df if isinstance(spec.min_df, int) else f"{spec.min_df!r} * (SELECT n FROM {p}_n)"
+    max_count = f"{spec.max_df!r} * (SELECT n FROM {p}_n)" if isinstance(spec.max_df, float) else spec.max_df
+    limit = f"ORDER BY total DESC, term LIMIT {spec.max_features}" if spec.max_features else ""
+    tfw = "(1 + ln(tf))" if spec.sublinear else "CAST(tf AS DOUBLE)"
+    return f"""
+{p}_src AS ({src}),
+{p}_tk AS (SELECT id, {tk} AS tk FROM {p}_src),
+{p}_g AS (SELECT id, unnest({ngrams('tk', spec.lo, spec.hi)}) AS term FROM {p}_tk),
+{p}_tf AS (SELECT id, term, count(*) AS tf FROM {p}_g GROUP BY id, term),
+{p}_n AS (SELECT count(*) AS n FROM {p}_src),
+{p}_st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM {p}_tf GROUP BY term),
+{p}_kept AS (SELECT * FROM {p}_st WHERE df >= {min_count} AND df <= {max_count} {limit}),
+{p}_voc AS (SELECT term, ln((1.0 + (SELECT n FROM {p}_n)) / (1.0 + df)) + 1.0 AS idf FROM {p}_kept),
+{p}_raw AS (SELECT id, term, {tfw} * idf AS w FROM {p}_tf JOIN {p}_voc USING (term)),
+{p}_w AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {p}_raw)"""
