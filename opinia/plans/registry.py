@@ -40,4 +40,4 @@ def load_all() -> dict[str, Query]:
     return QUERIES
 
 
-MODULES = ("q_text", "q_nested", "q_prep", "q_features")
+MODULES = ("q_text", "q_nested", "q_prep", "q_features", "q_models")
