@@ -48,7 +48,7 @@ def lemma_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEMO_LEMMAS, "word string, lemma string")
 
 
-def values_sql(rows, cols: str) -> str:
+def values_sql(rows, cols: str, alias: str = "t") -> str:
     """The same table as a DuckDB ``VALUES`` list for the oracle SQL."""
     def lit(v):
         if isinstance(v, str):
@@ -56,4 +56,12 @@ def values_sql(rows, cols: str) -> str:
         return repr(float(v)) if isinstance(v, float) else str(v)
 
     body = ", ".join("(" + ", ".join(lit(v) for v in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
-    return f"(VALUES {body}) AS t({cols})"
+    return f"(VALUES {body}) AS {alias}({cols})"
+
+
+def polarity_lexicon(spark: SparkSession) -> DataFrame:
+    """Polarity in [-1, 1]: the demo valences divided by 4."""
+    return spark.createDataFrame([(w, v / 4.0) for w, v in DEMO_LEXICON], "word string, polarity double")
+
+
+POLARITY_ROWS = [(w, v / 4.0) for w, v in DEMO_LEXICON]
