@@ -144,3 +144,76 @@ def _nb(spark, d, alpha: float, fit_prior: bool):
 
 register("m4_naive_bayes", _nb_sql(1.0, True), "M4 F6 F10b")(lambda s, d: _nb(s, d, 1.0, True))
 register("m4_naive_bayes_uniform_prior", _nb_sql(0.5, False), "M4 F6 F10b")(lambda s, d: _nb(s, d, 0.5, False))
+
+
+# ---------------------------------------------------------------- M1 / M9
+
+from opinia.operators import knn as KNN  # noqa: E402
+
+EMB_SPLIT = """
+emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label,
+               CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'dev' ELSE 'test' END AS part
+        FROM (SELECT *, ('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':42'), 1, 8))::BIGINT / 4294967296.0 AS u
+              FROM embeddings))"""
+
+
+def _dist_sql(p: int) -> str:
+    if p == 2:
+        return "sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - t.e[i]) * (q.e[i] - t.e[i]))))"
+    return "list_sum(list_transform(range(1, len(q.e) + 1), lambda i: abs(q.e[i] - t.e[i])))"
+
+
+def _knn_sql(k: int, p: int, weights: str, query_part: str = "test") -> str:
+    w = "1.0" if weights == "uniform" else (
+        "CASE WHEN max(CAST(dist = 0 AS INTEGER)) OVER (PARTITION BY qid) = 1 "
+        "THEN CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 / dist END"
+    )
+    return f"""
+WITH {EMB_SPLIT},
+d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label, {_dist_sql(p)} AS dist
+      FROM emb q, emb t WHERE q.part = '{query_part}' AND t.part = 'train'),
+r AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, tid) <= {k}),
+v AS (SELECT qid, label, sum(wt) AS s FROM (SELECT *, {w} AS wt FROM r) GROUP BY qid, label)
+SELECT qid AS vec_id, label AS prediction FROM v
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, label) = 1
+"""
+
+
+def _emb_parts(spark, d):
+    emb = table(spark, d, "embeddings")
+    return P.split_column(emb, "vec_id", (0.6, 0.2, 0.2), seed=42)
+
+
+def _knn(spark, d, k, p, weights):
+    parts = _emb_parts(spark, d)
+    train = parts.where(F.col("part") == "train")
+    test = parts.where(F.col("part") == "test")
+    pred = KNN.knn_predict(train, test, k=k, p=p, weights=weights, tid="vec_id", qid="vec_id", vec="embedding")
+    return pred.select(F.col("qid").alias("vec_id"), "prediction")
+
+
+register("m1_knn_euclid_uniform", _knn_sql(5, 2, "uniform"), "M1")(lambda s, d: _knn(s, d, 5, 2, "uniform"))
+register("m1_knn_manhattan_distance", _knn_sql(7, 1, "distance"), "M1")(lambda s, d: _knn(s, d, 7, 1, "distance"))
+
+KS = (1, 3, 5, 7, 9, 11)
+M9_SQL = f"""
+WITH {EMB_SPLIT},
+d AS (SELECT q.vec_id AS qid, q.label AS y, t.vec_id AS tid, t.label, {_dist_sql(2)} AS dist
+      FROM emb q, emb t WHERE q.part = 'dev' AND t.part = 'train'),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d),
+kk AS (SELECT unnest({list(KS)}) AS k),
+v AS (SELECT kk.k, r.qid, r.y, r.label, count(*) AS s FROM r JOIN kk ON r.rn <= kk.k GROUP BY kk.k, r.qid, r.y, r.label),
+p AS (SELECT k, qid, y, label AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY k, qid ORDER BY s DESC, label) = 1),
+a AS (SELECT k, avg(CAST(prediction = y AS DOUBLE)) AS accuracy FROM p GROUP BY k)
+SELECT k, round(accuracy, 6) AS accuracy,
+       k = (SELECT k FROM a ORDER BY accuracy DESC, k LIMIT 1) AS best FROM a
+"""
+
+
+@register("m9_knn_sweep", M9_SQL, "M9 M1 E1")
+def m9_knn_sweep(spark, d):
+    parts = _emb_parts(spark, d)
+    train = parts.where(F.col("part") == "train")
+    dev = parts.where(F.col("part") == "dev")
+    out = KNN.knn_sweep(train, dev, KS, p=2, qid="vec_id", tid="vec_id", vec="embedding")
+    return out.select(F.col("k").cast("integer").alias("k"), F.round("accuracy", 6).alias("accuracy"), "best")
