@@ -18,6 +18,7 @@ on ``id``.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StopWordsRemover
@@ -40,8 +41,20 @@ class TfidfSpec:
     letters_only: bool = False
 
 
+@functools.lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark's bundled English stop list."""
+    """Spark's bundled English stop list (read from the MLlib jar, so no
+    running JVM is needed; falls back to asking the JVM)."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
+        return tuple(w for w in text.split() if w)
     return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 
