@@ -302,3 +302,68 @@ def p11_fuse_corpora(spark, d):
         order_rating(spark, d).select(F.col("o_orderkey").alias("doc_id"), "rating"), "doc_id"
     ).select((F.col("doc_id") + 1_000_000_000).alias("id"), F.col("text").alias("comment"), F.col("rating").alias("Nota"))
     return C.fuse_corpora(binary, rated, key="id").select("Review", "Positive or Negative")
+
+
+# ---------------------------------------------------------------- T2 T3 T9
+
+from opinia.operators import text as TX  # noqa: E402
+from opinia.operators.tfidf import english_stop_words  # noqa: E402
+from opinia.plans.fixtures import (  # noqa: E402
+    DEMO_LEMMAS, PROMPT_EXAMPLE, PROMPT_EXAMPLES, PROMPT_HEAD, PROMPT_TAIL_SHOTS, PROMPT_TAIL_ZERO, lemma_df,
+    prompt_examples_df,
+)
+
+
+def _map_sql(rows) -> str:
+    return "MAP {" + ", ".join(f"{S.q(a)}: {S.q(b)}" for a, b in rows) + "}"
+
+
+def _t2_sql() -> str:
+    stop = S.str_list(english_stop_words())
+    words = f"list_filter({S.split_words(S.letters_only('text'))}, lambda w: NOT list_contains({stop}, w))"
+    lem = f"list_transform({words}, lambda w: coalesce(map_extract({_map_sql(DEMO_LEMMAS)}, w)[1], w))"
+    return f"SELECT doc_id, array_to_string({lem}, ' ') AS Review_Procesado FROM documents"
+
+
+@register("t2_normalise_words", _t2_sql(), "T2 T1")
+def t2_normalise_words(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = TX.normalise_words(docs, "doc_id", "text", english_stop_words(), lemma_df(spark))
+    return out.select("doc_id", "Review_Procesado")
+
+
+def _t3_sql() -> str:
+    stop = S.str_list(english_stop_words())
+    toks = f"regexp_extract_all(lower(text), {S.q(TX.WORD_TOKEN)})"
+    keep = f"list_filter({toks}, lambda w: NOT list_contains({stop}, w) AND instr({S.PUNCT}, w) = 0)"
+    stem = f"list_transform({keep}, lambda w: coalesce(map_extract({_map_sql(DEMO_LEMMAS)}, w)[1], w))"
+    return f"SELECT doc_id, array_to_string(list_sort({stem}), ' ') AS text FROM documents"
+
+
+@register("t3_bag_text", _t3_sql(), "T3")
+def t3_bag_text(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    stems = lemma_df(spark).withColumnRenamed("lemma", "stem")
+    return TX.bag_text(docs, "doc_id", "text", english_stop_words(), stems).select("doc_id", "text")
+
+
+def _prompt_sql(n: int, scale: int) -> str:
+    if n:
+        head = PROMPT_HEAD.format(scale=scale) + ".\n"
+        block = "".join(PROMPT_EXAMPLE.format(n=a, review=b, rating=c) for a, b, c in PROMPT_EXAMPLES[:n])
+        before, after = PROMPT_TAIL_SHOTS.split("{comment}")
+    else:
+        head, block = PROMPT_HEAD.format(scale=scale) + ":\n", ""
+        before, after = PROMPT_TAIL_ZERO.split("{comment}")
+    return f"SELECT conv_id, turn, {S.q(head + block + before)} || text || {S.q(after)} AS prompt FROM conversations"
+
+
+def _prompt(spark, d, n, scale):
+    conv = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    tail = PROMPT_TAIL_SHOTS if n else PROMPT_TAIL_ZERO
+    out = TX.render_prompt(conv, "text", PROMPT_HEAD, PROMPT_EXAMPLE, tail, prompt_examples_df(spark), n, scale)
+    return out.select("conv_id", "turn", "prompt")
+
+
+register("t9_prompt_zero_shot", _prompt_sql(0, 9), "T9")(lambda s, d: _prompt(s, d, 0, 9))
+register("t9_prompt_few_shot", _prompt_sql(5, 10), "T9")(lambda s, d: _prompt(s, d, 5, 10))
