@@ -115,3 +115,12 @@ def m11_predict(spark, d):
     model = ML.random_forest({"n_estimators": 20, "max_depth": 8}).fit(parts.where(F.col("part") == "train"))
     test = parts.where(F.col("part") == "test").drop("part")
     return ML.predict(model, test, target="label").select(F.col("id").alias("vec_id"), "label_pred")
+
+
+@register("f11_prepare", None, "F11 F1 F2 F4 F5 F6 F8 T3")
+def f11_prepare(spark, d):
+    from opinia.plans.prepare import prepare
+
+    part = table(spark, d, "part")
+    pt = prepare(part, target="p_type", key="p_partkey", config={"max_text_features": 3000, "text_min_df": 2})
+    return pt.df.select("p_partkey", "p_type", "p_brand", "p_size", "p_retailprice", "text_features")
