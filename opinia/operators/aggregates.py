@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from opinia.functions.literal import REVIEW_SCHEMA, is_bracketed, parse_literal
 from opinia.functions.text import clean_words
-from opinia.operators.joins import lookup_join
 
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
+BROADCAST_LEXICON_ROWS = 1_000_000
 
 
 def count_items(df: DataFrame, col: str) -> DataFrame:
@@ -38,13 +38,16 @@ def review_comments(col) -> "F.Column":
     return F.when(is_bracketed(c), from_list).otherwise(F.split(c, r"\|"))
 
 
+def _words(text_col: str):
+    return F.flatten(F.transform(review_comments(text_col), clean_words))
+
+
 def word_counts(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
     """Words of every review per group with their frequency:
     ``(group, word, n)``.  Partial aggregation runs before the exchange."""
-    words = F.flatten(F.transform(review_comments(text_col), clean_words))
     return (
         df.where(F.col(text_col).isNotNull())
-        .select(F.col(group_col).alias("_g"), F.explode(words).alias("_w"))
+        .select(F.col(group_col).alias("_g"), F.explode(_words(text_col)).alias("_w"))
         .groupBy("_g", "_w")
         .agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
     )
@@ -57,12 +60,25 @@ def word_sentiment(df: DataFrame, group_col: str, text_col: str, lexicon: DataFr
 
     Output ``(pais, palabra, frecuencia, sentimiento)``.  Words shorter than
     ``min_length`` score zero (the sentiment analyser drops one-character
-    tokens).  The plan aggregates first, then joins the distinct
-    (group, word) rows to the lexicon, broadcast after a size check.
+    tokens).  Plan: a lexicon that passes the size check is broadcast and
+    probed per token before the partial count, so the one exchange carries
+    only (group, lexicon word) partial counts; a larger lexicon is joined
+    after the aggregation.
     """
-    counts = word_counts(df, group_col, text_col).where(F.length("_w") >= min_length)
     lex = lexicon.select(F.col("word").alias("_w"), F.col("valence").alias("_v")).where(F.col("_v") != 0)
-    return lookup_join(counts, lex, on="_w").select(
+    if lex.limit(BROADCAST_LEXICON_ROWS + 1).count() <= BROADCAST_LEXICON_ROWS:
+        # bounded lexicon: probe it per token (broadcast hash join, no
+        # shuffle) so that only lexicon words reach the exchange
+        words = df.where(F.col(text_col).isNotNull()).select(
+            F.col(group_col).alias("_g"), F.explode(_words(text_col)).alias("_w")
+        ).where(F.length("_w") >= min_length)
+        counts = words.join(F.broadcast(lex), "_w").groupBy("_g", "_w", "_v").agg(
+            F.count(F.lit(1)).cast("bigint").alias("_n"))
+    else:
+        # huge lexicon: aggregate first, then one shuffle join of the
+        # distinct (group, word) rows
+        counts = word_counts(df, group_col, text_col).where(F.length("_w") >= min_length).join(lex, "_w")
+    return counts.select(
         F.col("_g").alias(out_group),
         F.col("_w").alias("palabra"),
         F.col("_n").alias("frecuencia"),

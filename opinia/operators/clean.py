@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinia.functions import labels as L
 from opinia.operators.joins import lookup_join
+from opinia.session import local_df
 
 TEXT_SYNONYMS = ["review", "texto", "comentario", "text", "comment"]
 BINARY_SYNONYMS = ["positive or negative", "sentimiento", "label", "binary", "class"]
@@ -70,7 +71,7 @@ def by_country(df: DataFrame, country_col: str, labels: dict[str, str], out: str
     """Keep rows of the given countries and tag them with a label.  The
     label map is a small look-up table joined by broadcast."""
     spark = df.sparkSession
-    m = spark.createDataFrame(list(labels.items()), f"_country string, {out} string")
+    m = local_df(spark, list(labels.items()), f"_country string, {out} string")
     return lookup_join(df, m, df[country_col] == m["_country"]).drop("_country")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinia.operators.joins import lookup_join
+from opinia.session import local_df
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 MAX_BAND_ROWS = 200_000
@@ -148,7 +149,7 @@ def roles_table(df: DataFrame, target: str | None = None, threshold: int = 51) -
         elif isinstance(f.dataType, T.StringType):
             strings.append(f.name)
     spark = df.sparkSession
-    num = spark.createDataFrame([(c, "numeric") for c in numeric], "column string, role string")
+    num = local_df(spark, [(c, "numeric") for c in numeric], "column string, role string")
     if not strings:
         return num
     wide = df.agg(*[F.count_distinct(c).cast("bigint").alias(c) for c in strings])

@@ -49,12 +49,18 @@ def english_stop_words() -> tuple[str, ...]:
     import os
     import zipfile
 
-    import pyspark
-
-    for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-        return tuple(w for w in text.split() if w)
+    homes = [os.environ.get("SPARK_HOME", "")]
+    try:
+        from pyspark.find_spark_home import _find_spark_home
+
+        homes.append(_find_spark_home())
+    except Exception:  # noqa: BLE001
+        pass
+    for home in filter(None, homes):
+        for jar in glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar")):
+            with zipfile.ZipFile(jar) as z:
+                text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
+            return tuple(w for w in text.split() if w)
     return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 

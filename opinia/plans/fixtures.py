@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opinia.session import local_df
+
 # Demo valence lexicon (word, valence).  Zero-valence words are
 # included on purpose: they must be dropped as neutral.
 DEMO_LEXICON = [
@@ -33,19 +35,19 @@ DEMO_LEMMAS = [
 
 
 def lexicon_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEMO_LEXICON, "word string, valence double")
+    return local_df(spark, DEMO_LEXICON, "word string, valence double")
 
 
 def boosters_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEMO_BOOSTERS, "word string, increment double")
+    return local_df(spark, DEMO_BOOSTERS, "word string, increment double")
 
 
 def negators_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in DEMO_NEGATORS], "word string")
+    return local_df(spark, [(w,) for w in DEMO_NEGATORS], "word string")
 
 
 def lemma_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEMO_LEMMAS, "word string, lemma string")
+    return local_df(spark, DEMO_LEMMAS, "word string, lemma string")
 
 
 def values_sql(rows, cols: str, alias: str = "t") -> str:
@@ -61,7 +63,7 @@ def values_sql(rows, cols: str, alias: str = "t") -> str:
 
 def polarity_lexicon(spark: SparkSession) -> DataFrame:
     """Polarity in [-1, 1]: the demo valences divided by 4."""
-    return spark.createDataFrame([(w, v / 4.0) for w, v in DEMO_LEXICON], "word string, polarity double")
+    return local_df(spark, [(w, v / 4.0) for w, v in DEMO_LEXICON], "word string, polarity double")
 
 
 POLARITY_ROWS = [(w, v / 4.0) for w, v in DEMO_LEXICON]
@@ -93,4 +95,4 @@ TRANSLATE_TEMPLATE = (
 
 
 def prompt_examples_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROMPT_EXAMPLES, "n int, review string, rating int")
+    return local_df(spark, PROMPT_EXAMPLES, "n int, review string, rating int")

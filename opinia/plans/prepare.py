@@ -19,6 +19,7 @@ from opinia.operators import prep as P
 from opinia.operators import tfidf as TF
 from opinia.operators.joins import lookup_join
 from opinia.operators.text import bag_text
+from opinia.session import local_df
 
 DEFAULT_CONFIG = {
     "unique_category_threshold": 51,
@@ -62,7 +63,7 @@ def _apply(df: DataFrame, pt: PreparedTable, fit: bool) -> PreparedTable:
     x = df
     if roles.text and cfg.get("text_process") == "tf-idf":
         tcol = roles.text[0]
-        x = bag_text(x, pt.key, tcol, TF.english_stop_words(), x.sparkSession.createDataFrame([], "word string, stem string"))
+        x = bag_text(x, pt.key, tcol, TF.english_stop_words(), local_df(x.sparkSession, [], "word string, stem string"))
         spec = TF.TfidfSpec(lo=1, hi=2, max_features=cfg.get("max_text_features"), min_df=cfg.get("text_min_df", 1),
                             max_df=cfg.get("text_max_df", 1.0), sublinear=True)
         if fit:

@@ -13,7 +13,7 @@ from opinia.operators import prep as P
 from opinia.operators import tfidf as TF
 from opinia.plans.fixtures import DEMO_NEGATORS, boosters_df, lexicon_df
 from opinia.plans.registry import register
-from opinia.session import table
+from opinia.session import local_df, table
 
 
 def _emb(spark, d):
@@ -92,7 +92,7 @@ def m8_grid_search(spark, d):
     _, params, score = ML.grid_search(est, {"maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 4]}, train,
                                       folds=5, key="id")
     rows = [(k, str(v)) for k, v in sorted(params.items())] + [("cv_accuracy", f"{score:.6f}")]
-    return spark.createDataFrame(rows, "Parametro string, Valor string")
+    return local_df(spark, rows, "Parametro string, Valor string")
 
 
 @register("m10_rating_from_lexicon", None, "M10 L1 L4 M3")

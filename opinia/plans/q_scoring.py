@@ -10,6 +10,7 @@ from opinia.functions import labels as L
 from opinia.functions.text import clean_words
 from opinia.operators import lexicon as LX
 from opinia.operators import scoring as SC
+from opinia.operators.scorers import lexicon_stars
 from opinia.plans import sqlfrag as S
 from opinia.plans.fixtures import (
     DEMO_BOOSTERS, DEMO_LEXICON, DEMO_NEGATORS, POLARITY_ROWS, boosters_df, lexicon_df, polarity_lexicon,
@@ -189,26 +190,8 @@ def l7_sentiment_name(spark, d):
 # ---------------------------------------------------------------- L8
 
 def lexicon_stars_scorer():
-    """Deterministic stand-in for a text model: 3 + (#positive - #negative
-    lexicon words), clipped to 1-5.  Built once per task."""
-    import string as _s
-
-    table_ = {w: v for w, v in DEMO_LEXICON if v != 0}
-    punct = _s.punctuation
-
-    def score(texts):
-        out = []
-        for t in texts:
-            n = 0
-            for tok in t.split():
-                w = tok.strip(punct).lower()
-                v = table_.get(w)
-                if v is not None:
-                    n += 1 if v > 0 else -1
-            out.append(max(1, min(5, 3 + n)))
-        return out
-
-    return score
+    """Deterministic stand-in for a text model (built once per task)."""
+    return lexicon_stars(DEMO_LEXICON)
 
 
 L8_SQL = f"""

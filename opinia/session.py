@@ -60,3 +60,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the parquet tables of a scale-factor folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def local_df(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small driver-side table (parameters, look-ups) as a ``LocalRelation``
+    (built through Arrow), so using it never starts a Python worker."""
+    import pandas as pd
+    from pyspark.sql.types import _parse_datatype_string
+
+    st = _parse_datatype_string(schema)
+    rows = [tuple(r) if isinstance(r, (tuple, list)) else (r,) for r in rows]
+    if not rows:
+        return spark.createDataFrame([], st)
+    return spark.createDataFrame(pd.DataFrame(rows, columns=st.names), schema=st)
