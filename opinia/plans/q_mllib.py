@@ -124,3 +124,23 @@ def f11_prepare(spark, d):
     part = table(spark, d, "part")
     pt = prepare(part, target="p_type", key="p_partkey", config={"max_text_features": 3000, "text_min_df": 2})
     return pt.df.select("p_partkey", "p_type", "p_brand", "p_size", "p_retailprice", "text_features")
+
+
+# The decision-tree grid of the reference's configuration.
+TREE_GRID = {
+    "criterion": ["gini"],
+    "max_depth": [5, 10, 20, 30],
+    "min_samples_split": [2, 5, 10],
+    "min_samples_leaf": [1, 2, 4],
+    "max_features": ["sqrt", "log2"],
+    "splitter": ["best"],
+}
+
+
+@register("m12_run_train", None, "M12 M8 M2")
+def m12_run_train(spark, d):
+    parts = _emb(spark, d)
+    train = parts.where(F.col("part") != "test").drop("part")
+    _, params, score = ML.run({"decision_tree": TREE_GRID}, "train", "decision_tree", train_df=train)
+    rows = [(k, str(v)) for k, v in sorted(params.items())] + [("cv_accuracy", f"{score:.6f}")]
+    return local_df(spark, rows, "Parametro string, Valor string")
