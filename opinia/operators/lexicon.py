@@ -38,13 +38,23 @@ class ValenceRules:
     alpha: float = 15.0
 
 
-def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, pos, tok, w)``: whitespace tokens with punctuation stripped
-    (case kept in ``tok``, lower in ``w``); one-character tokens dropped."""
-    raw = F.split(F.coalesce(F.col(text_col), F.lit("")), WHITESPACE_RUN)
-    x = df.select(F.col(id_col).alias("id"), F.posexplode(raw).alias("pos", "tok0"))
+def _tokens(df: DataFrame, id_col: str, text_col: str, *extra) -> DataFrame:
+    """``(id, *extra, pos, tok, w)``: whitespace tokens with punctuation
+    stripped (case kept in ``tok``, lower in ``w``); tokens of one character
+    are dropped (the analyser ignores them).  The first piece of every text
+    is always kept — as a null placeholder when it is not a token — so every
+    text has a row and per-document results need no join back; sitting
+    before all tokens, the placeholder never changes a look-back.
+    Splitting and stripping are codegen'd projections after the explode."""
+    # per-text values are computed below the explode (once per text, not per token)
+    base = df.select(F.col(id_col).alias("id"), *extra, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    names = [c for c in base.columns if c not in ("id", "_text")]
+    x = base.select("id", *names, F.posexplode(F.split("_text", WHITESPACE_RUN)).alias("pos", "tok0"))
     tok = F.btrim(F.col("tok0"), F.lit(PUNCTUATION))
-    return x.select("id", "pos", tok.alias("tok")).where(F.length("tok") > 1).withColumn("w", F.lower("tok"))
+    x = x.select("id", *names, "pos", tok.alias("tok0"))
+    x = x.where((F.length("tok0") > 1) | (F.col("pos") == 0))
+    x = x.withColumn("tok", F.when(F.length("tok0") > 1, F.col("tok0"))).drop("tok0")
+    return x.withColumn("w", F.lower("tok"))
 
 
 def polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
@@ -54,19 +64,18 @@ def polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
     nothing matches; null for a null or blank text.  ``lexicon`` has
     ``(word, polarity)`` with polarity in [-1, 1]."""
     negators = negators or ["not", "never", "no"]
-    toks = _tokens(df, id_col, text_col)
+    blank = F.col(text_col).isNull() | (F.length(F.trim(F.col(text_col))) == 0)
+    toks = _tokens(df, id_col, text_col, blank.alias("_blank"))
     w = Window.partitionBy("id").orderBy("pos")
     toks = toks.withColumn("_neg", F.lag("w", 1).over(w).isin(negators))
     lex = lexicon.select(F.col("word").alias("w"), F.col("polarity").alias("_p"))
-    hits = lookup_join(toks, lex, "w").select(
-        "id", F.when(F.col("_neg"), F.col("_p") * negation).otherwise(F.col("_p")).alias("_v")
+    hits = lookup_join(toks, lex, "w", "left").select(
+        "id", "_blank", F.when(F.col("_neg"), F.col("_p") * negation).otherwise(F.col("_p")).alias("_v")
     )
-    per = hits.groupBy("id").agg(F.avg("_v").alias("_pol"))
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    return base.join(per, "id", "left").select(
+    per = hits.groupBy("id").agg(F.avg("_v").alias("_pol"), F.first("_blank").alias("_blank"))
+    return per.select(
         F.col("id").alias(id_col),
-        F.when(F.col("_t").isNull() | (F.length(F.trim("_t")) == 0), F.lit(None).cast("double"))
-        .otherwise(F.coalesce("_pol", F.lit(0.0))).alias("polarity"),
+        F.when(F.col("_blank"), F.lit(None).cast("double")).otherwise(F.coalesce("_pol", F.lit(0.0))).alias("polarity"),
     )
 
 
@@ -74,49 +83,60 @@ def valence_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
                    boosters: DataFrame, negators: list[str], rules: ValenceRules = ValenceRules()) -> DataFrame:
     """L1: ``(id, compound, pos, neu, neg)`` from a valence lexicon
     ``(word, valence)`` and a booster table ``(word, increment)``; texts with
-    no tokens score 0 / 0 / 0 / 0."""
-    toks = _tokens(df, id_col, text_col)
+    no tokens score 0 / 0 / 0 / 0.
+
+    One exchange (on the document id) feeds the window and the final
+    aggregation; each ``lag`` is computed once; the per-text punctuation
+    emphasis rides along the token rows instead of a join back."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n_ex = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
+    n_q = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
+    emph = F.least(n_ex, F.lit(rules.exclam_max)) * rules.exclam + F.when(n_q > 3, rules.question_large).when(
+        n_q > 1, n_q * rules.question_small).otherwise(0.0)
+    toks = _tokens(df, id_col, text_col, emph.alias("_e"))
     lex = lexicon.select(F.col("word").alias("w"), F.col("valence").alias("_v0"))
     bst = boosters.select(F.col("word").alias("w"), F.col("increment").alias("_inc"))
-    toks = lookup_join(lookup_join(toks, lex, "w", "left"), bst, "w", "left").withColumn(
-        "_isneg", F.col("w").isin(negators)
-    )
+    toks = lookup_join(lookup_join(toks, lex, "w", "left"), bst, "w", "left")
     win = Window.partitionBy("id").orderBy("pos")
     whole = Window.partitionBy("id")
-    v0 = F.coalesce(F.col("_v0"), F.lit(0.0))
-    sign = F.signum(v0)
-    # ALL-CAPS word in a text that is not all caps
     is_caps = (F.col("tok") == F.upper("tok")) & (F.col("tok") != F.lower("tok"))
-    mixed = F.max(F.when(is_caps, 0).otherwise(1)).over(whole) == 1
-    v = v0 + F.when(is_caps & mixed & (v0 != 0), sign * rules.caps).otherwise(0.0)
+    cols = {
+        "_v0": F.coalesce(F.col("_v0"), F.lit(0.0)),
+        "_caps": is_caps,
+        "_isneg": F.col("w").isin(negators),
+    }
+    toks = toks.withColumns(cols)
+    lags = {}
+    for j in (1, 2, 3):
+        lags[f"_i{j}"] = F.lag("_inc", j).over(win)
+        lags[f"_n{j}"] = F.coalesce(F.lag("_isneg", j).over(win), F.lit(False))
+    not_caps = F.when(F.col("tok").isNull(), F.lit(None)).when(F.col("_caps"), 0).otherwise(1)
+    lags["_mixed"] = F.max(not_caps).over(whole) == 1
+    lags["_but"] = F.min(F.when(F.col("w") == "but", F.col("pos"))).over(whole)
+    toks = toks.withColumns(lags)
+    v0 = F.col("_v0")
+    sign = F.signum(v0)
+    v = v0 + F.when(F.col("_caps") & F.col("_mixed") & (v0 != 0), sign * rules.caps).otherwise(0.0)
     for j, decay in enumerate(rules.booster_decay, start=1):
-        inc = F.lag("_inc", j).over(win)
+        inc = F.col(f"_i{j}")
         v = v + F.when((v0 != 0) & inc.isNotNull(), sign * F.abs(inc) * F.signum(inc) * decay).otherwise(0.0)
-    negated = F.lit(False)
-    for j in (1, 2, 3):
-        negated = negated | F.coalesce(F.lag("_isneg", j).over(win), F.lit(False))
+    negated = F.col("_n1") | F.col("_n2") | F.col("_n3")
     v = F.when(negated & (v0 != 0), v * rules.negation).otherwise(v)
-    but_pos = F.min(F.when(F.col("w") == "but", F.col("pos"))).over(whole)
+    but_pos = F.col("_but")
     v = (
         F.when(but_pos.isNull(), v)
         .when(F.col("pos") < but_pos, v * rules.but_before)
         .when(F.col("pos") > but_pos, v * rules.but_after)
         .otherwise(v)
     )
-    scored = toks.select("id", v.alias("_s"))
-    agg = scored.groupBy("id").agg(
-        F.sum("_s").alias("s"),
-        F.sum(F.when(F.col("_s") > 0, F.col("_s") + 1)).alias("P"),
-        F.sum(F.when(F.col("_s") < 0, F.col("_s") - 1)).alias("N"),
+    scored = toks.select("id", "_e", F.when(F.col("tok").isNotNull(), v).alias("_s"))
+    j = scored.groupBy("id").agg(
+        F.coalesce(F.sum("_s"), F.lit(0.0)).alias("s"),
+        F.coalesce(F.sum(F.when(F.col("_s") > 0, F.col("_s") + 1)), F.lit(0.0)).alias("P"),
+        F.coalesce(F.sum(F.when(F.col("_s") < 0, F.col("_s") - 1)), F.lit(0.0)).alias("N"),
         F.count_if(F.col("_s") == 0).alias("U"),
+        F.first("_e").alias("_e"),
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n_ex = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
-    n_q = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
-    emph = F.least(n_ex, F.lit(rules.exclam_max)) * rules.exclam + F.when(n_q > 3, rules.question_large).when(
-        n_q > 1, n_q * rules.question_small).otherwise(0.0)
-    base = df.select(F.col(id_col).alias("id"), emph.alias("_e"))
-    j = base.join(agg, "id", "left").na.fill({"s": 0.0, "P": 0.0, "N": 0.0, "U": 0})
     s = F.col("s")
     s_e = F.when(s > 0, s + F.col("_e")).when(s < 0, s - F.col("_e")).otherwise(s)
     compound = F.when(F.col("P") + F.abs(F.col("N")) + F.col("U") == 0, F.lit(0.0)).otherwise(
