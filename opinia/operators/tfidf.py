@@ -79,16 +79,38 @@ def term_array(text: Column, spec: TfidfSpec) -> Column:
     return tokens(src)
 
 
-def doc_terms(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec) -> DataFrame:
-    """``(id, term, tf)`` raw term counts of each document."""
+def doc_tokens(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec) -> DataFrame:
+    """``(id, tk)``: the token array of every document (stop words removed).
+    N-grams are built *inside* the generators below, reading ``tk`` as a
+    column: a projection of n-grams over this projection would be collapsed
+    by the optimizer, re-running the token regex in every n-gram lambda."""
     tk = df.select(F.col(id_col).alias("id"), term_array(F.coalesce(F.col(text_col), F.lit("")), spec).alias("tk"))
     if spec.stop_words:
         stop = list(spec.stop_words)
         tk = tk.select("id", F.filter("tk", lambda w: ~w.isin(stop)).alias("tk"))
+    return tk
+
+
+def doc_terms(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec) -> DataFrame:
+    """``(id, term, tf)`` raw term counts of each document (all terms)."""
+    tk = doc_tokens(df, id_col, text_col, spec)
     grams = tk.select("id", F.explode(ngrams("tk", spec.lo, spec.hi)).alias("term"))
     return grams.groupBy("id", "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
 
 
+def term_stats(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec) -> DataFrame:
+    """``(term, df, total)`` in ONE exchange keyed by term: occurrences come
+    from the n-grams, document frequency from their per-row
+    ``array_distinct`` (a document is one row, so no (doc, term) shuffle is
+    needed); partial aggregation leaves one row per term per task."""
+    tk = doc_tokens(df, id_col, text_col, spec)
+    g = ngrams("tk", spec.lo, spec.hi)
+    occ = tk.select(F.explode(g).alias("term"), F.lit(1).alias("_o"), F.lit(0).alias("_d"))
+    dist = tk.select(F.explode(F.array_distinct(g)).alias("term"), F.lit(0).alias("_o"), F.lit(1).alias("_d"))
+    return occ.unionByName(dist).groupBy("term").agg(
+        F.sum("_d").cast("bigint").alias("df"), F.sum("_o").cast("bigint").alias("total"))
+
+
 @dataclass
 class TfidfModel:
     spec: TfidfSpec
@@ -96,8 +118,14 @@ class TfidfModel:
     n_docs: int
 
     def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        tf = doc_terms(df, id_col, text_col, self.spec)
-        return weigh(tf, self.vocab, self.spec, bounded=self.spec.max_features is not None)
+        """``(id, term, weight)``: only vocabulary terms are counted, so the
+        (doc, term) exchange carries kept terms only."""
+        bounded_vocab = self.spec.max_features is not None
+        tk = doc_tokens(df, id_col, text_col, self.spec)
+        grams = tk.select("id", F.explode(ngrams("tk", self.spec.lo, self.spec.hi)).alias("term"))
+        kept = (lookup_join(grams, self.vocab, "term") if bounded_vocab else grams.join(self.vocab, "term"))
+        tf = kept.groupBy("id", "term", "idf").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
+        return _normalise(tf, self.spec)
 
     def indexed_vocab(self) -> DataFrame:
         """``(term, idx, idf)``: feature index = rank of the term (sorted)."""
@@ -107,9 +135,13 @@ class TfidfModel:
 
 def fit_tfidf(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec,
               tf: DataFrame | None = None) -> TfidfModel:
-    tf = tf if tf is not None else doc_terms(df, id_col, text_col, spec)
+    """Fit the vocabulary and idf.  ``tf`` (an existing ``(id, term, tf)``
+    table) may be given to derive the statistics from it instead."""
     n_docs = df.count()
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    if tf is not None:
+        stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    else:
+        stats = term_stats(df, id_col, text_col, spec)
     min_count = spec.min_df if isinstance(spec.min_df, int) else spec.min_df * n_docs
     max_count = spec.max_df * n_docs if isinstance(spec.max_df, float) else spec.max_df
     kept = stats.where((F.col("df") >= F.lit(min_count)) & (F.col("df") <= F.lit(max_count)))
@@ -121,19 +153,26 @@ def fit_tfidf(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec,
     return TfidfModel(spec, vocab, n_docs)
 
 
-def weigh(tf: DataFrame, vocab: DataFrame, spec: TfidfSpec, bounded: bool = True) -> DataFrame:
+def _normalise(tf: DataFrame, spec: TfidfSpec) -> DataFrame:
     tfw = (1.0 + F.log(F.col("tf"))) if spec.sublinear else F.col("tf").cast("double")
-    joined = lookup_join(tf, vocab, "term") if bounded else tf.join(vocab, "term")
-    raw = joined.select("id", "term", (tfw * F.col("idf")).alias("w"))
+    raw = tf.select("id", "term", (tfw * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
 
 
+def weigh(tf: DataFrame, vocab: DataFrame, spec: TfidfSpec, bounded: bool = True) -> DataFrame:
+    """Weights from an existing ``(id, term, tf)`` table."""
+    joined = lookup_join(tf, vocab, "term") if bounded else tf.join(vocab, "term")
+    return _normalise(joined.select("id", "term", "tf", "idf"), spec)
+
+
 def tfidf(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec) -> DataFrame:
-    """Fit on ``df`` and transform it: ``(id, term, weight)``."""
-    tf = doc_terms(df, id_col, text_col, spec).persist()
-    model = fit_tfidf(df, id_col, text_col, spec, tf=tf)
-    return weigh(tf, model.vocab, spec, bounded=spec.max_features is not None)
+    """Fit on ``df`` and transform it: ``(id, term, weight)``.  Two passes
+    over the texts (statistics by term, then counts of kept terms) instead
+    of one exchange of every distinct (doc, term) pair."""
+    model = fit_tfidf(df, id_col, text_col, spec)
+    model.vocab = model.vocab.persist()
+    return model.transform(df, id_col, text_col)
 
 
 def vocabulary(model: TfidfModel, n: int = 10) -> DataFrame:

@@ -76,9 +76,8 @@ def m6_stacking(spark, d):
 def m7_kmeans_reviews(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     spec = TF.SETTING_D
-    tf = TF.doc_terms(docs, "doc_id", "text", spec).persist()
-    model = TF.fit_tfidf(docs, "doc_id", "text", spec, tf=tf)
-    w = TF.weigh(tf, model.vocab, spec, bounded=False)
+    model = TF.fit_tfidf(docs, "doc_id", "text", spec)
+    w = model.transform(docs, "doc_id", "text")
     vec = TF.to_vectors(w, model, ids=docs.select("doc_id"))
     out = ML.kmeans_reviews(vec, k=9, seed=42)
     return out.select(F.col("id").alias("doc_id"), "Cluster")

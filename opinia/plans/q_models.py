@@ -129,10 +129,9 @@ def _nb(spark, d, alpha: float, fit_prior: bool):
     lab = table(spark, d, "labels")
     labelled = docs.join(lab.select("doc_id"), "doc_id").select("doc_id", "text")
     spec = TF.SETTING_B
-    tf = TF.doc_terms(labelled, "doc_id", "text", spec).persist()
-    model = TF.fit_tfidf(labelled, "doc_id", "text", spec, tf=tf)
-    vocab = model.vocab.persist()
-    w = TF.weigh(tf, vocab, spec).select("id", "term", F.col("weight").alias("value"))
+    model = TF.fit_tfidf(labelled, "doc_id", "text", spec)
+    vocab = model.vocab = model.vocab.persist()
+    w = model.transform(labelled, "doc_id", "text").select("id", "term", F.col("weight").alias("value"))
     parts = P.split_column(lab.select("doc_id", "quality"), "doc_id", (0.6, 0.2, 0.2), 42, stratify="quality")
     parts = parts.persist()
     train = parts.where(F.col("part") == "train").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
