@@ -9,11 +9,16 @@ ln((1+n)/(1+df)) + 1``; ``tf`` raw or ``1 + ln(tf)`` (sublinear); each
 document's weights are divided by their L2 norm.  A document with no kept
 term has no rows (all-zero vector).
 
-Plan: tokens -> explode -> partial+final count per (id, term) [one exchange]
--> per-term df/total [one exchange, map-side combined, so a hot term moves one
-partial row per task] -> filters and a top-N (TakeOrdered) -> join of the
-(bounded) vocabulary back by broadcast -> L2 norm per document by a window
-on ``id``.
+Plan (fit, then transform):
+1. statistics by term: n-grams and their per-row ``array_distinct`` are
+   exploded and summed by term — one exchange keyed by term, map-side
+   combined, so a hot term moves one partial row per task and no
+   (doc, term) pair is shuffled;
+2. filters and a top-N by total count (TakeOrdered) give the vocabulary,
+   bounded by ``max_features`` and broadcast after a size check;
+3. transform: n-grams are probed against the vocabulary (broadcast hash
+   join) *before* counting, so the (doc, term) exchange carries kept terms
+   only; the L2 norm is a window on the document id.
 """
 
 from __future__ import annotations
