@@ -1,7 +1,7 @@
 """M1 / M9: exact k-nearest-neighbour classification on dense vectors.
 
 MLlib has no kNN.  A brute-force query x train join would emit every pair;
-instead the train set is cut into cells around ``m`` pivots (train points
+instead the train set is cut into cells around ``m`` pivots (at most 256 train points
 picked by seeded hash), and each query only visits the cells that can hold
 one of its k nearest neighbours:
 
@@ -23,6 +23,7 @@ to the smallest label; with ``distance`` weights, zero distances alone vote.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from opinia.operators.prep import hash_rank_key, kth_smallest, rank_at_most
 
-MAX_PIVOTS = 64
+MAX_PIVOTS = 256
 
 
 def distance(a: Column, b: Column, p: int = 2) -> Column:
@@ -60,7 +61,8 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, p: int = 2, tid: str
     keyed = tr.withColumn("_h", hash_rank_key("tid", seed)).withColumn("_t", F.col("tid").cast("string"))
     thr = kth_smallest(keyed, "_h", m, tie="_t")
     pivots = [r.v for r in keyed.where(rank_at_most("_h", "_t", thr)).orderBy("_h", "_t").select("v").collect()]
-    piv = F.array(*[F.array(*[F.lit(float(x)) for x in pv]) for pv in pivots])
+    # one constant-folded literal (not m x dim expression nodes)
+    piv = F.from_json(F.lit(json.dumps([[float(x) for x in pv] for pv in pivots])), "array<array<double>>")
 
     def to_pivots(c: Column) -> Column:
         return F.transform(piv, lambda pv: distance(c, pv, p))
