@@ -44,3 +44,15 @@ def test_no_plan_uses_cartesian_products(spark):
         p = _plan(q.build(spark, SF_SMALL))
         assert "CartesianProduct" not in p, name
         assert "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_top_n_per_group_is_limited_before_the_shuffle(spark):
+    for name in ("g6_sample_per_group", "m1_knn_euclid_uniform"):
+        p = _plan(QUERIES[name].build(spark, SF_SMALL))
+        assert p.count("WindowGroupLimit") >= 2, name  # partial (map side) + final
+
+
+def test_tfidf_counts_only_vocabulary_terms(spark):
+    p = _plan(QUERIES["f6a_tfidf_bigram_sublinear"].build(spark, SF_SMALL))
+    # the (doc, term) aggregation sits above a broadcast probe of the vocabulary
+    assert "BroadcastHashJoin" in p
