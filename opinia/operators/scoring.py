@@ -22,12 +22,21 @@ from opinia.functions.labels import final_score, sentiment_name, shift_label
 
 def score_texts(df: DataFrame, col: str, make_scorer: Callable[[], Callable[[list[str]], list]],
                 out: str = "score", out_type: T.DataType = T.IntegerType(), batch: int = 16,
-                on_error: str = "null") -> DataFrame:
+                on_error: str = "null", dedup: bool = True) -> DataFrame:
     """Add ``out`` = scorer(text) for every row.  ``make_scorer()`` is
     called once per task and returns ``f(list_of_texts) -> list_of_values``.
-    ``on_error='text'`` keeps the original text (translation)."""
-    texts = df.select(F.col(col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    ``on_error='text'`` keeps the original text (translation).
+
+    ``dedup=True`` scores each distinct text once (worth its two exchanges
+    when the model is expensive and copies are common); ``dedup=False``
+    scores rows in place with no exchange at all."""
     schema = T.StructType([T.StructField("_text", T.StringType()), T.StructField(out, out_type)])
+    if not dedup:
+        keep = df.columns
+        full = T.StructType(df.schema.fields + [T.StructField(out, out_type)])
+        run_rows = _runner(make_scorer, col, out, batch, on_error, keep)
+        return df.mapInPandas(run_rows, full)
+    texts = df.select(F.col(col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
@@ -46,6 +55,29 @@ def score_texts(df: DataFrame, col: str, make_scorer: Callable[[], Callable[[lis
     return df.join(scored, df[col] == scored["_text"], "left").drop("_text")
 
 
+def _runner(make_scorer, col, out, batch, on_error, keep):
+    def run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = make_scorer()
+        for pdf in batches:
+            items = pdf[col].tolist()
+            vals = [None] * len(items)
+            idx = [i for i, t in enumerate(items) if t is not None]
+            for i in range(0, len(idx), batch):
+                chunk = idx[i:i + batch]
+                texts = [items[j] for j in chunk]
+                try:
+                    res = scorer(texts)
+                except Exception:  # noqa: BLE001
+                    res = texts if on_error == "text" else [None] * len(texts)
+                for j, v in zip(chunk, res):
+                    vals[j] = v
+            res_pdf = pdf[keep].copy()
+            res_pdf[out] = pd.Series(vals, dtype="object")
+            yield res_pdf
+
+    return run_rows
+
+
 def score_reviews(df: DataFrame, col: str, binary_pred: DataFrame, stars_pred: DataFrame,
                   id_col: str = "id", keep_all: bool = False, stars_name: str = "Score_1_5") -> DataFrame:
     """Combine a binary prediction (0/1) and a 0-4 star prediction per

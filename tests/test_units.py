@@ -174,3 +174,14 @@ def test_bad_csv_rows(spark, tmp_path):
 def test_literal_escape_issue_count(spark):
     df = spark.createDataFrame([("[{'comments': 'a \\U0001F600'}]",)], "r string")
     assert df.select(LIT.literal_escape_issues("r")).first()[0] == 1
+
+
+def test_score_texts_modes_agree(spark):
+    from opinia.operators.scorers import lexicon_stars
+    from opinia.operators.scoring import score_texts
+    from opinia.plans.fixtures import DEMO_LEXICON
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    a = score_texts(docs, "text", lambda: lexicon_stars(DEMO_LEXICON), out="s").select("doc_id", "s")
+    b = score_texts(docs, "text", lambda: lexicon_stars(DEMO_LEXICON), out="s", dedup=False).select("doc_id", "s")
+    assert sorted(a.collect()) == sorted(b.collect())
