@@ -328,7 +328,10 @@ def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42
     Plain: md5 bucket of ``key:seed`` against cumulative ratios — scalable,
     plan-independent, sizes approximate.  Stratified: within each class the
     rows are ranked by the 60-bit md5 key and cut at ``round(cum_ratio * n_c)``
-    — exact per-class sizes, found with distributed k-th-value searches.
+    — exact per-class sizes.  Classes of at most ``MAX_BAND_ROWS`` rows are
+    ranked together by one window (bounded groups); larger classes get their
+    cut points from distributed k-th-value searches, so no task holds a big
+    class.
     """
     cum = []
     acc = 0.0
@@ -341,22 +344,50 @@ def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42
         for name, c in reversed(list(zip(names[:-1], cum))):
             expr = F.when(u < F.lit(c), F.lit(name)).otherwise(expr)
         return df.withColumn("part", expr)
+    from pyspark.sql import Window
+
     h = df.withColumn("_h", hash_rank_key(key, seed)).withColumn("_t", F.col(key).cast("string"))
     counts = class_counts(df, stratify)
-    expr = F.lit(names[-1])
-    conds = []
-    for cls, n in counts.items():
-        in_cls = F.col(stratify).eqNullSafe(F.lit(cls))
-        sub = h.where(in_cls)
-        cuts = []
-        for c in cum:
-            k = int(math.floor(c * n + 0.5))
-            cuts.append(kth_smallest(sub, "_h", k, tie="_t") if k >= 1 else None)
-        conds.append((in_cls, cuts))
-    for i in reversed(range(len(cum))):
-        cond = F.lit(False)
-        for in_cls, cuts in conds:
-            if cuts[i] is not None:
-                cond = cond | (in_cls & rank_at_most("_h", "_t", cuts[i]))
-        expr = F.when(cond, F.lit(names[i])).otherwise(expr)
-    return h.withColumn("part", expr).drop("_h", "_t")
+    small = {c: n for c, n in counts.items() if n <= MAX_BAND_ROWS}
+    large = {c: n for c, n in counts.items() if n > MAX_BAND_ROWS}
+
+    def cut(i: int, n: Column) -> Column:
+        return F.floor(F.lit(cum[i]) * n + 0.5)
+
+    parts = []
+    if small:
+        # classes of bounded size: one window ranks them all in a single job
+        is_small = F.col(stratify).isin(list(small)) if None not in small else (
+            F.col(stratify).isin([c for c in small if c is not None]) | F.col(stratify).isNull())
+        sub = h.where(is_small)
+        w = Window.partitionBy(stratify).orderBy("_h", "_t")
+        sub = sub.withColumn("_rn", F.row_number().over(w)).withColumn(
+            "_n", F.count(F.lit(1)).over(Window.partitionBy(stratify)))
+        expr = F.lit(names[-1])
+        for i in reversed(range(len(cum))):
+            expr = F.when(F.col("_rn") <= cut(i, F.col("_n")), F.lit(names[i])).otherwise(expr)
+        parts.append(sub.withColumn("part", expr).drop("_rn", "_n"))
+    if large:
+        # big classes: exact cut points by the distributed k-th value search
+        sub = h.where(F.col(stratify).isin(list(large)))
+        expr = F.lit(names[-1])
+        conds = []
+        for cls, n in large.items():
+            in_cls = F.col(stratify) == F.lit(cls)
+            cls_rows = sub.where(in_cls)
+            cuts = []
+            for c in cum:
+                k = int(math.floor(c * n + 0.5))
+                cuts.append(kth_smallest(cls_rows, "_h", k, tie="_t") if k >= 1 else None)
+            conds.append((in_cls, cuts))
+        for i in reversed(range(len(cum))):
+            cond = F.lit(False)
+            for in_cls, cuts in conds:
+                if cuts[i] is not None:
+                    cond = cond | (in_cls & rank_at_most("_h", "_t", cuts[i]))
+            expr = F.when(cond, F.lit(names[i])).otherwise(expr)
+        parts.append(sub.withColumn("part", expr))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("_h", "_t")

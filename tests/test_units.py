@@ -185,3 +185,11 @@ def test_score_texts_modes_agree(spark):
     a = score_texts(docs, "text", lambda: lexicon_stars(DEMO_LEXICON), out="s").select("doc_id", "s")
     b = score_texts(docs, "text", lambda: lexicon_stars(DEMO_LEXICON), out="s", dedup=False).select("doc_id", "s")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_stratified_split_large_class_path_matches_window_path(spark, monkeypatch):
+    lab = spark.read.parquet(f"{SF_SMALL}/labels.parquet").select("doc_id", "quality")
+    small = {r.doc_id: r.part for r in P.split_column(lab, "doc_id", (0.6, 0.2, 0.2), 42, stratify="quality").collect()}
+    monkeypatch.setattr(P, "MAX_BAND_ROWS", 5)
+    big = {r.doc_id: r.part for r in P.split_column(lab, "doc_id", (0.6, 0.2, 0.2), 42, stratify="quality").collect()}
+    assert small == big
