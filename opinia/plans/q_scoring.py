@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinia.functions import labels as L
-from opinia.functions.text import clean_words
 from opinia.operators import lexicon as LX
 from opinia.operators import scoring as SC
 from opinia.operators.scorers import lexicon_stars
