@@ -150,3 +150,30 @@ def count_nested(df: DataFrame, cols: list[str], field: str = "comments") -> Dat
         ).otherwise(F.lit(0))
         parts.append(F.sum(n).cast("bigint").alias(f"{c}_items"))
     return df.agg(*parts)
+
+
+def _flatten_struct(c: Column, dtype: T.StructType, prefix: str) -> list[Column]:
+    out = []
+    for f in dtype.fields:
+        name = f"{prefix}.{f.name}" if prefix else f.name
+        if isinstance(f.dataType, T.StructType):
+            out.extend(_flatten_struct(c[f.name], f.dataType, name))
+        else:
+            out.append(c[f.name].alias(name))
+    return out
+
+
+def flatten_dict(df: DataFrame, col: str, schema: T.StructType | None = None) -> DataFrame:
+    """N5 (nested dicts): a dict literal column -> one column per leaf key,
+    nested keys joined with ``.`` (the original column is dropped).  Without
+    ``schema`` the structure is inferred from one non-null value (a single
+    bounded row), as column names must be known before the job runs."""
+    text = LIT.to_json_text(F.col(col))
+    if schema is None:
+        sample = df.where(F.col(col).isNotNull()).select(text.alias("_s")).limit(1).collect()
+        if not sample:
+            return df.drop(col)
+        ddl = df.sparkSession.range(1).select(F.schema_of_json(F.lit(sample[0]["_s"]), LIT.JSON_OPTIONS)).first()[0]
+        schema = T._parse_datatype_string(ddl)
+    parsed = F.from_json(text, schema, LIT.JSON_OPTIONS)
+    return df.select(*[c for c in df.columns if c != col], *_flatten_struct(parsed, schema, ""))

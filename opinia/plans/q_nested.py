@@ -273,3 +273,13 @@ def g6_sample_per_group(spark, d):
 )
 def g7_shape(spark, d):
     return G.shape(table(spark, d, "documents"), "source")
+
+
+@register(
+    "n5b_flatten_dict",
+    "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "N5",
+)
+def n5b_flatten_dict(spark, d):
+    ev = table(spark, d, "events").select("event_id", "props")
+    return N.flatten_dict(ev, "props")

@@ -193,3 +193,13 @@ def test_stratified_split_large_class_path_matches_window_path(spark, monkeypatc
     monkeypatch.setattr(P, "MAX_BAND_ROWS", 5)
     big = {r.doc_id: r.part for r in P.split_column(lab, "doc_id", (0.6, 0.2, 0.2), 42, stratify="quality").collect()}
     assert small == big
+
+
+def test_flatten_nested_dict(spark):
+    rows = [("1", "{'review_scores_rating': 95, 'sub': {'clean': 9, 'loc': 10}}"),
+            ("2", "{'review_scores_rating': 80, 'sub': {'clean': 7, 'loc': None}}"), ("3", None)]
+    df = spark.createDataFrame(rows, "id string, review_scores string")
+    out = N.flatten_dict(df, "review_scores")
+    assert out.columns == ["id", "review_scores_rating", "sub.clean", "sub.loc"]
+    got = {r[0]: tuple(r[1:]) for r in out.collect()}
+    assert got == {"1": (95, 9, 10), "2": (80, 7, None), "3": (None, None, None)}
