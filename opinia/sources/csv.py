@@ -24,8 +24,18 @@ FALLBACK_ENCODINGS = ("windows-1252", "iso-8859-1", "latin1")
 SAMPLE_LINES = 10_000
 
 
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Raw lines as one string column ``value``.  The text source is UTF-8
+    only, so other encodings go through the CSV reader with a separator and
+    quote that never occur."""
+    if encoding.upper().replace("-", "") == "UTF8":
+        return spark.read.text(path)
+    return (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
+            .option("header", "false").csv(path).select(F.col("_c0").alias("value")))
+
+
 def header_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str | None:
-    rows = spark.read.option("encoding", encoding).text(path).limit(1).collect()
+    rows = _lines(spark, path, encoding).limit(1).collect()
     return rows[0].value if rows else None
 
 
@@ -39,9 +49,15 @@ def _columns(header: str, sep: str) -> list[str]:
     return next(_csv.reader(io.StringIO(header), delimiter=sep, quotechar='"'))
 
 
-def _has_decode_errors(spark: SparkSession, path: str) -> bool:
-    sample = spark.read.option("encoding", "UTF-8").text(path).limit(SAMPLE_LINES)
-    return sample.where(F.col("value").contains("�")).limit(1).count() > 0
+def _has_decode_errors(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Look for undecodable bytes in a bounded sample of lines (one small
+    job): invalid UTF-8 sequences, or U+FFFD from a single-byte decoder."""
+    sample = _lines(spark, path, encoding).limit(SAMPLE_LINES)
+    if encoding.upper().replace("-", "") == "UTF8":
+        bad = ~F.is_valid_utf8("value")
+    else:
+        bad = F.col("value").contains("\ufffd")
+    return sample.where(bad).limit(1).count() > 0
 
 
 def read_reviews(spark: SparkSession, path: str, sep: str | None = ",", schema: T.StructType | None = None,
@@ -52,7 +68,17 @@ def read_reviews(spark: SparkSession, path: str, sep: str | None = ",", schema:
     or a missing required column."""
     enc = encoding or "UTF-8"
     if encoding is None and _has_decode_errors(spark, path):
-        enc, sep = FALLBACK_ENCODINGS[0], fallback_sep if sep is not None else None
+        # the fallback encodings in order, as the reference retries them
+        # (Spark 4 accepts windows-1252 only with spark.sql.legacy.javaCharsets;
+        # an encoding the session refuses is skipped)
+        for cand in FALLBACK_ENCODINGS:
+            try:
+                if not _has_decode_errors(spark, path, cand):
+                    enc = cand
+                    break
+            except Exception:  # noqa: BLE001
+                continue
+        sep = fallback_sep if sep is not None else None
     header = header_line(spark, path, enc)
     if header is None or not header.strip():
         raise ValueError(f"{path}: empty file")

@@ -203,3 +203,12 @@ def test_flatten_nested_dict(spark):
     assert out.columns == ["id", "review_scores_rating", "sub.clean", "sub.loc"]
     got = {r[0]: tuple(r[1:]) for r in out.collect()}
     assert got == {"1": (95, 9, 10), "2": (80, 7, None), "3": (None, None, None)}
+
+
+def test_csv_encoding_fallback(spark, tmp_path):
+    from opinia.sources.csv import read_reviews
+
+    p = tmp_path / "latin.csv"
+    p.write_bytes("Review;Rating\ncafé olé;5\nmal;1\n".encode("latin-1"))
+    rows = read_reviews(spark, str(p)).collect()
+    assert [tuple(r) for r in rows] == [("café olé", "5"), ("mal", "1")]
