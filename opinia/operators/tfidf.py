@@ -18,7 +18,7 @@ Plan (fit, then transform):
    bounded by ``max_features`` and broadcast after a size check;
 3. transform: n-grams are probed against the vocabulary (broadcast hash
    join) *before* counting, so the (doc, term) exchange carries kept terms
-   only; the L2 norm is a window on the document id.
+   only; the L2 norm is pre-aggregated per document and joined back.
 """
 
 from __future__ import annotations
@@ -159,10 +159,14 @@ def fit_tfidf(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec,
 
 
 def _normalise(tf: DataFrame, spec: TfidfSpec) -> DataFrame:
+    """L2 normalisation per document.  The norm is pre-aggregated (partial
+    sums, then one row per document) and joined back, instead of a window
+    that would hold a whole document in one task; a huge document is then
+    an ordinary skewed join key that AQE splits."""
     tfw = (1.0 + F.log(F.col("tf"))) if spec.sublinear else F.col("tf").cast("double")
     raw = tf.select("id", "term", (tfw * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
+    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("_norm")).alias("weight"))
 
 
 def weigh(tf: DataFrame, vocab: DataFrame, spec: TfidfSpec, bounded: bool = True) -> DataFrame:
