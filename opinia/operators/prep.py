@@ -256,13 +256,10 @@ def scale(df: DataFrame, cols: list[str], kind: str = "standard") -> DataFrame:
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
     """F5 fitted table ``(value, code)``: code = rank of the sorted distinct
-    values from 0, null last.  The distinct table is small for categorical
-    columns; ranking it is a window over the distinct values only."""
-    from pyspark.sql import Window
-
+    values from 0, null last.  Ranked by ``sorted_index`` (no single-partition
+    window, whatever the number of distinct values)."""
     d = df.select(F.col(col).alias("value")).distinct()
-    w = Window.orderBy(F.col("value").asc_nulls_last())
-    return d.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    return sorted_index(d, [F.col("value").asc_nulls_last()], out="code")
 
 
 def label_encode(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -391,3 +388,26 @@ def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.drop("_h", "_t")
+
+
+def sorted_index(df: DataFrame, order: list[Column], out: str = "idx") -> DataFrame:
+    """Position (0-based) of every row in a global order, without a
+    single-partition window: a range-partitioned sort, one count per
+    partition (a row per partition comes back), then
+    ``offset[partition] + position in partition``."""
+    s = (
+        df.orderBy(*order)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .persist()
+    )
+    counts = sorted((r["_pid"], r["n"]) for r in s.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, acc = {}, 0
+    for pid, n in counts:
+        offsets[pid] = acc
+        acc += n
+    if not offsets:
+        return s.drop("_pid", "_mid").withColumn(out, F.lit(None).cast("int"))
+    off = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))])
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return s.withColumn(out, (off[F.col("_pid")] + pos).cast("int")).drop("_pid", "_mid")

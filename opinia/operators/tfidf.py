@@ -27,7 +27,7 @@ import functools
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinia.functions.text import letters_only, ngrams, tokens
@@ -134,8 +134,9 @@ class TfidfModel:
 
     def indexed_vocab(self) -> DataFrame:
         """``(term, idx, idf)``: feature index = rank of the term (sorted)."""
-        w = Window.orderBy("term")
-        return self.vocab.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+        from opinia.operators.prep import sorted_index
+
+        return sorted_index(self.vocab, [F.col("term")], out="idx")
 
 
 def fit_tfidf(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec,

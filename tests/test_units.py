@@ -212,3 +212,13 @@ def test_csv_encoding_fallback(spark, tmp_path):
     p.write_bytes("Review;Rating\ncafé olé;5\nmal;1\n".encode("latin-1"))
     rows = read_reviews(spark, str(p)).collect()
     assert [tuple(r) for r in rows] == [("café olé", "5"), ("mal", "1")]
+
+
+def test_sorted_index_is_a_dense_global_rank(spark):
+    random.seed(11)
+    vals = random.sample(range(100000), 3000)
+    df = spark.createDataFrame([(v,) for v in vals], "v long").repartition(7)
+    got = {r.v: r.idx for r in P.sorted_index(df, [F.col("v")]).collect()}
+    assert got == {v: i for i, v in enumerate(sorted(vals))}
+    codes = P.label_codes(spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "c string"), "c").collect()
+    assert {r.value: r.code for r in codes} == {"a": 0, "b": 1, None: 2}
