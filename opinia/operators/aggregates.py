@@ -54,7 +54,7 @@ def word_counts(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
 
 
 def word_sentiment(df: DataFrame, group_col: str, text_col: str, lexicon: DataFrame,
-                   min_length: int = 2, out_group: str = "pais") -> DataFrame:
+                   min_length: int = 2, out_group: str = "pais", neutral_words: list[str] | None = None) -> DataFrame:
     """G2 (flagship): per group, frequency of every word whose lexicon valence
     is non-zero, labelled ``positivo``/``negativo``.
 
@@ -63,9 +63,13 @@ def word_sentiment(df: DataFrame, group_col: str, text_col: str, lexicon: DataFr
     tokens).  Plan: a lexicon that passes the size check is broadcast and
     probed per token before the partial count, so the one exchange carries
     only (group, lexicon word) partial counts; a larger lexicon is joined
-    after the aggregation.
+    after the aggregation.  ``neutral_words`` (such as the booster list) are
+    never labelled.
     """
     lex = lexicon.select(F.col("word").alias("_w"), F.col("valence").alias("_v")).where(F.col("_v") != 0)
+    if neutral_words:
+        # e.g. booster words: scored 0 on their own even when the lexicon has them
+        lex = lex.where(~F.col("_w").isin(list(neutral_words)))
     if lex.limit(BROADCAST_LEXICON_ROWS + 1).count() <= BROADCAST_LEXICON_ROWS:
         # bounded lexicon: probe it per token (broadcast hash join, no
         # shuffle) so that only lexicon words reach the exchange

@@ -222,3 +222,9 @@ def test_sorted_index_is_a_dense_global_rank(spark):
     assert got == {v: i for i, v in enumerate(sorted(vals))}
     codes = P.label_codes(spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "c string"), "c").collect()
     assert {r.value: r.code for r in codes} == {"a": 0, "b": 1, None: 2}
+
+
+def test_word_sentiment_neutral_words(spark):
+    df = spark.createDataFrame([("PT", "best no best")], "pais string, reviews string")
+    got = {r.palabra for r in G.word_sentiment(df, "pais", "reviews", lexicon_df(spark), neutral_words=["no"]).collect()}
+    assert got == {"best"}
