@@ -216,3 +216,26 @@ def m9_knn_sweep(spark, d):
     dev = parts.where(F.col("part") == "dev")
     out = KNN.knn_sweep(train, dev, KS, p=2, qid="vec_id", tid="vec_id", vec="embedding")
     return out.select(F.col("k").cast("integer").alias("k"), F.round("accuracy", 6).alias("accuracy"), "best")
+
+
+def _nb_report_sql() -> str:
+    nb = _nb_sql(1.0, True).strip()
+    body = nb[len("WITH "):]
+    body = body.replace("\nSELECT doc_id, cls AS prediction FROM sc\nQUALIFY", ",\npred AS (SELECT doc_id, cls AS prediction FROM sc\nQUALIFY")
+    pc = PER_CLASS_SQL.format(y="y", p="p", src="yp")
+    return f"""WITH {body}),
+yp AS (SELECT l.quality AS y, pred.prediction AS p FROM pred JOIN labels l USING (doc_id)),
+{pc}SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1_score,
+       CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+"""
+
+
+@register("e4_report_naive_bayes", _nb_report_sql(), "E4 M4 F6 F10b")
+def e4_report_naive_bayes(spark, d):
+    pred = _nb(spark, d, 1.0, True)
+    lab = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    return _round_report(E.report(pred.join(lab, "doc_id")))
