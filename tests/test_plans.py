@@ -56,3 +56,12 @@ def test_tfidf_counts_only_vocabulary_terms(spark):
     p = _plan(QUERIES["f6a_tfidf_bigram_sublinear"].build(spark, SF_SMALL))
     # the (doc, term) aggregation sits above a broadcast probe of the vocabulary
     assert "BroadcastHashJoin" in p
+
+
+def test_tfidf_fit_shuffles_by_term_only(spark):
+    from opinia.operators import tfidf as TF
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    p = _plan(TF.term_stats(docs, "doc_id", "text", TF.SETTING_A))
+    assert p.count("Exchange hashpartitioning") == 1
+    assert "hashpartitioning(term" in p and "hashpartitioning(id" not in p
