@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from opinia.llm import decontaminate
+from opinia.llm import decontaminate, licenses, quality
 
 QUERIES = {
+    "op4_quality_rules": quality.query,
+    "op1_license_scan": licenses.query,
     "op9_benchmark_decontamination": decontaminate.query,
 }
 
 ORACLES = {
+    "op1_license_scan": licenses.SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
 }

@@ -174,3 +174,17 @@ def ranges(counts: np.ndarray) -> np.ndarray:
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+SAMPLE_SPACE = 1 << 31
+
+
+def sample_per_class(df: DataFrame, cls: str, ids: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of each class, all of them where a class has no more:
+    rows whose hashed id falls below rows/count.  The choice depends on ids
+    only.  Classes must be few (labels, languages): one count each is fetched."""
+    chance = F.lit(-1.0)
+    for r in df.groupBy(cls).count().collect():
+        share = min(1.0, rows / r[1]) * SAMPLE_SPACE
+        chance = F.when(F.col(cls).eqNullSafe(F.lit(r[0])), F.lit(share)).otherwise(chance)
+    return df.where(F.pmod(F.xxhash64(ids), F.lit(SAMPLE_SPACE)) < chance)
