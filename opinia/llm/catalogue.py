@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from opinia.llm import decontaminate, licenses, quality
+from opinia.llm import decontaminate, language, licenses, quality, toxicity
 
 QUERIES = {
+    "op5_language_id": language.query,
+    "op7_toxicity": toxicity.query,
     "op4_quality_rules": quality.query,
     "op1_license_scan": licenses.query,
     "op9_benchmark_decontamination": decontaminate.query,
