@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from opinia.llm import decontaminate, language, licenses, quality, toxicity
+from opinia.llm import decontaminate, html_text, language, licenses, line_dedup, quality, suffix_tree, toxicity
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.query,
+    "op6_lm_scoring": suffix_tree.query,
+    "op8_html_extraction": html_text.query,
     "op5_language_id": language.query,
     "op7_toxicity": toxicity.query,
     "op4_quality_rules": quality.query,
