@@ -66,36 +66,35 @@ class Index:
                 lists[t].append((i, w))
         self.ids = [np.array([i for i, _ in p], np.int32) for p in lists]
         self.weights = [np.array([w for _, w in p]) for p in lists]
-        self.blocks, self.maxima, self.starts = [], [], []
-        for ids, w in zip(self.ids, self.weights, strict=True):
-            b, first = np.unique(ids // block, return_index=True)
+        self.block_of = [ids // block for ids in self.ids]
+        self.blocks, self.maxima = [], []
+        for blocks, w in zip(self.block_of, self.weights, strict=True):
+            b, first = np.unique(blocks, return_index=True)
             self.blocks.append(b)
-            self.starts.append(np.append(first, len(ids)))
-            self.maxima.append(np.maximum.reduceat(w, first) if len(ids) else np.zeros(0))
+            self.maxima.append(np.maximum.reduceat(w, first) if len(w) else np.zeros(0))
 
     def top(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[int, float]]:
-        """The k nearest (example, cosine > 0), best first, ties by example."""
+        """The k nearest (example, cosine > 0), best first, ties by example.  Blocks are
+        visited by falling bound, 4, 8, 16 ... at a time, until no bound reaches the k-th."""
         bound = np.zeros(self.n_blocks)
         for t, q in query.items():
             bound[self.blocks[t]] += q * self.maxima[t]
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []  # (-cosine, example), ascending
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best) == k and (bound[b] + 1e-9 < -best[-1][0] or (
-                    bound[b] - 1e-9 <= -best[-1][0] and b * self.block > best[-1][1])):
-                if bound[b] <= 0 or bound[b] + 1e-9 < -best[-1][0]:
-                    break
-                continue
-            score = np.zeros(self.block)
+        order = order[:int((bound > 0).sum())]
+        ids, cos, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while at < len(order) and not (len(ids) == k and bound[order[at]] + 1e-9 < cos[-1]):
+            visit = np.zeros(self.n_blocks, bool)
+            visit[order[at:at + step]] = True
+            score = np.zeros(self.n)
             for t, q in query.items():
-                at = int(np.searchsorted(self.blocks[t], b))
-                if at < len(self.blocks[t]) and self.blocks[t][at] == b:
-                    lo, hi = self.starts[t][at], self.starts[t][at + 1]
-                    score[self.ids[t][lo:hi] - b * self.block] += q * self.weights[t][lo:hi]
+                own = visit[self.block_of[t]]
+                score[self.ids[t][own]] += q * self.weights[t][own]
             hit = np.flatnonzero(score)
-            best += [(-round(float(score[i]), 9), b * self.block + i) for i in hit.tolist() if b * self.block + i != skip]
-            best = sorted(best)[:k]
-        return [(i, min(1.0, -s)) for s, i in best]
+            hit = hit[hit != skip]
+            ids, cos = np.concatenate([ids, hit]), np.concatenate([cos, np.round(score[hit], 9)])
+            best = np.lexsort((ids, -cos))[:k]
+            ids, cos, at, step = ids[best], cos[best], at + step, step * 2
+        return list(zip(ids.tolist(), np.minimum(cos, 1.0).tolist(), strict=True))
 
 
 def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> dict[int, float]:
