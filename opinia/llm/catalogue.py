@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from opinia.llm import chosen_path, decontaminate, html_text, language, licenses, line_dedup, quality, suffix_tree, toxicity
+from opinia.llm import chosen_path, decontaminate, html_text, language, licenses, line_dedup, mixing, quality, suffix_tree, toxicity
 
 QUERIES = {
+    "op3_source_mixing": mixing.query,
     "op10_ngram_jaccard_join": chosen_path.query,
     "op2_line_dedup": line_dedup.query,
     "op6_lm_scoring": suffix_tree.query,
