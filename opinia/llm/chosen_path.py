@@ -149,8 +149,8 @@ def partners(small: DataFrame, threshold: float) -> DataFrame:
     p = small.select("path", "a", "b", "n", "sketch").repartition(C.partitions(small.sparkSession), "path").sortWithinPartitions("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in grouped(batches, ["path"], rows=50_000):
-            start = starts_of(c, ["path"])
+        for c in grouped(batches, "path", rows=50_000):
+            start = starts_of(c, "path")
             size = np.diff(np.append(start, len(c["path"])))
             sketch = np.frombuffer(b"".join(c["sketch"]), np.uint8).reshape(-1, BINS)
             n = c["n"].astype(np.int64)
@@ -259,8 +259,8 @@ def verify(leaves: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for c in grouped(batches, ["sig", "tile"], rows=4_000):
-            start = starts_of(c, ["sig", "tile"])
+        for c in grouped(batches, "sig", "tile", rows=4_000):
+            start = starts_of(c, "sig", "tile")
             for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(c["sig"])], strict=True):
                 if hi - lo < 2:
                     continue

@@ -12,16 +12,17 @@ never removed.
 3. Each class posts its rarest ``n - ceil(threshold n) + 1`` words (prefix filter);
    a word that is in one line only is left out.  Classes that meet at a word are
    candidates if their sizes (length filter) and the words left behind the
-   shared one (positional filter) allow the threshold.
+   shared one (positional filter) allow the threshold, and if their parity
+   signatures differ in no more bits than the sets may differ in words.
 4. Candidates are verified on the whole sets.  One earlier match settles a class,
    so each class first tries its earliest few candidates per word; those that
    found none go on with the next ones until none are left.  No group emits all
    its pairs.  Very frequent prefix words are split into tiles.
 
 Defined results: null and empty texts have no lines; rows with equal id and text
-count as one text and get equal decisions; null ids come first; ties cannot occur
-(ids, text hash and line number order all lines); extra columns stay, clashing
-ones are replaced.
+count as one text and get equal decisions; null ids come first; lines at the same
+place of different texts that share an id are ordered by a hash of their words;
+extra columns stay, clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], names=["slot", "n"])
 
     counted = docs.select(F.col(text)).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    code = F.when(F.col("n") <= 1, 1).otherwise(1 + F.round(F.log2("n") * 1000)).cast("int")
+    code = F.when(F.col("n") <= 1, 1).otherwise(1 + F.round(F.log2("n") * 1000)).cast("int")  # as rarity_code
     table = counted.select("slot", code.alias("code")).toArrow()  # at most SLOTS rows
     rank = np.zeros(SLOTS, np.uint16)
     rank[table["slot"].to_numpy()] = table["code"].to_numpy()
@@ -128,31 +129,67 @@ def order_key(docs: DataFrame, doc_id: str) -> Column:
     return F.when(F.col(doc_id).isNull(), F.lit(-(1 << 63))).otherwise(key)
 
 
-LINE_SCHEMA = "o1 long, o2 long, line int, a long, b long, n int, prefix array<long>, pos array<int>"
+LINE_SCHEMA = "o1 long, o2 long, line int, a long, b long, n int, s long, warm boolean, prefix array<int>, pos array<int>"
+LINE_NAMES = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
+WINDOW_LINES = 500_000  # lines of a task that are looked through for equal sets at once
+
+
+def rarity_code(n: float) -> float:
+    return 1 + round(1000 * float(np.log2(n))) if n > 1 else 1
 
 
 def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> DataFrame:
-    """One row per line of at least ``min_tokens`` words: place, set hash, size, and the
-    words of its prefix that other lines may hold, with their positions."""
+    """One row per line of at least ``min_tokens`` words: place, set hash, size, parity
+    signature (bit i: whether an odd number of words fall on i), and, in the first
+    line of each set in its task, the words of its prefix that other lines may hold
+    (32-bit hashes) with their positions; warm: one of these words is frequent."""
+    hot = rarity_code(TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = rank.value
-        for b in batches:
-            o1, o2, arr = b.column(0), b.column(1), C.strings(b.column(2))
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            o1, o2, line, a, b, n, s, warm, count, word, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((o2, line, o1, b, a))
+            new = np.ones(len(a), bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            first = np.zeros(len(a), bool)
+            first[order[new]] = True
+            use = np.repeat(first, count)
+            off = np.concatenate([[0], np.cumsum(np.where(first, count, 0))])
+            word, pos = word[use], pos[use]
+            for lo in range(0, len(a), 20_000):
+                hi = min(lo + 20_000, len(a))
+                t = slice(off[lo], off[hi])
+                cols = [pa.array(x[lo:hi]) for x in (o1, o2, line, a, b, n, s, warm)]
+                cols += [C.list_array(x[t], off[lo:hi + 1] - off[lo], pa.int32()) for x in (word, pos)]
+                yield pa.RecordBatch.from_arrays(cols, names=LINE_NAMES)
+
+        for batch in batches:
+            o1, o2, arr = batch.column(0).to_numpy(), batch.column(1).to_numpy(), C.strings(batch.column(2))
             for lo, hi in C.slices(arr):
                 h, start, n, doc, line = line_sets(arr.slice(lo, hi - lo), ranks)
-                a, bb = set_hash(h, start)
+                a, b = set_hash(h, start)
                 long = np.flatnonzero(n >= min_tokens)
                 size = prefix_size(n[long], threshold)
                 pos = C.ranges(size)
                 word = h[np.repeat(start[long], size) + pos]
-                shared = ranks[(word & np.uint64(SLOTS - 1)).astype(np.int64)] > 1
-                off = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(size)])]
-                at = pa.array(doc[long] + lo)
-                yield pa.RecordBatch.from_arrays([
-                    o1.take(at), o2.take(at), pa.array(line[long], pa.int32()), pa.array(a[long]), pa.array(bb[long]),
-                    pa.array(n[long], pa.int32()), C.list_array(word[shared].view(np.int64), off, pa.int64()),
-                    C.list_array(pos[shared], off, pa.int32())], names=["o1", "o2", "line", "a", "b", "n", "prefix", "pos"])
+                code = ranks[(word & np.uint64(SLOTS - 1)).astype(np.int64)]
+                shared = code > 1
+                ends = np.concatenate([[0], np.cumsum(size)])
+                count = np.diff(np.concatenate([[0], np.cumsum(shared)])[ends])
+                warm = np.diff(np.concatenate([[0], np.cumsum(code > hot)])[ends]) > 0
+                sign = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start) if len(start) else h
+                at = doc[long] + lo
+                held.append([o1[at], o2[at], line[long].astype(np.int32), a[long], b[long], n[long].astype(np.int32),
+                             sign[long].view(np.int64), warm, count, (word[shared] >> np.uint64(24)).astype(np.uint32).view(np.int32),
+                             pos[shared].astype(np.int32)])
+                if sum(len(x[0]) for x in held) > WINDOW_LINES:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return keyed.mapInArrow(run, LINE_SCHEMA)
 
@@ -160,8 +197,8 @@ def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> Dat
 # --- candidates ----------------------------------------------------------------------------------------------------
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[dict[str, np.ndarray]]:
-    """Batches sorted by ``keys`` as columns of whole groups."""
+def grouped(batches: Iterator[pa.RecordBatch], *keys: str, rows: int = 200_000, shift: int = 0) -> Iterator[dict[str, np.ndarray]]:
+    """Batches sorted by ``keys`` (of one key, its bits from ``shift`` on) as columns of whole groups."""
     held: list[pa.RecordBatch] = []
     n = 0
 
@@ -177,21 +214,18 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_
         if n < rows:
             continue
         cols = columns(held)
-        change = np.zeros(n, bool)
-        for k in keys:
-            change[1:] |= cols[k][1:] != cols[k][:-1]
-        at = np.flatnonzero(change)
-        if not len(at):
+        at = starts_of({k: cols[k] >> shift if shift else cols[k] for k in keys}, *keys)
+        if len(at) == 1:
             continue  # one group so far
         cut = int(at[-1])
         yield {c: v[:cut] for c, v in cols.items()}
-        rest = pa.Table.from_batches(held).slice(cut).combine_chunks().to_batches()
-        held, n = rest, n - cut
+        held = pa.Table.from_batches(held).slice(cut).combine_chunks().to_batches()
+        n -= cut
     if held:
         yield columns(held)
 
 
-def starts_of(cols: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
+def starts_of(cols: dict[str, np.ndarray], *keys: str) -> np.ndarray:
     n = len(cols[keys[0]])
     change = np.zeros(n, bool)
     change[:1] = True
@@ -200,164 +234,166 @@ def starts_of(cols: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops the postings of words that only one class posts."""
-    for cols in grouped(batches, ["token"]):
-        start = starts_of(cols, ["token"])
-        size = np.diff(np.append(start, len(cols["token"])))
-        keep = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in cols.values()], names=list(cols))
-
-
-def possible(nx, px, ny, py, threshold: float):
-    """Length and positional filter of two postings of one word."""
-    need = least_overlap(nx + ny, threshold)
-    return (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & (1 + np.minimum(nx - 1 - px, ny - 1 - py) >= need)
-
-
-def earliest(n, pos, is_x, is_y, lo: int, hi: int, threshold: float):
-    """In one group, sorted by order: each x with its earlier possible y number
-    lo to hi - 1, and the x that have more."""
-    xs, m = np.flatnonzero(is_x), len(n)
-    found = np.zeros(len(xs), np.int64)
-    out_x, out_y = [], []
-    for y0 in range(0, m, 256):
-        xs_left = (found <= hi) & (xs > y0)
-        if not xs_left.any():
-            break
-        idx = np.flatnonzero(xs_left)
-        y = np.arange(y0, min(y0 + 256, m))
-        y = y[is_y[y]]
-        for part in range(0, len(idx), 4096):
-            own = idx[part:part + 4096]
-            x = xs[own]
-            ok = possible(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :], threshold) & (y[None, :] < x[:, None])
-            order = found[own][:, None] + np.cumsum(ok, axis=1) - 1
-            i, j = np.nonzero(ok & (order >= lo) & (order < hi))
-            out_x.append(x[i])
-            out_y.append(y[j])
-            found[own] += ok.sum(axis=1)
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return join(out_x), join(out_y), xs[found > hi]
+def possible(x: dict, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Length, positional and signature filter of postings i and j of one word: two sets that
+    differ in d words differ in at most d bits of their parity signatures."""
+    ni, nj = x["n"][i], x["n"][j]
+    need = least_overlap(ni + nj, threshold)
+    ok = np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-9
+    ok &= 1 + np.minimum(ni - x["pos"][i], nj - x["pos"][j]) - 1 >= need
+    return ok & (np.bitwise_count(x["s"][i] ^ x["s"][j]) <= ni + nj - 2 * need)
+
+
+def pairs_of(x: dict, start: np.ndarray, size: np.ndarray, lo: int, hi: int, threshold: float):
+    """Each open posting with its earlier possible ones number lo to hi - 1 in its group, and
+    the postings that have more.  Postings are in the order of their lines."""
+    place = C.ranges(size)
+    small = np.repeat(size <= 64, size)
+    out_i, out_j = [], []
+    for d in range(1, min(64, int(size.max(initial=1)))):
+        i = np.flatnonzero(small & (place >= d) & x["open"])
+        i = i[possible(x, i, i - d, threshold)]
+        out_i.append(i)
+        out_j.append(i - d)
+    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_i, out_j))
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    new = np.ones(len(i), bool)
+    new[1:] = i[1:] != i[:-1]
+    first = np.flatnonzero(new)
+    turn = C.ranges(np.diff(np.append(first, len(i))))
+    own = (turn >= lo) & (turn < hi)
+    xs, ys, more = [i[own]], [j[own]], [i[turn == hi]]
+    for s, m in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+        left = np.arange(s, s + m)[x["open"][s:s + m]]
+        found = np.zeros(len(left), np.int64)
+        for y0 in range(s, s + m, 64):
+            go = np.flatnonzero((found <= hi) & (left > y0))
+            if not len(go):
+                break
+            for part in range(0, len(go), 4096):
+                own = go[part:part + 4096]
+                y = np.arange(y0, min(y0 + 64, s + m))
+                ii, jj = np.repeat(left[own], len(y)), np.tile(y, len(own))
+                ok = (possible(x, ii, jj, threshold) & (jj < ii)).reshape(len(own), len(y))
+                turn = found[own][:, None] + np.cumsum(ok, axis=1) - 1
+                u, v = np.nonzero(ok & (turn >= lo) & (turn < hi))
+                xs.append(left[own][u])
+                ys.append(y[v])
+                found[own] += ok.sum(axis=1)
+        more.append(left[found > hi])
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(more)
+
+
+def postings_of(lines: DataFrame) -> DataFrame:
+    """(token, pos, a, o1, ln, s, warm) of all lines that post; ln packs line and size."""
+    p = lines.where(F.size("prefix") > 0).select("a", "o1", "s", "warm", "line", "n", F.explode(F.arrays_zip("prefix", "pos")).alias("p"))
+    ln = F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    return p.select(F.col("p.prefix").alias("token"), F.col("p.pos").alias("pos"), "a", "o1", ln.alias("ln"), "s", "warm")
 
 
 def candidates(postings: DataFrame, lo: int, hi: int, threshold: float) -> DataFrame:
-    """(xa, xb, ya, yb): candidates lo to hi - 1 of each open class x and each of its words;
-    ya and yb are null where x has more of them."""
+    """(xa, xo, xl, ya, yo, yl): candidates lo to hi - 1 of each open set x at each of its
+    words, with a line that holds each; y is null where x has more of them.  Very frequent
+    words are split into blocks of TILE postings, and each two blocks meet in one tile."""
     spark = postings.sparkSession
-    hot = postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > TILE)
+    cold, warm = postings.where("NOT warm"), postings.where("warm")
+    hot = warm.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > TILE)
     hot = hot.select("token", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    p = postings.join(hot, "token", "left")
-    own = F.pmod(F.xxhash64("a", "b"), F.col("tiles"))
-    wide = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct((own * F.col("tiles") + k).cast("long").alias("tile"), F.lit(1).alias("role")))
-    deep = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct((k * F.col("tiles") + own).cast("long").alias("tile"), F.lit(2).alias("role")))
-    single = F.array(F.struct(F.lit(0).cast("long").alias("tile"), F.lit(3).alias("role")))
-    p = p.withColumn("place", F.explode(F.when(F.col("tiles").isNull(), single).otherwise(F.concat(wide, deep))))
-    p = p.select("token", F.col("place.tile").alias("tile"), F.col("place.role").alias("role"), "a", "b", "n", "pos", "open",
-                 F.col("first.o1").alias("o1"), F.col("first.o2").alias("o2"), F.col("first.line").alias("line"))
-    p = p.repartition(C.partitions(spark), "token", "tile").sortWithinPartitions("token", "tile", "o1", "o2", "line", "role")
+    warm = warm.join(hot, "token", "left")
+    block = F.pmod(F.xxhash64("a"), F.col("tiles"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.hash("token", F.least(block, k), F.greatest(block, k)))
+    warm = warm.withColumn("token", F.explode(F.when(F.col("tiles").isNull(), F.array("token")).otherwise(tiles)))
+    both = cold.unionByName(warm.select(cold.columns))
+    key = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    extra = ["open"] if "open" in both.columns else []
+    p = both.select(key.alias("k"), "a", "o1", "ln", "s", *extra)
+    p = p.repartition(C.partitions(spark), F.shiftright("k", 32)).sortWithinPartitions("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in grouped(batches, ["token", "tile"]):
-            start = starts_of(c, ["token", "tile"])
-            size = np.diff(np.append(start, len(c["token"])))
-            n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
-            is_x, is_y = (c["role"] & 1 > 0) & c["open"], c["role"] & 2 > 0
-            xs, ys, more = [], [], []
-            two = start[size == 2]  # most groups: one pair
-            ok = is_x[two + 1] & is_y[two] & possible(n[two], pos[two], n[two + 1], pos[two + 1], threshold)
-            if lo == 0:
-                xs.append(two[ok] + 1)
-                ys.append(two[ok])
-            for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                t = slice(s, s + m)
-                x, y, left = earliest(n[t], pos[t], is_x[t], is_y[t], lo, hi, threshold)
-                xs.append(x + s)
-                ys.append(y + s)
-                more.append(left + s)
-            x, y = np.concatenate(xs or [[]]).astype(np.int64), np.concatenate(ys or [[]]).astype(np.int64)
-            left = np.concatenate(more or [[]]).astype(np.int64)
-            keep = (c["a"][x] != c["a"][y]) | (c["b"][x] != c["b"][y])
-            x, y = x[keep], y[keep]
-            gap = np.concatenate([np.zeros(len(x), bool), np.ones(len(left), bool)])
-            both, other = np.concatenate([x, left]), np.concatenate([y, left])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c["a"][both]), pa.array(c["b"][both]), pa.array(c["a"][other], mask=gap), pa.array(c["b"][other], mask=gap)],
-                names=["xa", "xb", "ya", "yb"])
-
-    return p.mapInArrow(run, "xa long, xb long, ya long, yb long").distinct()
+        for c in grouped(batches, "k", shift=32):
+            token, pos, line = c["k"] >> 32, c["k"] & 0xFFFFFFFF, c["ln"] >> 32
+            order = np.lexsort((pos, line, c["o1"], c["a"], token))  # one posting of each set
+            t, a = token[order], c["a"][order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (a[1:] != a[:-1])
+            order = order[new]
+            order = order[np.lexsort((c["a"][order], line[order], c["o1"][order], token[order]))]
+            token = token[order]
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            x = {"n": (c["ln"] & 0xFFFFFFFF)[order], "pos": pos[order], "s": c["s"][order].view(np.uint64)}
+            x["open"] = c["open"][order] if "open" in c else np.ones(len(order), bool)
+            i, j, more = pairs_of(x, start, np.diff(np.append(start, len(token))), lo, hi, threshold)
+            gap = np.concatenate([np.zeros(len(i), bool), np.ones(len(more), bool)])
+            i, j = order[np.concatenate([i, more])], order[np.concatenate([j, more])]
+            cols = [pa.array(c["a"][i]), pa.array(c["o1"][i]), pa.array(line[i])]
+            cols += [pa.array(v, mask=gap) for v in (c["a"][j], c["o1"][j], line[j])]
+            yield pa.RecordBatch.from_arrays(cols, names=["xa", "xo", "xl", "ya", "yo", "yl"])
+
+    return p.mapInArrow(run, "xa long, xo long, xl long, ya long, yo long, yl long").distinct()
 
 
 # --- verification ---------------------------------------------------------------------------------------------------
 
 
-def whole_sets(keyed: DataFrame, classes: DataFrame, min_tokens: int) -> DataFrame:
-    """(a, b, words) of the wanted classes, read from the texts: lines are hashed again,
-    those whose first hash a small bit map rules out stay behind."""
-    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-    slot = F.pmod(F.col("a"), F.lit(BLOOM_BITS))
-    words = classes.select(F.floor(slot / 64).cast("long").alias("w"),
-                           F.expr(f"shiftleft(1L, cast(pmod(pmod(a, {BLOOM_BITS}), 64) as int))").alias("bit"))
+def whole_sets(keyed: DataFrame, places: DataFrame, min_tokens: int) -> DataFrame:
+    """(a, b, words) of the sets in the wanted lines ``places`` (o, l), read from the texts
+    again; a bit map of BLOOM_BITS bits says which texts to look at."""
+    slot = F.pmod(F.xxhash64("o"), F.lit(BLOOM_BITS))
+    words = places.select(F.floor(slot / 64).cast("int").alias("w"), F.expr(
+        f"shiftleft(1L, cast(pmod(pmod(xxhash64(o), {BLOOM_BITS}), 64) as int))").alias("bit"))
     table = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BLOOM_BITS / 64 rows
+    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
     bits[table["w"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
     held = keyed.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = held.value
         for b in batches:
-            arr = C.strings(b.column(2))
+            at = b.column(3).to_numpy()
+            look = np.flatnonzero(wanted[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            b = b.take(pa.array(look))
+            o1, arr = b.column(0).to_numpy(), C.strings(b.column(2))
             for lo, hi in C.slices(arr):
-                h, start, n, _, _ = line_sets(arr.slice(lo, hi - lo))
+                h, start, n, doc, line = line_sets(arr.slice(lo, hi - lo))
                 a, bb = set_hash(h, start)
-                at = a.view(np.uint64) & np.uint64(BLOOM_BITS - 1)
-                hit = wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
-                own = np.flatnonzero((hit > 0) & (n >= min_tokens))
-                _, first = np.unique(np.stack([a[own], bb[own]], axis=1), axis=0, return_index=True) if len(own) else (None, own)
-                own = own[first]
+                own = np.flatnonzero(n >= min_tokens)
                 off = np.concatenate([[0], np.cumsum(n[own])])
                 words = h[np.repeat(start[own], n[own]) + C.ranges(n[own])]
-                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(bb[own]), C.list_array(words.view(np.int64), off, pa.int64())],
-                                                 names=["a", "b", "words"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(o1[doc[own] + lo]), pa.array(line[own].astype(np.int64)), pa.array(a[own]), pa.array(bb[own]),
+                    C.list_array(words.view(np.int64), off, pa.int64())], names=["o", "l", "a", "b", "words"])
 
-    found = keyed.mapInArrow(run, "a long, b long, words array<long>").join(classes, ["a", "b"], "left_semi")
+    slotted = keyed.select("o1", "o2", "_text", F.pmod(F.xxhash64("o1"), F.lit(BLOOM_BITS)).alias("_slot"))
+    found = slotted.mapInArrow(run, "o long, l long, a long, b long, words array<long>").join(places, ["o", "l", "a"], "left_semi")
     return found.groupBy("a", "b").agg(F.first("words").alias("words"))
 
 
 def later_classes(keyed: DataFrame, lines: DataFrame, threshold: float, min_tokens: int) -> DataFrame:
-    """(a, b) of the classes that have an earlier similar class."""
-    spark = keyed.sparkSession
-    classes = lines.groupBy("a", "b").agg(F.min(F.struct("o1", "o2", "line")).alias("first"), F.first("n").alias("n"),
-                                          F.first("prefix").alias("prefix"), F.first("pos").alias("pos"))
-    postings = classes.select(F.explode(F.arrays_zip("prefix", "pos")).alias("p"), "a", "b", "n", "first")
-    postings = postings.select(F.col("p.prefix").alias("token"), "a", "b", "n", F.col("p.pos").alias("pos"),
-                               F.col("first.o1").alias("o1"), F.col("first.o2").alias("o2"), F.col("first.line").alias("line"))
-    raw = postings.repartition(C.partitions(spark), "token").sortWithinPartitions("token")
-    postings = C.cut(raw.mapInArrow(_alone, raw.schema), "line-postings")
-    postings = postings.select("token", "a", "b", "n", "pos", F.struct("o1", "o2", "line").alias("first"))
-
-    done, open_classes, lo, hi = None, None, 0, FIRST_TRIES
+    """(a, b) of the sets that have an earlier similar set."""
+    done, open_sets, lo, hi = None, None, 0, FIRST_TRIES
+    postings = postings_of(lines)
     while True:
-        if open_classes is None:
-            p = postings.withColumn("open", F.lit(True))
-        else:  # only words that an open class posts
-            marked = postings.join(open_classes.withColumn("open", F.lit(True)), ["a", "b"], "left").fillna({"open": False})
-            tokens = postings.join(open_classes, ["a", "b"], "left_semi").select("token").distinct()
+        p = postings
+        if open_sets is not None:  # only words that an open set posts
+            tokens = postings.join(open_sets, "a", "left_semi").select("token").distinct()
+            marked = postings.join(open_sets.withColumn("open", F.lit(True)), "a", "left").fillna({"open": False})
             p = marked.join(tokens, "token", "left_semi")
         pairs = C.cut(candidates(p, lo, hi, threshold), "line-candidates")
         real = pairs.where("ya IS NOT NULL")
-        wanted = real.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(real.select("ya", "yb")).distinct()
-        sets = C.cut(whole_sets(keyed, wanted, min_tokens), "line-sets")
-        x = sets.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("words").alias("wx"))
-        y = sets.select(F.col("a").alias("ya"), F.col("b").alias("yb"), F.col("words").alias("wy"))
+        places = real.selectExpr("xo o", "xl l", "xa a").union(real.selectExpr("yo", "yl", "ya")).distinct()
+        sets = C.cut(whole_sets(keyed, places, min_tokens), "line-sets")
+        x = sets.selectExpr("a xa", "b xb", "words wx")
+        y = sets.selectExpr("a ya", "b yb", "words wy")
         both = F.size(F.array_intersect("wx", "wy"))
-        similar = real.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).where(
+        similar = real.select("xa", "ya").distinct().join(x, "xa").join(y, "ya").where(
             both >= threshold * (F.size("wx") + F.size("wy") - both) - 1e-9)
-        found = C.cut(similar.select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct(), "line-matches")
+        found = C.cut(similar.selectExpr("xa a", "xb b").distinct(), "line-matches")
         done = found if done is None else done.union(found)
-        left = pairs.where("ya IS NULL").select(F.col("xa").alias("a"), F.col("xb").alias("b")).join(found, ["a", "b"], "left_anti")
-        open_classes = C.cut(left, "line-open")
-        if open_classes.isEmpty():
-            return done
+        left = pairs.where("ya IS NULL").selectExpr("xa a").distinct().join(found, "a", "left_anti")
+        open_sets = C.cut(left, "line-open")
+        if open_sets.isEmpty():
+            return done.distinct()
         lo, hi = hi, hi * 5
 
 
@@ -371,9 +407,9 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     rank = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
     lines = C.cut(line_table(keyed, rank, threshold, min_tokens), "lines")
     later = later_classes(keyed, lines, threshold, min_tokens).withColumn("later", F.lit(True))
-    classes = lines.groupBy("a", "b").agg(F.min(F.struct("o1", "o2", "line")).alias("first"), F.count("*").alias("m"))
+    here = F.struct("o1", "line", "o2")
+    classes = lines.groupBy("a", "b").agg(F.min(here).alias("first"), F.count("*").alias("m"))
     flagged = classes.join(later, ["a", "b"], "left").where("m > 1 OR later")
-    here = F.struct("o1", "o2", "line")
     gone = lines.select("o1", "o2", "line", "a", "b").join(flagged, ["a", "b"]).where(F.col("later").isNotNull() | ~here.eqNullSafe(F.col("first")))
     return gone.groupBy("o1", "o2").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
