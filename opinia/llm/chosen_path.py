@@ -378,20 +378,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options)
     keep (true for the first document of each group)."""
     fresh = ["class_id", "set_id", "n_links", "n_copies", "keep"]
     docs = docs.drop(*fresh)
-    info = grouped_documents(docs, doc_id, text, **options).withColumnsRenamed({"o1": "_g1", "o2": "_g2"})
-    own = docs.withColumns({"_o1": order_key(docs, doc_id), "_o2": F.xxhash64(text)})
-    out = own.join(info, (F.col("_o1") == F.col("_g1")) & (F.col("_o2") == F.col("_g2")), "left")
-    here = F.struct(F.col("_o1").alias("o1"), F.col("_o2").alias("o2"))
+    info = grouped_documents(docs, doc_id, text, **options)
+    info = info.select(*(F.col(c).alias(f"_{c}") for c in info.columns))
+    own = docs.withColumns({"_k1": order_key(docs, doc_id), "_k2": F.xxhash64(text)})
+    out = own.join(info, (F.col("_k1") == F.col("_o1")) & (F.col("_k2") == F.col("_o2")), "left")
+    here = F.struct(F.col("_k1").alias("o1"), F.col("_k2").alias("o2"))
     return out.select(
-        *docs.columns, F.coalesce("group_first.o1", "_o1").alias("class_id"), F.coalesce("set_first.o1", "_o1").alias("set_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-        (F.col("group_first").isNull() | here.eqNullSafe(F.col("group_first"))).alias("keep"))
+        *docs.columns, F.coalesce("_group_first.o1", "_k1").alias("class_id"), F.coalesce("_set_first.o1", "_k1").alias("set_id"),
+        F.coalesce("_n_links", F.lit(0)).alias("n_links"), F.coalesce("_n_copies", F.lit(1)).alias("n_copies"),
+        (F.col("_group_first").isNull() | here.eqNullSafe(F.col("_group_first"))).alias("keep"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    info = grouped_documents(docs).withColumnsRenamed({"o1": "_g1", "o2": "_g2"})
-    own = docs.select("doc_id", order_key(docs, "doc_id").alias("_o1"), F.xxhash64("text").alias("_o2"))
-    out = own.join(info, (F.col("_o1") == F.col("_g1")) & (F.col("_o2") == F.col("_g2")), "left")
-    return out.select("doc_id", F.coalesce("group_first.o1", "_o1").alias("class_id"), F.coalesce("set_first.o1", "_o1").alias("set_id"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return join(docs).select("doc_id", "class_id", "set_id", "n_links", "n_copies")

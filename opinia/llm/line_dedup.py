@@ -76,7 +76,7 @@ def line_sets(arr: pa.Array, rank: np.ndarray | None = None):
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
     group = np.cumsum(new) - 1
-    keys = (h, group) if rank is None else (h, rank[(h & np.uint64(SLOTS - 1)).astype(np.int64)], group)
+    keys = (h, group) if rank is None else (h, rank[(h & np.uint64(len(rank) - 1)).astype(np.int64)], group)
     order = np.lexsort(keys)
     h, group = h[order], group[order]
     own = np.ones(len(h), bool)
@@ -98,6 +98,7 @@ def set_hash(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
     """Rarity of each counter: 0 unused, 1 a single word place, then by frequency."""
+    slots = SLOTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -106,8 +107,8 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
             for lo, hi in C.slices(arr):
                 h, _ = C.word_hashes(arr.slice(lo, hi - lo), C.ALNUM)
                 if total is None:
-                    total = np.zeros(SLOTS, np.int32)
-                slot, n = np.unique((h & np.uint64(SLOTS - 1)).astype(np.int64), return_counts=True)
+                    total = np.zeros(slots, np.int32)
+                slot, n = np.unique((h & np.uint64(slots - 1)).astype(np.int64), return_counts=True)
                 total[slot] += n.astype(np.int32)
         at = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
         for lo in range(0, len(at), 200_000):
@@ -117,7 +118,7 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
     counted = docs.select(F.col(text)).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     code = F.when(F.col("n") <= 1, 1).otherwise(1 + F.round(F.log2("n") * 1000)).cast("int")  # as rarity_code
     table = counted.select("slot", code.alias("code")).toArrow()  # at most SLOTS rows
-    rank = np.zeros(SLOTS, np.uint16)
+    rank = np.zeros(slots, np.uint16)
     rank[table["slot"].to_numpy()] = table["code"].to_numpy()
     return rank
 
@@ -143,7 +144,7 @@ def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> Dat
     signature (bit i: whether an odd number of words fall on i), and, in the first
     line of each set in its task, the words of its prefix that other lines may hold
     (32-bit hashes) with their positions; warm: one of these words is frequent."""
-    hot = rarity_code(TILE)
+    hot, window = rarity_code(TILE), WINDOW_LINES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = rank.value
@@ -176,7 +177,7 @@ def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> Dat
                 size = prefix_size(n[long], threshold)
                 pos = C.ranges(size)
                 word = h[np.repeat(start[long], size) + pos]
-                code = ranks[(word & np.uint64(SLOTS - 1)).astype(np.int64)]
+                code = ranks[(word & np.uint64(len(ranks) - 1)).astype(np.int64)]
                 shared = code > 1
                 ends = np.concatenate([[0], np.cumsum(size)])
                 count = np.diff(np.concatenate([[0], np.cumsum(shared)])[ends])
@@ -186,7 +187,7 @@ def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> Dat
                 held.append([o1[at], o2[at], line[long].astype(np.int32), a[long], b[long], n[long].astype(np.int32),
                              sign[long].view(np.int64), warm, count, (word[shared] >> np.uint64(24)).astype(np.uint32).view(np.int32),
                              pos[shared].astype(np.int32)])
-                if sum(len(x[0]) for x in held) > WINDOW_LINES:
+                if sum(len(x[0]) for x in held) > window:
                     yield from flush()
         if held:
             yield from flush()
@@ -415,14 +416,14 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
 
 
 def _with_decisions(docs: DataFrame, narrow: DataFrame, doc_id: str, text: str, **options) -> tuple[DataFrame, DataFrame]:
-    gone = decisions(docs, doc_id, text, **options).withColumnsRenamed({"o1": "_g1", "o2": "_g2"})
+    gone = decisions(docs, doc_id, text, **options).withColumnsRenamed({"o1": "_g1", "o2": "_g2", "removed": "_gone"})
     own = narrow.withColumns({"_o1": order_key(docs, doc_id), "_o2": F.xxhash64(text)})
     return own, gone
 
 
 def _join(own: DataFrame, gone: DataFrame) -> DataFrame:
     joined = own.join(gone, (F.col("_o1") == F.col("_g1")) & (F.col("_o2") == F.col("_g2")), "left")
-    return joined.withColumn("_removed", F.coalesce("removed", F.array().cast("array<int>"))).drop("removed", "_o1", "_o2", "_g1", "_g2")
+    return joined.withColumn("_removed", F.coalesce("_gone", F.array().cast("array<int>"))).drop("_gone", "_o1", "_o2", "_g1", "_g2")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

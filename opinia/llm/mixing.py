@@ -125,18 +125,22 @@ def rates(docs: DataFrame, fitted, targets: dict[str, float] | None = None, keep
     """``keep`` columns plus n_tokens, domain (the likeliest), p (posterior of each domain,
     in alphabetical order) and rate, one row per row of ``docs``.  Without ``targets``
     all domains weigh the same."""
-    keep = keep if keep is not None else [c for c in docs.columns if c != text]
-    domains = fitted[0]
+    fresh = ("n_tokens", "domain", "p", "rate")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*fresh, text)]
+    own = {c: f"_keep{i}" for i, c in enumerate(keep)}
+    back = [F.col(v).alias(c) for c, v in own.items()]
+    docs = docs.select(*(F.col(c).alias(v) for c, v in own.items()), F.col(text).alias("_text"))
+    domains, text, keep = fitted[0], "_text", list(own.values())
     if not domains:
         n = F.regexp_count(C.text_or_empty(text), F.lit(WORD)).cast("long")
-        return docs.select(*keep, n.alias("n_tokens"), F.lit(None).cast("string").alias("domain"),
+        return docs.select(*back, n.alias("n_tokens"), F.lit(None).cast("string").alias("domain"),
                            F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
     weights = [float((targets or {}).get(d, 0.0)) if targets is not None else 1.0 for d in domains]
     table = C.cut(posteriors(docs, fitted, keep, text), "mixing-posteriors")
     solved, _ = solve(table, weights)
     p = F.array(*(F.col(f"p_{i}") for i in range(len(domains))))
     best = F.array_position(p, F.array_max(p)).cast("int")
-    return solved.select(*keep, "n_tokens", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), p.alias("p"), "rate")
+    return solved.select(*back, "n_tokens", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), p.alias("p"), "rate")
 
 
 def copies(rate: Column, *ids: str) -> Column:

@@ -143,7 +143,7 @@ def vectors(docs: DataFrame, keep: list[str], text: str, terms: list[str]) -> Da
     from pyspark.sql.types import StructType
 
     base = docs.select(*keep, F.col(text).alias("_text"))
-    out = StructType(base.schema.fields[:-1] + StructType.fromDDL("ids array<int>, counts array<int>").fields)
+    out = StructType(base.schema.fields[:-1] + StructType.fromDDL("_ids array<int>, _counts array<int>").fields)
     schema = to_arrow_schema(out)
     held = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
 
@@ -193,7 +193,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_y IN (0, 1) AND _id IS NOT NULL")
     picked = C.sample_per_class(marks.groupBy("_id").agg(F.max("_y").alias("_y")), "_y", "_id", sample)
     picked = F.broadcast(C.cut(picked, "toxicity-examples"))  # about 2 * sample rows
-    examples = docs.join(picked, F.col(doc_id) == F.col("_id")).select("_id", "_y", F.col(text).alias("_text"))
+    examples = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(picked, F.col("_doc") == F.col("_id"))
     examples = C.cut(examples.groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_text").alias("_text")), "toxicity-texts")
     sizes = {r[0]: r[1] for r in examples.groupBy("_y").count().collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -210,15 +210,15 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     keep = [c for c in docs.columns if c not in (*fresh.names, text)]
     sparse = C.cut(vectors(docs, keep, text, terms), "toxicity-vectors")
     total = sparse.count()
-    df = dict(sparse.select(F.explode("ids").alias("t")).groupBy("t").count().collect()) if terms else {}
+    df = dict(sparse.select(F.explode("_ids").alias("t")).groupBy("t").count().collect()) if terms else {}
     idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
 
     rows = sorted(vectors(examples, ["_id", "_y"], "_text", terms).collect(), key=lambda r: str(r[0])) if terms else []
-    filled = [r for r in rows if r.ids]
-    blank = {y: weight.get(y, 0) * sum(r._y == y for r in rows if not r.ids) for y in (0, 1)}
+    filled = [r for r in rows if r._ids]
+    blank = {y: weight.get(y, 0) * sum(r._y == y for r in rows if not r._ids) for y in (0, 1)}
     share = weight.get(1, 0) * n_pos / max(1e-9, weight.get(1, 0) * n_pos + weight.get(0, 0) * n_neg)
     model = {
-        "index": Index([unit(r.ids, r.counts, idf) for r in filled], len(terms)), "idf": idf, "y": [r._y for r in filled],
+        "index": Index([unit(r._ids, r._counts, idf) for r in filled], len(terms)), "idf": idf, "y": [r._y for r in filled],
         "ids": [str(r._id) for r in filled], "class_weight": {0: 0.0, 1: 0.0} | weight, "prior": share, "terms": terms, "k": k,
         "blank": blank[1] / sum(blank.values()) if sum(blank.values()) else 0.0, "at": [], "to": [],
     }
@@ -247,7 +247,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
 def _calibrate(spark, model: dict, rows: list) -> None:
     """Isotonic map of the examples' leave-one-out votes, in BINS equal bins."""
     held = spark.sparkContext.broadcast(model)
-    part = spark.createDataFrame([(i, list(r.ids), list(r.counts)) for i, r in enumerate(rows)], "i int, ids array<int>, counts array<int>")
+    part = spark.createDataFrame([(i, list(r._ids), list(r._counts)) for i, r in enumerate(rows)], "i int, ids array<int>, counts array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
