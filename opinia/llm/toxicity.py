@@ -3,9 +3,9 @@
 1. A bounded sample of labelled rows (``sample`` per class) is the example set.
 2. Features: words, and beginnings of words (4 to 7 letters: inflected forms
    share them), of which the toxic share among the examples that hold them is
-   at least ``MIN_SHARE`` by its lower confidence bound, and which are at least
-   ``MIN_Z`` standard errors more frequent in toxic examples (at most
-   ``max_terms``, the strongest first; a model bound).
+   at least ``MIN_SHARE`` by its lower confidence bound, and whose signed root of
+   the likelihood ratio is at least ``MIN_Z`` (at most ``max_terms``, the
+   strongest first; a model bound).
 3. Document frequencies of these words are counted over all documents.
 4. The examples' normalised TF-IDF vectors form an inverted index whose
    postings are grouped in blocks of consecutive examples with the largest
@@ -37,7 +37,7 @@ from opinia.llm import common as C
 
 SAMPLE = 6000  # labelled rows per class
 MAX_TERMS = 4000
-MIN_SHARE, MIN_Z, MIN_DOCS = 0.5, 4.0, 5
+MIN_SHARE, MIN_Z, MIN_DOCS = 0.5, 5.0, 5
 PREFIXES = range(4, 8)
 K, BLOCK, BINS = 15, 64, 20
 PRIOR_MASS = 1.0
@@ -114,8 +114,14 @@ def vote(near: list[tuple[int, float]], model: dict) -> float:
 
 def choose_terms(counted: DataFrame, n_pos: int, n_neg: int, weight: dict, max_terms: int) -> list[str]:
     """The feature words; counted: word, pos, neg (examples that hold it)."""
-    p, q = (F.col("pos") + 0.5) / (n_pos + 1), (F.col("neg") + 0.5) / (n_neg + 1)
-    z = F.log(p / q) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    both, every = F.col("pos") + F.col("neg"), n_pos + n_neg
+
+    def term(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    ratio = 2 * (term(F.col("pos"), both * n_pos / every) + term(F.col("neg"), both * n_neg / every)
+                 + term(n_pos - F.col("pos"), (every - both) * n_pos / every) + term(n_neg - F.col("neg"), (every - both) * n_neg / every))
+    z = F.when(F.col("pos") * n_neg > F.col("neg") * n_pos, F.sqrt(F.greatest(ratio, F.lit(0.0)))).otherwise(0.0)
     n, pos = F.col("pos") + F.col("neg"), F.col("pos") * weight[1]
     share = pos / (pos + F.col("neg") * weight[0])
     low = (share + 2 / n - 2 * F.sqrt(share * (1 - share) / n + 1 / n / n)) / (1 + 4 / n)  # Wilson, two standard errors
