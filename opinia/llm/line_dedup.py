@@ -40,7 +40,8 @@ THRESHOLD = 0.8
 MIN_TOKENS = 5
 SLOTS = 1 << 23
 TILE = 20_000  # postings of a word that one task compares at once
-FIRST_TRIES = 3  # candidates per word that a class tries in the first round, four times as many in each later one
+SMALL = 64  # of words that so many classes post all candidates are tried at once; of others
+FIRST_TRIES = 256  # so many per class in the first round, five times as many in each later one
 BLOOM_BITS = 1 << 26
 
 
@@ -130,7 +131,7 @@ def order_key(docs: DataFrame, doc_id: str) -> Column:
     return F.when(F.col(doc_id).isNull(), F.lit(-(1 << 63))).otherwise(key)
 
 
-LINE_SCHEMA = "o1 long, o2 long, line int, a long, b long, n int, s long, warm boolean, prefix array<int>, pos array<int>"
+LINE_SCHEMA = "o1 long, o2 long, line int, a long, b long, n int, s long, t long, warm boolean, prefix array<int>, pos array<int>"
 LINE_NAMES = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
 WINDOW_LINES = 500_000  # lines of a task that are looked through for equal sets at once
 
@@ -151,7 +152,7 @@ def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> Dat
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            o1, o2, line, a, b, n, s, warm, count, word, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            o1, o2, line, a, b, n, s, t, warm, count, word, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((o2, line, o1, b, a))
             new = np.ones(len(a), bool)
@@ -163,9 +164,9 @@ def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> Dat
             word, pos = word[use], pos[use]
             for lo in range(0, len(a), 20_000):
                 hi = min(lo + 20_000, len(a))
-                t = slice(off[lo], off[hi])
-                cols = [pa.array(x[lo:hi]) for x in (o1, o2, line, a, b, n, s, warm)]
-                cols += [C.list_array(x[t], off[lo:hi + 1] - off[lo], pa.int32()) for x in (word, pos)]
+                own = slice(off[lo], off[hi])
+                cols = [pa.array(x[lo:hi]) for x in (o1, o2, line, a, b, n, s, t, warm)]
+                cols += [C.list_array(x[own], off[lo:hi + 1] - off[lo], pa.int32()) for x in (word, pos)]
                 yield pa.RecordBatch.from_arrays(cols, names=LINE_NAMES)
 
         for batch in batches:
@@ -182,10 +183,11 @@ def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> Dat
                 ends = np.concatenate([[0], np.cumsum(size)])
                 count = np.diff(np.concatenate([[0], np.cumsum(shared)])[ends])
                 warm = np.diff(np.concatenate([[0], np.cumsum(code > hot)])[ends]) > 0
-                sign = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start) if len(start) else h
+                bit, low = np.uint64(1) << (h >> np.uint64(58)), h & np.uint64(1 << 57) > 0
+                sign = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), start) if len(start) else h for half in (low, ~low)]
                 at = doc[long] + lo
                 held.append([o1[at], o2[at], line[long].astype(np.int32), a[long], b[long], n[long].astype(np.int32),
-                             sign[long].view(np.int64), warm, count, (word[shared] >> np.uint64(24)).astype(np.uint32).view(np.int32),
+                             *(x[long].view(np.int64) for x in sign), warm, count, (word[shared] >> np.uint64(24)).astype(np.uint32).view(np.int32),
                              pos[shared].astype(np.int32)])
                 if sum(len(x[0]) for x in held) > window:
                     yield from flush()
@@ -236,36 +238,33 @@ def starts_of(cols: dict[str, np.ndarray], *keys: str) -> np.ndarray:
 
 
 def possible(x: dict, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Length, positional and signature filter of postings i and j of one word: two sets that
-    differ in d words differ in at most d bits of their parity signatures."""
+    """Which of the postings i, j of one word pass the length, positional and signature
+    filters: two sets that differ in d words differ in at most d bits of their parities."""
     ni, nj = x["n"][i], x["n"][j]
-    need = least_overlap(ni + nj, threshold)
-    ok = np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-9
-    ok &= 1 + np.minimum(ni - x["pos"][i], nj - x["pos"][j]) - 1 >= need
-    return ok & (np.bitwise_count(x["s"][i] ^ x["s"][j]) <= ni + nj - 2 * need)
+    at = np.flatnonzero(np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-9)
+    i, j, total = i[at], j[at], ni[at] + nj[at]
+    need = least_overlap(total, threshold)
+    ok = np.minimum(x["left"][i], x["left"][j]) >= need
+    at, i, j, may = at[ok], i[ok], j[ok], (total - 2 * need)[ok]
+    return at[np.bitwise_count(x["s"][i] ^ x["s"][j]).astype(np.int64) + np.bitwise_count(x["t"][i] ^ x["t"][j]) <= may]
 
 
 def pairs_of(x: dict, start: np.ndarray, size: np.ndarray, lo: int, hi: int, threshold: float):
-    """Each open posting with its earlier possible ones number lo to hi - 1 in its group, and
-    the postings that have more.  Postings are in the order of their lines."""
+    """Each open posting with its earlier possible ones, and the postings that have more.
+    In groups of at most SMALL postings all are given at once (lo is 0), in larger ones
+    those number lo to hi - 1.  Postings are in the order of their lines."""
     place = C.ranges(size)
-    small = np.repeat(size <= 64, size)
-    out_i, out_j = [], []
-    for d in range(1, min(64, int(size.max(initial=1)))):
-        i = np.flatnonzero(small & (place >= d) & x["open"])
-        i = i[possible(x, i, i - d, threshold)]
-        out_i.append(i)
-        out_j.append(i - d)
-    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_i, out_j))
-    order = np.lexsort((j, i))
-    i, j = i[order], j[order]
-    new = np.ones(len(i), bool)
-    new[1:] = i[1:] != i[:-1]
-    first = np.flatnonzero(new)
-    turn = C.ranges(np.diff(np.append(first, len(i))))
-    own = (turn >= lo) & (turn < hi)
-    xs, ys, more = [i[own]], [j[own]], [i[turn == hi]]
-    for s, m in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+    xs, ys, more = [], [], []
+    if lo == 0:
+        rest = np.flatnonzero(np.repeat(size <= SMALL, size) & (place > 0) & x["open"])
+        for d in range(1, SMALL):
+            rest = rest[place[rest] >= d]
+            if not len(rest):
+                break
+            i = rest[possible(x, rest, rest - d, threshold)]
+            xs.append(i)
+            ys.append(i - d)
+    for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         left = np.arange(s, s + m)[x["open"][s:s + m]]
         found = np.zeros(len(left), np.int64)
         for y0 in range(s, s + m, 64):
@@ -276,26 +275,29 @@ def pairs_of(x: dict, start: np.ndarray, size: np.ndarray, lo: int, hi: int, thr
                 own = go[part:part + 4096]
                 y = np.arange(y0, min(y0 + 64, s + m))
                 ii, jj = np.repeat(left[own], len(y)), np.tile(y, len(own))
-                ok = (possible(x, ii, jj, threshold) & (jj < ii)).reshape(len(own), len(y))
+                earlier = np.flatnonzero(jj < ii)
+                ok = np.zeros(len(ii), bool)
+                ok[earlier[possible(x, ii[earlier], jj[earlier], threshold)]] = True
+                ok = ok.reshape(len(own), len(y))
                 turn = found[own][:, None] + np.cumsum(ok, axis=1) - 1
                 u, v = np.nonzero(ok & (turn >= lo) & (turn < hi))
                 xs.append(left[own][u])
                 ys.append(y[v])
                 found[own] += ok.sum(axis=1)
         more.append(left[found > hi])
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(more)
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, more))
 
 
 def postings_of(lines: DataFrame) -> DataFrame:
-    """(token, pos, a, o1, ln, s, warm) of all lines that post; ln packs line and size."""
-    p = lines.where(F.size("prefix") > 0).select("a", "o1", "s", "warm", "line", "n", F.explode(F.arrays_zip("prefix", "pos")).alias("p"))
+    """(token, pos, a, o1, ln, s, t, warm) of all lines that post; ln packs line and size."""
+    p = lines.where(F.size("prefix") > 0).select("a", "o1", "s", "t", "warm", "line", "n", F.explode(F.arrays_zip("prefix", "pos")).alias("p"))
     ln = F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    return p.select(F.col("p.prefix").alias("token"), F.col("p.pos").alias("pos"), "a", "o1", ln.alias("ln"), "s", "warm")
+    return p.select(F.col("p.prefix").alias("token"), F.col("p.pos").alias("pos"), "a", "o1", ln.alias("ln"), "s", "t", "warm")
 
 
 def candidates(postings: DataFrame, lo: int, hi: int, threshold: float) -> DataFrame:
-    """(xa, xo, xl, ya, yo, yl): candidates lo to hi - 1 of each open set x at each of its
-    words, with a line that holds each; y is null where x has more of them.  Very frequent
+    """(xa, xo, ya, yo): candidates of each open set x at each of its words (see pairs_of),
+    with a document that holds each; y is null where x has more of them.  Very frequent
     words are split into blocks of TILE postings, and each two blocks meet in one tile."""
     spark = postings.sparkSession
     cold, warm = postings.where("NOT warm"), postings.where("warm")
@@ -308,7 +310,7 @@ def candidates(postings: DataFrame, lo: int, hi: int, threshold: float) -> DataF
     both = cold.unionByName(warm.select(cold.columns))
     key = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     extra = ["open"] if "open" in both.columns else []
-    p = both.select(key.alias("k"), "a", "o1", "ln", "s", *extra)
+    p = both.select(key.alias("k"), "a", "o1", "ln", "s", "t", *extra)
     p = p.repartition(C.partitions(spark), F.shiftright("k", 32)).sortWithinPartitions("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,54 +324,69 @@ def candidates(postings: DataFrame, lo: int, hi: int, threshold: float) -> DataF
             order = order[np.lexsort((c["a"][order], line[order], c["o1"][order], token[order]))]
             token = token[order]
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            x = {"n": (c["ln"] & 0xFFFFFFFF)[order], "pos": pos[order], "s": c["s"][order].view(np.uint64)}
+            n = (c["ln"] & 0xFFFFFFFF)[order]
+            x = {"n": n, "left": n - pos[order], "s": c["s"][order].view(np.uint64), "t": c["t"][order].view(np.uint64)}
             x["open"] = c["open"][order] if "open" in c else np.ones(len(order), bool)
             i, j, more = pairs_of(x, start, np.diff(np.append(start, len(token))), lo, hi, threshold)
+            a, o1 = c["a"][order], c["o1"][order]
+            seen = np.lexsort((a[j], a[i]))  # a pair that several words of this batch give counts once
+            i, j = i[seen], j[seen]
+            if len(i):
+                new = np.ones(len(i), bool)
+                new[1:] = (a[i][1:] != a[i][:-1]) | (a[j][1:] != a[j][:-1])
+                i, j = i[new], j[new]
             gap = np.concatenate([np.zeros(len(i), bool), np.ones(len(more), bool)])
-            i, j = order[np.concatenate([i, more])], order[np.concatenate([j, more])]
-            cols = [pa.array(c["a"][i]), pa.array(c["o1"][i]), pa.array(line[i])]
-            cols += [pa.array(v, mask=gap) for v in (c["a"][j], c["o1"][j], line[j])]
-            yield pa.RecordBatch.from_arrays(cols, names=["xa", "xo", "xl", "ya", "yo", "yl"])
+            i, j = np.concatenate([i, more]), np.concatenate([j, more])
+            cols = [pa.array(a[i]), pa.array(o1[i]), pa.array(a[j], mask=gap), pa.array(o1[j], mask=gap)]
+            yield pa.RecordBatch.from_arrays(cols, names=["xa", "xo", "ya", "yo"])
 
-    return p.mapInArrow(run, "xa long, xo long, xl long, ya long, yo long, yl long").distinct()
+    return p.mapInArrow(run, "xa long, xo long, ya long, yo long").distinct()
 
 
 # --- verification ---------------------------------------------------------------------------------------------------
 
 
 def whole_sets(keyed: DataFrame, places: DataFrame, min_tokens: int) -> DataFrame:
-    """(a, b, words) of the sets in the wanted lines ``places`` (o, l), read from the texts
-    again; a bit map of BLOOM_BITS bits says which texts to look at."""
-    slot = F.pmod(F.xxhash64("o"), F.lit(BLOOM_BITS))
-    words = places.select(F.floor(slot / 64).cast("int").alias("w"), F.expr(
-        f"shiftleft(1L, cast(pmod(pmod(xxhash64(o), {BLOOM_BITS}), 64) as int))").alias("bit"))
-    table = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BLOOM_BITS / 64 rows
-    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-    bits[table["w"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    held = keyed.sparkSession.sparkContext.broadcast(bits)
+    """(a, b, words) of the wanted sets ``places`` (o: a document that holds it, a), read from
+    the texts again; a bit map of BLOOM_BITS bits says which texts to look at, another one
+    which lines to hand on."""
+    maps = [_bit_map(places, "xxhash64(o)"), _bit_map(places, "a")]
+    held = keyed.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = held.value
+        texts, sets = held.value
         for b in batches:
-            at = b.column(3).to_numpy()
-            look = np.flatnonzero(wanted[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
-            b = b.take(pa.array(look))
+            b = b.take(pa.array(np.flatnonzero(_marked(texts, b.column(3).to_numpy()))))
             o1, arr = b.column(0).to_numpy(), C.strings(b.column(2))
             for lo, hi in C.slices(arr):
                 h, start, n, doc, line = line_sets(arr.slice(lo, hi - lo))
                 a, bb = set_hash(h, start)
-                own = np.flatnonzero(n >= min_tokens)
+                own = np.flatnonzero((n >= min_tokens) & _marked(sets, a & (BLOOM_BITS - 1)))
                 off = np.concatenate([[0], np.cumsum(n[own])])
                 words = h[np.repeat(start[own], n[own]) + C.ranges(n[own])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(o1[doc[own] + lo]), pa.array(line[own].astype(np.int64)), pa.array(a[own]), pa.array(bb[own]),
-                    C.list_array(words.view(np.int64), off, pa.int64())], names=["o", "l", "a", "b", "words"])
+                    pa.array(o1[doc[own] + lo]), pa.array(a[own]), pa.array(bb[own]), C.list_array(words.view(np.int64), off, pa.int64())],
+                    names=["o", "a", "b", "words"])
 
     slotted = keyed.select("o1", "o2", "_text", F.pmod(F.xxhash64("o1"), F.lit(BLOOM_BITS)).alias("_slot"))
-    found = slotted.mapInArrow(run, "o long, l long, a long, b long, words array<long>").join(places, ["o", "l", "a"], "left_semi")
+    found = slotted.mapInArrow(run, "o long, a long, b long, words array<long>").join(places, ["o", "a"], "left_semi")
     return found.groupBy("a", "b").agg(F.first("words").alias("words"))
 
 
+def _bit_map(rows: DataFrame, value: str) -> np.ndarray:
+    """BLOOM_BITS bits with those set that the values (modulo BLOOM_BITS) name."""
+    slot = f"pmod({value}, {BLOOM_BITS})"
+    words = rows.select(F.expr(f"cast({slot} div 64 as int)").alias("w"), F.expr(f"shiftleft(1L, cast({slot} % 64 as int))").alias("bit"))
+    table = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BLOOM_BITS / 64 rows
+    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
+    bits[table["w"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _marked(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)) > 0
+
+
 def later_classes(keyed: DataFrame, lines: DataFrame, threshold: float, min_tokens: int) -> DataFrame:
     """(a, b) of the sets that have an earlier similar set."""
     done, open_sets, lo, hi = None, None, 0, FIRST_TRIES
@@ -382,7 +399,7 @@ def later_classes(keyed: DataFrame, lines: DataFrame, threshold: float, min_toke
             p = marked.join(tokens, "token", "left_semi")
         pairs = C.cut(candidates(p, lo, hi, threshold), "line-candidates")
         real = pairs.where("ya IS NOT NULL")
-        places = real.selectExpr("xo o", "xl l", "xa a").union(real.selectExpr("yo", "yl", "ya")).distinct()
+        places = real.selectExpr("xo o", "xa a").union(real.selectExpr("yo", "ya")).distinct()
         sets = C.cut(whole_sets(keyed, places, min_tokens), "line-sets")
         x = sets.selectExpr("a xa", "b xb", "words wx")
         y = sets.selectExpr("a ya", "b yb", "words wy")
