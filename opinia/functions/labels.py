@@ -89,10 +89,11 @@ def final_score(sentiment, stars) -> Column:
 
 
 def sentiment_name(col) -> Column:
-    """Prediction 1 -> 'Positive', anything else -> 'Negative'."""
-    return F.when(_c(col) == 1, "Positive").otherwise("Negative")
+    """Prediction 1 -> 'Positive', another one -> 'Negative', none -> null."""
+    return F.when(_c(col) == 1, "Positive").when(_c(col).isNotNull(), "Negative")
 
 
 def overall_rating(scores_map) -> Column:
-    """round_half_even(review_scores_rating / 10, 1); null if absent."""
-    return F.bround(_c(scores_map).getItem("review_scores_rating") / 10.0, 1)
+    """round_half_even(review_scores_rating / 10, 1); null if absent or not
+    a number (the map's other values do not matter)."""
+    return F.bround(_c(scores_map).getItem("review_scores_rating").try_cast("double") / 10.0, 1)

@@ -4,12 +4,12 @@ nested data with ``from_json``.
 Python literals are close to JSON with single quotes.  The differences that
 matter are repaired by regex before parsing:
 
-* ``None`` / ``True`` / ``False`` in value position -> ``null/true/false``
-  (a text that literally contains ``, None,`` would be altered as well);
-* ``\\xNN`` escapes -> ``\\u00NN``.
+* ``None`` / ``True`` / ``False`` outside quoted strings -> ``null/true/false``
+  (the text is cut into quoted strings and the rest, so strings stay as they are);
+* ``\\xNN`` escapes -> ``\\u00NN``;
+* ``\\U........`` escapes -> the character.
 
-Eight-digit ``\\U........`` escapes are not repaired (they come out wrong);
-``literal_escape_issues`` counts them.  Malformed input parses to null.
+Malformed input parses to null.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ REVIEW_SCHEMA = T.ArrayType(
         ]
     )
 )
-SCORES_SCHEMA = T.MapType(T.StringType(), T.DoubleType())
-SCORE_LIST_SCHEMA = T.ArrayType(T.DoubleType())
+# values as text: one that is no number does not spoil the others
+SCORES_SCHEMA = T.MapType(T.StringType(), T.StringType())
+SCORE_LIST_SCHEMA = T.ArrayType(T.StringType())
 ADDRESS_SCHEMA = T.StructType(
     [
         T.StructField("country", T.StringType()),
@@ -48,6 +49,10 @@ ADDRESS_SCHEMA = T.StructType(
 )
 
 
+# a quoted string, a name, a run of other characters
+PIECES = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|\w++|[^'"\w]++|['"]"""
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -55,9 +60,14 @@ def _c(col) -> Column:
 def to_json_text(col) -> Column:
     """Repair the Python-only tokens so a JSON reader accepts the text."""
     s = _c(col)
-    for py, js in (("None", "null"), ("True", "true"), ("False", "false")):
-        s = F.regexp_replace(s, r"([:\[,]\s*)" + py + r"(?=\s*[,\]}])", "$1" + js)
-    return F.regexp_replace(s, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    names = F.create_map(*map(F.lit, ("None", "null", "True", "true", "False", "false")))
+    pieces = F.regexp_extract_all(s, F.lit(PIECES), F.lit(0))
+    s = F.when(s.rlike("None|True|False"), F.array_join(
+        F.transform(pieces, lambda p: F.coalesce(F.element_at(names, p), p)), "")).otherwise(s)
+    s = F.regexp_replace(s, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    escapes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"\\U[0-9a-fA-F]{8}"), F.lit(0)))
+    return F.when(s.contains("\\U"), F.aggregate(escapes, s, lambda a, e: F.replace(
+        a, e, F.decode(F.unhex(F.substring(e, 3, 8)), "UTF-32")))).otherwise(s)
 
 
 def parse_literal(col, schema: T.DataType, require: str | None = None) -> Column:
@@ -74,12 +84,6 @@ def parse_literal(col, schema: T.DataType, require: str | None = None) -> Column
     return parsed
 
 
-def literal_escape_issues(col) -> Column:
-    """Number of ``\\U`` escapes the repair does not cover (for reporting)."""
-    s = _c(col)
-    return F.size(F.regexp_extract_all(s, F.lit(r"\\U[0-9a-fA-F]{8}"), 0))
-
-
 def is_bracketed(col) -> Column:
     """The reference's list test: starts with ``[`` and ends with ``]``."""
     s = _c(col)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opinia.functions.literal import REVIEW_SCHEMA, is_bracketed, parse_literal
 from opinia.functions.text import clean_words
+from opinia.operators.joins import strongest
 
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
 BROADCAST_LEXICON_ROWS = 1_000_000
@@ -66,7 +67,7 @@ def word_sentiment(df: DataFrame, group_col: str, text_col: str, lexicon: DataFr
     after the aggregation.  ``neutral_words`` (such as the booster list) are
     never labelled.
     """
-    lex = lexicon.select(F.col("word").alias("_w"), F.col("valence").alias("_v")).where(F.col("_v") != 0)
+    lex = strongest(lexicon, "word", "valence").select(F.col("word").alias("_w"), F.col("valence").alias("_v")).where(F.col("_v") != 0)
     if neutral_words:
         # e.g. booster words: scored 0 on their own even when the lexicon has them
         lex = lex.where(~F.col("_w").isin(list(neutral_words)))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinia.functions import labels as L
+from opinia.functions.text import strip_ws
 from opinia.operators.joins import lookup_join
 from opinia.session import local_df
 
+# Column names under which a text, a binary label and a rating are found.
 TEXT_SYNONYMS = ["review", "texto", "comentario", "text", "comment"]
 BINARY_SYNONYMS = ["positive or negative", "sentimiento", "label", "binary", "class"]
 RATING_SYNONYMS = ["rating", "nota", "score", "puntuacion", "stars"]
@@ -54,7 +56,7 @@ def drop_missing(df: DataFrame, cols) -> DataFrame:
 
 def non_blank(df: DataFrame, col: str) -> DataFrame:
     """Keep rows whose text is not null and not blank."""
-    return df.where(F.col(col).isNotNull() & (F.length(F.trim(F.col(col))) > 0))
+    return df.where(F.col(col).isNotNull() & (F.length(strip_ws(col)) > 0))
 
 
 def fill_text(df: DataFrame, col: str, value: str = "") -> DataFrame:
@@ -75,11 +77,6 @@ def by_country(df: DataFrame, country_col: str, labels: dict[str, str], out: str
     return lookup_join(df, m, df[country_col] == m["_country"]).drop("_country")
 
 
-def write_by_country(df: DataFrame, path: str, col: str = "pais", fmt: str = "parquet") -> None:
-    """P8 sink: one folder per country (partition pruning on read)."""
-    df.write.mode("overwrite").partitionBy(col).format(fmt).save(path)
-
-
 def binary_corpus(df: DataFrame) -> DataFrame:
     """P2+P3+P5: a binary review table with variable column names ->
     ``(Review, Positive or Negative)``."""

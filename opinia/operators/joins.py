@@ -18,6 +18,13 @@ def bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def strongest(lexicon: DataFrame, word: str, value: str) -> DataFrame:
+    """One row per word of a lexicon: of repeated words the value furthest from
+    zero counts (the positive one of two that are equally far)."""
+    v = F.col(value)
+    return lexicon.groupBy(word).agg(F.max_by(v, F.struct(F.abs(v), v)).alias(value))
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
                 max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Equi-join a large table to a look-up table (lexicon, stop list,

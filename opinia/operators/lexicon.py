@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinia.functions.labels import polarity_label
-from opinia.functions.text import PUNCTUATION, WHITESPACE_RUN
+from opinia.functions.text import PUNCTUATION, WHITESPACE_RUN, strip_ws
 from opinia.operators.aggregates import majority_label
-from opinia.operators.joins import lookup_join
+from opinia.operators.joins import lookup_join, strongest
 from opinia.operators.nested import split_reviews
 
 
@@ -64,11 +64,11 @@ def polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
     nothing matches; null for a null or blank text.  ``lexicon`` has
     ``(word, polarity)`` with polarity in [-1, 1]."""
     negators = negators or ["not", "never", "no"]
-    blank = F.col(text_col).isNull() | (F.length(F.trim(F.col(text_col))) == 0)
+    blank = F.col(text_col).isNull() | (F.length(strip_ws(text_col)) == 0)
     toks = _tokens(df, id_col, text_col, blank.alias("_blank"))
     w = Window.partitionBy("id").orderBy("pos")
     toks = toks.withColumn("_neg", F.lag("w", 1).over(w).isin(negators))
-    lex = lexicon.select(F.col("word").alias("w"), F.col("polarity").alias("_p"))
+    lex = strongest(lexicon, "word", "polarity").select(F.col("word").alias("w"), F.col("polarity").alias("_p"))
     hits = lookup_join(toks, lex, "w", "left").select(
         "id", "_blank", F.when(F.col("_neg"), F.col("_p") * negation).otherwise(F.col("_p")).alias("_v")
     )
@@ -94,8 +94,8 @@ def valence_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
     emph = F.least(n_ex, F.lit(rules.exclam_max)) * rules.exclam + F.when(n_q > 3, rules.question_large).when(
         n_q > 1, n_q * rules.question_small).otherwise(0.0)
     toks = _tokens(df, id_col, text_col, emph.alias("_e"))
-    lex = lexicon.select(F.col("word").alias("w"), F.col("valence").alias("_v0"))
-    bst = boosters.select(F.col("word").alias("w"), F.col("increment").alias("_inc"))
+    lex = strongest(lexicon, "word", "valence").select(F.col("word").alias("w"), F.col("valence").alias("_v0"))
+    bst = strongest(boosters, "word", "increment").select(F.col("word").alias("w"), F.col("increment").alias("_inc"))
     toks = lookup_join(lookup_join(toks, lex, "w", "left"), bst, "w", "left")
     win = Window.partitionBy("id").orderBy("pos")
     whole = Window.partitionBy("id")

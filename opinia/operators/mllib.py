@@ -28,7 +28,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,8 @@ IGNORED = ("min_samples_split", "splitter", "algorithm", "leaf_size", "class_pri
 
 
 def _depth(v):
+    if v is not None and int(v) > MAX_DEPTH:
+        warnings.warn(f"max_depth {v} is above MLlib's limit; {MAX_DEPTH} is used", stacklevel=3)
     return MAX_DEPTH if v is None else min(int(v), MAX_DEPTH)
 
 
@@ -221,10 +222,22 @@ ESTIMATORS = {
 }
 
 
+# Names of the configuration and the MLlib parameters that they set.
+TUNABLE = {
+    "max_depth": ("maxDepth", _depth),
+    "min_samples_leaf": ("minInstancesPerNode", int),
+    "n_estimators": ("numTrees", int),
+    "criterion": ("impurity", lambda v: "entropy" if v == "log_loss" else v),
+    "max_features": ("featureSubsetStrategy", lambda v: "all" if v is None else str(v)),
+    "bootstrap": ("bootstrap", bool),
+}
+
+
 def run(config: dict, mode: str, algorithm: str, train_df: DataFrame | None = None, model=None,
-        test_df: DataFrame | None = None, label: str = "label", key: str = "id"):
-    """``train`` picks the estimator by name and tunes it on the grid of
-    ``config[algorithm]`` (kNN and naive Bayes are relational: see
+        test_df: DataFrame | None = None, label: str = "label", key: str = "id", metric: str = "accuracy"):
+    """``train`` picks the estimator by name and tunes it, for ``metric``, on all
+    values of the grid ``config[algorithm]`` that MLlib has a parameter for;
+    the others are named in a warning (kNN and naive Bayes are relational: see
     ``opinia.operators.knn`` / ``bayes``); ``test`` applies a model."""
     if mode == "train":
         if algorithm not in ESTIMATORS:
@@ -234,15 +247,12 @@ def run(config: dict, mode: str, algorithm: str, train_df: DataFrame | None = No
         est = ESTIMATORS[algorithm](first, label=label)
         tunable = {}
         for k, v in grid.items():
-            name = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
-                    "n_estimators": "numTrees"}.get(k)
+            name, convert = TUNABLE.get(k, (None, None))
             if name and est.hasParam(name):
-                tunable[name] = [_depth(x) if k == "max_depth" else int(x) for x in v]
-        return grid_search(est, tunable, train_df, label=label, key=key)
+                tunable[name] = list(dict.fromkeys(convert(x) for x in v))
+            elif k not in IGNORED and len(v) > 1:
+                warnings.warn(f"{k} has no MLlib equivalent; its values are not searched", stacklevel=2)
+        return grid_search(est, tunable, train_df, label=label, key=key, metric=metric)
     if mode == "test":
         return predict(model, test_df, label)
     raise ValueError(mode)
-
-
-def probability_array(df: DataFrame, col: str = "probability", out: str = "prob") -> DataFrame:
-    return df.withColumn(out, vector_to_array(F.col(col)))

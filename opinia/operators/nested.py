@@ -70,20 +70,24 @@ def map_keys_of(df: DataFrame, col: str, max_keys: int = MAX_FLATTEN_KEYS) -> li
 
 def flatten_map(df: DataFrame, col: str, keys: list[str] | None = None,
                 value_type: T.DataType = T.DoubleType()) -> DataFrame:
-    """A dict literal column -> one column per key (original dropped)."""
-    m = F.from_json(LIT.to_json_text(F.col(col)), T.MapType(T.StringType(), value_type), LIT.JSON_OPTIONS)
+    """A dict literal column -> one column per key (original dropped).  A value
+    that is not of ``value_type`` is null; it does not touch the others."""
+    m = F.from_json(LIT.to_json_text(F.col(col)), T.MapType(T.StringType(), T.StringType()), LIT.JSON_OPTIONS)
     tmp = df.withColumn("_m", m)
     keys = keys if keys is not None else map_keys_of(tmp, "_m")
-    return tmp.select(*[c for c in df.columns if c != col], *[F.col("_m")[k].alias(k) for k in keys])
+    return tmp.select(*[c for c in df.columns if c != col], *[F.col("_m")[k].try_cast(value_type).alias(k) for k in keys])
 
 
 def flatten_array(df: DataFrame, col: str, prefix: str = "review_score_", n: int | None = None) -> DataFrame:
-    """List column -> ``prefix1..prefixN`` (N = longest list unless given;
-    finding it is one aggregate job)."""
+    """List column (or list literal: numbers) -> ``prefix1..prefixN`` (N = longest
+    list unless given; finding it is one aggregate job)."""
+    values = F.col(col)
+    if isinstance(df.schema[col].dataType, T.StringType):
+        values = F.transform(LIT.parse_literal(col, LIT.SCORE_LIST_SCHEMA, require="list"), lambda x: x.try_cast("double"))
     if n is None:
-        n = df.agg(F.max(F.size(col))).first()[0] or 0
+        n = df.agg(F.max(F.size(values))).first()[0] or 0
     return df.select(
-        *[c for c in df.columns if c != col], *[F.get(F.col(col), i).alias(f"{prefix}{i + 1}") for i in range(n)]
+        *[c for c in df.columns if c != col], *[F.get(values, i).alias(f"{prefix}{i + 1}") for i in range(n)]
     )
 
 
@@ -94,7 +98,7 @@ def overall_rating(df: DataFrame, col: str = "review_scores", key: str = "review
     if key == "review_scores_rating":
         expr = _overall(m)
     else:
-        expr = F.bround(m.getItem(key) / 10.0, 1)
+        expr = F.bround(m.getItem(key).try_cast("double") / 10.0, 1)
     return df.withColumn(out, expr)
 
 
@@ -129,14 +133,21 @@ def split_reviews(df: DataFrame, col: str, sep: str = "\n", keep: list[str] | No
     return x.select(*keep, "pos", strip_ws("_p").alias("review")).where(F.col("review") != "")
 
 
-def transform_nested(df: DataFrame, col: str, field: str, fn) -> DataFrame:
-    """Apply a column function to one field of every element of an
-    array<struct> column (parsed from a literal if it is a string); the other
-    fields are left intact."""
+def transform_nested(df: DataFrame, col: str, field: str | None, fn) -> DataFrame:
+    """Apply a column function to one field of every element of a nested
+    column.  An array of structs keeps its type; a literal becomes an array of
+    maps with all keys of each dict (values as text), or, with ``field=None``,
+    an array of the transformed strings; a literal that is no list is
+    transformed as a whole and comes back as its one element."""
     c = F.col(col)
-    if isinstance(df.schema[col].dataType, T.StringType):
-        c = LIT.parse_literal(col, LIT.REVIEW_SCHEMA, require="list")
-    return df.withColumn(col, F.transform(c, lambda x: x.withField(field, fn(x[field]))))
+    if not isinstance(df.schema[col].dataType, T.StringType):
+        return df.withColumn(col, F.transform(c, lambda x: x.withField(field, fn(x[field]))))
+    if field is None:
+        items = LIT.parse_literal(col, T.ArrayType(T.StringType()), require="list")
+        return df.withColumn(col, F.when(c.isNotNull(), F.coalesce(F.transform(items, fn), F.array(fn(c)))))
+    items = LIT.parse_literal(col, T.ArrayType(T.MapType(T.StringType(), T.StringType())), require="list")
+    changed = F.transform(items, lambda x: F.transform_values(x, lambda k, v: F.when(k == field, fn(v)).otherwise(v)))
+    return df.withColumn(col, changed)
 
 
 def count_nested(df: DataFrame, cols: list[str], field: str = "comments") -> DataFrame:
@@ -152,28 +163,32 @@ def count_nested(df: DataFrame, cols: list[str], field: str = "comments") -> Dat
     return df.agg(*parts)
 
 
-def _flatten_struct(c: Column, dtype: T.StructType, prefix: str) -> list[Column]:
-    out = []
-    for f in dtype.fields:
-        name = f"{prefix}.{f.name}" if prefix else f.name
-        if isinstance(f.dataType, T.StructType):
-            out.extend(_flatten_struct(c[f.name], f.dataType, name))
-        else:
-            out.append(c[f.name].alias(name))
-    return out
-
-
-def flatten_dict(df: DataFrame, col: str, schema: T.StructType | None = None) -> DataFrame:
-    """N5 (nested dicts): a dict literal column -> one column per leaf key,
-    nested keys joined with ``.`` (the original column is dropped).  Without
-    ``schema`` the structure is inferred from one non-null value (a single
-    bounded row), as column names must be known before the job runs."""
-    text = LIT.to_json_text(F.col(col))
-    if schema is None:
-        sample = df.where(F.col(col).isNotNull()).select(text.alias("_s")).limit(1).collect()
-        if not sample:
-            return df.drop(col)
-        ddl = df.sparkSession.range(1).select(F.schema_of_json(F.lit(sample[0]["_s"]), LIT.JSON_OPTIONS)).first()[0]
-        schema = T._parse_datatype_string(ddl)
-    parsed = F.from_json(text, schema, LIT.JSON_OPTIONS)
-    return df.select(*[c for c in df.columns if c != col], *_flatten_struct(parsed, schema, ""))
+def flatten_dict(df: DataFrame, col: str, max_keys: int = MAX_FLATTEN_KEYS) -> DataFrame:
+    """N5 (nested dicts): a dict literal column -> one column per leaf key of any
+    row, nested keys joined with ``.`` (the original column is dropped).  The
+    keys are gathered from the whole column, one job per level of nesting.  A
+    column is a whole number, a double or text, whatever all its values are."""
+    level = {"": F.from_json(LIT.to_json_text(F.col(col)), T.MapType(T.StringType(), T.StringType()), LIT.JSON_OPTIONS)}
+    leaves: dict[str, Column] = {}
+    while level:
+        deeper = {}
+        for path, m in level.items():
+            pairs = df.select(F.explode(m).alias("k", "v"))
+            nested = F.col("v").startswith("{")
+            plain = F.when(~nested, F.col("v"))
+            kinds = pairs.groupBy("k").agg(
+                F.coalesce(F.bool_or(nested), F.lit(False)).alias("nested"), F.count(plain).alias("n"),
+                F.count(plain.try_cast("bigint")).alias("whole"), F.count(plain.try_cast("double")).alias("number"),
+            ).limit(max_keys + 1).collect()
+            if len(kinds) > max_keys:
+                raise ValueError(f"{col} has more than {max_keys} distinct keys")
+            for r in sorted(kinds, key=lambda r: r.k):
+                name, value = f"{path}{r.k}", m[r.k]
+                if r.n or not r.nested:
+                    kind = "bigint" if r.whole == r.n else "double" if r.number == r.n else "string"
+                    leaves[name] = F.when(~value.startswith("{"), value).try_cast(kind)
+                if r.nested:
+                    deeper[f"{name}."] = F.from_json(F.when(value.startswith("{"), value), T.MapType(T.StringType(), T.StringType()),
+                                                     LIT.JSON_OPTIONS)
+        level = deeper
+    return df.select(*[c for c in df.columns if c != col], *[leaves[k].alias(k) for k in sorted(leaves)])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +78,14 @@ def kth_smallest(df: DataFrame, col: str, k: int, tie: str | None = None,
             n = st.inside
             eps = 10.0 / accuracy
         elif lo_q == 0.0 and hi_q == 1.0:
-            break  # the band cannot shrink (massive ties): finish on it
+            # massive ties: step over the smallest value, or settle on it
+            low, times = band.groupBy(col).count().orderBy(col).limit(1).first()
+            if r > times:
+                band, r, n = band.where(F.col(col) > low), r - times, n - times
+            elif tie is None:
+                return low, None
+            else:
+                return low, kth_of_ties(band.where(F.col(col) == low).select(tie), tie, r, times, max_band)
         else:
             eps *= 4
     order = [F.col(c) for c in cols]
@@ -85,6 +93,27 @@ def kth_smallest(df: DataFrame, col: str, k: int, tie: str | None = None,
     return row[0], (row[1] if tie else None)
 
 
+def kth_of_ties(df: DataFrame, col: str, k: int, n: int, max_band: int):
+    """k-th smallest of a column of any type: bands between sampled values, counted
+    exactly, until one holds at most ``max_band`` rows."""
+    while n > max_band:
+        marks = sorted({r[0] for r in df.orderBy(F.xxhash64(col)).limit(200).collect()})
+        slot = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < F.col(col)))
+        sizes = {r[0]: r[1] for r in df.groupBy(slot.alias("s")).count().collect()}
+        at = 0
+        while k > sizes.get(at, 0):
+            k -= sizes.get(at, 0)
+            at += 1
+        if sizes[at] == n:  # all rows hold one value, or one hash-sampled mark parts nothing
+            low, times = df.groupBy(col).count().orderBy(col).limit(1).first()
+            if k <= times:
+                return low
+            df, k, n = df.where(F.col(col) > low), k - times, n - times
+            continue
+        df, n = df.where(slot == at), sizes[at]
+    return df.orderBy(col).offset(k - 1).limit(1).first()[0]
+
+
 def rank_at_most(col: str, tie: str | None, threshold) -> Column:
     """Rows ranked at or before the threshold returned by ``kth_smallest``."""
     v, t = threshold
@@ -278,10 +307,10 @@ def label_encode(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, D
 
 # ---------------------------------------------------------------- F8/F9 resample
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes")
+def class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"{label} has more than {max_classes} classes")
     return {r[label]: r["n"] for r in rows}
 
 
@@ -290,7 +319,8 @@ def resample(df: DataFrame, label: str, how: str, key: str, seed: int = 42) -> D
     largest: ``max // min`` copies of every row plus one more for the first
     ``max % min`` rows in seeded hash order.  F9 (``under``): the largest
     class keeps its first ``min`` rows in that order.  Other classes are
-    untouched; sizes are exact and the result is deterministic."""
+    untouched; sizes are exact and the result is deterministic.  Null is a class
+    like any other."""
     counts = class_counts(df, label)
     small = min(counts, key=lambda k: (counts[k], str(k)))
     large = max(counts, key=lambda k: (counts[k], str(k)))
@@ -298,20 +328,20 @@ def resample(df: DataFrame, label: str, how: str, key: str, seed: int = 42) -> D
     h = df.withColumn("_h", hash_rank_key(key, seed)).withColumn("_t", F.col(key).cast("string"))
     if how == "over":
         base, extra = divmod(n_max, n_min)
-        cls = h.where(F.col(label) == F.lit(small))
+        cls = h.where(F.col(label).eqNullSafe(F.lit(small)))
         if extra:
             thr = kth_smallest(cls, "_h", extra, tie="_t")
             reps = F.lit(base) + F.when(rank_at_most("_h", "_t", thr), 1).otherwise(0)
         else:
             reps = F.lit(base)
         grown = cls.withColumn("_copy", F.explode(F.sequence(F.lit(1), reps))).drop("_copy")
-        rest = h.where(F.col(label) != F.lit(small))
+        rest = h.where(~F.col(label).eqNullSafe(F.lit(small)))
         return rest.unionByName(grown).drop("_h", "_t")
     if how == "under":
-        cls = h.where(F.col(label) == F.lit(large))
+        cls = h.where(F.col(label).eqNullSafe(F.lit(large)))
         thr = kth_smallest(cls, "_h", n_min, tie="_t")
         kept = cls.where(rank_at_most("_h", "_t", thr))
-        rest = h.where(F.col(label) != F.lit(large))
+        rest = h.where(~F.col(label).eqNullSafe(F.lit(large)))
         return rest.unionByName(kept).drop("_h", "_t")
     raise ValueError(how)
 
@@ -358,7 +388,8 @@ def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42
             F.col(stratify).isin([c for c in small if c is not None]) | F.col(stratify).isNull())
         sub = h.where(is_small)
         w = Window.partitionBy(stratify).orderBy("_h", "_t")
-        sub = sub.withColumn("_rn", F.row_number().over(w)).withColumn(
+        # rank: rows that share a key stay together, as below
+        sub = sub.withColumn("_rn", F.rank().over(w)).withColumn(
             "_n", F.count(F.lit(1)).over(Window.partitionBy(stratify)))
         expr = F.lit(names[-1])
         for i in reversed(range(len(cum))):
@@ -366,11 +397,11 @@ def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42
         parts.append(sub.withColumn("part", expr).drop("_rn", "_n"))
     if large:
         # big classes: exact cut points by the distributed k-th value search
-        sub = h.where(F.col(stratify).isin(list(large)))
+        sub = h.where(reduce(lambda a, c: a | F.col(stratify).eqNullSafe(F.lit(c)), large, F.lit(False)))
         expr = F.lit(names[-1])
         conds = []
         for cls, n in large.items():
-            in_cls = F.col(stratify) == F.lit(cls)
+            in_cls = F.col(stratify).eqNullSafe(F.lit(cls))
             cls_rows = sub.where(in_cls)
             cuts = []
             for c in cum:

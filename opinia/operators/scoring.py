@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinia.functions.labels import final_score, sentiment_name, shift_label
+from opinia.functions.text import strip_ws
 
 
 def score_texts(df: DataFrame, col: str, make_scorer: Callable[[], Callable[[list[str]], list]],
@@ -82,16 +83,18 @@ def score_reviews(df: DataFrame, col: str, binary_pred: DataFrame, stars_pred: D
                   id_col: str = "id", keep_all: bool = False, stars_name: str = "Score_1_5") -> DataFrame:
     """Combine a binary prediction (0/1) and a 0-4 star prediction per
     review id into ``Review, Sentimiento, <stars_name>, Puntuacion_Final_1_9``.
-    ``keep_all`` keeps every input column; a blank review gives nulls."""
+    ``keep_all`` keeps every input column; a blank review gives nulls, and a
+    missing prediction gives a null name and final score."""
     b = binary_pred.select(F.col(id_col).alias("_id"), F.col("prediction").alias("_b"))
     s = stars_pred.select(F.col(id_col).alias("_id"), F.col("prediction").alias("_s"))
     x = df.join(b, df[id_col] == b["_id"], "left").drop("_id")
     x = x.join(s, x[id_col] == s["_id"], "left").drop("_id")
-    blank = F.col(col).isNull() | (F.length(F.trim(F.col(col))) == 0)
+    blank = F.col(col).isNull() | (F.length(strip_ws(col)) == 0)
     sent = F.when(blank, F.lit(None)).otherwise(sentiment_name("_b"))
     stars = F.when(blank, F.lit(None)).otherwise(shift_label("_s", 1))
     x = x.withColumns({"Sentimiento": sent, stars_name: stars}).withColumn(
-        "Puntuacion_Final_1_9", F.when(blank, F.lit(None)).otherwise(final_score("Sentimiento", stars_name))
+        "Puntuacion_Final_1_9",
+        F.when(blank | F.col("Sentimiento").isNull(), F.lit(None)).otherwise(final_score("Sentimiento", stars_name))
     )
     cols = ([c for c in df.columns] if keep_all else [id_col, F.col(col).alias("Review")])
     return x.select(*cols, "Sentimiento", stars_name, "Puntuacion_Final_1_9")

@@ -23,9 +23,14 @@ MAP_ENTRIES = 10_000
 WORD_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
+def one_value(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row per key: of several values the first in alphabetical order counts."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value)).select(key, value)
+
+
 def table_map(df: DataFrame, key: str, value: str, max_entries: int = MAP_ENTRIES) -> Column | None:
     """A bounded look-up table as a map literal, or None when too large."""
-    rows = df.select(key, value).limit(max_entries + 1).collect()
+    rows = one_value(df, key, value).limit(max_entries + 1).collect()
     if len(rows) > max_entries:
         return None
     if not rows:
@@ -40,7 +45,7 @@ def _lookup_words(df: DataFrame, id_col: str, words: str, table: DataFrame, key:
     if m is not None:
         return df.withColumn(words, F.transform(words, lambda w: F.coalesce(F.element_at(m, w), w)))
     ex = df.select(id_col, F.posexplode(words).alias("_pos", "_w"))
-    t = bounded(table.select(F.col(key).alias("_w"), F.col(value).alias("_v")))
+    t = bounded(one_value(table, key, value).select(F.col(key).alias("_w"), F.col(value).alias("_v")))
     mapped = ex.join(t, "_w", "left").select(id_col, "_pos", F.coalesce("_v", "_w").alias("_w"))
     back = mapped.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_pos", "_w"))).alias("_a"))
     return df.drop(words).join(back.select(id_col, F.col("_a._w").alias(words)), id_col, "left").withColumn(
@@ -72,22 +77,10 @@ def bag_text(df: DataFrame, id_col: str, col: str, stop_words: list[str], stems:
     return x.withColumn(out or col, F.array_join(arr, " ")).drop("_ws")
 
 
-def render_prompt(df: DataFrame, col: str, head: str, example_tpl: str, tail: str,
-                  examples: DataFrame | None = None, n_examples: int = 0, scale: int = 9,
-                  out: str = "prompt") -> DataFrame:
-    """``head`` (with ``{scale}``), then the first ``n_examples`` rows of
-    the example table rendered with ``example_tpl``, then ``tail`` with the
-    row's text in ``{comment}``.  The example block is small and built once."""
-    if n_examples and examples is not None:
-        head_txt = head.format(scale=scale) + ".\n"
-        rows = examples.orderBy("n").limit(n_examples).collect()
-        block = "".join(example_tpl.format(n=r["n"], review=r["review"], rating=r["rating"]) for r in rows)
-    else:
-        head_txt = head.format(scale=scale) + ":\n"
-        block = ""
-    before, after = tail.split("{comment}")
-    prefix = head_txt + block + before
-    return df.withColumn(out, F.concat(F.lit(prefix), F.col(col), F.lit(after)))
+def render_prompt(df: DataFrame, col: str, template: str, slot: str = "comment", out: str = "prompt") -> DataFrame:
+    """The template with the row's text in place of ``{slot}``."""
+    before, after = template.split("{" + slot + "}")
+    return df.withColumn(out, F.concat(F.lit(before), F.col(col), F.lit(after)))
 
 
 def review_stats(df: DataFrame, col: str, polarity: Column | None = None, full: bool = True) -> DataFrame:

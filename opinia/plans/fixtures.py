@@ -42,10 +42,6 @@ def boosters_df(spark: SparkSession) -> DataFrame:
     return local_df(spark, DEMO_BOOSTERS, "word string, increment double")
 
 
-def negators_df(spark: SparkSession) -> DataFrame:
-    return local_df(spark, [(w,) for w in DEMO_NEGATORS], "word string")
-
-
 def lemma_df(spark: SparkSession) -> DataFrame:
     return local_df(spark, DEMO_LEMMAS, "word string, lemma string")
 
@@ -69,30 +65,57 @@ def polarity_lexicon(spark: SparkSession) -> DataFrame:
 POLARITY_ROWS = [(w, v / 4.0) for w, v in DEMO_LEXICON]
 
 
-# The rating-prompt pieces and few-shot examples of the
-# reference (scale 1-9 for the 0-/1-shot prompts, 1-10 for 2-/few-shot).
-PROMPT_HEAD = "Give a rating from 1 to {scale} for the following hotel review. Only answer with the number"
-PROMPT_EXAMPLE = 'Example {n}:\nReview: "{review}"\nRating: {rating}\n\n'
-PROMPT_TAIL_SHOTS = 'Now, rate this review:\nReview: "{comment}"\nRating:'
-PROMPT_TAIL_ZERO = 'Review: "{comment}"\nRating:'
-PROMPT_EXAMPLES = [
-    (1, "We had a spledid time in the old centre of Porto. The appartment is very well situated next to the old "
-        "Ribeira square. It's perfect to have such an appartment to your disposal, you feel home, and have a place "
-        "to relax between the exploration of this very nice city. We thank Ana & Gonçalo, and we hope the "
-        "appartment is free when we go back next year. Porto is charming original", 9),
-    (2, "It's a nice flat. The location is good even though you have to walk a bit to the metro and quite a bit to "
-        "the historic center. I liked that there was a restaurant in the same building.", 6),
-    (3, "Great stay, would come back!", 8),
-    (4, "The apartment was as we expected and I recommend it to other travelers.", 5),
-    (5, "It was our first time using Airbnb' and it was really good. Thanks for everything!", 8),
-]
-TRANSLATE_TEMPLATE = (
-    "You are a professional translator. Respond with only the translation. "
-    "Translate to informal English if not already English. "
-    "Use straight apostrophes (') instead of curly ones (’).\n"
-    "Text: {text}\nTranslation:"
-)
-
-
-def prompt_examples_df(spark: SparkSession) -> DataFrame:
-    return local_df(spark, PROMPT_EXAMPLES, "n int, review string, rating int")
+# The rating prompts (scale 1-9 for none and one example, 1-10 for
+# two and five) and the translation prompt, word for word.
+PROMPTS = {
+    "zero_shot": """Give a rating from 1 to 9 for the following hotel review. Only answer with the number:
+Review: "{comment}"
+Rating:""",
+    "one_shot": """Give a rating from 1 to 9 for the following hotel review. Only answer with the number.
+Example 1:
+Review: "We had a spledid time in the old centre of Porto. The appartment is very well situated next to the old Ribeira square. It's perfect to have such an appartment to your disposal, you feel home, and have a place to relax between the exploration of this very nice city. We thank Ana & Gonçalo, and we hope the appartment is free when we go back next year. Porto is charming original"
+Rating: 9
+
+Now, rate this review:
+Review: "{comment}"
+Rating:""",
+    "two_shot": """Give a rating from 1 to 10 for the following hotel review. Only answer with the number.
+Example 1:
+Review: "We had a spledid time in the old centre of Porto. The appartment is very well situated next to the old Ribeira square. It's perfect to have such an appartment to your disposal, you feel home, and have a place to relax between the exploration of this very nice city. We thank Ana & Gonçalo, and we hope the appartment is free when we go back next year. Porto is charming original"
+Rating: 9
+
+Example 5:
+Review :" It was our first time using Airbnb' and it was really good. Thanks for everything!"
+Rating: 8
+
+Now, rate this review:
+Review: "{comment}"
+Rating:""",
+    "few_shot": """Give a rating from 1 to 10 for the following hotel review. Only answer with the number.
+Example 1:
+Review: "We had a spledid time in the old centre of Porto. The appartment is very well situated next to the old Ribeira square. It's perfect to have such an appartment to your disposal, you feel home, and have a place to relax between the exploration of this very nice city. We thank Ana & Gonçalo, and we hope the appartment is free when we go back next year. Porto is charming original"
+Rating: 10
+
+Example 2:
+Review: "It's a nice flat. The location is good even though you have to walk a bit to the metro and quite a bit to the historic center. I liked that there was a restaurant in the same building."
+Rating: 6
+
+Example 3:
+Review: "Great stay, would come back!"
+Rating: 8
+
+Example 4:
+Review:  "The apartment was as we expected and I recommend it to other travelers."
+Rating: 5
+
+Example 5:
+Review :" "The apartment was filthy, smelled terrible, and nothing worked. The bed was broken, there were bugs everywhere, and the host never responded to our messages. We left after the first night because it was impossible to stay there. Absolutely the worst experience I've ever had.""
+Rating: 1
+
+Now, rate this review:
+Review: "{comment}"
+Rating:""",
+    "translate": """You are a professional translator. Respond with only the translation. Translate to informal English if not already English. Use straight apostrophes (') instead of curly ones (’).
+Text: {comment}
+Translation:""",
+}

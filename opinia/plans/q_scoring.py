@@ -40,7 +40,7 @@ def polarity_ctes(src: str) -> str:
 tn AS (SELECT *, lag(w) OVER (PARTITION BY id ORDER BY pos) IN ({neg}) AS neg FROM t),
 h AS (SELECT tn.id, CASE WHEN neg THEN lex.polarity * -0.5 ELSE lex.polarity END AS v FROM tn JOIN {POL_SQL} ON tn.w = lex.word),
 per AS (SELECT id, avg(v) AS pol FROM h GROUP BY id),
-pol AS (SELECT src.id, CASE WHEN src.text IS NULL OR length(trim(src.text)) = 0 THEN NULL
+pol AS (SELECT src.id, CASE WHEN src.text IS NULL OR NOT regexp_matches(src.text, '\\S') THEN NULL
                             ELSE coalesce(per.pol, 0.0) END AS polarity
         FROM src LEFT JOIN per ON per.id = src.id)"""
 
@@ -178,7 +178,7 @@ def l6_final_score(spark, d):
 
 @register(
     "l7_sentiment_name",
-    "SELECT doc_id, CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS Sentimiento FROM labels",
+    "SELECT doc_id, CASE WHEN quality = 1 THEN 'Positive' WHEN quality IS NOT NULL THEN 'Negative' END AS Sentimiento FROM labels",
     "L7",
 )
 def l7_sentiment_name(spark, d):
@@ -214,9 +214,9 @@ L9_SQL = L8_SQL.replace("SELECT d.doc_id, CAST(", "SELECT d.doc_id, d.text AS Re
     "AS stars, l.quality FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN labels l USING (doc_id)",
 )
 L9_SQL = "WITH base AS (" + L9_SQL + """)
-SELECT doc_id, Review, CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS Sentimiento,
+SELECT doc_id, Review, CASE WHEN quality = 1 THEN 'Positive' WHEN quality IS NOT NULL THEN 'Negative' END AS Sentimiento,
        CAST(stars AS INTEGER) AS Score_1_5,
-       CAST(CASE WHEN quality = 1 THEN stars + 4 ELSE stars END AS INTEGER) AS Puntuacion_Final_1_9
+       CAST(CASE WHEN quality = 1 THEN stars + 4 WHEN quality IS NOT NULL THEN stars END AS INTEGER) AS Puntuacion_Final_1_9
 FROM base"""
 
 

@@ -179,7 +179,7 @@ def p3_drop_missing(spark, d):
 
 @register(
     "p4_non_blank",
-    "SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL AND length(trim(text)) > 0",
+    r"SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL AND regexp_matches(text, '\S')",
     "P4",
 )
 def p4_non_blank(spark, d):
@@ -308,10 +308,7 @@ def p11_fuse_corpora(spark, d):
 
 from opinia.operators import text as TX  # noqa: E402
 from opinia.operators.tfidf import english_stop_words  # noqa: E402
-from opinia.plans.fixtures import (  # noqa: E402
-    DEMO_LEMMAS, PROMPT_EXAMPLE, PROMPT_EXAMPLES, PROMPT_HEAD, PROMPT_TAIL_SHOTS, PROMPT_TAIL_ZERO, lemma_df,
-    prompt_examples_df,
-)
+from opinia.plans.fixtures import DEMO_LEMMAS, PROMPTS, lemma_df  # noqa: E402
 
 
 def _map_sql(rows) -> str:
@@ -347,23 +344,16 @@ def t3_bag_text(spark, d):
     return TX.bag_text(docs, "doc_id", "text", english_stop_words(), stems).select("doc_id", "text")
 
 
-def _prompt_sql(n: int, scale: int) -> str:
-    if n:
-        head = PROMPT_HEAD.format(scale=scale) + ".\n"
-        block = "".join(PROMPT_EXAMPLE.format(n=a, review=b, rating=c) for a, b, c in PROMPT_EXAMPLES[:n])
-        before, after = PROMPT_TAIL_SHOTS.split("{comment}")
-    else:
-        head, block = PROMPT_HEAD.format(scale=scale) + ":\n", ""
-        before, after = PROMPT_TAIL_ZERO.split("{comment}")
-    return f"SELECT conv_id, turn, {S.q(head + block + before)} || text || {S.q(after)} AS prompt FROM conversations"
+def _prompt_sql(name: str) -> str:
+    before, after = PROMPTS[name].split("{comment}")
+    return f"SELECT conv_id, turn, {S.q(before)} || text || {S.q(after)} AS prompt FROM conversations"
 
 
-def _prompt(spark, d, n, scale):
+def _prompt(spark, d, name):
     conv = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    tail = PROMPT_TAIL_SHOTS if n else PROMPT_TAIL_ZERO
-    out = TX.render_prompt(conv, "text", PROMPT_HEAD, PROMPT_EXAMPLE, tail, prompt_examples_df(spark), n, scale)
-    return out.select("conv_id", "turn", "prompt")
+    return TX.render_prompt(conv, "text", PROMPTS[name]).select("conv_id", "turn", "prompt")
 
 
-register("t9_prompt_zero_shot", _prompt_sql(0, 9), "T9")(lambda s, d: _prompt(s, d, 0, 9))
-register("t9_prompt_few_shot", _prompt_sql(5, 10), "T9")(lambda s, d: _prompt(s, d, 5, 10))
+for _name, _query in (("zero_shot", "t9_prompt_zero_shot"), ("one_shot", "t9_prompt_one_shot"), ("two_shot", "t9_prompt_two_shot"),
+                      ("few_shot", "t9_prompt_few_shot"), ("translate", "t9_prompt_translate")):
+    register(_query, _prompt_sql(_name), "T9")(lambda s, d, name=_name: _prompt(s, d, name))

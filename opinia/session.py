@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting is always used when present.  Only when it is unset
-    (local tests) a fresh private folder under the system temp dir is made.
+    and the session runs in one process (local tests) a fresh private folder
+    under the system temp dir is made; on a cluster that would be a folder
+    other machines cannot see, so an unset one is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="opinia-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

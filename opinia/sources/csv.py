@@ -5,8 +5,11 @@
 * Rows are parsed PERMISSIVE with one extra sentinel column ``_extra``:
   short rows come back null-padded (as the reference's reader pads them),
   rows with too many fields carry the surplus in ``_extra`` and are dropped.
-* A UTF-8 decoding problem shows up as U+FFFD in a bounded sample of lines;
-  the reader then retries the fallback encodings with ``;`` (S1).
+* The whole file is checked for invalid UTF-8; if there is any, it is read byte
+  by byte as windows-1252, or as iso-8859-1 if it holds bytes that
+  windows-1252 does not define, with ``;`` (S1).
+* Files are split among tasks unless some line has an odd number of quotes
+  (a field with a line break); only then is a file one task (``multiLine``).
 * Fields may be arbitrarily large (S4: ``maxCharsPerColumn=-1``).
 """
 
@@ -15,13 +18,17 @@ from __future__ import annotations
 import csv as _csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SNIFF_SEPARATORS = (",", ";", "\t", "|")
-FALLBACK_ENCODINGS = ("windows-1252", "iso-8859-1", "latin1")
-SAMPLE_LINES = 10_000
+SINGLE_BYTE = "iso-8859-1"
+# The characters of windows-1252 for the bytes 0x80-0x9F ("" where it has none).
+C1_BYTES = [chr(i) for i in range(0x80, 0xA0)]
+C1_CHARACTERS = ["€", "", "‚", "ƒ", "„", "…", "†", "‡", "ˆ", "‰", "Š", "‹", "Œ", "", "Ž", "",
+                 "", "‘", "’", "“", "”", "•", "–", "—", "˜", "™", "š", "›", "œ", "", "ž", "Ÿ"]
+UNDEFINED = "[" + "".join(b for b, c in zip(C1_BYTES, C1_CHARACTERS, strict=True) if not c) + "]"
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
@@ -49,15 +56,24 @@ def _columns(header: str, sep: str) -> list[str]:
     return next(_csv.reader(io.StringIO(header), delimiter=sep, quotechar='"'))
 
 
-def _has_decode_errors(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
-    """Look for undecodable bytes in a bounded sample of lines (one small
-    job): invalid UTF-8 sequences, or U+FFFD from a single-byte decoder."""
-    sample = _lines(spark, path, encoding).limit(SAMPLE_LINES)
-    if encoding.upper().replace("-", "") == "UTF8":
-        bad = ~F.is_valid_utf8("value")
-    else:
-        bad = F.col("value").contains("\ufffd")
-    return sample.where(bad).limit(1).count() > 0
+def _to_windows_1252(col) -> Column:
+    """Text read byte by byte (iso-8859-1) as windows-1252."""
+    pairs = [(b, c) for b, c in zip(C1_BYTES, C1_CHARACTERS, strict=True) if c]
+    return F.translate(col, "".join(b for b, _ in pairs), "".join(c for _, c in pairs))
+
+
+def _inspect(spark: SparkSession, path: str, encoding: str) -> tuple[bool, bool, bool]:
+    """One pass over all lines: (invalid UTF-8, bytes that windows-1252 lacks, a
+    line with an odd number of quotes)."""
+    line = F.col("value")
+    utf8 = encoding.upper().replace("-", "") == "UTF8"
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    row = _lines(spark, path, encoding).agg(
+        F.coalesce(F.bool_or(~F.is_valid_utf8(line)) if utf8 else F.lit(False), F.lit(False)),
+        F.coalesce(F.bool_or(line.rlike(UNDEFINED)), F.lit(False)),
+        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)),
+    ).first()
+    return tuple(row)
 
 
 def read_reviews(spark: SparkSession, path: str, sep: str | None = ",", schema: T.StructType | None = None,
@@ -66,34 +82,32 @@ def read_reviews(spark: SparkSession, path: str, sep: str | None = ",", schema:
     """Read a review CSV.  ``sep=None`` sniffs the separator.
     Columns are strings unless ``schema`` is given.  Raises on an empty file
     or a missing required column."""
-    enc = encoding or "UTF-8"
-    if encoding is None and _has_decode_errors(spark, path):
-        # the fallback encodings in order, as the reference retries them
-        # (Spark 4 accepts windows-1252 only with spark.sql.legacy.javaCharsets;
-        # an encoding the session refuses is skipped)
-        for cand in FALLBACK_ENCODINGS:
-            try:
-                if not _has_decode_errors(spark, path, cand):
-                    enc = cand
-                    break
-            except Exception:  # noqa: BLE001
-                continue
+    enc, cp1252 = encoding or "UTF-8", False
+    bad, undefined, broken = _inspect(spark, path, enc)
+    if encoding is None and bad:
+        enc = SINGLE_BYTE
+        _, undefined, broken = _inspect(spark, path, enc)
+        cp1252 = not undefined
         sep = fallback_sep if sep is not None else None
     header = header_line(spark, path, enc)
     if header is None or not header.strip():
         raise ValueError(f"{path}: empty file")
     if sep is None:
         sep = sniff_separator(header)
+    if cp1252:
+        header = spark.range(1).select(_to_windows_1252(F.lit(header))).first()[0]
     names = _columns(header, sep)
     fields = list(schema.fields) if schema is not None else [T.StructField(n, T.StringType()) for n in names]
     full = T.StructType(fields + [T.StructField("_extra", T.StringType())])
     df = (
         spark.read.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", "true").option("encoding", enc).option("mode", "PERMISSIVE")
+        .option("multiLine", str(broken).lower()).option("encoding", enc).option("mode", "PERMISSIVE")
         .option("maxCharsPerColumn", "-1").option("enforceSchema", "true")
         .schema(full).csv(path)
     )
     df = df.where(F.col("_extra").isNull()).drop("_extra")
+    if cp1252:
+        df = df.withColumns({f.name: _to_windows_1252(F.col(f"`{f.name}`")) for f in fields if isinstance(f.dataType, T.StringType)})
     if required:
         missing = [c for c in required if c not in df.columns]
         if missing:

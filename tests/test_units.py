@@ -171,11 +171,6 @@ def test_bad_csv_rows(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("1", "2", "3"), ("4", "5", None), ("x, y", "z", "w")]
 
 
-def test_literal_escape_issue_count(spark):
-    df = spark.createDataFrame([("[{'comments': 'a \\U0001F600'}]",)], "r string")
-    assert df.select(LIT.literal_escape_issues("r")).first()[0] == 1
-
-
 def test_score_texts_modes_agree(spark):
     from opinia.operators.scorers import lexicon_stars
     from opinia.operators.scoring import score_texts
