@@ -15,8 +15,8 @@ never removed.
    shared one (positional filter) allow the threshold, and if their parity
    signatures differ in no more bits than the sets may differ in words.
 4. Candidates are verified on the whole sets.  One earlier match settles a class,
-   so each class first tries its earliest few candidates per word; those that
-   found none go on with the next ones until none are left.  No group emits all
+   so each class first tries its nearest few candidates per word (by signature);
+   those that found none among them try more, until all have been tried.  No group emits all
    its pairs.  Very frequent prefix words are split into tiles.
 
 Defined results: null and empty texts have no lines; rows with equal id and text
@@ -40,8 +40,7 @@ THRESHOLD = 0.8
 MIN_TOKENS = 5
 SLOTS = 1 << 23
 TILE = 20_000  # postings of a word that one task compares at once
-SMALL = 64  # of words that so many classes post all candidates are tried at once; of others
-FIRST_TRIES = 256  # so many per class in the first round, five times as many in each later one
+FIRST_TRIES = 6  # nearest candidates per word that a class tries first; those that found no match then try 20 times as many
 BLOOM_BITS = 1 << 26
 
 
@@ -67,6 +66,18 @@ def line_words(arr: pa.Array):
     return C.hash_spans(mapped, s, e), doc, breaks[s] - breaks[off[doc]]
 
 
+def _sorted(h: np.ndarray, group: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
+    """Order by group, rank, hash: by one packed key, unless it ties different hashes."""
+    if group[-1] < 1 << 20:
+        low = h >> np.uint64(20) if rank is None else rank.astype(np.uint64) << np.uint64(28) | h >> np.uint64(36)
+        key = group.astype(np.uint64) << np.uint64(44) | low
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        if not (same & (h[order][1:] != h[order][:-1])).any():
+            return order
+    return np.lexsort((h, group) if rank is None else (h, rank, group))
+
+
 def line_sets(arr: pa.Array, rank: np.ndarray | None = None):
     """Distinct words of each line, by rank, then hash: (words, start of each line's
     words, their number, text number, line number)."""
@@ -77,8 +88,7 @@ def line_sets(arr: pa.Array, rank: np.ndarray | None = None):
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
     group = np.cumsum(new) - 1
-    keys = (h, group) if rank is None else (h, rank[(h & np.uint64(len(rank) - 1)).astype(np.int64)], group)
-    order = np.lexsort(keys)
+    order = _sorted(h, group, None if rank is None else rank[(h & np.uint64(len(rank) - 1)).astype(np.int64)])
     h, group = h[order], group[order]
     own = np.ones(len(h), bool)
     own[1:] = (h[1:] != h[:-1]) | (group[1:] != group[:-1])
@@ -109,8 +119,7 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
                 h, _ = C.word_hashes(arr.slice(lo, hi - lo), C.ALNUM)
                 if total is None:
                     total = np.zeros(slots, np.int32)
-                slot, n = np.unique((h & np.uint64(slots - 1)).astype(np.int64), return_counts=True)
-                total[slot] += n.astype(np.int32)
+                np.add.at(total, (h & np.uint64(slots - 1)).astype(np.int64), 1)
         at = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
         for lo in range(0, len(at), 200_000):
             own = at[lo:lo + 200_000]
@@ -237,55 +246,60 @@ def starts_of(cols: dict[str, np.ndarray], *keys: str) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def possible(x: dict, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the postings i, j of one word pass the length, positional and signature
-    filters: two sets that differ in d words differ in at most d bits of their parities."""
-    ni, nj = x["n"][i], x["n"][j]
-    at = np.flatnonzero(np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-9)
-    i, j, total = i[at], j[at], ni[at] + nj[at]
+def distance(x: dict, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the postings i, j of one word pass the positional and signature filters, and
+    the share of the allowed difference that their signatures show: two sets that differ
+    in d words differ in at most d bits of their parities."""
+    total = x["n"][i] + x["n"][j]
     need = least_overlap(total, threshold)
-    ok = np.minimum(x["left"][i], x["left"][j]) >= need
-    at, i, j, may = at[ok], i[ok], j[ok], (total - 2 * need)[ok]
-    return at[np.bitwise_count(x["s"][i] ^ x["s"][j]).astype(np.int64) + np.bitwise_count(x["t"][i] ^ x["t"][j]) <= may]
-
-
-def pairs_of(x: dict, start: np.ndarray, size: np.ndarray, lo: int, hi: int, threshold: float):
-    """Each open posting with its earlier possible ones, and the postings that have more.
-    In groups of at most SMALL postings all are given at once (lo is 0), in larger ones
-    those number lo to hi - 1.  Postings are in the order of their lines."""
+    at = np.flatnonzero(np.minimum(x["left"][i], x["left"][j]) >= need)
+    i, j, may = i[at], j[at], (total - 2 * need)[at]
+    bits = np.bitwise_count(x["s"][i] ^ x["s"][j]).astype(np.int64) + np.bitwise_count(x["t"][i] ^ x["t"][j])
+    ok = bits <= may
+    return at[ok], bits[ok]
+
+
+def nearest(i: np.ndarray, j: np.ndarray, bits: np.ndarray, tries: int) -> tuple[np.ndarray, ...]:
+    """The ``tries`` nearest j of each i, and the i that have more."""
+    order = np.lexsort((j, bits, i))
+    i, j, bits = i[order], j[order], bits[order]
+    new = np.ones(len(i), bool)
+    new[1:] = i[1:] != i[:-1]
+    turn = C.ranges(np.diff(np.append(np.flatnonzero(new), len(i))))
+    own = turn < tries
+    return i[own], j[own], bits[own], i[turn == tries]
+
+
+def pairs_of(x: dict, start: np.ndarray, size: np.ndarray, tries: int, threshold: float):
+    """For each open posting the ``tries`` nearest possible ones of earlier lines in its
+    group, and the postings that have more.  Postings are in the order of their sizes
+    within each group, so those far apart are too different in size (length filter)."""
     place = C.ranges(size)
-    xs, ys, more = [], [], []
-    if lo == 0:
-        rest = np.flatnonzero(np.repeat(size <= SMALL, size) & (place > 0) & x["open"])
-        for d in range(1, SMALL):
-            rest = rest[place[rest] >= d]
-            if not len(rest):
-                break
-            i = rest[possible(x, rest, rest - d, threshold)]
-            xs.append(i)
-            ys.append(i - d)
-    for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        left = np.arange(s, s + m)[x["open"][s:s + m]]
-        found = np.zeros(len(left), np.int64)
-        for y0 in range(s, s + m, 64):
-            go = np.flatnonzero((found <= hi) & (left > y0))
-            if not len(go):
-                break
-            for part in range(0, len(go), 4096):
-                own = go[part:part + 4096]
-                y = np.arange(y0, min(y0 + 64, s + m))
-                ii, jj = np.repeat(left[own], len(y)), np.tile(y, len(own))
-                earlier = np.flatnonzero(jj < ii)
-                ok = np.zeros(len(ii), bool)
-                ok[earlier[possible(x, ii[earlier], jj[earlier], threshold)]] = True
-                ok = ok.reshape(len(own), len(y))
-                turn = found[own][:, None] + np.cumsum(ok, axis=1) - 1
-                u, v = np.nonzero(ok & (turn >= lo) & (turn < hi))
-                xs.append(left[own][u])
-                ys.append(y[v])
-                found[own] += ok.sum(axis=1)
-        more.append(left[found > hi])
-    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, more))
+    rest = np.flatnonzero(place > 0)
+    xs, ys, ds, more, held = [], [], [], [], 0
+    d = 0
+    while len(rest):
+        d += 1
+        rest = rest[place[rest] >= d]
+        rest = rest[x["n"][rest - d] >= threshold * x["n"][rest] - 1e-9]
+        at, bits = distance(x, rest, rest - d, threshold)
+        i = rest[at]
+        later = x["rank"][i] > x["rank"][i - d]
+        u, v = np.where(later, i, i - d), np.where(later, i - d, i)
+        own = x["open"][u]
+        xs.append(u[own])
+        ys.append(v[own])
+        ds.append(bits[own])
+        held += int(own.sum())
+        if held > 2_000_000:
+            u, v, w, left = nearest(np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), tries)
+            xs, ys, ds, held = [u], [v], [w], len(u)
+            more.append(left)
+    if not xs:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    u, v, _, left = nearest(np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), tries)
+    return u, v, np.unique(np.concatenate([*more, left]))
 
 
 def postings_of(lines: DataFrame) -> DataFrame:
@@ -295,8 +309,8 @@ def postings_of(lines: DataFrame) -> DataFrame:
     return p.select(F.col("p.prefix").alias("token"), F.col("p.pos").alias("pos"), "a", "o1", ln.alias("ln"), "s", "t", "warm")
 
 
-def candidates(postings: DataFrame, lo: int, hi: int, threshold: float) -> DataFrame:
-    """(xa, xo, ya, yo): candidates of each open set x at each of its words (see pairs_of),
+def candidates(postings: DataFrame, tries: int, threshold: float) -> DataFrame:
+    """(xa, xo, ya, yo): the nearest candidates of each open set x at each of its words,
     with a document that holds each; y is null where x has more of them.  Very frequent
     words are split into blocks of TILE postings, and each two blocks meet in one tile."""
     spark = postings.sparkSession
@@ -321,13 +335,16 @@ def candidates(postings: DataFrame, lo: int, hi: int, threshold: float) -> DataF
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (a[1:] != a[:-1])
             order = order[new]
-            order = order[np.lexsort((c["a"][order], line[order], c["o1"][order], token[order]))]
-            token = token[order]
+            n = (c["ln"] & 0xFFFFFFFF)
+            rank = np.empty(len(order), np.int64)
+            rank[np.lexsort((c["a"][order], line[order], c["o1"][order]))] = np.arange(len(order))  # earlier lines are lower
+            by_size = np.lexsort((n[order], token[order]))
+            order, rank = order[by_size], rank[by_size]
+            token, n = token[order], n[order]
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            n = (c["ln"] & 0xFFFFFFFF)[order]
-            x = {"n": n, "left": n - pos[order], "s": c["s"][order].view(np.uint64), "t": c["t"][order].view(np.uint64)}
+            x = {"n": n, "rank": rank, "left": n - pos[order], "s": c["s"][order].view(np.uint64), "t": c["t"][order].view(np.uint64)}
             x["open"] = c["open"][order] if "open" in c else np.ones(len(order), bool)
-            i, j, more = pairs_of(x, start, np.diff(np.append(start, len(token))), lo, hi, threshold)
+            i, j, more = pairs_of(x, start, np.diff(np.append(start, len(token))), tries, threshold)
             a, o1 = c["a"][order], c["o1"][order]
             seen = np.lexsort((a[j], a[i]))  # a pair that several words of this batch give counts once
             i, j = i[seen], j[seen]
@@ -389,7 +406,7 @@ def _marked(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 def later_classes(keyed: DataFrame, lines: DataFrame, threshold: float, min_tokens: int) -> DataFrame:
     """(a, b) of the sets that have an earlier similar set."""
-    done, open_sets, lo, hi = None, None, 0, FIRST_TRIES
+    done, open_sets, tries = None, None, FIRST_TRIES
     postings = postings_of(lines)
     while True:
         p = postings
@@ -397,7 +414,7 @@ def later_classes(keyed: DataFrame, lines: DataFrame, threshold: float, min_toke
             tokens = postings.join(open_sets, "a", "left_semi").select("token").distinct()
             marked = postings.join(open_sets.withColumn("open", F.lit(True)), "a", "left").fillna({"open": False})
             p = marked.join(tokens, "token", "left_semi")
-        pairs = C.cut(candidates(p, lo, hi, threshold), "line-candidates")
+        pairs = C.cut(candidates(p, tries, threshold), "line-candidates")
         real = pairs.where("ya IS NOT NULL")
         places = real.selectExpr("xo o", "xa a").union(real.selectExpr("yo", "ya")).distinct()
         sets = C.cut(whole_sets(keyed, places, min_tokens), "line-sets")
@@ -412,7 +429,7 @@ def later_classes(keyed: DataFrame, lines: DataFrame, threshold: float, min_toke
         open_sets = C.cut(left, "line-open")
         if open_sets.isEmpty():
             return done.distinct()
-        lo, hi = hi, hi * 5
+        tries *= 20
 
 
 def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
