@@ -4,11 +4,11 @@ partial row per task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinia.functions.literal import REVIEW_SCHEMA, is_bracketed, parse_literal
-from opinia.functions.text import clean_words
+from opinia.functions.text import WHITESPACE_RUN, clean_word
 from opinia.operators.joins import strongest
 
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
@@ -39,16 +39,20 @@ def review_comments(col) -> "F.Column":
     return F.when(is_bracketed(c), from_list).otherwise(F.split(c, r"\|"))
 
 
-def _words(text_col: str):
-    return F.flatten(F.transform(review_comments(text_col), clean_words))
+def exploded_words(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """``(*keep, _w)``: one row per cleaned word of every review.  Splitting
+    and cleaning are plain projections behind an explode each."""
+    pieces = df.where(F.col(text_col).isNotNull()).select(*keep, F.explode(review_comments(text_col)).alias("_r"))
+    names = [c for c in pieces.columns if c != "_r"]
+    raw = pieces.select(*names, F.explode(F.split("_r", WHITESPACE_RUN)).alias("_w"))
+    return raw.select(*names, clean_word("_w").alias("_w")).where(F.col("_w") != "")
 
 
 def word_counts(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
     """Words of every review per group with their frequency:
     ``(group, word, n)``.  Partial aggregation runs before the exchange."""
     return (
-        df.where(F.col(text_col).isNotNull())
-        .select(F.col(group_col).alias("_g"), F.explode(_words(text_col)).alias("_w"))
+        exploded_words(df, text_col, F.col(group_col).alias("_g"))
         .groupBy("_g", "_w")
         .agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
     )
@@ -74,9 +78,7 @@ def word_sentiment(df: DataFrame, group_col: str, text_col: str, lexicon: DataFr
     if lex.limit(BROADCAST_LEXICON_ROWS + 1).count() <= BROADCAST_LEXICON_ROWS:
         # bounded lexicon: probe it per token (broadcast hash join, no
         # shuffle) so that only lexicon words reach the exchange
-        words = df.where(F.col(text_col).isNotNull()).select(
-            F.col(group_col).alias("_g"), F.explode(_words(text_col)).alias("_w")
-        ).where(F.length("_w") >= min_length)
+        words = exploded_words(df, text_col, F.col(group_col).alias("_g")).where(F.length("_w") >= min_length)
         counts = words.join(F.broadcast(lex), "_w").groupBy("_g", "_w", "_v").agg(
             F.count(F.lit(1)).cast("bigint").alias("_n"))
     else:

@@ -1,113 +1,90 @@
 """M1 / M9: exact k-nearest-neighbour classification on dense vectors.
 
-MLlib has no kNN.  A brute-force query x train join would emit every pair;
-instead the train set is cut into cells around ``m`` pivots (at most 256 train points
-picked by seeded hash), and each query only visits the cells that can hold
-one of its k nearest neighbours:
-
-* every train point joins its nearest pivot's cell; a cell keeps its size and
-  radius r (max distance to the pivot) — one small aggregate, m rows;
-* for query q with pivot distances d_j, the cells sorted by d_j + r_j
-  guarantee an upper bound U_q on the k-th neighbour distance as soon as
-  their sizes add up to k; a cell can hold a neighbour only if
-  max(0, d_j - r_j) <= U_q (triangle inequality, valid for L1 and L2);
-* the surviving (query, cell) pairs are equi-joined to the train points of
-  the cell, distances are exact, and ``row_number() <= k`` per query keeps
-  the neighbours (Spark computes that limit per partition before the
-  shuffle).
-
-The answer is exact; pruning power depends on the data (it fades in high
-dimensions, never correctness).  Ties: distance, then train id; vote ties go
-to the smallest label; with ``distance`` weights, zero distances alone vote.
+MLlib has no kNN.  The labelled train rows are cut into blocks of at most
+``block_bytes`` of vectors (a documented bound on what one broadcast holds);
+each block is broadcast and the query rows stream past it in Arrow batches.  A
+task keeps the k nearest of the block for each query, so k rows per query and
+block come out, never all pairs; with several blocks a last
+``row_number() <= k`` per query merges them.
+
+The answer is exact.  Ties: distance, then train id; vote ties go to the
+smallest label; with ``distance`` weights, zero distances alone vote.
 """
 
 from __future__ import annotations
 
-import json
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from opinia.operators.prep import hash_rank_key, kth_smallest, rank_at_most
+BLOCK_BYTES = 64 << 20
 
-MAX_PIVOTS = 256
 
+def _matrix(col: pa.Array, width: int) -> np.ndarray:
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != len(col) * width:
+        raise ValueError("vectors differ in length")
+    return flat.reshape(len(col), width)
 
-def distance(a: Column, b: Column, p: int = 2) -> Column:
-    if p == 2:
-        sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-        return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
-    if p == 1:
-        ab = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-        return F.aggregate(ab, F.lit(0.0), lambda acc, x: acc + x)
-    raise ValueError("p must be 1 or 2")
 
+def _block_search(held, k: int, p: int, width: int, schema: pa.Schema):
+    """Arrow function: (qid, q) to the k nearest rows of one block, best first."""
 
-def _as_double_array(col: str) -> Column:
-    return F.col(col).cast("array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held.value
+        train, tid, label = _matrix(block["v"], width), block["tid"].combine_chunks(), block["label"].combine_chunks()
+        n = min(k, len(train))
+        for b in batches:
+            near, dist = [], []
+            for q in _matrix(b.column(1), width):
+                diff = train - q
+                d = np.sqrt((diff * diff).sum(axis=1)) if p == 2 else np.abs(diff).sum(axis=1)
+                within = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
+                best = within[np.argsort(d[within], kind="stable")][:n]  # the block is in the order of its ids
+                near.append(best)
+                dist.append(d[best])
+            at = pa.array(np.concatenate(near) if near else np.zeros(0, np.int64))
+            who = pa.array(np.repeat(np.arange(b.num_rows), n))
+            values = pa.array(np.concatenate(dist) if dist else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(who), tid.take(at), label.take(at), values], schema=schema)
+
+    return run
 
 
 def neighbours(train: DataFrame, query: DataFrame, k: int, p: int = 2, tid: str = "id", qid: str = "id",
-               vec: str = "vec", label: str = "label", n_pivots: int | None = None, seed: int = 42) -> DataFrame:
-    """``(qid, tid, label, dist, rank)`` — the k nearest train rows of every
-    query row (rank 1..k)."""
-    tr = train.select(F.col(tid).alias("tid"), _as_double_array(vec).alias("v"), F.col(label).alias("label"))
-    qu = query.select(F.col(qid).alias("qid"), _as_double_array(vec).alias("q"))
-    n = tr.count()
+               vec: str = "vec", label: str = "label", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(qid, tid, label, dist, rank)``: the k nearest train rows of every query
+    row (rank 1..k).  Rows without a vector are left out."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    if p not in (1, 2):
+        raise ValueError("p must be 1 or 2")
+    spark = train.sparkSession
+    as_vector = F.col(vec).cast("array<double>")
+    tr = train.select(F.col(tid).alias("tid"), as_vector.alias("v"), F.col(label).alias("label")).where("v IS NOT NULL")
+    qu = query.select(F.col(qid).alias("qid"), as_vector.alias("q")).where("q IS NOT NULL")
+    n, width = tr.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     if n < k:
         raise ValueError("fewer train rows than k")
-    m = n_pivots or max(1, min(MAX_PIVOTS, int(math.sqrt(n))))
-    keyed = tr.withColumn("_h", hash_rank_key("tid", seed)).withColumn("_t", F.col("tid").cast("string"))
-    thr = kth_smallest(keyed, "_h", m, tie="_t")
-    pivots = [r.v for r in keyed.where(rank_at_most("_h", "_t", thr)).orderBy("_h", "_t").select("v").collect()]
-    # one constant-folded literal (not m x dim expression nodes)
-    piv = F.from_json(F.lit(json.dumps([[float(x) for x in pv] for pv in pivots])), "array<array<double>>")
-
-    def to_pivots(c: Column) -> Column:
-        return F.transform(piv, lambda pv: distance(c, pv, p))
-
-    d = to_pivots(F.col("v"))
-    cells = tr.select(
-        "tid", "v", "label",
-        F.array_position(d, F.array_min(d)).cast("int").alias("cell"),
-        F.array_min(d).alias("dp"),
-    ).persist()
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("r")).collect()
-    size = {r.cell: r.n for r in stats}
-    radius = {r.cell: r.r for r in stats}
-    ids = sorted(size)
-    cell_ids = F.array(*[F.lit(c) for c in ids])
-    cell_n = F.array(*[F.lit(size[c]) for c in ids])
-    cell_r = F.array(*[F.lit(float(radius[c])) for c in ids])
-
-    qd = qu.select("qid", "q", to_pivots(F.col("q")).alias("dall"))
-    qd = qd.select("qid", "q", F.transform(cell_ids, lambda c: F.get(F.col("dall"), c - 1)).alias("d"))
-    info = F.arrays_zip(
-        F.zip_with(F.col("d"), cell_r, lambda x, r: x + r).alias("ub"),
-        cell_n.alias("n"),
-        F.zip_with(F.col("d"), cell_r, lambda x, r: F.greatest(x - r, F.lit(0.0))).alias("lb"),
-        cell_ids.alias("cell"),
-    )
-    qd = qd.select("qid", "q", F.array_sort(info).alias("cs"))
-    # U_q: smallest upper bound whose cumulative size reaches k
-    acc0 = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("double").alias("u"))
-    u = F.aggregate(
-        "cs", acc0,
-        lambda a, x: F.struct(
-            (a["cum"] + x["n"]).alias("cum"),
-            F.when(a["u"].isNull() & (a["cum"] + x["n"] >= k), x["ub"]).otherwise(a["u"]).alias("u"),
-        ),
-    )["u"]
-    qd = qd.select("qid", "q", "cs", u.alias("U"))
-    tol = F.col("U") * 1e-9 + 1e-12
-    cand = qd.select("qid", "q", F.explode(F.filter("cs", lambda x: x["lb"] <= F.col("U") + tol)).alias("c")).select(
-        "qid", "q", F.col("c.cell").alias("cell")
-    )
-    pairs = cand.join(cells.select("cell", "tid", "v", "label"), "cell")
-    dist = pairs.select("qid", "tid", "label", distance(F.col("q"), F.col("v"), p).alias("dist"))
+    out = T.StructType([T.StructField("qid", qu.schema["qid"].dataType), tr.schema["tid"], tr.schema["label"],
+                        T.StructField("dist", T.DoubleType())])
+    blocks = -(-n * max(width, 1) * 8 // block_bytes)
+    found = None
+    for i in range(blocks):
+        own = tr if blocks == 1 else tr.where(F.pmod(F.xxhash64("tid"), F.lit(blocks)) == i)
+        table = own.toArrow().sort_by("tid")
+        if not table.num_rows:
+            continue
+        part = qu.mapInArrow(_block_search(spark.sparkContext.broadcast(table), k, p, width, to_arrow_schema(out)), out)
+        found = part if found is None else found.union(part)
     w = Window.partitionBy("qid").orderBy("dist", "tid")
-    return dist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def vote(nb: DataFrame, k: int | None = None, weights: str = "uniform") -> DataFrame:

@@ -132,7 +132,9 @@ def test_knn_matches_brute_force(spark):
     pts = [(i, [random.random() for _ in range(4)], random.randint(0, 2)) for i in range(200)]
     df = spark.createDataFrame(pts, "id long, vec array<double>, label int")
     train, query = df.where("id < 150"), df.where("id >= 150")
-    got = {r.qid: r.prediction for r in KNN.knn_predict(train, query, k=5, p=2, n_pivots=8).collect()}
+    got = {r.qid: r.prediction for r in KNN.knn_predict(train, query, k=5, p=2).collect()}
+    blocks = {r.qid: r.prediction for r in KNN.knn_predict(train, query, k=5, p=2, block_bytes=1000).collect()}
+    assert blocks == got and KNN.neighbours(train, query, 5).count() == 5 * 50
     for qi, qv, _ in pts[150:]:
         ds = sorted((math.dist(qv, tv), ti, tl) for ti, tv, tl in pts[:150])[:5]
         votes = {}
