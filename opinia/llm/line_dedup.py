@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinia.llm import common as C
+from opinia.operators.joins import bounded
 
 THRESHOLD = 0.8
 MIN_TOKENS = 5
@@ -112,15 +113,19 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
     slots = SLOTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, held, n = np.zeros(0, np.int64), [], 0
         for b in batches:
             arr = C.strings(b.column(0))
             for lo, hi in C.slices(arr):
                 h, _ = C.word_hashes(arr.slice(lo, hi - lo), C.ALNUM)
-                if total is None:
-                    total = np.zeros(slots, np.int32)
-                np.add.at(total, (h & np.uint64(slots - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
+                held.append((h & np.uint64(slots - 1)).astype(np.int64))
+                n += len(h)
+                if n > 4_000_000:
+                    total = np.bincount(np.concatenate(held), minlength=slots) + (total if len(total) else 0)
+                    held, n = [], 0
+        if held:
+            total = np.bincount(np.concatenate(held), minlength=slots) + (total if len(total) else 0)
+        at = np.flatnonzero(total)
         for lo in range(0, len(at), 200_000):
             own = at[lo:lo + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], names=["slot", "n"])
@@ -411,9 +416,9 @@ def later_classes(keyed: DataFrame, lines: DataFrame, threshold: float, min_toke
     while True:
         p = postings
         if open_sets is not None:  # only words that an open set posts
-            tokens = postings.join(open_sets, "a", "left_semi").select("token").distinct()
-            marked = postings.join(open_sets.withColumn("open", F.lit(True)), "a", "left").fillna({"open": False})
-            p = marked.join(tokens, "token", "left_semi")
+            tokens = C.cut(postings.join(bounded(open_sets), "a", "left_semi").select("token").distinct(), "line-open-words")
+            p = postings.join(bounded(tokens), "token", "left_semi")
+            p = p.join(bounded(open_sets.withColumn("open", F.lit(True))), "a", "left").fillna({"open": False})
         pairs = C.cut(candidates(p, tries, threshold), "line-candidates")
         real = pairs.where("ya IS NOT NULL")
         places = real.selectExpr("xo o", "xa a").union(real.selectExpr("yo", "ya")).distinct()
