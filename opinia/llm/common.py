@@ -21,7 +21,7 @@ from opinia.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 1 << 20  # texts are hashed in slices of about this size
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -87,20 +87,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("p")
-    if have is None or len(have) < n:
-        m = max(n, CHUNK_BYTES + 1)
-        for key, base in (("p", _MULT), ("i", _INV)):
-            a = np.full(m, base, np.uint64)
-            a[0] = 1
-            _POWERS[key] = np.multiply.accumulate(a)
-    return _POWERS["p"], _POWERS["i"]
-
-
 def slices(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes (a longer text is alone)."""
     off = np.frombuffer(arr.buffers()[1], np.int32 if pa.types.is_string(arr.type) else np.int64)
@@ -139,13 +125,22 @@ def word_spans(mapped: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def hash_spans(mapped: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span (prefix sums of a polynomial, mixed)."""
+    """64-bit hash of each byte span, eight bytes at a time.  Spans of at most eight
+    bytes and equal length never collide."""
     if not len(s):
         return np.zeros(0, np.uint64)
-    p, inv = _powers(len(mapped) + 1)
-    h = np.zeros(len(mapped) + 1, np.uint64)
-    np.cumsum((mapped.astype(np.uint64) + np.uint64(1)) * p[:len(mapped)], out=h[1:])
-    return mix64((h[e] - h[s]) * inv[s] + (e - s).astype(np.uint64))
+    padded = np.zeros(len(mapped) + 8, np.uint8)
+    padded[:len(mapped)] = mapped
+    eight = np.ndarray((len(mapped) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    left = e - s
+    h = mix64((eight[s] & _MASKS[np.minimum(left, 8)]) ^ (left.astype(np.uint64) * _MULT))
+    rest, at = np.flatnonzero(left > 8), 8
+    while len(rest):
+        more = left[rest] - at
+        x = eight[s[rest] + at] & _MASKS[np.minimum(more, 8)]
+        h[rest] = mix64(h[rest] ^ (x * _MULT))
+        rest, at = rest[more > 8], at + 8
+    return h
 
 
 def word_hashes(arr: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -41,8 +41,9 @@ THRESHOLD = 0.8
 MIN_TOKENS = 5
 SLOTS = 1 << 23
 TILE = 20_000  # postings of a word that one task compares at once
-FIRST_TRIES = 6  # nearest candidates per word that a class tries first; those that found no match then try 20 times as many
+FIRST_TRIES = 6  # nearest candidates per word that a class tries first; those that found no match then try 1000 times as many
 BLOOM_BITS = 1 << 26
+FEW_DOCUMENTS = 100_000  # ids that are broadcast to pick the texts that are read again
 
 
 def least_overlap(total, threshold: float):
@@ -62,9 +63,11 @@ def line_words(arr: pa.Array):
     buf, off = C.raw(arr)
     mapped = C.ALNUM[buf]
     s, e = C.word_spans(mapped, off)
-    breaks = np.concatenate([[0], np.cumsum(buf == 10)])
-    doc = np.searchsorted(off, s, side="right") - 1
-    return C.hash_spans(mapped, s, e), doc, breaks[s] - breaks[off[doc]]
+    first = np.searchsorted(s, off)  # the first word of each text
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    breaks = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(buf == 10, dtype=np.int32, out=breaks[1:])
+    return C.hash_spans(mapped, s, e), doc, breaks[s] - np.repeat(breaks[off[:-1]], np.diff(first))
 
 
 def _sorted(h: np.ndarray, group: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
@@ -378,8 +381,8 @@ def whole_sets(keyed: DataFrame, places: DataFrame, min_tokens: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, sets = held.value
         for b in batches:
-            b = b.take(pa.array(np.flatnonzero(_marked(texts, b.column(3).to_numpy()))))
-            o1, arr = b.column(0).to_numpy(), C.strings(b.column(2))
+            b = b.take(pa.array(np.flatnonzero(_marked(texts, b.column(2).to_numpy()))))
+            o1, arr = b.column(0).to_numpy(), C.strings(b.column(1))
             for lo, hi in C.slices(arr):
                 h, start, n, doc, line = line_sets(arr.slice(lo, hi - lo))
                 a, bb = set_hash(h, start)
@@ -390,7 +393,10 @@ def whole_sets(keyed: DataFrame, places: DataFrame, min_tokens: int) -> DataFram
                     pa.array(o1[doc[own] + lo]), pa.array(a[own]), pa.array(bb[own]), C.list_array(words.view(np.int64), off, pa.int64())],
                     names=["o", "a", "b", "words"])
 
-    slotted = keyed.select("o1", "o2", "_text", F.pmod(F.xxhash64("o1"), F.lit(BLOOM_BITS)).alias("_slot"))
+    slotted = keyed.select("o1", "_text", F.pmod(F.xxhash64("o1"), F.lit(BLOOM_BITS)).alias("_slot"))
+    documents = places.select(F.col("o").alias("o1")).distinct()
+    if documents.limit(FEW_DOCUMENTS + 1).count() <= FEW_DOCUMENTS:  # then only their texts go to Python
+        slotted = slotted.join(F.broadcast(documents), "o1", "left_semi").select(*slotted.columns)
     found = slotted.mapInArrow(run, "o long, a long, b long, words array<long>").join(places, ["o", "a"], "left_semi")
     return found.groupBy("a", "b").agg(F.first("words").alias("words"))
 
@@ -434,7 +440,7 @@ def later_classes(keyed: DataFrame, lines: DataFrame, threshold: float, min_toke
         open_sets = C.cut(left, "line-open")
         if open_sets.isEmpty():
             return done.distinct()
-        tries *= 20
+        tries *= 1000
 
 
 def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
