@@ -1,17 +1,18 @@
 """Lexicon sentiment (L1, L2, L3b) as token-table jobs.
 
-Texts are exploded to one row per token, the lexicon (and booster / negator
-lists) are joined by broadcast after a size check, the context rules read the
-previous three tokens with ``lag`` over a window partitioned by document, and
-one aggregation per document sums up.  Lexicons are input tables; the
+Each text's tokens are an array in its row, where the context rules look back;
+they are then exploded to one row per token, the lexicon (and booster list) are
+joined by broadcast after a size check, and one aggregation per document,
+summed up in its task first, is the only shuffle.  Lexicons are input tables; the
 reference gets them from external libraries.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinia.functions.labels import polarity_label
@@ -38,23 +39,21 @@ class ValenceRules:
     alpha: float = 15.0
 
 
-def _tokens(df: DataFrame, id_col: str, text_col: str, *extra) -> DataFrame:
-    """``(id, *extra, pos, tok, w)``: whitespace tokens with punctuation
-    stripped (case kept in ``tok``, lower in ``w``); tokens of one character
-    are dropped (the analyser ignores them).  The first piece of every text
-    is always kept — as a null placeholder when it is not a token — so every
-    text has a row and per-document results need no join back; sitting
-    before all tokens, the placeholder never changes a look-back.
-    Splitting and stripping are codegen'd projections after the explode."""
-    # per-text values are computed below the explode (once per text, not per token)
-    base = df.select(F.col(id_col).alias("id"), *extra, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    names = [c for c in base.columns if c not in ("id", "_text")]
-    x = base.select("id", *names, F.posexplode(F.split("_text", WHITESPACE_RUN)).alias("pos", "tok0"))
-    tok = F.btrim(F.col("tok0"), F.lit(PUNCTUATION))
-    x = x.select("id", *names, "pos", tok.alias("tok0"))
-    x = x.where((F.length("tok0") > 1) | (F.col("pos") == 0))
-    x = x.withColumn("tok", F.when(F.length("tok0") > 1, F.col("tok0"))).drop("tok0")
-    return x.withColumn("w", F.lower("tok"))
+def _tokens(df: DataFrame, id_col: str, text_col: str, back: int, **extra) -> DataFrame:
+    """``(id, *extra, pos, tok, w, p1 .. p<back>)``: whitespace tokens with
+    punctuation stripped (case kept in ``tok``, lower in ``w``) and the
+    lower-cased tokens before each; tokens of one character are dropped (the
+    analyser ignores them).  Looking back is done in the row's token array, so
+    no token is shuffled.  A text without tokens keeps one row of nulls.
+    ``extra`` are expressions of the arrays ``_toks`` and ``_low`` and of ``_text``."""
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_raw"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    pieces = F.transform(F.split("_text", WHITESPACE_RUN), lambda t: F.btrim(t, F.lit(PUNCTUATION)))
+    x = base.withColumn("_toks", F.filter(pieces, lambda t: F.length(t) > 1))
+    x = x.withColumn("_low", F.transform("_toks", lambda t: F.lower(t)))
+    item = F.transform("_toks", lambda t, i: F.struct(
+        i.alias("pos"), t.alias("tok"), F.get("_low", i).alias("w"), *(F.get("_low", i - k).alias(f"p{k}") for k in range(1, back + 1))))
+    rows = x.select("id", *(e.alias(n) for n, e in extra.items()), F.explode_outer(item).alias("_r"))
+    return rows.select("id", *extra, "_r.*")
 
 
 def polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
@@ -64,13 +63,11 @@ def polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
     nothing matches; null for a null or blank text.  ``lexicon`` has
     ``(word, polarity)`` with polarity in [-1, 1]."""
     negators = negators or ["not", "never", "no"]
-    blank = F.col(text_col).isNull() | (F.length(strip_ws(text_col)) == 0)
-    toks = _tokens(df, id_col, text_col, blank.alias("_blank"))
-    w = Window.partitionBy("id").orderBy("pos")
-    toks = toks.withColumn("_neg", F.lag("w", 1).over(w).isin(negators))
+    blank = F.col("_raw").isNull() | (F.length(strip_ws("_raw")) == 0)
+    toks = _tokens(df, id_col, text_col, 1, _blank=blank)
     lex = strongest(lexicon, "word", "polarity").select(F.col("word").alias("w"), F.col("polarity").alias("_p"))
     hits = lookup_join(toks, lex, "w", "left").select(
-        "id", "_blank", F.when(F.col("_neg"), F.col("_p") * negation).otherwise(F.col("_p")).alias("_v")
+        "id", "_blank", F.when(F.col("p1").isin(negators), F.col("_p") * negation).otherwise(F.col("_p")).alias("_v")
     )
     per = hits.groupBy("id").agg(F.avg("_v").alias("_pol"), F.first("_blank").alias("_blank"))
     return per.select(
@@ -85,42 +82,36 @@ def valence_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
     ``(word, valence)`` and a booster table ``(word, increment)``; texts with
     no tokens score 0 / 0 / 0 / 0.
 
-    One exchange (on the document id) feeds the window and the final
-    aggregation; each ``lag`` is computed once; the per-text punctuation
-    emphasis rides along the token rows instead of a join back."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    Nothing but the per-text sums is shuffled: the tokens before each token
+    come from the row's own array, lexicon and boosters are probed."""
+    text = F.col("_text")
     n_ex = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
     n_q = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
     emph = F.least(n_ex, F.lit(rules.exclam_max)) * rules.exclam + F.when(n_q > 3, rules.question_large).when(
         n_q > 1, n_q * rules.question_small).otherwise(0.0)
-    toks = _tokens(df, id_col, text_col, emph.alias("_e"))
+
+    def caps(t):
+        return (t == F.upper(t)) & (t != F.lower(t))
+
+    back = len(rules.booster_decay)
+    toks = _tokens(df, id_col, text_col, back, _e=emph, _mixed=F.exists("_toks", lambda t: ~caps(t)),
+                   _but=F.nullif(F.array_position("_low", F.lit("but")), F.lit(0)) - 1)
     lex = strongest(lexicon, "word", "valence").select(F.col("word").alias("w"), F.col("valence").alias("_v0"))
-    bst = strongest(boosters, "word", "increment").select(F.col("word").alias("w"), F.col("increment").alias("_inc"))
-    toks = lookup_join(lookup_join(toks, lex, "w", "left"), bst, "w", "left")
-    win = Window.partitionBy("id").orderBy("pos")
-    whole = Window.partitionBy("id")
-    is_caps = (F.col("tok") == F.upper("tok")) & (F.col("tok") != F.lower("tok"))
-    cols = {
-        "_v0": F.coalesce(F.col("_v0"), F.lit(0.0)),
-        "_caps": is_caps,
-        "_isneg": F.col("w").isin(negators),
-    }
-    toks = toks.withColumns(cols)
-    lags = {}
-    for j in (1, 2, 3):
-        lags[f"_i{j}"] = F.lag("_inc", j).over(win)
-        lags[f"_n{j}"] = F.coalesce(F.lag("_isneg", j).over(win), F.lit(False))
-    not_caps = F.when(F.col("tok").isNull(), F.lit(None)).when(F.col("_caps"), 0).otherwise(1)
-    lags["_mixed"] = F.max(not_caps).over(whole) == 1
-    lags["_but"] = F.min(F.when(F.col("w") == "but", F.col("pos"))).over(whole)
-    toks = toks.withColumns(lags)
+    bst = strongest(boosters, "word", "increment")
+    toks = lookup_join(toks, lex, "w", "left")
+    for j in range(1, back + 1):
+        toks = lookup_join(toks, bst.select(F.col("word").alias(f"p{j}"), F.col("increment").alias(f"_i{j}")), f"p{j}", "left")
+    toks = toks.withColumns({
+        "_v0": F.coalesce(F.col("_v0"), F.lit(0.0)), "_caps": caps(F.col("tok")),
+        **{f"_n{j}": F.coalesce(F.col(f"p{j}").isin(negators), F.lit(False)) for j in range(1, back + 1)},
+    })
     v0 = F.col("_v0")
     sign = F.signum(v0)
     v = v0 + F.when(F.col("_caps") & F.col("_mixed") & (v0 != 0), sign * rules.caps).otherwise(0.0)
     for j, decay in enumerate(rules.booster_decay, start=1):
         inc = F.col(f"_i{j}")
         v = v + F.when((v0 != 0) & inc.isNotNull(), sign * F.abs(inc) * F.signum(inc) * decay).otherwise(0.0)
-    negated = F.col("_n1") | F.col("_n2") | F.col("_n3")
+    negated = reduce(lambda a, j: a | F.col(f"_n{j}"), range(1, back + 1), F.lit(False))
     v = F.when(negated & (v0 != 0), v * rules.negation).otherwise(v)
     but_pos = F.col("_but")
     v = (

@@ -127,6 +127,13 @@ def grid_search(estimator, grid: dict, df: DataFrame, folds: int = 5, metric: st
     """M8: ``CrossValidator`` over a grid ``{param_name: [values]}`` with
     reproducible stratified folds.  Returns ``(best_model, best_params,
     best_score)``; ties go to the first grid point."""
+    model, scored, best = scored_grid(estimator, grid, df, folds, metric, label, key, seed, parallelism)
+    return model, *scored[best]
+
+
+def scored_grid(estimator, grid: dict, df: DataFrame, folds: int = 5, metric: str = "accuracy",
+                label: str = "label", key: str = "id", seed: int = 42, parallelism: int = 4):
+    """M8: ``(best model, [(params, score)] of every grid point, number of the best)``."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), values)
@@ -138,8 +145,7 @@ def grid_search(estimator, grid: dict, df: DataFrame, folds: int = 5, metric: st
     model = cv.fit(data)
     scores = list(model.avgMetrics)
     best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    params = {p.name: v for p, v in maps[best].items()}
-    return model.bestModel, params, scores[best]
+    return model.bestModel, [({p.name: v for p, v in m.items()}, x) for m, x in zip(maps, scores, strict=True)], best
 
 
 @dataclass
