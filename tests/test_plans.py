@@ -65,3 +65,16 @@ def test_tfidf_fit_shuffles_by_term_only(spark):
     p = _plan(TF.term_stats(docs, "doc_id", "text", TF.SETTING_A))
     assert p.count("Exchange hashpartitioning") == 1
     assert "hashpartitioning(term" in p and "hashpartitioning(id" not in p
+
+
+def test_lexicon_rules_shuffle_no_token(spark):
+    for name in ("l1_valence_scores", "l2_polarity"):
+        p = _plan(QUERIES[name].build(spark, SF_SMALL))
+        assert "Window" not in p and "Generate" in p, name
+        # the per-text sums, and the look-up tables reduced to one row per word
+        assert p.count("Exchange hashpartitioning(id") == 1 and "hashpartitioning(w" not in p.replace("hashpartitioning(word", ""), name
+
+
+def test_knn_gives_k_rows_per_query_and_block(spark):
+    p = _plan(QUERIES["m1_knn_euclid_uniform"].build(spark, SF_SMALL))
+    assert "MapInArrow" in p and "Join" not in p
