@@ -135,11 +135,12 @@ def doc_table(keyed: DataFrame, runs: int, threshold: float) -> DataFrame:
 
 
 def alike_paths(big: DataFrame) -> DataFrame:
-    """Buckets whose sketches agree in ALIKE of the cases on average, over 8 bins."""
-    cells = big.select("path", "m", F.explode(F.array(*(
-        F.struct(F.lit(i).alias("bin"), F.substring("sketch", 8 * i + 1, 1).alias("v")) for i in range(8)))).alias("c"))
-    same = cells.groupBy("path", "c.bin", "c.v").agg(F.count("*").alias("k"), F.first("m").alias("m"))
-    mean = same.groupBy("path").agg((F.sum(F.col("k") * F.col("k")) / (8.0 * F.first("m") * F.first("m"))).alias("mean"))
+    """Buckets whose sketches agree in ALIKE of the cases on average, over four bins: of m
+    values, k_1, k_2, ... equal ones agree in the sum of k^2 / m^2 of the pairs."""
+    counts = [big.groupBy("path", F.substring("sketch", i + 1, 1).alias("v")).agg(F.count("*").alias("k"), F.first("m").alias("m"))
+              for i in range(0, BINS, BINS // 4)]
+    same = counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    mean = same.groupBy("path").agg((F.sum(F.col("k") * F.col("k")) / (4.0 * F.first("m") * F.first("m"))).alias("mean"))
     return mean.where(F.col("mean") >= ALIKE).select("path")
 
 
