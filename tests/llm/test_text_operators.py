@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from opinia.llm import catalogue, decontaminate, html_text, language, licenses, quality, suffix_tree
 from opinia.llm import common as C
@@ -165,6 +166,55 @@ def test_suffix_tree_learns_contexts(spark):
     assert all(r.score > r.base_score for r in rows)
 
 
+def brute_tree(train, depth):
+    """(log10 p of a word behind a history) by the model's definition."""
+    read = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None]
+    count = Counter(w for t in train for w in read(t))
+    mass = sum(count.values()) + 0.1 * (len(count) + 1)
+    cells = [{} for _ in range(depth + 1)]
+    for t in train:
+        w = [None, *read(t)]
+        for i in range(1, len(w)):
+            for k in range(1, min(depth, i) + 1):
+                cells[k].setdefault(tuple(w[i - k:i]), Counter())[w[i]] += 1
+    kept = {}
+
+    def p(history, w):
+        for k in range(min(depth, len(history)), 0, -1):
+            ctx = tuple(history[-k:])
+            if ctx in kept:
+                c = kept[ctx]
+                return (c[w] + suffix_tree.ALPHA * p(history[-k + 1:] if k > 1 else (), w)) / (c.total() + suffix_tree.ALPHA)
+        return (count[w] + 0.1) / mass
+
+    for k in range(1, depth + 1):
+        for ctx, c in cells[k].items():
+            n, free = c.total(), max(len(c) - 1, 1)
+            if n >= suffix_tree.MIN_COUNT:
+                kl = sum(x / n * math.log(x / n / p(ctx[1:], w)) for w, x in c.items())
+                if 2 * n * kl >= free + 3 * math.sqrt(2 * free):
+                    kept[ctx] = c
+    return kept, lambda t: sum(math.log10(p([None, *read(t)][max(0, i - depth):i], w)) for i, w in enumerate([None, *read(t)]) if i)
+
+
+def test_suffix_tree_keeps_every_context(spark):
+    """Over 500 words, over 2,000 contexts of two words, and longer ones."""
+    rng = random.Random(7)
+    names = [f"v{i}" for i in range(900)]
+    texts = []
+    for i in range(3600):
+        lead = names[i % 900]
+        texts.append(" ".join(f"{lead} {lead}x{j} {lead}y{(i // 900 + j) % 2} {rng.choice('abc')}" for j in (0, 1, 0, 1, 0, 1)))
+    texts = texts * 18 + ["", "v1 v2 unseen", names[0]]
+    kept, want = brute_tree(texts, 3)
+    assert len({w for c in kept for w in c}) > 2000 and sum(len(c) == 2 for c in kept) > 2000 and any(len(c) == 3 for c in kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    probe = [i for i in range(0, len(texts), 997)] + list(range(len(texts) - 3, len(texts)))
+    some = docs.where(F.col("doc_id").isin(probe))
+    for entries in (2_000_000, 100):  # all broadcast, most joined
+        got = {r.doc_id: r.score for r in suffix_tree.score(some, suffix_tree.fit(docs, depth=3, frequent=300, entries=entries)).collect()}
+        assert all(abs(got[i] - want(texts[i])) < 1e-6 for i in probe)
+
 def test_html_extraction(spark):
     tree = html_text.train(spark)
     assert all(html_text.decide(tree, f) == bool(y) for f, y in html_text.labelled_table())
