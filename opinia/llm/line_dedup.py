@@ -2,15 +2,16 @@
 
 A line is the set of its normalised words.  A line is removed if an earlier
 line (by document id, then line number) has a Jaccard similarity of at least
-``threshold`` with it; lines with fewer than ``min_tokens`` different words are
-never removed.
+``threshold`` with it.  Lines of any number of words take part; ``min_tokens`` can
+leave shorter ones out.
 
 1. Words are ordered by rarity.  Frequencies are counted over all documents in
    ``SLOTS`` hashed counters (a size bound for what is broadcast); the order is
    the same everywhere, so the join stays exact whatever words share a counter.
 2. Lines with equal sets form a class, first and foremost.
 3. Each class posts its rarest ``n - ceil(threshold n) + 1`` words (prefix filter);
-   a word that is in one line only is left out.  Classes that meet at a word are
+   a word that is in one line only is left out, and so are sets that are too small to be
+   like any but an equal one (up to three words at 0.8).  Classes that meet at a word are
    candidates if their sizes (length filter) and the words left behind the
    shared one (positional filter) allow the threshold, and if their parity
    signatures differ in no more bits than the sets may differ in words.
@@ -38,7 +39,7 @@ from opinia.llm import common as C
 from opinia.operators.joins import bounded
 
 THRESHOLD = 0.8
-MIN_TOKENS = 5
+MIN_TOKENS = 1
 SLOTS = 1 << 23
 TILE = 20_000  # postings of a word that one task compares at once
 FIRST_TRIES = 6  # nearest candidates per word that a class tries first; those that found no match then try 1000 times as many
@@ -55,6 +56,11 @@ def prefix_size(n, threshold: float):
     return n - np.ceil(threshold * np.asarray(n) - 1e-9).astype(np.int64) + 1
 
 
+def alone(n, threshold: float):
+    """Whether a set of n elements has that Jaccard with equal sets only: one more element is too many."""
+    return n < threshold * (n + 1) - 1e-9
+
+
 # --- tokens of lines ---------------------------------------------------------------------------------------------
 
 
@@ -192,7 +198,7 @@ def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> Dat
                 h, start, n, doc, line = line_sets(arr.slice(lo, hi - lo), ranks)
                 a, b = set_hash(h, start)
                 long = np.flatnonzero(n >= min_tokens)
-                size = prefix_size(n[long], threshold)
+                size = np.where(alone(n[long], threshold), 0, prefix_size(n[long], threshold))
                 pos = C.ranges(size)
                 word = h[np.repeat(start[long], size) + pos]
                 code = ranks[(word & np.uint64(len(ranks) - 1)).astype(np.int64)]
@@ -204,7 +210,7 @@ def line_table(keyed: DataFrame, rank, threshold: float, min_tokens: int) -> Dat
                 sign = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), start) if len(start) else h for half in (low, ~low)]
                 at = doc[long] + lo
                 held.append([o1[at], o2[at], line[long].astype(np.int32), a[long], b[long], n[long].astype(np.int32),
-                             *(x[long].view(np.int64) for x in sign), warm, count, (word[shared] >> np.uint64(24)).astype(np.uint32).view(np.int32),
+                             *(np.where(size > 0, x[long].view(np.int64), 0) for x in sign), warm, count, (word[shared] >> np.uint64(24)).astype(np.uint32).view(np.int32),
                              pos[shared].astype(np.int32)])
                 if sum(len(x[0]) for x in held) > window:
                     yield from flush()

@@ -55,6 +55,24 @@ def test_line_dedup_is_exact(spark, monkeypatch, small):
     assert sum(map(len, want.values())) > 100
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of one to four words, and of a script without spaces, by brute force over all lines."""
+    rng = random.Random(8)
+    pool = ["Menu", "All rights reserved.", "Read more", "one two three four", "one two three four five", "two three four", "我们在这里", "...", ""]
+    rows = [(i, "\n".join(rng.choice([*pool, f"own {i}"]) for _ in range(6))) for i in range(60)]
+    seen, want = [], defaultdict(list)
+    for d, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            s = frozenset(words(x))
+            if s and any(len(s & o) / len(s | o) >= 0.8 for o in seen):
+                want[d].append(k)
+            if s:
+                seen.append(s)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.removed_lines for r in line_dedup.summary(docs).collect()}
+    assert got == {d: ",".join(map(str, want[d])) for d, _ in rows} and sum(map(len, want.values())) > 150
+
+
 def test_line_dedup_edges(edges, empty):
     out = line_dedup.dedup(edges).collect()
     assert len(out) == edges.count()
