@@ -8,7 +8,7 @@ element, role, class or id).  A decision tree, trained with MLlib on the small
 labelled table in ``html_samples``, says which blocks are main text.
 
 Scripts, styles, comments, templates and hidden elements hold no text; character
-references are decoded; white space inside a block becomes one space; blocks
+references are decoded; a self-closed svg or math is empty; white space inside a block becomes one space; blocks
 are joined in page order by one newline.  Nothing else is dropped or cut.
 
 Defined results: null or empty html gives an empty text; markup that breaks off
@@ -29,7 +29,8 @@ from opinia.llm.html_samples import SAMPLES
 
 SILENT = "script|style|template|noscript|svg|math|iframe|object|textarea|select|title"
 PIECES = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<silent>{SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<(?P<silent>{SILENT})(?=[\s/>])[^>]*>.*?(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)(?:>|\Z)", re.S | re.I)
 HINTS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp "

@@ -236,6 +236,14 @@ def test_html_extraction(spark):
     assert html_text.extract(odd.where("false"), tree).count() == 0
 
 
+def test_html_silent_elements_end_where_they_end():
+    text = lambda page: [t for t, _ in html_text.blocks_of(page)]
+    assert text('<p>One</p><svg class="icon"/><p>Two</p><math/><p>Three</p><svg title="a>b" /><p>Four') == ["One", "Two", "Three", "Four"]
+    for name in ("svg-icon", "select-box", "template-x", "title-bar"):
+        assert text(f"<p>One</p><{name}>Own</{name}><p>Two</p>") == ["One", "Own", "Two"]
+    assert text("<p>One</p><svg><path d=''/><text>no</text></svg><script src='x'/>no</script><p>Two<style\n>no</style>") == ["One", "Two"]
+
+
 def test_decontamination_edges_and_blocks(spark, edges, empty):
     rng = random.Random(5)
     item = lambda n: " ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(n))
