@@ -1,11 +1,11 @@
 """M1 / M9: exact k-nearest-neighbour classification on dense vectors.
 
-MLlib has no kNN.  The labelled train rows are cut into blocks of at most
-``block_bytes`` of vectors (a documented bound on what one broadcast holds);
-each block is broadcast and the query rows stream past it in Arrow batches.  A
-task keeps the k nearest of the block for each query, so k rows per query and
-block come out, never all pairs; with several blocks a last
-``row_number() <= k`` per query merges them.
+MLlib has no kNN.  Train rows of at most ``block_bytes`` of vectors are broadcast
+and the query rows stream past them in Arrow batches.  More train rows stay on
+the executors: train and query rows are hashed into blocks of about that size, and
+each pair of blocks meets in one cogrouped task.  A task keeps the k nearest of
+its train block for each query, so k rows per query and train block come out, never
+all pairs; a last ``row_number() <= k`` per query merges them.
 
 The answer is exact.  Ties: distance, then train id; vote ties go to the
 smallest label; with ``distance`` weights, zero distances alone vote.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,30 +33,54 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(col), width)
 
 
+def _nearest(block: pa.Table, rows: pa.RecordBatch | pa.Table, k: int, p: int, width: int) -> list[pa.Array]:
+    """(qid, tid, label, dist): the k nearest rows of a block, in the order of its ids, for
+    each row (qid, q), best first."""
+    train, tid, label = _matrix(block["v"], width), block["tid"].combine_chunks(), block["label"].combine_chunks()
+    n = min(k, len(train))
+    near, dist = [], []
+    for q in _matrix(rows.column("q"), width):
+        diff = train - q
+        d = np.sqrt((diff * diff).sum(axis=1)) if p == 2 else np.abs(diff).sum(axis=1)
+        within = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
+        best = within[np.argsort(d[within], kind="stable")][:n]
+        near.append(best)
+        dist.append(d[best])
+    at = pa.array(np.concatenate(near) if near else np.zeros(0, np.int64))
+    who = pa.array(np.repeat(np.arange(rows.num_rows), n))
+    values = pa.array(np.concatenate(dist) if dist else np.zeros(0))
+    return [rows.column("qid").take(who), tid.take(at), label.take(at), values]
+
+
 def _block_search(held, k: int, p: int, width: int, schema: pa.Schema):
-    """Arrow function: (qid, q) to the k nearest rows of one block, best first."""
+    """Arrow function: (qid, q) to the k nearest rows of the one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
-        train, tid, label = _matrix(block["v"], width), block["tid"].combine_chunks(), block["label"].combine_chunks()
-        n = min(k, len(train))
         for b in batches:
-            near, dist = [], []
-            for q in _matrix(b.column(1), width):
-                diff = train - q
-                d = np.sqrt((diff * diff).sum(axis=1)) if p == 2 else np.abs(diff).sum(axis=1)
-                within = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
-                best = within[np.argsort(d[within], kind="stable")][:n]  # the block is in the order of its ids
-                near.append(best)
-                dist.append(d[best])
-            at = pa.array(np.concatenate(near) if near else np.zeros(0, np.int64))
-            who = pa.array(np.repeat(np.arange(b.num_rows), n))
-            values = pa.array(np.concatenate(dist) if dist else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(who), tid.take(at), label.take(at), values], schema=schema)
+            yield pa.RecordBatch.from_arrays(_nearest(held.value, b, k, p, width), schema=schema)
+
+    return run
+
+
+def _pair_search(k: int, p: int, width: int, schema: pa.Schema):
+    """Arrow function of a train block and a query block."""
+
+    def run(train: pa.Table, rows: pa.Table) -> pa.Table:
+        if not train.num_rows or not rows.num_rows:
+            return schema.empty_table()
+        return pa.Table.from_arrays(_nearest(train.sort_by("tid"), rows, k, p, width), schema=schema)
 
     return run
 
 
+def _block(blocks: int, *cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
+
+
+def _each(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+
 def neighbours(train: DataFrame, query: DataFrame, k: int, p: int = 2, tid: str = "id", qid: str = "id",
                vec: str = "vec", label: str = "label", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(qid, tid, label, dist, rank)``: the k nearest train rows of every query
@@ -75,14 +99,16 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, p: int = 2, tid: str
     out = T.StructType([T.StructField("qid", qu.schema["qid"].dataType), tr.schema["tid"], tr.schema["label"],
                         T.StructField("dist", T.DoubleType())])
     blocks = -(-n * max(width, 1) * 8 // block_bytes)
-    found = None
-    for i in range(blocks):
-        own = tr if blocks == 1 else tr.where(F.pmod(F.xxhash64("tid"), F.lit(blocks)) == i)
-        table = own.toArrow().sort_by("tid")
-        if not table.num_rows:
-            continue
-        part = qu.mapInArrow(_block_search(spark.sparkContext.broadcast(table), k, p, width, to_arrow_schema(out)), out)
-        found = part if found is None else found.union(part)
+    if blocks <= 1:
+        table = spark.sparkContext.broadcast(tr.toArrow().sort_by("tid"))
+        found = qu.mapInArrow(_block_search(table, k, p, width, to_arrow_schema(out)), out)
+    else:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(-(-qu.count() * width * 8 // block_bytes), -(-tasks // blocks), 1)
+        left = tr.withColumn("tb", _block(blocks, "tid", "v")).withColumn("qb", _each(parts))
+        right = qu.withColumn("qb", _block(parts, "qid", "q")).withColumn("tb", _each(blocks))
+        found = left.groupBy("tb", "qb").cogroup(right.groupBy("tb", "qb")).applyInArrow(
+            _pair_search(k, p, width, to_arrow_schema(out)), out)
     w = Window.partitionBy("qid").orderBy("dist", "tid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

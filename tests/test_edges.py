@@ -105,6 +105,22 @@ def test_kth_smallest_of_tied_values(spark):
         assert P.kth_smallest(df, "v", k, tie="t", max_band=20) == pairs[k - 1]
 
 
+def test_knn_blocks_stay_off_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from opinia.operators import knn
+
+    rows = [(i, [float(i * 37 % 101), float(i * i % 53), float(i % 7)], i % 3) for i in range(400)] + [(900, [1.0, 2.0, 3.0], 0)] * 3
+    train = spark.createDataFrame(rows, "id int, vec array<double>, label int")
+    query = spark.createDataFrame([(i, [float(i % 90), float(i % 41), 3.0]) for i in range(60)], "id int, vec array<double>").repartition(3)
+    for p in (1, 2):
+        whole = sorted(map(tuple, knn.neighbours(train, query, 5, p).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "toArrow", lambda self: pytest.fail("train rows fetched"))
+            blocks = knn.neighbours(train, query, 5, p, block_bytes=1000)
+        assert sorted(map(tuple, blocks.collect())) == whole and len(whole) == 300
+
+
 def test_late_windows_1252_byte(spark, tmp_path):
     p = tmp_path / "late.csv"
     p.write_bytes(b"Review;Rating\n" + b"plain;3\n" * 12_000 + "It’s €5;4\n".encode("cp1252"))
