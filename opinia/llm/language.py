@@ -6,14 +6,16 @@ text; the language that needs the fewest phrases, normalised by
 log2(training symbols) / text symbols (bits per symbol), wins.
 
 Symbols are lower-cased letters and one space for any run of other
-characters.  The automata are dense transition tables, and all texts of a
+characters.  Each language has its own alphabet, all letters of its training
+text; other letters match nothing in it.  The automata are transition tables, dense
+ones or, for large alphabets, sorted lists of the transitions, and all texts of a
 batch are parsed at once, one symbol per step: texts are parsed in blocks of
 ``BLOCK`` symbols, side by side; a phrase ends at the end of its block.  Whole
 texts are parsed, whatever their length.
 
 Training: a bounded sample, ``symbols`` symbols per language from about
-``sample`` labelled texts (texts longer than that many characters are not
-used for training).
+``sample`` labelled texts; a text longer than that many characters gives ``PIECES``
+evenly spaced pieces that are as long in sum.
 
 Defined results: null texts and texts without a letter, and every text when
 nothing was learned, get ``und`` with score 0; ties go to the first language
@@ -36,7 +38,8 @@ SYMBOLS = 40_000  # training symbols per language
 SAMPLE = 120  # labelled texts per language that they are taken from
 BLOCK = 1024
 SLICE = 4 << 20  # bytes of text parsed side by side
-MAX_ALPHABET = 200  # letters told apart, the most frequent ones; other letters match nothing
+PIECES = 10  # of a long text for training
+DENSE_CELLS = 1 << 25  # larger transition tables are kept sparse
 UNKNOWN, SPACE, BREAK, FIRST = 1, 2, 3, 4  # symbol codes; 0 is any character that is no letter
 
 _LETTERS: np.ndarray | None = None
@@ -51,7 +54,7 @@ def letters() -> np.ndarray:
 
 
 def code_table(alphabet: list[str]) -> np.ndarray:
-    table = letters().astype(np.uint8) * UNKNOWN
+    table = letters().astype(np.int32) * UNKNOWN
     for i, ch in enumerate(alphabet):
         table[ord(ch)] = FIRST + i
     return table
@@ -67,17 +70,31 @@ def symbols_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     keep[1:] = ~(gap[1:] & gap[:-1])
     inner = bounds[:-1][bounds[:-1] < len(codes)]
     keep[inner] = ~gap[inner]  # no space in front of a text
-    codes = np.where(gap, SPACE, codes).astype(np.uint8)[keep]
+    codes = np.where(gap, SPACE, codes).astype(np.int32)[keep]
     kept = np.concatenate([[0], np.cumsum(keep)])
     seen = np.concatenate([[0], np.cumsum(~gap)])
     return codes, kept[bounds], seen[bounds[1:]] > seen[bounds[:-1]]
 
 
-def suffix_automaton(s: np.ndarray, width: int) -> np.ndarray:
-    """Dense transitions of the suffix automaton of ``s``, flat, one row of
-    ``width`` symbols per state, targets multiplied by ``width``.  A symbol that
-    does not go on is coded as ~(row reached by that symbol from the start): a
-    phrase ends and the next one begins with it."""
+class Sparse:
+    """A transition table as the sorted cells that go on, and what each symbol reaches from the start."""
+
+    def __init__(self, cells: np.ndarray, to: np.ndarray, start: np.ndarray):
+        order = np.argsort(cells)
+        self.cells, self.to, self.start = cells[order], to[order], start
+
+    def step(self, row: np.ndarray, code: np.ndarray) -> np.ndarray:
+        cell = row + code
+        at = np.searchsorted(self.cells, cell)
+        at[at == len(self.cells)] = 0
+        return np.where(self.cells[at] == cell, self.to[at], ~self.start[code])
+
+
+def suffix_automaton(s: np.ndarray, width: int) -> np.ndarray | Sparse:
+    """Transitions of the suffix automaton of ``s``: flat, one row of ``width`` symbols
+    per state, targets multiplied by ``width``.  A symbol that does not go on is coded
+    as ~(row reached by that symbol from the start): a phrase ends and the next one
+    begins with it.  Tables over ``DENSE_CELLS`` are sparse."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in s.tolist():
@@ -104,9 +121,13 @@ def suffix_automaton(s: np.ndarray, width: int) -> np.ndarray:
                 link[q] = link[cur] = clone
         last = cur
     dead = len(nxt)  # behind a symbol that the language does not have
-    start = np.full(width, dead * width, np.int32)
+    start = np.full(width, dead * width, np.int64)
     for c, to in nxt[0].items():
         start[c] = to * width
+    if (dead + 1) * width > DENSE_CELLS:
+        edges = np.array([(state * width + c, to * width) for state, out in enumerate(nxt) for c, to in out.items()], np.int64)
+        return Sparse(edges[:, 0], edges[:, 1], start)
+    start = start.astype(np.int32)
     table = np.tile(~start, (dead + 1, 1))
     for state, out in enumerate(nxt):
         for c, to in out.items():
@@ -114,8 +135,9 @@ def suffix_automaton(s: np.ndarray, width: int) -> np.ndarray:
     return table.reshape(-1)
 
 
-def phrase_counts(codes: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Phrases of each text (rows) for each language (columns)."""
+def phrase_counts(codes: np.ndarray, offsets: np.ndarray, tables: list, own: list[np.ndarray] | None = None) -> np.ndarray:
+    """Phrases of each text (rows) for each language (columns); own: each language's code of
+    each code of ``codes``, if they differ."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     blocks = -(-sizes // BLOCK)
@@ -128,10 +150,13 @@ def phrase_counts(codes: np.ndarray, offsets: np.ndarray, tables: list[np.ndarra
     active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")  # blocks longer than k
     out = np.zeros((n, len(tables)), np.int64)
     for j, table in enumerate(tables):
-        row = np.zeros(len(size), np.int32)  # every block begins at the start: its first symbol is found or opens a phrase
+        sparse = isinstance(table, Sparse)
+        local = codes if own is None else own[j][codes]
+        row = np.zeros(len(size), np.int64 if sparse else np.int32)  # every block begins at the start: its first symbol is found or opens a phrase
         count = np.ones(len(size), np.int64)
         for k, m in enumerate(active.tolist()):
-            to = table[row[:m] + codes[start[:m] + k]]
+            code = local[start[:m] + k]
+            to = table.step(row[:m], code) if sparse else table[row[:m] + code]
             miss = to < 0
             if k:
                 count[:m] += miss
@@ -144,32 +169,35 @@ def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str =
         sample: int = SAMPLE) -> dict:
     """Automata of the labelled texts in ``docs`` (a bounded sample of them)."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"))
-    own = own.where("lang IS NOT NULL AND t IS NOT NULL").where(F.char_length("t") <= symbols)
+    own = own.where("lang IS NOT NULL AND t IS NOT NULL")
+    size = max(1, symbols // PIECES - 2)
+    gap = (F.char_length("t") - size) / max(1, PIECES - 1)
+    pieces = F.array(*(F.substring("t", (F.lit(i) * gap).cast("int") + 1, F.lit(size)) for i in range(PIECES)))
     picked = C.sample_per_class(own, "lang", "doc_id", sample)
+    picked = picked.withColumn("t", F.explode(F.when(F.char_length("t") <= symbols, F.array("t")).otherwise(pieces)))
     by_lang: dict[str, list] = {}
     for r in picked.collect():
         by_lang.setdefault(r.lang, []).append((r.t, str(r.doc_id)))
-    counts: dict[str, int] = {}
-    for texts in by_lang.values():
-        for t, _ in texts:
-            for ch in t.lower():
-                counts[ch] = counts.get(ch, 0) + 1
-    alphabet = sorted((ch for ch in counts if ch.isalpha()), key=lambda ch: (-counts[ch], ch))[:MAX_ALPHABET]
-    table, width = code_table(alphabet), FIRST + len(alphabet)
-    model: dict = {"alphabet": alphabet, "width": width, "langs": [], "tables": [], "sizes": []}
+    alphabet = sorted({ch for texts in by_lang.values() for t, _ in texts for ch in t.lower() if ch.isalpha()})
+    table = code_table(alphabet)
+    model: dict = {"alphabet": alphabet, "langs": [], "tables": [], "sizes": [], "own": []}
     for name in sorted(by_lang):
         codes, off, _ = symbols_of([t for t, _ in sorted(by_lang[name])], table)
         rng = np.random.default_rng(0)
         parts, have = [], 0
         for i in rng.permutation(len(off) - 1):
             part = codes[off[i]:off[i + 1]]
-            part = np.where(part == UNKNOWN, BREAK, part)
             if len(part) and have + len(part) < symbols:
-                parts += [part, np.array([BREAK], np.uint8)]
+                parts += [part, np.array([BREAK], np.int32)]
                 have += len(part) + 1
         if parts:
             model["langs"].append(name)
-            model["tables"].append(suffix_automaton(np.concatenate(parts), width))
+            whole = np.concatenate(parts)
+            known = np.unique(whole[whole >= FIRST])
+            code = np.full(FIRST + len(alphabet), UNKNOWN, np.int32)
+            code[:FIRST], code[known] = np.arange(FIRST), FIRST + np.arange(len(known))
+            model["own"].append(code)
+            model["tables"].append(suffix_automaton(code[whole], FIRST + len(known)))
             model["sizes"].append(have)
     return model
 
@@ -207,7 +235,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                     scores += [0.0] * (hi - lo)
                     phrases += [[]] * (hi - lo)
                     continue
-                found = phrase_counts(codes, off, m["tables"])
+                found = phrase_counts(codes, off, m["tables"], m["own"])
                 cost = found * bits / np.maximum(n, 1)[:, None]
                 best = cost.argmin(axis=1)
                 two = np.sort(cost, axis=1)[:, :2]

@@ -131,6 +131,24 @@ def test_language(spark, edges, empty):
     assert language.predict(empty, model).count() == 0
 
 
+def test_language_learns_long_texts_and_large_alphabets(spark, monkeypatch):
+    rng = random.Random(9)
+    script = {name: [chr(c) for c in range(lo, lo + 2500)] for name, lo in (("one", 0x4E00), ("two", 0x5A00), ("ko", 0xAC00))}
+    pairs = {name: [a + rng.choice(chars) for a in chars] for name, chars in script.items()}
+    make = lambda name, n: "".join(rng.choice(pairs[name]) for _ in range(n))
+    english = "the quick brown fox jumps over a lazy dog and goes on to the next field "
+    train = [(i, make(name, 3000), name) for i, name in enumerate(["one", "two", "ko"] * 5)]
+    train += [(100 + i, english, "en") for i in range(5)] + [(200, "ein langes buch mit vielen wörtern das nie endet " * 2000, "de")]
+    held = [(1, make("one", 60), "one"), (2, make("two", 60), "two"), (3, make("ko", 60), "ko"), (4, english[4:50], "en"),
+            (5, "viele wörter in einem buch das endet", "de")]
+    for cells in (1 << 25, 1):  # sparse for the large alphabets, for all
+        monkeypatch.setattr(language, "DENSE_CELLS", cells)
+        model = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+        assert model["langs"] == ["de", "en", "ko", "one", "two"]
+        got = language.predict(spark.createDataFrame(held, "doc_id long, text string, lang string"), model).collect()
+        assert all(r.lang_pred == r.lang for r in got), got
+
+
 def test_suffix_tree_base_is_exact(spark, edges, empty, monkeypatch):
     monkeypatch.setattr(suffix_tree, "FREQUENT", 50)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(edges.where("doc_id IS NOT NULL").select("doc_id", "text"))
