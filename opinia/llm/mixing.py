@@ -10,6 +10,8 @@
    r = 1, in the metric of the document lengths (a document's rate does not
    depend on its length).  Each step is one aggregate over all documents that
    returns one total per domain; the step size follows from the K x K Gram matrix.
+   Totals that miss the targets after the last step (domains that the classifier
+   does not tell apart, targets out of reach) are reported as a warning.
 
 Defined results: null and empty texts have no tokens and the prior's posterior;
 with no labelled rows, no tokens or no positive target every rate is 1;
@@ -20,6 +22,7 @@ rates; extra columns stay, clashing ones are replaced.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -106,11 +109,11 @@ def solve(table: DataFrame, weights: list[float], tolerance: float = TOLERANCE,
     target = np.array(weights) / sum(weights) * tokens
     names = table.columns
     now, off = table.withColumn("rate", F.lit(1.0)), []
-    for turn in range(max_steps):
+    for turn in range(max_steps + 1):
         got = now.agg(*(F.sum(F.col("rate") * n * F.col(f"p_{i}")).alias(f"t{i}") for i in range(k))).first()
         rest = np.array([got[f"t{i}"] for i in range(k)]) - target
         off = (rest / tokens).tolist()
-        if np.abs(off).max() < tolerance:
+        if np.abs(off).max() < tolerance or turn == max_steps:
             break
         move = (step * rest / diagonal).tolist()
         down = sum((F.lit(m) * F.col(f"p_{i}") for i, m in enumerate(move[1:], 1)), F.lit(move[0]) * F.col("p_0"))
@@ -137,7 +140,11 @@ def rates(docs: DataFrame, fitted, targets: dict[str, float] | None = None, keep
                            F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
     weights = [float((targets or {}).get(d, 0.0)) if targets is not None else 1.0 for d in domains]
     table = C.cut(posteriors(docs, fitted, keep, text), "mixing-posteriors")
-    solved, _ = solve(table, weights)
+    solved, off = solve(table, weights)
+    missed = {d: o for d, o in zip(domains, off) if abs(o) >= TOLERANCE}
+    if missed:
+        named = ", ".join(f"{d} {o:+.2g}" for d, o in missed.items())
+        warnings.warn(f"mixing rates miss their targets after {MAX_STEPS} steps, as shares of all tokens: {named}", stacklevel=2)
     p = F.array(*(F.col(f"p_{i}") for i in range(len(domains))))
     best = F.array_position(p, F.array_max(p)).cast("int")
     return solved.select(*back, "n_tokens", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), p.alias("p"), "rate")

@@ -180,6 +180,18 @@ def test_mixing_meets_targets(spark, edges, empty):
     assert abs(half - 1.5) < 0.05
 
 
+def test_mixing_reports_missed_targets(spark):
+    import warnings
+
+    same = spark.createDataFrame([(i, "the same few words", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.rates(same, mixing.fit(same, "lang"), {"a": 3.0, "b": 1.0})
+    apart = spark.createDataFrame([(i, ["one two three", "vier funf sechs"][i % 2] * 9, "ab"[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        mixing.rates(apart, mixing.fit(apart, "lang"), {"a": 3.0, "b": 1.0})
+
+
 def test_toxicity_index_is_exact():
     rng = random.Random(6)
     vectors = []
