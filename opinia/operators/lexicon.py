@@ -52,8 +52,9 @@ def _tokens(df: DataFrame, id_col: str, text_col: str, back: int, **extra) -> Da
     x = x.withColumn("_low", F.transform("_toks", lambda t: F.lower(t)))
     item = F.transform("_toks", lambda t, i: F.struct(
         i.alias("pos"), t.alias("tok"), F.get("_low", i).alias("w"), *(F.get("_low", i - k).alias(f"p{k}") for k in range(1, back + 1))))
-    rows = x.select("id", *(e.alias(n) for n, e in extra.items()), F.explode_outer(item).alias("_r"))
-    return rows.select("id", *extra, "_r.*")
+    # Below the explode: beside it, Spark would compute them once per token, from the copied text.
+    below = x.select("id", *(e.alias(n) for n, e in extra.items()), item.alias("_items"))
+    return below.select("id", *extra, F.explode_outer("_items").alias("_r")).select("id", *extra, "_r.*")
 
 
 def polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,

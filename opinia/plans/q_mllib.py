@@ -103,7 +103,8 @@ def m10_rating_from_lexicon(spark, d):
         "doc_id",
     )
     scores = LX.valence_scores(rated, "doc_id", "text", lexicon_df(spark), boosters_df(spark), DEMO_NEGATORS)
-    x = rated.join(scores, "doc_id").withColumnRenamed("doc_id", "id")
+    scores = scores.persist()  # four numbers a text, read by each pass of the forest
+    x = rated.drop("text").join(scores, "doc_id").withColumnRenamed("doc_id", "id")
     _, out = ML.rating_from_lexicon(x, "Rating", key="id")
     return out.select(F.col("id").alias("doc_id"), "Scaled_Rating", "Predicted_Rating")
 

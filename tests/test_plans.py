@@ -75,6 +75,23 @@ def test_lexicon_rules_shuffle_no_token(spark):
         assert p.count("Exchange hashpartitioning(id") == 1 and "hashpartitioning(w" not in p.replace("hashpartitioning(word", ""), name
 
 
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_lexicon_explode_passes_no_text_and_no_array_up(spark):
+    """Beside a copied text or array, per-text expressions would run once per token."""
+    for name in ("l1_valence_scores", "l2_polarity"):
+        plan = QUERIES[name].build(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
+        generates = [n for n in _nodes(plan) if n.nodeName() == "Generate"]
+        assert len(generates) == 1, name
+        below = generates[0].children().apply(0).output().mkString(",")
+        names = {x.split("#")[0] for x in below.split(",")}
+        assert names == {"id", "_items", *(["_e", "_mixed", "_but"] if name.startswith("l1") else ["_blank"])}, below
+
+
 def test_knn_gives_k_rows_per_query_and_block(spark):
     p = _plan(QUERIES["m1_knn_euclid_uniform"].build(spark, SF_SMALL))
     assert "MapInArrow" in p and "Join" not in p
