@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opinia.llm import chosen_path, decontaminate, html_text, language, licenses, line_dedup, mixing, quality, suffix_tree, toxicity
+from opinia.llm import chosen_path, decontaminate, html_text, language, licenses, line_dedup, mixing, piecewise, quality, runs, suffix_tree, toxicity
 
 QUERIES = {
     "op3_source_mixing": mixing.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op4_quality_rules": quality.query,
     "op1_license_scan": licenses.query,
     "op9_benchmark_decontamination": decontaminate.query,
+    "op11_document_fingerprints": piecewise.query,
+    "op13_periodic_runs": runs.query,
 }
 
 ORACLES = {
