@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opinia.llm import chosen_path, decontaminate, html_text, language, licenses, line_dedup, mixing, piecewise, quality, runs, suffix_tree, toxicity
+from opinia.llm import chosen_path, collocations, decontaminate, html_text, language, licenses, line_dedup, mixing, piecewise, quality, runs, suffix_tree, toxicity
 
 QUERIES = {
     "op3_source_mixing": mixing.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op1_license_scan": licenses.query,
     "op9_benchmark_decontamination": decontaminate.query,
     "op11_document_fingerprints": piecewise.query,
+    "op12_phrase_collocations": collocations.query,
     "op13_periodic_runs": runs.query,
 }
 
 ORACLES = {
     "op1_license_scan": licenses.SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
+    "op12_phrase_collocations": collocations.SQL,
 }
