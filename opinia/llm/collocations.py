@@ -33,7 +33,7 @@ from opinia.llm import common as C
 DEPTH = 4
 MIN_COUNT = 30
 TOP = 2000
-SHARD_WORDS = (1 << 20) - 1  # with separators below 2^21 symbols, so that three ids fit into 63 bits
+SHARD_WORDS = (1 << 19) - 1  # with separators below 2^21 symbols, so that three ids fit into 63 bits; 100 MB of index
 BITS = 21
 MAX_MAP_BITS = 1 << 28  # the map has 16 bits a key up to here
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +77,7 @@ def _order(seq: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         reach *= 2
-    return order
+    return order.astype(np.int32)
 
 
 class _Transform:
@@ -87,8 +87,8 @@ class _Transform:
         self.order = _order(seq, depth)
         self.bwt = seq[self.order - 1]  # the first symbol follows the last one, a separator
         by = np.argsort(self.bwt, kind="stable")
-        self.lf = np.empty(len(seq), np.int64)
-        self.lf[by] = np.arange(len(seq))
+        self.lf = np.empty(len(seq), np.int32)
+        self.lf[by] = np.arange(len(seq), dtype=np.int32)
 
     def extend(self, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each interval and symbol before its rows: (interval, symbol, start of the new interval, its size,
@@ -131,8 +131,8 @@ class ShardIndex:
         place = np.arange(len(keys)) + np.cumsum(gap)  # of each word in the sequence
         seq = np.zeros(int(place[-1]) + 2, np.int32)
         seq[place] = self.ids + 1
-        self.word = np.full(len(seq), -1, np.int64)  # number of the word at a place
-        self.word[place] = np.arange(len(keys))
+        self.word = np.full(len(seq), -1, np.int32)  # number of the word at a place
+        self.word[place] = np.arange(len(keys), dtype=np.int32)
         self.forward, self.reverse = _Transform(seq, depth), _Transform(seq[::-1], depth)
         self.count = np.bincount(seq, minlength=len(self.keys) + 1)
 
@@ -271,12 +271,15 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Arr
         for lo, hi in C.slices(texts):
             w = _words(texts.slice(lo, hi - lo), hashes[index[lo:hi]], local[index[lo:hi]])
             if held and count + len(w.key) > SHARD_WORDS:
-                yield _join(held), names
-                held, count = [], 0
+                whole, held, count = _join(held), [], 0
+                yield whole, names
+                del whole
             held.append(w)
             count += len(w.key)
+            del w
     if count:
-        yield _join(held), names
+        whole, held = _join(held), []
+        yield whole, names
 
 
 def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
