@@ -167,8 +167,8 @@ def _judge(own: list[bytes], following: list[bytes]) -> list[tuple]:
             for n, e, f, g, x in zip(sizes, edited, mine, altered, after, strict=True)]
 
 
-def _successors(schema: pa.Schema, kept: int):
-    """Arrow function over rows sorted by (range, order, ahead): each row that is not ``_ahead`` is
+def _successors(schema: pa.Schema, kept: list[str]):
+    """Arrow function over rows sorted by (range, ahead, order): each row that is not ``_ahead`` is
     judged with the row behind it, which its range always has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,30 +179,29 @@ def _successors(schema: pa.Schema, kept: int):
             own = np.flatnonzero(~ahead[:-1])
             if not len(own):
                 return None
-            texts = [t.encode() for t in table["_t"].to_pylist()]
+            texts = [(t or "").encode() for t in table["_t"].to_pylist()]
             rows = []
             # stretches of rows that follow each other
             for part in np.split(own, np.flatnonzero(np.diff(own) != 1) + 1):
                 rows += _judge([texts[i] for i in part], [texts[i + 1] for i in part])
-            cols = [table.column(i).combine_chunks().take(pa.array(own)) for i in range(kept)]
-            cols += [pa.array(v, schema.field(kept + j).type) for j, v in enumerate(zip(*rows, strict=True))]
+            cols = [table.column(c).combine_chunks().take(pa.array(own)) for c in kept]
+            cols += [pa.array(v, schema.field(n).type) for n, v in zip(NAMES, zip(*rows, strict=True), strict=True)]
             return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         for batch in batches:
-            texts = C.strings(batch.column(batch.schema.get_field_index("_t")))
-            for lo, hi in C.slices(texts, BATCH_BYTES):
+            for lo, hi in C.slices(batch.column(batch.schema.get_field_index("_t")), BATCH_BYTES):
                 rows = pa.Table.from_batches([batch.slice(lo, hi - lo)])
                 if held is not None:
                     rows = pa.concat_tables([held, rows])
                 done = judged(rows)
                 if done is not None:
                     yield done
-                held = rows.slice(len(rows) - 1).combine_chunks()
+                held = rows.take([len(rows) - 1])  # a copy: a slice would hold its whole batch
 
     return run
 
 
-def compare(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
+def compare(docs: DataFrame, text: str = "text", order: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """``docs`` plus n_chars, fingerprint, and edited_sha256, edited_fingerprint, near_edited and near_next of
     the text whose last half was replaced by the start of the next document's, and of the next document.
 
@@ -210,7 +209,7 @@ def compare(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataF
     the text), after the last the first; a lone document follows itself.  A null text is empty; empty
     texts are alike to each other and unlike all others; equal texts have equal fingerprints, so repeated
     rows have likeness 1 to their next copy.  Texts of any length are taken whole.  An empty table
-    gives no rows.  Columns named like a result are replaced.
+    gives no rows.  Columns named like a result are replaced; ``keep`` names the columns to return (all).
 
     One exchange: rows go to ranges of ids, and each range also gets the first row of the range behind
     it (one row per range, found by an aggregate), so no global sort and no second copy of the texts is needed."""
@@ -219,15 +218,16 @@ def compare(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataF
     spark = docs.sparkSession
     if {text, order} & set(NAMES):
         raise ValueError("the text and order columns must not be named like a result")
-    kept = [c for c in docs.columns if c not in NAMES]
-    base = docs.select(*kept)
-    out = T.StructType(base.schema.fields + T.StructType.fromDDL(RESULT).fields)
+    kept = [c for c in docs.columns if c not in NAMES and (keep is None or c in keep)]
+    base = docs.select(*dict.fromkeys([*kept, order, text]))
+    out = T.StructType(docs.select(*kept).schema.fields + T.StructType.fromDDL(RESULT).fields)
+    others = [c for c in kept if c != text]  # the text goes along once
     tasks = C.partitions(spark)
     ranges = HEAD_SPLITS * tasks
     cuts = base.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
     cuts = sorted({float(c) for c in cuts or []} - {inf, -inf})
-    x = base.withColumns({"_t": C.text_or_empty(text), "_o": F.col(order), "_d": F.col(order).cast("double")})
-    x = x.withColumn("_h", F.xxhash64("_t"))
+    x = base.select(*others, F.col(text).alias("_t"), F.col(order).alias("_o"), F.col(order).cast("double").alias("_d"),
+                    F.xxhash64(C.text_or_empty(text)).alias("_h"))
     if cuts:
         x = Bucketizer(splits=[-inf, *cuts, inf], inputCol="_d", outputCol="_b", handleInvalid="keep").transform(x)
     else:
@@ -243,11 +243,12 @@ def compare(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataF
         return spark.createDataFrame([], out)
     before = {p: places[i - 1] for i, p in enumerate(places)}
     goes = F.element_at(F.create_map(*(F.lit(v) for kv in before.items() for v in kv)), F.col("_place"))
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema.fields]
+    empty = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in others]
     ahead = heads.select(*empty, goes.alias("_place"), "_t", "_o", "_h", F.lit(True).alias("_ahead"))
-    own = x.select(*kept, "_place", "_t", "_o", "_h", F.lit(False).alias("_ahead"))
+    own = x.select(*others, "_place", "_t", "_o", "_h", F.lit(False).alias("_ahead"))
     rows = own.unionByName(ahead).repartition(tasks, "_place").sortWithinPartitions("_place", "_ahead", "_o", "_h")
-    return rows.select(*kept, "_t", "_ahead").mapInArrow(_successors(to_arrow_schema(out), len(kept)), out)
+    rows = rows.select(*others, "_t", "_ahead")
+    return rows.mapInArrow(_successors(to_arrow_schema(out), ["_t" if c == text else c for c in kept]), out)
 
 
 def fingerprint_table(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -276,4 +277,4 @@ CONTRACT = ["doc_id", *NAMES]
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return compare(docs).select(*CONTRACT)
+    return compare(docs, keep=["doc_id"]).select(*CONTRACT)
