@@ -8,8 +8,10 @@
 * The whole file is checked for invalid UTF-8; if there is any, it is read byte
   by byte as windows-1252, or as iso-8859-1 if it holds bytes that
   windows-1252 does not define, with ``;`` (S1).
-* Files are split among tasks unless some line has an odd number of quotes
-  (a field with a line break); only then is a file one task (``multiLine``).
+* Files are split among tasks.  If some line has an odd number of quotes (a field with a
+  line break), the records are first put together by ``records.read_records``, which also
+  works split by split; only files in an encoding that does not hold ASCII as it is are then
+  read by one task each (``multiLine``).
 * Fields may be arbitrarily large (S4: ``maxCharsPerColumn=-1``).
 """
 
@@ -22,8 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinia.sources.records import lines_of, read_records
+
 SNIFF_SEPARATORS = (",", ";", "\t", "|")
 SINGLE_BYTE = "iso-8859-1"
+SPLITTABLE = {"utf-8": None, "utf8": None, SINGLE_BYTE: "ISO-8859-1"}  # and the charset that decodes their lines
 # The characters of windows-1252 for the bytes 0x80-0x9F ("" where it has none).
 C1_BYTES = [chr(i) for i in range(0x80, 0xA0)]
 C1_CHARACTERS = ["€", "", "‚", "ƒ", "„", "…", "†", "‡", "ˆ", "‰", "Š", "‹", "Œ", "", "Ž", "",
@@ -89,7 +94,17 @@ def read_reviews(spark: SparkSession, path: str, sep: str | None = ",", schema:
         _, undefined, broken = _inspect(spark, path, enc)
         cp1252 = not undefined
         sep = fallback_sep if sep is not None else None
-    header = header_line(spark, path, enc)
+    records = None
+    if broken and enc.lower() in SPLITTABLE:
+        # the separator, which the records depend on, is looked for in the first line
+        first = header_line(spark, path, enc) or ""
+        charset = SPLITTABLE[enc.lower()]
+        crlf = (lines_of(spark, path, charset).limit(1).first() or ("", 0, ""))[2].endswith("\r")
+        sep = sniff_separator(first) if sep is None else sep
+        records = read_records(spark, path, sep, charset, crlf)
+        header = (records.where("first").select("value").limit(1).first() or [None])[0]
+    else:
+        header = header_line(spark, path, enc)
     if header is None or not header.strip():
         raise ValueError(f"{path}: empty file")
     if sep is None:
@@ -99,12 +114,15 @@ def read_reviews(spark: SparkSession, path: str, sep: str | None = ",", schema:
     names = _columns(header, sep)
     fields = list(schema.fields) if schema is not None else [T.StructField(n, T.StringType()) for n in names]
     full = T.StructType(fields + [T.StructField("_extra", T.StringType())])
-    df = (
-        spark.read.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", str(broken).lower()).option("encoding", enc).option("mode", "PERMISSIVE")
-        .option("maxCharsPerColumn", "-1").option("enforceSchema", "true")
-        .schema(full).csv(path)
-    )
+    rules = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    if records is not None:
+        df = records.where("NOT first").select(F.from_csv("value", full.toDDL(), rules).alias("_r"))
+        df = df.select("_r.*")
+    else:
+        df = (
+            spark.read.options(**rules).option("header", "true").option("multiLine", str(broken).lower())
+            .option("encoding", enc).option("enforceSchema", "true").schema(full).csv(path)
+        )
     df = df.where(F.col("_extra").isNull()).drop("_extra")
     if cp1252:
         df = df.withColumns({f.name: _to_windows_1252(F.col(f"`{f.name}`")) for f in fields if isinstance(f.dataType, T.StringType)})
