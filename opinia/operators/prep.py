@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinia.operators.few_values import few_distinct
 from opinia.operators.joins import lookup_join
+from opinia.operators.order_stats import order_statistics
 from opinia.session import local_df
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -134,6 +136,12 @@ def exact_median(df: DataFrame, col: str) -> float | None:
     return (float(a) + float(b)) / 2.0
 
 
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact medians of all columns by one search (``order_stats``)."""
+    both = order_statistics(df, {c: lambda n: sorted({(n + 1) // 2, n // 2 + 1}) for c in cols}) if cols else {}
+    return {c: sum(map(float, both[None, c])) / len(both[None, c]) if both.get((None, c)) else None for c in cols}
+
+
 # ---------------------------------------------------------------- F1 roles
 
 @dataclass
@@ -147,7 +155,8 @@ class Roles:
 def column_roles(df: DataFrame, target: str | None = None, threshold: int = 51) -> Roles:
     """numeric = numeric types (minus target); categorical = string with
     at most ``threshold`` distinct non-null values; text = other strings.
-    One aggregation job counts the distinct values of the string columns."""
+    One job counts the distinct values of the string columns, up to ``threshold`` + 1 of each
+    (``few_values``); ``n_distinct`` has these counts."""
     numeric, strings = [], []
     for f in df.schema.fields:
         if f.name == target:
@@ -156,10 +165,9 @@ def column_roles(df: DataFrame, target: str | None = None, threshold: int = 51)
             numeric.append(f.name)
         elif isinstance(f.dataType, T.StringType):
             strings.append(f.name)
-    counts = {}
+    counts = dict.fromkeys(strings, 0)
     if strings:
-        row = df.agg(*[F.count_distinct(c).alias(c) for c in strings]).first()
-        counts = {c: int(row[c]) for c in strings}
+        counts |= {r["column"]: r["n_distinct"] for r in few_distinct(df, strings, threshold).collect()}
     cat = [c for c in strings if counts[c] <= threshold]
     text = [c for c in strings if counts[c] > threshold]
     return Roles(numeric, cat, text, counts)
@@ -181,9 +189,9 @@ def roles_table(df: DataFrame, target: str | None = None, threshold: int = 51) -
     num = local_df(spark, [(c, "numeric") for c in numeric], "column string, role string")
     if not strings:
         return num
-    wide = df.agg(*[F.count_distinct(c).cast("bigint").alias(c) for c in strings])
-    long = wide.unpivot([], strings, "column", "n").select(
-        "column", F.when(F.col("n") <= threshold, "categorical").otherwise("text").alias("role")
+    n = few_distinct(df, strings, threshold)
+    long = local_df(spark, strings, "column string").join(n, "column", "left").select(
+        "column", F.when(F.coalesce("n_distinct", F.lit(0)) <= threshold, "categorical").otherwise("text").alias("role")
     )
     return num.unionByName(long)
 
@@ -221,7 +229,7 @@ def fit_impute(df: DataFrame, num: list[str], cat: list[str], strategy: str = "m
         row = df.agg(*[F.avg(c).alias(c) for c in num]).first()
         fill.update({c: row[c] for c in num})
     elif strategy == "median":
-        fill.update({c: exact_median(df, c) for c in num})
+        fill.update(exact_medians(df, num))
     elif strategy in ("most_frequent", "mode"):
         fill.update({c: mode_value(df, c) for c in num})
     elif num:
@@ -349,13 +357,13 @@ def resample(df: DataFrame, label: str, how: str, key: str, seed: int = 42) -> D
 # ---------------------------------------------------------------- F10 split
 
 def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42,
-                 names=("train", "dev", "test"), stratify: str | None = None) -> DataFrame:
+                 names=("train", "dev", "test"), stratify: str | None = None, exact: bool = False) -> DataFrame:
     """add a ``part`` column.
 
     Plain: md5 bucket of ``key:seed`` against cumulative ratios — scalable,
-    plan-independent, sizes approximate.  Stratified: within each class the
-    rows are ranked by the 60-bit md5 key and cut at ``round(cum_ratio * n_c)``
-    — exact per-class sizes.  Classes of at most ``MAX_BAND_ROWS`` rows are
+    plan-independent, sizes approximate.  ``exact``: the rows are ranked by the 60-bit md5
+    key and cut at ``round(cum_ratio * n)``.  Stratified: the same within each class
+    — exact per-class sizes; rows of equal keys stay together.  Classes of at most ``MAX_BAND_ROWS`` rows are
     ranked together by one window (bounded groups); larger classes get their
     cut points from distributed k-th-value searches, so no task holds a big
     class.
@@ -365,6 +373,8 @@ def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42
     for r in ratios[:-1]:
         acc += r
         cum.append(acc)
+    if stratify is None and exact:
+        return _cut_by_hash(df.withColumn("_h", hash_rank_key(key, seed)), cum, names, None).drop("_h")
     if stratify is None:
         u = hash_unit(key, seed)
         expr = F.lit(names[-1])
@@ -373,7 +383,7 @@ def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42
         return df.withColumn("part", expr)
     from pyspark.sql import Window
 
-    h = df.withColumn("_h", hash_rank_key(key, seed)).withColumn("_t", F.col(key).cast("string"))
+    h = df.withColumn("_h", hash_rank_key(key, seed))
     counts = class_counts(df, stratify)
     small = {c: n for c, n in counts.items() if n <= MAX_BAND_ROWS}
     large = {c: n for c, n in counts.items() if n > MAX_BAND_ROWS}
@@ -387,7 +397,7 @@ def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42
         is_small = F.col(stratify).isin(list(small)) if None not in small else (
             F.col(stratify).isin([c for c in small if c is not None]) | F.col(stratify).isNull())
         sub = h.where(is_small)
-        w = Window.partitionBy(stratify).orderBy("_h", "_t")
+        w = Window.partitionBy(stratify).orderBy("_h")
         # rank: rows that share a key stay together, as below
         sub = sub.withColumn("_rn", F.rank().over(w)).withColumn(
             "_n", F.count(F.lit(1)).over(Window.partitionBy(stratify)))
@@ -396,29 +406,28 @@ def split_column(df: DataFrame, key: str, ratios=(0.6, 0.2, 0.2), seed: int = 42
             expr = F.when(F.col("_rn") <= cut(i, F.col("_n")), F.lit(names[i])).otherwise(expr)
         parts.append(sub.withColumn("part", expr).drop("_rn", "_n"))
     if large:
-        # big classes: exact cut points by the distributed k-th value search
+        # big classes: the cut points of all of them by one search
         sub = h.where(reduce(lambda a, c: a | F.col(stratify).eqNullSafe(F.lit(c)), large, F.lit(False)))
-        expr = F.lit(names[-1])
-        conds = []
-        for cls, n in large.items():
-            in_cls = F.col(stratify).eqNullSafe(F.lit(cls))
-            cls_rows = sub.where(in_cls)
-            cuts = []
-            for c in cum:
-                k = int(math.floor(c * n + 0.5))
-                cuts.append(kth_smallest(cls_rows, "_h", k, tie="_t") if k >= 1 else None)
-            conds.append((in_cls, cuts))
-        for i in reversed(range(len(cum))):
-            cond = F.lit(False)
-            for in_cls, cuts in conds:
-                if cuts[i] is not None:
-                    cond = cond | (in_cls & rank_at_most("_h", "_t", cuts[i]))
-            expr = F.when(cond, F.lit(names[i])).otherwise(expr)
-        parts.append(sub.withColumn("part", expr))
+        parts.append(_cut_by_hash(sub, cum, names, stratify))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("_h", "_t")
+    return out.drop("_h")
+
+
+def _cut_by_hash(h: DataFrame, cum: list[float], names, by: str | None) -> DataFrame:
+    """``part`` of rows with their hash ``_h``: exact ranks within each class of ``by``, from one search for all
+    classes and cuts."""
+    found = order_statistics(h, {"_h": lambda n: [max(int(math.floor(c * n + 0.5)), 1) for c in cum]}, by=by, max_band=MAX_BAND_ROWS)
+    sizes = class_counts(h, by) if by else {None: h.count()}
+    expr = F.lit(names[-1])
+    for i in reversed(range(len(cum))):
+        cond = F.lit(False)
+        for (cls, _), values in found.items():
+            if values and math.floor(cum[i] * sizes[cls] + 0.5) >= 1:
+                cond = cond | ((F.col(by).eqNullSafe(F.lit(cls)) if by else F.lit(True)) & (F.col("_h") <= F.lit(values[i])))
+        expr = F.when(cond, F.lit(names[i])).otherwise(expr)
+    return h.withColumn("part", expr)
 
 
 def sorted_index(df: DataFrame, order: list[Column], out: str = "idx") -> DataFrame:

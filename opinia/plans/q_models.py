@@ -96,6 +96,67 @@ def e5_evaluate_by_split(spark, d):
     return out.select("split", F.round("accuracy", 6).alias("accuracy"), F.round("f1_macro", 6).alias("f1_macro"), "n")
 
 
+SPLIT_PRED = f"""
+sp AS ({F10B_SQL}),
+src AS (SELECT s.part AS split, CAST(l.quality AS VARCHAR) AS y, CAST(l.toxic AS VARCHAR) AS p FROM labels l JOIN sp s USING (doc_id))"""
+SQUARE_CTES = """
+lb AS (SELECT DISTINCT split, l FROM (SELECT split, y AS l FROM src UNION ALL SELECT split, p FROM src)),
+cm AS (SELECT split, y, p, count(*) AS n FROM src GROUP BY split, y, p),
+sq AS (SELECT a.split, a.l AS label, b.l AS prediction, coalesce(cm.n, 0) AS n
+       FROM lb a JOIN lb b ON a.split = b.split LEFT JOIN cm ON cm.split = a.split AND cm.y = a.l AND cm.p = b.l)"""
+
+
+def _split_pred(spark, d):
+    lab = table(spark, d, "labels")
+    parts = P.split_column(lab.select("doc_id", "quality"), "doc_id", (0.6, 0.2, 0.2), 42, stratify="quality")
+    return lab.join(parts.select("doc_id", "part"), "doc_id").select("part", F.col("quality").alias("label"), F.col("toxic").alias("prediction"))
+
+
+@register("e3_confusion_square", f"WITH {SPLIT_PRED},{SQUARE_CTES} SELECT split, label, prediction, CAST(n AS BIGINT) AS n FROM sq", "E3 F10b")
+def e3_confusion_square(spark, d):
+    return E.confusion_square(_split_pred(spark, d), "part")
+
+
+def _bundle_sql(head: str, params: dict, score: float | None) -> str:
+    """``head``: CTEs up to ``src(split, y, p)``."""
+    model = [f"SELECT NULL, 'model', '{k}', 'best parameter', NULL, '{v}'" for k, v in params.items()]
+    if score is not None:
+        model.append(f"SELECT NULL, 'model', 'Best Score', 'score', {score!r}, NULL")
+    lines = []
+    for name, values in (("macro avg", ("avg(pr)", "avg(rc)", "avg(f1)")),
+                         ("weighted avg", tuple(f"sum({c} * support) / sum(support)" for c in ("pr", "rc", "f1")))):
+        for m, v in zip(("precision", "recall", "f1_score"), values, strict=True):
+            lines.append(f"SELECT split, 'report', '{name}', '{m}', {v}, NULL FROM f GROUP BY split")
+        lines.append(f"SELECT split, 'report', '{name}', 'support', sum(support), NULL FROM f GROUP BY split")
+    more = "\nUNION ALL ".join(["", *lines, *model])
+    return f"""WITH {head},{SQUARE_CTES},
+k AS (SELECT split, label, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS tp, sum(n) AS support FROM sq GROUP BY split, label),
+k2 AS (SELECT split, prediction AS label, sum(n) AS n_pred FROM sq GROUP BY split, prediction),
+m AS (SELECT split, label, tp, support, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS pr, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rc
+      FROM k JOIN k2 USING (split, label)),
+f AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM m),
+o(split, section, name, measure, value, said) AS (
+  SELECT split, 'matrix', label, prediction, CAST(n AS DOUBLE), NULL FROM sq
+  UNION ALL SELECT split, 'report', label, 'precision', pr, NULL FROM f UNION ALL SELECT split, 'report', label, 'recall', rc, NULL FROM f
+  UNION ALL SELECT split, 'report', label, 'f1_score', f1, NULL FROM f UNION ALL SELECT split, 'report', label, 'support', support, NULL FROM f
+  UNION ALL SELECT split, 'report', 'accuracy', 'f1_score', sum(tp) / sum(support), NULL FROM f GROUP BY split
+  UNION ALL SELECT split, 'report', 'accuracy', 'support', sum(support), NULL FROM f GROUP BY split
+  UNION ALL SELECT split, 'scores', 'all', 'accuracy', sum(tp) / sum(support), NULL FROM f GROUP BY split
+  UNION ALL SELECT split, 'scores', 'all', 'f1_micro', sum(tp) / sum(support), NULL FROM f GROUP BY split
+  UNION ALL SELECT split, 'scores', 'all', 'f1_macro', avg(f1), NULL FROM f GROUP BY split{more})
+SELECT split, section, name, measure, round(value, 6) AS value, CAST(said AS VARCHAR) AS said FROM o
+"""
+
+
+BUNDLE_PARAMS, BUNDLE_SCORE = {"n_neighbors": 5, "weights": "uniform"}, 0.75
+
+
+@register("e5_result_bundle", _bundle_sql(SPLIT_PRED, BUNDLE_PARAMS, BUNDLE_SCORE), "E5 E3 E4 E2 E1 F10b")
+def e5_result_bundle(spark, d):
+    out = E.result_bundle(_split_pred(spark, d), "part", params=BUNDLE_PARAMS, score=BUNDLE_SCORE)
+    return out.withColumn("value", F.round("value", 6))
+
+
 # ---------------------------------------------------------------- M4
 
 LABELLED_SRC = "SELECT d.doc_id AS id, d.text FROM documents d JOIN labels l USING (doc_id)"

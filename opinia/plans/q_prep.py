@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from opinia.operators import prep as P
 from opinia.plans.q_nested import EVENTS_WITH_NULLS, events_with_nulls
+from opinia.operators.order_stats import order_statistics
 from opinia.plans.registry import register
-from opinia.session import table
+from opinia.session import local_df, table
 
 F1_SQL = """
 SELECT 'p_partkey' AS "column", 'numeric' AS role UNION ALL SELECT 'p_retailprice', 'numeric'
@@ -161,3 +162,69 @@ FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY {H60}, CAS
 def f10b_stratified_split(spark, d):
     lab = table(spark, d, "labels").select("doc_id", "quality")
     return P.split_column(lab, "doc_id", (0.6, 0.2, 0.2), seed=42, stratify="quality").select("doc_id", "part")
+
+
+# ---------------------------------------------------------------- one search for many ranks
+
+F2_MANY = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+F2_MANY_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column, CAST(quantile_cont(CAST({c} AS DOUBLE), 0.5) AS DOUBLE) AS median FROM lineitem" for c in F2_MANY)
+
+
+@register("f2_medians_of_all_columns", F2_MANY_SQL, "F2")
+def f2_medians_of_all_columns(spark, d):
+    """Exact medians of four columns by one search, in bands of at most 1,000 rows."""
+    items = table(spark, d, "lineitem").select(*F2_MANY)
+    found = order_statistics(items, {c: lambda n: [(n + 1) // 2, n // 2 + 1] for c in F2_MANY}, max_band=1000)
+    return local_df(spark, [(c, (float(found[None, c][0]) + float(found[None, c][1])) / 2) for c in F2_MANY], "column string, median double")
+
+
+RANK_SQL = """
+SELECT l_returnflag, CAST(CASE WHEN rn = 1 THEN 0 WHEN rn = n THEN 100 ELSE 10 END AS INTEGER) AS share, CAST(l_extendedprice AS DOUBLE) AS price
+FROM (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS rn,
+             count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+WHERE rn IN (1, (n + 9) // 10, n)
+"""
+
+
+@register("f2_order_statistics_by_class", RANK_SQL, "F2 F10b")
+def f2_order_statistics_by_class(spark, d):
+    """Smallest, tenth-share and largest price of each class, by one search for all classes."""
+    items = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    found = order_statistics(items, {"l_extendedprice": lambda n: [1, (n + 9) // 10, n]}, by="l_returnflag", max_band=1000)
+    rows = [(k, share, float(v)) for (k, _), values in found.items() for share, v in zip((0, 10, 100), values, strict=True)]
+    return local_df(spark, rows, "l_returnflag string, share int, price double")
+
+
+F10A_EXACT_SQL = f"""
+SELECT doc_id, CASE WHEN rn <= floor({0.6!r} * n + 0.5) THEN 'train' WHEN rn <= floor({0.6 + 0.2!r} * n + 0.5) THEN 'dev' ELSE 'test' END AS part
+FROM (SELECT doc_id, row_number() OVER (ORDER BY {H60}, CAST(doc_id AS VARCHAR)) AS rn, count(*) OVER () AS n FROM documents)
+"""
+
+
+@register("f10a_split_exact", F10A_EXACT_SQL, "F10a")
+def f10a_split_exact(spark, d):
+    return P.split_column(table(spark, d, "documents").select("doc_id"), "doc_id", (0.6, 0.2, 0.2), seed=42, exact=True)
+
+
+F10C_SQL = f"""
+SELECT doc_id, CASE WHEN rn <= floor({0.8!r} * n + 0.5) THEN 'train' ELSE 'test' END AS part
+FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY {H60}, CAST(doc_id AS VARCHAR)) AS rn,
+             count(*) OVER (PARTITION BY quality) AS n FROM labels)
+"""
+
+
+@register("f10c_split_80_20", F10C_SQL, "F10c")
+def f10c_split_80_20(spark, d):
+    lab = table(spark, d, "labels").select("doc_id", "quality")
+    return P.split_column(lab, "doc_id", (0.8, 0.2), seed=42, names=("train", "test"), stratify="quality").select("doc_id", "part")
+
+
+F10C_PLAIN_SQL = """
+SELECT doc_id, CASE WHEN u < 0.8 THEN 'train' ELSE 'test' END AS part
+FROM (SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8))::BIGINT / 4294967296.0 AS u FROM documents)
+"""
+
+
+@register("f10c_split_80_20_plain", F10C_PLAIN_SQL, "F10c")
+def f10c_split_80_20_plain(spark, d):
+    return P.split_column(table(spark, d, "documents").select("doc_id"), "doc_id", (0.8, 0.2), seed=42, names=("train", "test"))

@@ -52,7 +52,7 @@ def lines_of(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     """``(file, at, value)``: lines in order within a split; ``at`` is the split's start.  ``encoding`` (one
     that holds ASCII as it is) decodes lines that are not UTF-8."""
     raw = spark.read.option("lineSep", "\n").text(path)
-    value = F.col("value") if encoding is None else F.decode(F.col("value").cast("binary"), F.lit(encoding))
+    value = F.col("value") if encoding is None else F.decode(F.col("value").cast("binary"), encoding)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), value.alias("value"))
 
 
