@@ -30,18 +30,19 @@ def _fit_apply(spark, d, est):
     return pred.select(F.col("id").alias("vec_id"), F.col("prediction").cast("int").alias("prediction"))
 
 
+M2_PARAMS = {"criterion": "gini", "max_depth": 10, "min_samples_leaf": 2, "max_features": "sqrt", "min_samples_split": 5}
+M3_PARAMS = {"n_estimators": 50, "max_depth": 10, "max_features": "sqrt", "bootstrap": False}
+
+
 @register("m2_decision_tree", None, "M2 F7")
 def m2_decision_tree(spark, d):
-    est = ML.decision_tree({"criterion": "gini", "max_depth": 10, "min_samples_leaf": 2, "max_features": "sqrt",
-                            "min_samples_split": 5})
-    return _fit_apply(spark, d, est)
+    return _fit_apply(spark, d, ML.decision_tree(M2_PARAMS))
 
 
 @register("m3_random_forest_balanced", None, "M3")
 def m3_random_forest_balanced(spark, d):
     parts = ML.balanced_weights(_emb(spark, d), "label", "w")
-    est = ML.random_forest({"n_estimators": 50, "max_depth": 10, "max_features": "sqrt", "bootstrap": False},
-                           weight_col="w")
+    est = ML.random_forest(M3_PARAMS, weight_col="w")
     model = est.fit(parts.where(F.col("part") == "train"))
     pred = model.transform(parts.where(F.col("part") == "test"))
     return pred.select(F.col("id").alias("vec_id"), F.col("prediction").cast("int").alias("prediction"))
@@ -57,17 +58,20 @@ def m5_logistic_regression(spark, d):
     return pred.select(F.col("id").alias("vec_id"), F.col("prediction").cast("int").alias("prediction"))
 
 
-@register("m6_stacking", None, "M6 M3 M5")
-def m6_stacking(spark, d):
-    parts = _emb(spark, d)
-    train = parts.where(F.col("part") == "train")
+def stacking(train):
     bases = [
         ML.random_forest({"n_estimators": 20, "max_depth": 8}),
         ML.logistic_regression(C=1.0, n_rows=train.count(), max_iter=100),
     ]
-    model = ML.fit_stacking(
+    return ML.fit_stacking(
         train, bases, lambda col: LogisticRegression(featuresCol=col, labelCol="label", maxIter=100), folds=5
     )
+
+
+@register("m6_stacking", None, "M6 M3 M5")
+def m6_stacking(spark, d):
+    parts = _emb(spark, d)
+    model = stacking(parts.where(F.col("part") == "train"))
     pred = model.transform(parts.where(F.col("part") == "test"))
     return pred.select(F.col("id").alias("vec_id"), F.col("prediction").cast("int").alias("prediction"))
 
@@ -109,10 +113,14 @@ def m10_rating_from_lexicon(spark, d):
     return out.select(F.col("id").alias("doc_id"), "Scaled_Rating", "Predicted_Rating")
 
 
+def m11_model(train):
+    return ML.random_forest({"n_estimators": 20, "max_depth": 8}).fit(train)
+
+
 @register("m11_predict", None, "M11 M3")
 def m11_predict(spark, d):
     parts = _emb(spark, d)
-    model = ML.random_forest({"n_estimators": 20, "max_depth": 8}).fit(parts.where(F.col("part") == "train"))
+    model = m11_model(parts.where(F.col("part") == "train"))
     test = parts.where(F.col("part") == "test").drop("part")
     return ML.predict(model, test, target="label").select(F.col("id").alias("vec_id"), "label_pred")
 

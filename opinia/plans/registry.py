@@ -40,4 +40,4 @@ def load_all() -> dict[str, Query]:
     return QUERIES
 
 
-MODULES = ("q_text", "q_nested", "q_prep", "q_features", "q_models", "q_scoring", "q_mllib", "q_io", "q_edges", "q_checks", "q_text_models")
+MODULES = ("q_text", "q_nested", "q_prep", "q_features", "q_models", "q_scoring", "q_mllib", "q_io", "q_edges", "q_checks", "q_text_models", "q_review_models")
