@@ -27,12 +27,21 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinia.functions.text import tokens
+from opinia.operators import grid as grid_search_of
+from opinia.operators.aggregates import sample_per_group
+from opinia.operators.bayes import NaiveBayesModel, fit_naive_bayes
 from opinia.operators.prep import class_counts, split_column
+from opinia.operators.review_features import sparse_columns
+from opinia.operators.sparse_knn import SparseKnnModel
+from opinia.operators.sparse_knn import fit as fit_knn
+from opinia.operators.text import normalise_words
+from opinia.session import local_df
 
 MAX_DEPTH = 30
 IGNORED = ("min_samples_split", "splitter", "algorithm", "leaf_size", "class_prior")
@@ -106,13 +115,57 @@ def logistic_regression(C: float, n_rows: int, max_iter: int = 100, features: st
     )
 
 
+HASHED_WORDS = 1 << 14
+
+
 def kmeans_reviews(df: DataFrame, k: int = 9, seed: int = 42, features: str = "features",
                    out: str = "Cluster") -> DataFrame:
-    """M7: adds the cluster id."""
+    """M7 on given vectors: adds the cluster id."""
     model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(df)
     return model.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
+def fit_review_clusters(df: DataFrame, id_col: str, text_col: str, stop_words: list[str], lemmas: DataFrame, k: int = 9,
+                        seed: int = 42, width: int = HASHED_WORDS, max_iter: int = 20) -> tuple[PipelineModel, DataFrame]:
+    """M7: normalised words (T2) as ``Review_Procesado``, their TF-IDF by feature hashing to ``width`` places (so the
+    vectors and the k centres have a fixed size, whatever the vocabulary), k-means.  Returns the fitted
+    pipeline and the table with ``Review_Procesado``, ``features`` and ``Cluster``."""
+    x = normalise_words(df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))), id_col, "_text", stop_words, lemmas).drop("_text")
+    x = x.withColumn("_words", tokens(F.col("Review_Procesado"))).persist()
+    try:
+        pipe = Pipeline(stages=[
+            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width), IDF(inputCol="_tf", outputCol="_w"),
+            Normalizer(inputCol="_w", outputCol="features"),
+            KMeans(k=k, seed=seed, featuresCol="features", predictionCol="Cluster", maxIter=max_iter)])
+        model = pipe.fit(x)
+    finally:
+        x.unpersist()
+    return model, model.transform(x).drop("_words", "_tf", "_w")
+
+
+def cluster_samples(clustered: DataFrame, id_col: str, n: int = 5) -> DataFrame:
+    """M7's sample: the first ``n`` reviews of each cluster by id."""
+    return sample_per_group(clustered, "Cluster", [id_col], n)
+
+
+def nearest_centres(clustered: DataFrame, centres: list, id_col: str) -> DataFrame:
+    """``(id, nearest, distance2)`` recomputed by joins: a vector's places meet the centres' places; ties go to the
+    smallest cluster."""
+    spark = clustered.sparkSession
+    places = local_df(spark, [(i, c, float(v)) for c, x in enumerate(centres) for i, v in enumerate(x.tolist()) if v], "i int, c int, v double")
+    norms = local_df(spark, [(c, float((x * x).sum())) for c, x in enumerate(centres)], "c int, n double")
+    v = F.unwrap_udt("features")
+    own = clustered.select(F.col(id_col).alias("id"), F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("x"))).alias("e"))
+    own = own.select("id", F.col("e.i").alias("i"), F.col("e.x").alias("x"))
+    dots = own.join(F.broadcast(places), "i").groupBy("id", "c").agg(F.sum(F.col("x") * F.col("v")).alias("d"))
+    sizes = own.groupBy("id").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
+    every = clustered.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("c"))
+    both = every.join(F.broadcast(norms), "c").join(dots, ["id", "c"], "left").join(sizes, "id", "left")
+    far = F.col("n") + F.coalesce("s", F.lit(0.0)) - 2 * F.coalesce("d", F.lit(0.0))
+    return both.select("id", "c", F.round(far, 9).alias("f")).groupBy("id").agg(
+        F.min_by("c", F.struct("f", "c")).alias("nearest"), F.min("f").alias("distance2"))
+
+
 def fold_column(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42,
                 out: str = "fold") -> DataFrame:
     """Stratified, seeded fold ids 0..folds-1 (exact per-class sizes)."""
@@ -206,10 +259,14 @@ def rating_from_lexicon(scores: DataFrame, rating_col: str = "Rating", seed: int
                                predictionCol="_pred"),
     ])
     model = pipe.fit(x.where(F.col("part") == "train"))
-    out = model.transform(x).withColumn(
-        "Predicted_Rating", F.greatest(F.lit(1.0), F.least(F.lit(9.0), F.col("_pred")))
-    ).drop("_f", "_pred", "rawPrediction", "probability")
-    return model, out
+    return model, apply_rating(model, x)
+
+
+def apply_rating(model: PipelineModel, scores: DataFrame) -> DataFrame:
+    """M10 on new reviews: ``scores`` (``compound, pos, neu, neg``) plus ``Predicted_Rating``, clipped to 1-9."""
+    out = model.transform(scores)
+    return out.withColumn("Predicted_Rating", F.greatest(F.lit(1.0), F.least(F.lit(9.0), F.col("_pred")))).drop(
+        "_f", "_pred", "rawPrediction", "probability")
 
 
 def predict(model, df: DataFrame, target: str | None = None, prediction_col: str = "prediction") -> DataFrame:
@@ -241,14 +298,20 @@ TUNABLE = {
 
 def run(config: dict, mode: str, algorithm: str, train_df: DataFrame | None = None, model=None,
         test_df: DataFrame | None = None, label: str = "label", key: str = "id", metric: str = "accuracy"):
-    """``train`` picks the estimator by name and tunes it, for ``metric``, on all
-    values of the grid ``config[algorithm]`` that MLlib has a parameter for;
-    the others are named in a warning (kNN and naive Bayes are relational: see
-    ``opinia.operators.knn`` / ``bayes``); ``test`` applies a model."""
+    """``train`` picks the algorithm by name (kNN, decision_tree, random_forest, naive_bayes) and tunes it on all values
+    of the grid ``config[algorithm]`` that it has a parameter for; the others are named in a warning.  Returns
+    ``(model, best parameters, best score)``.  ``test`` applies a model and appends its prediction.
+
+    Trees and forests are tuned by MLlib's cross validation for ``metric``; nearest neighbours and naive Bayes by
+    one pass over the folds (``operators.grid``) for accuracy, on the vectors' non-zero places."""
     if mode == "train":
+        grid = config.get(algorithm, {})
+        if algorithm in ("kNN", "naive_bayes"):
+            if metric != "accuracy":
+                raise ValueError(f"{algorithm} is tuned for accuracy")
+            return _train_relational(algorithm, grid, train_df, label, key)
         if algorithm not in ESTIMATORS:
             raise ValueError(f"unknown algorithm {algorithm}")
-        grid = config.get(algorithm, {})
         first = {k: v[0] for k, v in grid.items()}
         est = ESTIMATORS[algorithm](first, label=label)
         tunable = {}
@@ -260,5 +323,48 @@ def run(config: dict, mode: str, algorithm: str, train_df: DataFrame | None = No
                 warnings.warn(f"{k} has no MLlib equivalent; its values are not searched", stacklevel=2)
         return grid_search(est, tunable, train_df, label=label, key=key, metric=metric)
     if mode == "test":
-        return predict(model, test_df, label)
+        return _test_relational(model, test_df, label, key) if isinstance(model, (SparseKnnModel, NaiveBayesModel)) else predict(model, test_df, label)
     raise ValueError(mode)
+
+
+def _long(rows: DataFrame, key: str) -> DataFrame:
+    """``(id, term, value)`` of sparse rows; the term is the place."""
+    x = rows.select(F.col(key).alias("id"), F.explode(F.arrays_zip("idx", "val")).alias("e"))
+    return x.select("id", F.col("e.idx").cast("string").alias("term"), F.col("e.val").alias("value"))
+
+
+def _train_relational(algorithm: str, grid: dict, df: DataFrame, label: str, key: str):
+    for k in grid:
+        if k in IGNORED and len(grid[k]) > 1:
+            warnings.warn(f"{k} changes no result and is ignored", stacklevel=3)
+    rows = fold_column(sparse_columns(df).select(F.col(key).alias("id"), F.col(label).alias("label"), "idx", "val", "features"), "id", "label").persist()
+    try:
+        if algorithm == "kNN":
+            names = ("k", "weights", "p")
+            points = [grid.get(c, d) for c, d in (("n_neighbors", [5]), ("weights", ["uniform"]), ("p", [2]))]
+            scores = grid_search_of.knn_grid(rows, *points)
+            best = scores.where("best").first()
+            model = fit_knn(rows, **{n: best[n] for n in names})
+            model.rows = model.rows.persist()
+            model.rows.count()  # before the shared rows are released
+            return model, {"n_neighbors": best["k"], "weights": best["weights"], "p": best["p"]}, best["accuracy"]
+        v = F.unwrap_udt("features")
+        size = rows.select(F.coalesce(v["size"], F.size(v["values"])).alias("n")).first()[0]
+        if rows.where(F.exists("val", lambda x: x < 0)).limit(1).count():
+            raise ValueError("naive Bayes needs features of zero or more")
+        feats = _long(rows, "id")
+        alphas, priors = grid.get("alpha", [1.0]), grid.get("fit_prior", [True])
+        best = grid_search_of.naive_bayes_grid(feats, rows.select("id", "label", "fold"), size, alphas, priors).where("best").first()
+        model = fit_naive_bayes(feats, rows.select("id", "label"), size, best["alpha"], best["fit_prior"])
+        model.delta = model.delta.persist()
+        model.delta.count()
+        return model, {"alpha": best["alpha"], "fit_prior": best["fit_prior"]}, best["accuracy"]
+    finally:
+        rows.unpersist()
+
+
+def _test_relational(model, df: DataFrame, label: str, key: str) -> DataFrame:
+    x = df.drop(label)
+    rows = sparse_columns(x).select(F.col(key).alias("id"), "idx", "val")
+    pred = model.predict(rows) if isinstance(model, SparseKnnModel) else model.predict(rows.select("id"), _long(rows, "id"))
+    return x.join(pred.select(F.col("id").alias("_id"), F.col("prediction").alias(f"{label}_pred")), F.col(key) == F.col("_id"), "left").drop("_id")

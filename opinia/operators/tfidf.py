@@ -193,7 +193,7 @@ def vocabulary(model: TfidfModel, n: int = 10) -> DataFrame:
 def to_vectors(weights: DataFrame, model: TfidfModel, ids: DataFrame | None = None) -> DataFrame:
     """Long weights -> ``(id, features SparseVector)`` for MLlib estimators.
     Documents without kept terms (present in ``ids``) get an empty vector."""
-    from opinia.functions.vectors import sparse_vector
+    from opinia.functions.vectors import sparse_vectors
 
     size = model.vocab.count()
     iv = model.indexed_vocab().select("term", "idx")
@@ -204,7 +204,4 @@ def to_vectors(weights: DataFrame, model: TfidfModel, ids: DataFrame | None = No
     )
     if ids is not None:
         per_doc = ids.select(F.col(ids.columns[0]).alias("id")).join(per_doc, "id", "left")
-    return per_doc.select(
-        "id",
-        sparse_vector(F.lit(size), F.col("e.idx"), F.col("e.weight")).alias("features"),
-    )
+    return sparse_vectors(per_doc.select("id", F.col("e.idx").alias("idx"), F.col("e.weight").alias("val")), size)

@@ -1,6 +1,6 @@
 """the whole preparation chain driven by a config dictionary (the
 reference's ``preprocessing`` block): column roles -> text simplification and
-TF-IDF of the first text column -> label encoding -> missing values ->
+TF-IDF of every text column -> label encoding -> missing values ->
 scaling -> resampling.
 
 Every step is fitted once and kept, so ``PreparedTable.transform`` applies
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,7 @@ class PreparedTable:
     codes: dict = field(default_factory=dict)
     imputer: P.Imputer | None = None
     scaler: P.Scaler | None = None
-    tfidf: TF.TfidfModel | None = None
-    text_col: str | None = None
+    tfidf: dict = field(default_factory=dict)  # of each text column
     key: str = "id"
     target: str | None = None
     config: dict = field(default_factory=dict)
@@ -57,21 +57,33 @@ def _encode_with(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:
     return lookup_join(df, m, df[col].eqNullSafe(m["_v"]), "left").drop(col, "_v").withColumnRenamed("_k", col)
 
 
+def _with_text(x: DataFrame, pt: PreparedTable, fit: bool) -> DataFrame:
+    """The vectors of all text columns, one after the other, as ``text_features``."""
+    cfg, vectors = pt.config, []
+    none = local_df(x.sparkSession, [], "word string, stem string")
+    for tcol in pt.roles.text:
+        y = bag_text(x.select(pt.key, tcol), pt.key, tcol, TF.english_stop_words(), none)
+        if fit:
+            spec = TF.TfidfSpec(lo=1, hi=2, max_features=cfg.get("max_text_features"), min_df=cfg.get("text_min_df", 1),
+                                max_df=cfg.get("text_max_df", 1.0), sublinear=True)
+            pt.tfidf[tcol] = TF.fit_tfidf(y, pt.key, tcol, spec)
+            pt.tfidf[tcol].vocab = pt.tfidf[tcol].vocab.persist()  # bounded by max_text_features
+        w = pt.tfidf[tcol].transform(y, pt.key, tcol)
+        vec = TF.to_vectors(w, pt.tfidf[tcol], ids=y.select(pt.key))
+        x = x.join(vec.select(F.col("id").alias(pt.key), F.col("features").alias(f"_vec_{len(vectors)}")), pt.key, "left")
+        size = max(pt.tfidf[tcol].vocab.count(), 1)
+        x = VectorSizeHint(inputCol=f"_vec_{len(vectors)}", size=size, handleInvalid="optimistic").transform(x)
+        vectors.append(f"_vec_{len(vectors)}")
+    x = VectorAssembler(inputCols=vectors, outputCol="text_features").transform(x)
+    return x.drop(*vectors, *pt.roles.text)
+
+
 def _apply(df: DataFrame, pt: PreparedTable, fit: bool) -> PreparedTable:
     cfg = pt.config
     roles = pt.roles
     x = df
     if roles.text and cfg.get("text_process") == "tf-idf":
-        tcol = roles.text[0]
-        x = bag_text(x, pt.key, tcol, TF.english_stop_words(), local_df(x.sparkSession, [], "word string, stem string"))
-        spec = TF.TfidfSpec(lo=1, hi=2, max_features=cfg.get("max_text_features"), min_df=cfg.get("text_min_df", 1),
-                            max_df=cfg.get("text_max_df", 1.0), sublinear=True)
-        if fit:
-            pt.tfidf = TF.fit_tfidf(x, pt.key, tcol, spec)
-            pt.text_col = tcol
-        w = pt.tfidf.transform(x, pt.key, tcol)
-        vec = TF.to_vectors(w, pt.tfidf, ids=x.select(pt.key)).withColumnRenamed("id", pt.key)
-        x = x.drop(*roles.text).join(vec.withColumnRenamed("features", "text_features"), pt.key, "left")
+        x = _with_text(x, pt, fit)
     cats = list(roles.categorical) + ([pt.target] if pt.target and pt.target in x.columns else [])
     for c in cats:
         if fit:
@@ -93,6 +105,8 @@ def _apply(df: DataFrame, pt: PreparedTable, fit: bool) -> PreparedTable:
 
 
 def prepare(df: DataFrame, target: str, key: str, config: dict | None = None, seed: int = 42) -> PreparedTable:
+    """Fit all steps on ``df``, which should be the train part, and resample it; ``transform`` of the result prepares the
+    other parts with the same parameters and no resampling."""
     cfg = dict(DEFAULT_CONFIG, **(config or {}))
     roles = P.column_roles(df, target, cfg["unique_category_threshold"])
     roles.numeric = [c for c in roles.numeric if c != key]
