@@ -122,22 +122,16 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
     slots = SLOTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(0, np.int64), [], 0
+        total = np.zeros(slots, np.uint32)  # of one task's words, fewer than 2^32
         for b in batches:
             arr = C.strings(b.column(0))
             for lo, hi in C.slices(arr):
                 h, _ = C.word_hashes(arr.slice(lo, hi - lo), C.ALNUM)
-                held.append((h & np.uint64(slots - 1)).astype(np.int64))
-                n += len(h)
-                if n > 4_000_000:
-                    total = np.bincount(np.concatenate(held), minlength=slots) + (total if len(total) else 0)
-                    held, n = [], 0
-        if held:
-            total = np.bincount(np.concatenate(held), minlength=slots) + (total if len(total) else 0)
+                np.add.at(total, (h & np.uint64(slots - 1)).astype(np.int64), np.uint32(1))
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 200_000):
             own = at[lo:lo + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], names=["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own].astype(np.int64))], names=["slot", "n"])
 
     counted = docs.select(F.col(text)).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     code = F.when(F.col("n") <= 1, 1).otherwise(1 + F.round(F.log2("n") * 1000)).cast("int")  # as rarity_code
@@ -156,7 +150,7 @@ def order_key(docs: DataFrame, doc_id: str) -> Column:
 
 LINE_SCHEMA = "o1 long, o2 long, line int, a long, b long, n int, s long, t long, warm boolean, prefix array<int>, pos array<int>"
 LINE_NAMES = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
-WINDOW_LINES = 500_000  # lines of a task that are looked through for equal sets at once
+WINDOW_LINES = 100_000  # lines of a task that are looked through for equal sets at once
 
 
 def rarity_code(n: float) -> float:
