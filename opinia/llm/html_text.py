@@ -1,11 +1,12 @@
 """Main text of web pages (operator 8).
 
 A page is cut into flat text blocks.  Each block has its number of words and
-its share of words in links (link density), those of the blocks before and
-behind it, and what surrounds it: an article or main element, or an element
-for menus, headers, footers, sidebars, notices, adverts, forms or comments (by
-element, role, class or id).  A decision tree, trained with MLlib on the small
-labelled table in ``html_samples``, says which blocks are main text.
+its share of words in links (link density), those of the two blocks before and of the two
+behind it, and what surrounds it: an article or main element, an element or role
+for menus, headers, footers, sidebars or forms, one whose whole class or id names such a thing, an
+advert, a notice or comments, and whether it is a heading or a paragraph.  A decision tree, trained
+with MLlib on the small labelled table in ``html_samples``, says which blocks are main text.  On
+pages whose markup tells nothing, it decides by words and links alone.
 
 Scripts, styles, comments, templates and hidden elements hold no text; character
 references are decoded; a self-closed svg or math is empty; white space inside a block becomes one space; blocks
@@ -32,7 +33,7 @@ PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
     rf"|<(?P<silent>{SILENT})(?=[\s/>])[^>]*>.*?(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)(?:>|\Z)", re.S | re.I)
-HINTS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.I)
+HINTS = re.compile(r"(?<![\w-])(class|id|role|hidden|style)(?![\w-])\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,50 +49,69 @@ BOILER_WORDS = frozenset(
     "sharing social related recommended breadcrumb breadcrumbs pagination pager widget login search form comment comments commentlist "
     "discussion disqus replies reply respond complementary contentinfo dialog toolbar copyright".split())
 MAIN_WORDS = frozenset("content article post entry story main body text".split())
+# parts of compound names that say nothing by themselves: "ad-box", "site-footer", "related-posts"
+FILLERS = frozenset("site page box list container wrapper wrap block area section bar item items inner outer top bottom left right "
+                    "main global posts links form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+ASIDES = frozenset("comment comments reply replies ad ads sponsored".split())  # an article element of these is no article
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "boiler", "article", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "words_before_2", "links_before_2",
+            "words_behind_2", "links_behind_2", "boiler", "named", "article", "heading", "paragraph")
 
 
-def _kind(name: str, attrs: str) -> tuple[bool, bool, bool]:
-    """(starts boilerplate, starts an article, is hidden)."""
-    boiler, article, hidden = name in BOILER, name in ("article", "main"), False
+def _names(value: str, known: frozenset) -> bool:
+    """One of the whole names in a class or id is one of the words, or a compound of them and fillers: "cookie-notice", but
+    not "social-policy"."""
+    for name in value.split():
+        parts = {x for x in re.split(r"[^a-z0-9]+", name) if x}
+        if parts & known and parts <= known | FILLERS:
+            return True
+    return False
+
+
+def _kind(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
+    """(starts boilerplate by element or role, by name, starts an article, is hidden)."""
+    boiler, named, article, hidden = name in BOILER, False, name in ("article", "main"), False
     if attrs and name not in ("html", "body"):
         for key, value in HINTS.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
                 hidden = True
-            elif key in ("class", "id", "role") and words & BOILER_WORDS and not (
-                    article and not words & {"comment", "comments", "reply", "replies", "ad", "ads", "sponsored"}):
-                boiler = True
-            elif key in ("class", "id", "role") and words & MAIN_WORDS:
-                article = True
-    return boiler, article, hidden
+            elif key == "role":
+                boiler |= value in ROLES
+                article |= value in ("main", "article")
+            elif key in ("class", "id"):
+                if _names(value, BOILER_WORDS) and not (article and not _names(value, ASIDES)):
+                    named = True
+                elif _names(value, MAIN_WORDS):
+                    article = True
+    return boiler, named, article, hidden
 
 
 def blocks_of(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, features) of the non-empty blocks in page order."""
-    raw: list[tuple[str, float, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # name, boiler, article, hidden, link, heading: with what is around
+    raw: list[tuple] = []  # text, link density, then what is around
+    # name, then around: boilerplate by element, by name, article, hidden, link, heading, paragraph
+    stack: list[tuple] = []
     parts: list[str] = []
     linked = [0]
-    around = (False, False, False, False, False)
+    nothing = (False,) * 7
+    around = nothing
     state = {"at": around}
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            boiler, article, _, _, heading = state["at"]
-            n = text.count(" ") + 1
-            raw.append((text, min(1.0, linked[0] / n), boiler, article, heading))
+            boiler, named, article, _, _, heading, paragraph = state["at"]
+            raw.append((text, min(1.0, linked[0] / (text.count(" ") + 1)), boiler, named, article, heading, paragraph))
         linked[0] = 0
 
     def add(chunk: str) -> None:
-        if chunk and not around[2]:
+        if chunk and not around[3]:
             if not chunk.isspace():
                 state["at"] = around
-                if around[3]:
+                if around[4]:
                     linked[0] += len(html.unescape(chunk).split())
             parts.append(chunk)
 
@@ -119,29 +139,29 @@ def blocks_of(page: str | None) -> list[tuple[str, list[float]]]:
                 if stack[k][0] in BARRIER:
                     break
             if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-                boiler, article, hidden, link, heading = stack[-1][1:] if stack else (False,) * 5
-                b, a, h = _kind(name, m["attrs"])
+                boiler, named, article, hidden, link, heading, paragraph = stack[-1][1:] if stack else nothing
+                b, c, a, h = _kind(name, m["attrs"])
                 if name in HEADINGS:
                     heading = True
                     boiler = boiler and not _article_header(stack)  # the headline of an article belongs to it
-                stack.append((name, boiler or b, article or a and not boiler, hidden or h, link or name == "a", heading))
-        around = stack[-1][1:] if stack else (False,) * 5
+                stack.append((name, boiler or b, named or c, article or a and not (boiler or named), hidden or h, link or name == "a", heading,
+                              paragraph or name in ("p", "blockquote", "pre")))
+        around = stack[-1][1:] if stack else nothing
     add(page[at:])
     flush()
-    out = []
-    for i, (text, links, boiler, article, heading) in enumerate(raw):
-        before = raw[i - 1] if i else ("", 0.0)
-        behind = raw[i + 1] if i + 1 < len(raw) else ("", 0.0)
-        size = [float(len(t.split())) for t in (text, before[0], behind[0])]
-        out.append((text, [size[0], links, size[1], before[1], size[2], behind[1], float(boiler), float(article), float(heading)]))
-    return out
+    sizes = [float(r[0].count(" ") + 1) for r in raw]
+
+    def near(i: int) -> list[float]:
+        return [sizes[i], raw[i][1]] if 0 <= i < len(raw) else [0.0, 0.0]
+
+    return [(r[0], [*near(i), *near(i - 1), *near(i + 1), *near(i - 2), *near(i + 2), *map(float, r[2:])]) for i, r in enumerate(raw)]
 
 
 def _article_header(stack: list) -> bool:
     """The innermost boilerplate element is a plain header right inside an article."""
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] == "header":
-            return k > 0 and stack[k - 1][2] and not stack[k - 1][1]
+            return k > 0 and stack[k - 1][3] and not (stack[k - 1][1] or stack[k - 1][2])
         if stack[k][0] in BOILER:
             return False
     return False
@@ -155,14 +175,16 @@ def labelled_table() -> list[tuple[list[float], float]]:
     return rows
 
 
-def train(spark, depth: int = 5):
+def train(spark, depth: int = 10):
     """Decision tree of the labelled table as nested tuples (feature, threshold,
     left, right); a leaf is True for main text."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.linalg import Vectors
 
-    rows = [(Vectors.dense(f), y) for f, y in labelled_table()]
-    model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=2, seed=7).fit(spark.createDataFrame(rows, ["features", "label"]))
+    # what the markup calls an article counts more: it is rarely wrong
+    rows = [(Vectors.dense(f), y, 10.0 if f[FEATURES.index("article")] else 1.0) for f, y in labelled_table()]
+    tree = DecisionTreeClassifier(maxDepth=depth, maxBins=128, minInstancesPerNode=8, weightCol="weight", seed=7)
+    model = tree.fit(spark.createDataFrame(rows, ["features", "label", "weight"]))
 
     def walk(node):
         if node.subtreeDepth() == 0:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from opinia.llm import catalogue, decontaminate, html_text, language, licenses, quality, suffix_tree
+from opinia.llm import catalogue, decontaminate, html_samples, html_text, language, licenses, quality, suffix_tree
 from opinia.llm import common as C
 from tools.oracle_check import rows_of
 
@@ -233,9 +233,44 @@ def test_suffix_tree_keeps_every_context(spark):
         got = {r.doc_id: r.score for r in suffix_tree.score(some, suffix_tree.fit(docs, depth=3, frequent=300, entries=entries)).collect()}
         assert all(abs(got[i] - want(texts[i])) < 1e-6 for i in probe)
 
+def _share_right(tree, pages):
+    blocks = [b for p in pages for b in html_text.blocks_of(p)]
+    return sum(html_text.decide(tree, f) == ("§" in t) for t, f in blocks) / len(blocks)
+
+
+def test_html_tree_on_held_out_pages(spark):
+    """Flat pages, where only words and links tell, and marked ones, none of them in the training table."""
+    tree = html_text.train(spark)
+
+    def used(t):
+        return {html_text.FEATURES[t[0]]} | used(t[2]) | used(t[3]) if isinstance(t, tuple) else set()
+
+    assert used(tree) & {"words_before", "words_behind", "words_before_2", "words_behind_2"}
+    assert "links" in used(tree) and used(tree) & {"links_before", "links_behind", "links_before_2", "links_behind_2"}
+    assert _share_right(tree, [html_samples.flat_page(k) for k in range(200, 400)]) > 0.98
+    assert _share_right(tree, [html_samples.marked_page(k) for k in range(500, 700)]) > 0.98
+    assert sum(html_text.decide(tree, f) == bool(y) for f, y in html_text.labelled_table()) > 0.99 * len(html_text.labelled_table())
+
+
+def test_html_pages_that_names_alone_would_break(spark):
+    tree = html_text.train(spark)
+    text = lambda page: "\n".join(t for t, f in html_text.blocks_of(page) if html_text.decide(tree, f))
+    long = html_samples.LONG
+    links = "".join("<li><a href=/x>More stories about the coast</a></li>" for _ in range(5))
+    assert text(f"<ul><li><a href=/a>Home</a></li><li><a href=/b>Shop</a></li></ul><h1>Late news</h1>"
+                f"<p>The ferry left at noon with forty people on board.</p><p>{long}</p><div>Terms</div>") == (
+        f"Late news\nThe ferry left at noon with forty people on board.\n{long}")
+    assert text(f"<p>{long}</p><p>{long}</p><ul>{links}</ul>") == f"{long}\n{long}"
+    assert text(f"<p>{long}</p><div><a href=/x>All the news about the coast</a> <a href=/y>and about all of its many islands, bays and ports</a></div>") == long
+    assert text(f"<article><div class='social-policy'><p>{long}</p><p>Short.</p></div></article>") == f"{long}\nShort."
+    assert text(f"<main><section id='search-and-rescue'><h2>Rescue</h2><p>{long}</p></section></main>") == f"Rescue\n{long}"
+    assert text(f"<article><p>{long}</p><p aria-hidden='true'>Seen by readers.</p><div class='comment-list'><p>{long}</p></div></article>") == (
+        f"{long}\nSeen by readers.")
+    assert text(f"<article><p>{long}</p><p hidden>Not seen.</p><div class='site-footer ad-box'><p>{long}</p></div></article>") == long
+
+
 def test_html_extraction(spark):
     tree = html_text.train(spark)
-    assert all(html_text.decide(tree, f) == bool(y) for f, y in html_text.labelled_table())
     text = lambda page: "\n".join(t for t, f in html_text.blocks_of(page) if html_text.decide(tree, f))
     assert text(None) == "" and text("") == "" and text("<p") == ""
     page = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><a href=x>Menu</a></nav>
