@@ -41,7 +41,7 @@ KAPPA = 2.0
 MAX_DEPTH = 4
 LIMIT = 64
 ALIKE = 0.6  # mean agreement of sketches from which a bucket is not split
-TILE = 512
+TILE = 1024
 BINS, SKETCHED = 64, 128  # sketch bins; sets of fewer shingles are verified without it
 MAP_BITS = 1 << 26
 _COEF = C.mix64(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
@@ -173,9 +173,9 @@ def partners(small: DataFrame, threshold: float) -> DataFrame:
     return p.mapInArrow(run, "sig long, a long, b long").distinct()
 
 
-def whole_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, b, s): the shingles of the wanted classes, read from the texts again; a bit map
-    of MAP_BITS bits keeps the others from leaving their tasks."""
+def set_rows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, b, s): the shingles of the wanted classes (and of a few more), a row for each, read from the texts
+    again; a bit map of MAP_BITS bits keeps the others from leaving their tasks."""
     bits = np.zeros(MAP_BITS // 64, np.uint64)
     words = wanted.select(F.expr(f"pmod(a, {MAP_BITS}) div 64").alias("w"), F.expr("shiftleft(1L, cast(pmod(a, 64) as int))").alias("bit"))
     table = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MAP_BITS / 64 rows
@@ -199,8 +199,7 @@ def whole_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                     pa.array(a[own]), pa.array(bb[own]),
                     C.list_array(values.view(np.int64), np.concatenate([[0], np.cumsum(n)]), pa.int64())], names=["a", "b", "s"])
 
-    found = keyed.mapInArrow(run, "a long, b long, s array<long>").join(wanted, ["a", "b"], "left_semi")
-    return found.groupBy("a", "b").agg(F.first("s").alias("s"))
+    return keyed.mapInArrow(run, "a long, b long, s array<long>").groupBy("a", "b").agg(F.first("s").alias("s"))
 
 
 def split(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -245,11 +244,11 @@ def _overlaps(s: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify(leaves: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def verify(leaves: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
     """leaves: (sig, a, b, tiles).  (a, b, links, ra, rb): links counted in this bucket, and
-    the first set of its group there."""
+    the first set of its group there.  The shingles go by set to its buckets' numbers, then by bucket."""
     per_set = leaves.groupBy("a", "b").agg(F.collect_set(F.struct("sig", "tiles")).alias("at"))
-    full = per_set.join(sets, ["a", "b"]).withColumn("sigs", F.array_sort(F.col("at.sig")))
+    full = per_set.join(set_rows(keyed, leaves.select("a", "b").distinct()), ["a", "b"]).withColumn("sigs", F.array_sort(F.col("at.sig")))
     rows = full.select("a", "b", "sigs", "s", F.explode("at").alias("at"))
     block = F.pmod(F.xxhash64("a", "b"), F.col("at.tiles")).cast("int")
     rows = rows.select("a", "b", "sigs", "s", F.col("at.sig").alias("sig"), F.col("at.tiles").alias("tiles"), block.alias("block"))
@@ -343,16 +342,16 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         alike = C.cut(alike_paths(big), "path-alike")
         leaves.append(tiled.join(alike.withColumnRenamed("path", "sig"), "sig", "left_semi"))
         rest = big.join(alike, "path", "left_anti")
-        if sets is None:
-            wanted = big.select("a", "b").union(leaf.select("a", "b")).distinct()
-            sets = C.cut(whole_sets(keyed, wanted), "path-sets")
         if rest.isEmpty():
             break
+        if sets is None:  # what is left at deeper levels is a part of these
+            wanted = rest.select("a", "b").distinct()
+            sets = C.cut(set_rows(keyed, wanted).join(wanted, ["a", "b"], "left_semi"), "path-sets")
         members = split(rest, sets, threshold)
     every = leaves[0]
     for leaf in leaves[1:]:
         every = every.unionByName(leaf)
-    found = C.cut(verify(every, sets, threshold), "path-links")
+    found = C.cut(verify(every, keyed, threshold), "path-links")
     node = F.struct("a", "b")
     edges = found.select(node.alias("u"), F.struct(F.col("ra").alias("a"), F.col("rb").alias("b")).alias("v"))
     roots = components(edges).select(F.col("u.a").alias("a"), F.col("u.b").alias("b"), F.col("root"))

@@ -124,6 +124,32 @@ def test_chosen_path_join(spark, monkeypatch, small):
     assert all(got[d] == (d, d, 0, 1) for d in (1002, 1003, 1004))
 
 
+def test_chosen_path_recall_on_thousands_of_pairs(spark, monkeypatch):
+    """Links of 400 documents' clusters of near copies, small buckets and tiled ones, against all pairs."""
+    import random
+
+    rnd = random.Random(10)
+    rows = []
+    for c in range(60):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(rnd.choice([40, 90, 200]))]
+        for _ in range(rnd.choice([2, 5, 20, 45])):
+            w = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+                w[rnd.randrange(len(w))] = f"w{rnd.randrange(4000)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [frozenset(tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)) for _, t in rows]
+    different = list(dict.fromkeys(sets))
+    want = {s: sum(1 for o in different if o is not s and len(s & o) >= 0.8 * len(s | o)) for s in different}
+    assert sum(want.values()) // 2 > 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit, tile in ((64, 1024), (8, 16)):
+        monkeypatch.setattr(chosen_path, "LIMIT", limit)
+        monkeypatch.setattr(chosen_path, "TILE", tile)
+        got = {r.doc_id: r.n_links for r in chosen_path.join(docs).collect()}
+        assert all(got[i] <= want[s] for i, s in enumerate(sets))
+        assert sum(got[i] for i in range(len(rows))) >= 0.99 * sum(want[s] for s in sets)
+
+
 def test_chosen_path_edges(edges, empty):
     out = chosen_path.join(edges).collect()
     assert len(out) == edges.count() and {r.path for r in out} == {"p", None}
