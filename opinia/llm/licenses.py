@@ -1,6 +1,8 @@
 """License scans (operator 1), DataFrame functions only.
 
-Exact set-similarity join of text blocks (lines) with license notices: a
+Exact set-similarity join of text blocks with license notices.  A block is a line, or a run of
+two to ``RUN_LINES`` consecutive lines of at most ``RUN_CHARS`` characters together: a
+notice that is wrapped is found where it is whole.  A
 block matches a template if it holds at least ``threshold`` of the template's
 distinct tokens.  Template tokens are ordered by their global frequency over
 all blocks, rarest first; a match must share one of the rarest
@@ -12,7 +14,8 @@ an overlap, so blocks are cut down to the template vocabulary first.
 
 Three plain phrases are counted besides (``PHRASES``); their labels stay.
 
-Defined results: null or empty texts have 0 words and no labels; repeated rows
+Defined results: null or empty texts have 0 words and no labels; an empty table gives no rows; texts
+of any length are read whole; repeated rows
 each get a row with equal values; templates without tokens are skipped; extra
 columns are ignored.  The template table is a parameter held as literals
 (``MAX_TEMPLATES``); it does not grow with the data.
@@ -53,6 +56,7 @@ TEMPLATES = (
 )
 MAX_TEMPLATES = 1000
 THRESHOLD = 0.8
+RUN_LINES, RUN_CHARS = 4, 400  # four lines of a hundred columns hold the longest notice
 
 SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # with A-Z as words: the text need not be lower-cased to find them
 GAP = f"[{SEP}]+"
@@ -116,6 +120,26 @@ def need(n: int, threshold: float) -> int:
     return next(o for o in range(1, n + 1) if o / n >= threshold)
 
 
+def blocks_of(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys``, block, line: the lines of each text and the short runs of lines, joined by a space; block numbers
+    tell first line and number of lines."""
+    x = docs.select(*keys, F.split(C.text_or_empty(text), "\n").alias("_lines"))
+    x = x.select("*", F.transform("_lines", lambda t: F.length(t)).alias("_sizes"))
+
+    def number(i: Column, j: int) -> Column:
+        return i.cast("long") * (RUN_LINES + 1) + j
+
+    def runs(j: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - j), lambda i: sum((F.get("_sizes", i + k) for k in range(1, j)), F.get("_sizes", i)) <= RUN_CHARS)
+        found = F.transform(starts, lambda i: F.struct(number(i, j).alias("block"), F.array_join(F.slice("_lines", i + 1, j), " ").alias("line")))
+        return F.when(F.size("_lines") >= j, found).otherwise(F.array().cast("array<struct<block:bigint,line:string>>"))
+
+    one = F.transform("_lines", lambda t, i: F.struct(number(i, 1).alias("block"), t.alias("line")))
+    # below the explode, so that no row of a block carries the whole text
+    x = x.select(*keys, F.concat(one, *(runs(j) for j in range(2, RUN_LINES + 1))).alias("_blocks"))
+    return x.select(*keys, F.explode("_blocks").alias("_b")).select(*keys, "_b.*")
+
+
 def matches(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMPLATES,
             threshold: float = THRESHOLD) -> DataFrame:
     """Every (row of ``keys``, block number, template) whose containment meets the
@@ -123,8 +147,7 @@ def matches(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMP
     spark = docs.sparkSession
     sets = token_sets(templates, threshold)
     vocabulary = sorted(set().union(*(s for _, _, s, _ in sets))) if sets else []
-    blocks = docs.select(*keys, F.posexplode(F.split(C.text_or_empty(text), "\n")).alias("block", "line"))
-    blocks = blocks.select(*keys, "block", F.split(F.lower("line"), GAP).alias("tokens"))
+    blocks = blocks_of(docs, keys, text).select(*keys, "block", F.split(F.lower("line"), GAP).alias("tokens"))
 
     # global order, rarest first: how many blocks hold each token of the vocabulary (one small row per token)
     known = F.array_intersect(F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"), "tokens")
@@ -196,8 +219,12 @@ WITH d AS (SELECT doc_id, text, row_number() OVER () AS rid,
 places AS ({places}),
 base AS (SELECT rid, count(*) AS n, min(p) AS f, max(p) AS l, list(DISTINCT label) AS labels FROM places GROUP BY rid),
 t(i, label, s, need) AS (VALUES {rows}),
+ls AS (SELECT rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM d),
+runs AS (SELECT rid, ls[i:i + j - 1] AS r FROM (
+    SELECT rid, ls, j, unnest(generate_series(1, len(ls) - j + 1)) AS i FROM ls, (SELECT unnest({list(range(2, RUN_LINES + 1))}) AS j) WHERE len(ls) >= j)
+  WHERE list_sum(list_transform(ls[i:i + j - 1], lambda x: length(x))) <= {RUN_CHARS}),
 lines AS (SELECT rid, list_distinct(regexp_extract_all(lower(line), '{sep}')) AS s
-  FROM (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)),
+  FROM (SELECT rid, unnest(ls) AS line FROM ls UNION ALL SELECT rid, array_to_string(r, ' ') FROM runs)),
 m AS (SELECT rid, t.label, len(list_intersect(lines.s, t.s)) / len(t.s) AS c, need, len(list_intersect(lines.s, t.s)) AS o
   FROM lines, t),
 more AS (SELECT rid, max(c) AS best, list(DISTINCT label) AS labels FROM m WHERE o >= need GROUP BY rid)

@@ -34,6 +34,25 @@ def test_word_hashes():
     assert len(set(h.tolist())) == 5
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the\nfollowing conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License",
+    "mpl-2": "This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0.",
+}
+
+
+def test_notices_wrapped_over_lines(spark):
+    """Hard-wrapped notices among other lines; a run of too many characters or lines is no block."""
+    rows = [(name, f"# A file\n{text}\n\nint main") for name, text in WRAPPED.items()]
+    rows += [(f"{name} bare", text) for name, text in WRAPPED.items()]
+    rows += [("far", WRAPPED["mit"].replace("\n", "\n" + "x" * 500 + "\n")), ("spread", WRAPPED["mit"].replace(" ", "\n")), ("none", "a\nb\n\n\nc")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name in WRAPPED:
+        assert name in got[name][0].split(",") and got[name][1] >= 0.8 and got[f"{name} bare"] == got[name]
+    assert got["far"] == got["spread"] == got["none"] == ("", 0.0)
+
+
 def test_licenses_edges(spark, edges, empty):
     out = licenses.scan(edges).collect()
     assert len(out) == edges.count()
