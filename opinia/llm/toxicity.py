@@ -1,25 +1,24 @@
 """Toxicity (operator 7): nearest labelled examples by exact TF-IDF cosine.
 
 1. A bounded sample of labelled rows (``sample`` per class) is the example set.
-2. Features: words, and beginnings of words (4 to 7 letters: inflected forms
-   share them), of which the toxic share among the examples that hold them is
-   at least ``MIN_SHARE`` by its lower confidence bound, and whose signed root of
-   the likelihood ratio is at least ``MIN_Z`` (at most ``max_terms``, the
-   strongest first; a model bound).
-3. Document frequencies of these words are counted over all documents.
-4. The examples' normalised TF-IDF vectors form an inverted index whose
-   postings are grouped in blocks of consecutive examples with the largest
-   weight of each block; a text's nearest examples are found exactly by
-   visiting blocks in order of their bound until no block can hold a better one.
+2. Features are all words of the examples and the beginnings (``PREFIX`` letters) of the longer
+   ones, which inflected forms share.  Document frequencies are counted over all documents.
+3. A feature's weight is its idf times 1 + ``STRENGTH`` (z - ``LEAST_Z``)^2, z being the signed root of its
+   likelihood ratio with the toxic label, where z is above ``LEAST_Z``: association weighs, it selects nothing.
+4. The examples' normalised vectors form an inverted index whose postings are grouped by blocks of
+   examples (sorted by their heaviest feature) with the largest weight of each block; a text's nearest
+   examples are found exactly by visiting blocks in order of their bound until no block can
+   hold a better one.
 5. The ``k`` nearest vote with weight cos^2 / (1 - cos + 0.05), classes weighted
    back to their true share; votes are calibrated by an isotonic map fitted on
-   the examples' leave-one-out votes.  Neighbours and words are the evidence.
+   the examples' leave-one-out votes.  Neighbours and the associated words are the evidence.
 
-Defined results: null and empty texts, and texts without a feature word, get the
-toxic share of such examples; without usable labels every score is 0; ties
+Defined results: null and empty texts, and texts that share no feature with an example, get the
+toxic share of such examples (of all where there are none); without usable labels every score is 0; ties
 among neighbours go to the example that comes first by id; labels that are
 null are not used, of contradicting labels of one id the larger counts;
-repeated rows each get a row; extra columns stay, clashing ones are replaced.
+repeated rows each get a row; a very long text is read whole; an empty table gives no rows; extra columns
+stay, clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -35,10 +34,9 @@ from pyspark.sql import functions as F
 
 from opinia.llm import common as C
 
-SAMPLE = 6000  # labelled rows per class
-MAX_TERMS = 4000
-MIN_SHARE, MIN_Z, MIN_DOCS = 0.5, 5.0, 5
-PREFIXES = range(4, 8)
+SAMPLE = 1000  # labelled rows per class
+PREFIX = 5
+LEAST_Z, STRENGTH = 3.0, 4.0
 K, BLOCK, BINS = 15, 64, 20
 PRIOR_MASS = 1.0
 THRESHOLD = 0.7
@@ -51,56 +49,65 @@ def words_of(text: str | None) -> list[bytes]:
 
 def features_of(word: bytes) -> list[str]:
     w = word.decode("utf-8", "replace")
-    return [w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)]
+    return [w, w[:PREFIX] + "*"] if len(w) > PREFIX else [w]
 
 
 class Index:
-    """Inverted index of unit vectors with per-block maxima."""
+    """Inverted index of unit vectors (ids, weights); a cell holds the postings of one term in one block."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
         self.n_blocks = max(1, -(-self.n // block))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        self.ids = [np.array([i for i, _ in p], np.int32) for p in lists]
-        self.weights = [np.array([w for _, w in p]) for p in lists]
-        self.block_of = [ids // block for ids in self.ids]
-        self.blocks, self.maxima = [], []
-        for blocks, w in zip(self.block_of, self.weights, strict=True):
-            b, first = np.unique(blocks, return_index=True)
-            self.blocks.append(b)
-            self.maxima.append(np.maximum.reduceat(w, first) if len(w) else np.zeros(0))
-
-    def top(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[int, float]]:
+        heavy = [int(i[np.argmax(w)]) if len(i) else -1 for i, w in vectors]
+        self.own = np.argsort(np.array(heavy, np.int64), kind="stable")  # example at each place
+        size = np.array([len(vectors[e][0]) for e in self.own], np.int64)
+        empty = np.zeros(0, np.int64)
+        term = np.concatenate([vectors[e][0] for e in self.own]).astype(np.int64) if self.n else empty
+        weight = np.concatenate([vectors[e][1] for e in self.own]) if self.n else np.zeros(0)
+        row = np.repeat(np.arange(self.n), size)
+        cell = term * self.n_blocks + row // block
+        by = np.argsort(cell, kind="stable")
+        self.row, self.weight, cell = row[by].astype(np.int32), weight[by], cell[by]
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else empty
+        self.at = np.append(first, len(cell))  # postings of each cell
+        self.cell_block = (cell[first] % self.n_blocks).astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cell[first], np.arange(n_terms + 1) * self.n_blocks)  # cells of each term
+
+    def top(self, ids: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> list[tuple[int, float]]:
         """The k nearest (example, cosine > 0), best first, ties by example.  Blocks are
-        visited by falling bound, 4, 8, 16 ... at a time, until no bound reaches the k-th."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in query.items():
-            bound[self.blocks[t]] += q * self.maxima[t]
+        visited by falling bound, 2, 4, 8 ... at a time, until no bound reaches the k-th."""
+        spans = self.cells[ids + 1] - self.cells[ids]
+        cell = np.repeat(self.cells[ids], spans) + C.ranges(spans)
+        weight = np.repeat(q, spans)
+        block = self.cell_block[cell]
+        bound = np.bincount(block, weight * self.cell_max[cell], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[:int((bound > 0).sum())]
-        ids, cos, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order) and not (len(ids) == k and bound[order[at]] + 1e-9 < cos[-1]):
-            visit = np.zeros(self.n_blocks, bool)
-            visit[order[at:at + step]] = True
-            score = np.zeros(self.n)
-            for t, q in query.items():
-                own = visit[self.block_of[t]]
-                score[self.ids[t][own]] += q * self.weights[t][own]
+        turn = np.full(self.n_blocks, len(order))
+        turn[order] = np.arange(len(order))
+        turns = turn[block]
+        found, cos, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
+        while at < len(order) and not (len(found) == k and bound[order[at]] + 1e-9 < cos[-1]):
+            use = np.flatnonzero((turns >= at) & (turns < at + step))
+            size = self.at[cell[use] + 1] - self.at[cell[use]]
+            post = np.repeat(self.at[cell[use]], size) + C.ranges(size)
+            score = np.bincount(self.row[post], self.weight[post] * np.repeat(weight[use], size), minlength=self.n)
             hit = np.flatnonzero(score)
-            hit = hit[hit != skip]
-            ids, cos = np.concatenate([ids, hit]), np.concatenate([cos, np.round(score[hit], 9)])
-            best = np.lexsort((ids, -cos))[:k]
-            ids, cos, at, step = ids[best], cos[best], at + step, step * 2
-        return list(zip(ids.tolist(), np.minimum(cos, 1.0).tolist(), strict=True))
+            example = self.own[hit]
+            keep = example != skip
+            found, cos = np.concatenate([found, example[keep]]), np.concatenate([cos, np.round(score[hit[keep]], 9)])
+            best = np.lexsort((found, -cos))[:k]
+            found, cos, at, step = found[best], cos[best], at + step, step * 2
+        return list(zip(found.tolist(), np.minimum(cos, 1.0).tolist(), strict=True))
 
 
-def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> dict[int, float]:
-    v = {t: (1 + math.log(c)) * float(idf[t]) for t, c in zip(terms, counts, strict=True)}
-    norm = math.sqrt(sum(x * x for x in v.values()))
-    return {t: x / norm for t, x in v.items()} if norm else {}
+def unit(ids, counts, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and weights of a text, of length one."""
+    i = np.asarray(ids, np.int64)
+    v = (1 + np.log(np.asarray(counts, np.float64))) * weight[i]
+    norm = math.sqrt(float((v * v).sum()))
+    return i, v / norm if norm else v
 
 
 def vote(near: list[tuple[int, float]], model: dict) -> float:
@@ -112,8 +119,8 @@ def vote(near: list[tuple[int, float]], model: dict) -> float:
     return yes / total
 
 
-def choose_terms(counted: DataFrame, n_pos: int, n_neg: int, weight: dict, max_terms: int) -> list[str]:
-    """The feature words; counted: word, pos, neg (examples that hold it)."""
+def association(counted: DataFrame, n_pos: int, n_neg: int) -> list[tuple[str, float]]:
+    """(feature, z) of all features, in their order; counted: word, pos, neg (examples that hold it)."""
     both, every = F.col("pos") + F.col("neg"), n_pos + n_neg
 
     def term(seen, expected):
@@ -122,12 +129,8 @@ def choose_terms(counted: DataFrame, n_pos: int, n_neg: int, weight: dict, max_t
     ratio = 2 * (term(F.col("pos"), both * n_pos / every) + term(F.col("neg"), both * n_neg / every)
                  + term(n_pos - F.col("pos"), (every - both) * n_pos / every) + term(n_neg - F.col("neg"), (every - both) * n_neg / every))
     z = F.when(F.col("pos") * n_neg > F.col("neg") * n_pos, F.sqrt(F.greatest(ratio, F.lit(0.0)))).otherwise(0.0)
-    n, pos = F.col("pos") + F.col("neg"), F.col("pos") * weight[1]
-    share = pos / (pos + F.col("neg") * weight[0])
-    low = (share + 2 / n - 2 * F.sqrt(share * (1 - share) / n + 1 / n / n)) / (1 + 4 / n)  # Wilson, two standard errors
-    good = counted.where(n >= MIN_DOCS).select("word", z.alias("z"), low.alias("low"))
-    good = good.where((F.col("z") >= MIN_Z) & (F.col("low") >= MIN_SHARE))
-    return [r.word for r in good.orderBy(F.desc("z"), "word").limit(max_terms).collect()]
+    rows = counted.select("word", z.alias("z")).toArrow()  # the words of a bounded sample
+    return sorted(zip(rows["word"].to_pylist(), rows["z"].to_pylist(), strict=True))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +191,9 @@ def isotonic(x: list[float], y: list[float], w: list[float]) -> list[float]:
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                  label: str = "toxic", sample: int = SAMPLE, k: int = K, max_terms: int = MAX_TERMS) -> DataFrame:
+                  label: str = "toxic", sample: int = SAMPLE, k: int = K) -> DataFrame:
     """``docs`` (without ``text``) plus score, predicted, neighbours (ids of the
-    nearest examples), words (the text's feature words).  Examples are the
+    nearest examples), words (the text's words that are associated with the label).  Examples are the
     rows of ``docs`` that ``labels`` (doc_id, label) marks."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -205,28 +208,30 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     true = {r[0]: r[1] for r in marks.groupBy("_id").agg(F.max("_y").alias("_y")).groupBy("_y").count().collect()}
     weight = {y: true.get(y, 0) / sizes[y] for y in sizes}
-    if not n_pos or not n_neg:
-        terms: list[str] = []
-    else:
+    known: list[tuple[str, float]] = []
+    if n_pos and n_neg:
         counted = examples.select("_y", "_text").mapInArrow(_words, "word string, toxic int").groupBy("word").agg(
             F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-        terms = choose_terms(counted, n_pos, n_neg, weight, max_terms)
+        known = association(counted, n_pos, n_neg)
+    terms, z = [w for w, _ in known], np.array([x for _, x in known])
 
     fresh = StructType.fromDDL("score double, predicted int, neighbours array<string>, words array<string>")
     keep = [c for c in docs.columns if c not in (*fresh.names, text)]
     sparse = C.cut(vectors(docs, keep, text, terms), "toxicity-vectors")
     total = sparse.count()
     df = dict(sparse.select(F.explode("_ids").alias("t")).groupBy("t").count().collect()) if terms else {}
-    idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
+    idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) for i in range(len(terms))])
+    strong = idf * (1 + STRENGTH * np.maximum(z - LEAST_Z, 0.0) ** 2)
 
     rows = sorted(vectors(examples, ["_id", "_y"], "_text", terms).collect(), key=lambda r: str(r[0])) if terms else []
     filled = [r for r in rows if r._ids]
     blank = {y: weight.get(y, 0) * sum(r._y == y for r in rows if not r._ids) for y in (0, 1)}
     share = weight.get(1, 0) * n_pos / max(1e-9, weight.get(1, 0) * n_pos + weight.get(0, 0) * n_neg)
     model = {
-        "index": Index([unit(r._ids, r._counts, idf) for r in filled], len(terms)), "idf": idf, "y": [r._y for r in filled],
-        "ids": [str(r._id) for r in filled], "class_weight": {0: 0.0, 1: 0.0} | weight, "prior": share, "terms": terms, "k": k,
-        "blank": blank[1] / sum(blank.values()) if sum(blank.values()) else 0.0, "at": [], "to": [],
+        "index": Index([unit(r._ids, r._counts, strong) for r in filled], len(terms)), "weight": strong, "y": [r._y for r in filled],
+        "ids": [str(r._id) for r in filled], "class_weight": {0: 0.0, 1: 0.0} | weight, "prior": share, "k": k,
+        "said": {i: w for i, (w, x) in enumerate(known) if x > LEAST_Z},
+        "blank": blank[1] / sum(blank.values()) if sum(blank.values()) else share, "at": [], "to": [],
     }
     if filled:
         _calibrate(spark, model, filled)
@@ -239,9 +244,9 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
         for b in batches:
             res = []
             for ids, counts in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True):
-                near = m["index"].top(unit(ids, counts, m["idf"]), m["k"]) if ids else []
+                near = m["index"].top(*unit(ids, counts, m["weight"]), m["k"]) if ids else []
                 s = float(np.interp(vote(near, m), m["at"], m["to"])) if near and m["at"] else m["blank"]
-                res.append((s, int(s >= THRESHOLD), [m["ids"][i] for i, _ in near], [m["terms"][i] for i in ids]))
+                res.append((s, int(s >= THRESHOLD), [m["ids"][i] for i, _ in near], [m["said"][i] for i in ids if i in m["said"]]))
             new = list(zip(*res, strict=True)) if res else [()] * 4
             cols = [b.column(i) for i in range(len(keep))]
             cols += [pa.array(v, schema.field(i - 4).type) for i, v in enumerate(new)]
@@ -260,7 +265,7 @@ def _calibrate(spark, model: dict, rows: list) -> None:
         for b in batches:
             own = []
             for r in b.to_pylist():
-                near = m["index"].top(unit(r["ids"], r["counts"], m["idf"]), m["k"], skip=r["i"])
+                near = m["index"].top(*unit(r["ids"], r["counts"], m["weight"]), m["k"], skip=r["i"])
                 y = m["y"][r["i"]]
                 own.append((min(BINS - 1, int(vote(near, m) * BINS)), m["class_weight"][y] * y, m["class_weight"][y]))
             cols = list(zip(*own, strict=True)) if own else [(), (), ()]

@@ -226,16 +226,100 @@ def test_toxicity_index_is_exact():
         norm = math.sqrt(sum(x * x for x in v.values()))
         vectors.append({t: x / norm for t, x in v.items()})
     vectors += vectors[:50]  # ties
-    index = toxicity.Index(vectors, 30, block=8)
+    pair = lambda v: (np.array(list(v), np.int64), np.array(list(v.values())))
+    index = toxicity.Index([pair(v) for v in vectors], 30, block=8)
     for q in vectors[:60]:
         cos = [round(sum(x * v.get(t, 0) for t, x in q.items()), 9) for v in vectors]
         want = sorted((i for i, c in enumerate(cos) if c > 0), key=lambda i: (-cos[i], i))[:15]
-        got = index.top(q, 15)
+        got = index.top(*pair(q), 15)
         assert [i for i, _ in got] == want and np.allclose([c for _, c in got], [min(1, cos[i]) for i in want])
-    assert index.top({}, 5) == []
+    assert index.top(*pair({}), 5) == []
     assert toxicity.isotonic([0, 1, 2, 3], [0.1, 0.5, 0.3, 0.9], [1, 1, 1, 1]) == [0.1, 0.4, 0.4, 0.9]
 
 
+def brute_toxicity(docs, labels, k=toxicity.K):
+    """Scores and neighbours in plain Python: all features, all cosines, leave-one-out votes, calibration."""
+    def features(t):
+        c = Counter()
+        for w, n in Counter(words(t)).items():
+            c[w] += n
+            if len(w) > toxicity.PREFIX:
+                c[w[:toxicity.PREFIX] + "*"] += n
+        return c
+
+    bags = {d: features(t) for d, t in docs.items()}
+    df = Counter(f for b in bags.values() for f in b)
+    ex = sorted((d for d in labels), key=str)
+    n_pos = sum(labels.values())
+    n_neg, every = len(ex) - n_pos, len(ex)
+    weight = {}
+    for f in {f for d in ex for f in bags[d]}:
+        pos, neg = (sum(labels[d] == y and f in bags[d] for d in ex) for y in (1, 0))
+        z = 0.0
+        if pos * n_neg > neg * n_pos:
+            cells = ((pos, (pos + neg) * n_pos / every), (neg, (pos + neg) * n_neg / every), (n_pos - pos, (every - pos - neg) * n_pos / every),
+                     (n_neg - neg, (every - pos - neg) * n_neg / every))
+            z = math.sqrt(max(0.0, 2 * sum(a * math.log(a / b) for a, b in cells if a)))
+        weight[f] = math.log((len(docs) + 1) / (df[f] + 1)) * (1 + toxicity.STRENGTH * max(z - toxicity.LEAST_Z, 0) ** 2)
+
+    def unit(b):
+        v = {f: (1 + math.log(n)) * weight[f] for f, n in b.items() if f in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items()} if norm else {}
+
+    held = {d: unit(bags[d]) for d in ex}
+
+    def near(v, skip=None):
+        cos = [(round(sum(x * held[e].get(f, 0) for f, x in v.items()), 9), i) for i, e in enumerate(ex) if e != skip]
+        return sorted(((c, i) for c, i in cos if c > 0), key=lambda r: (-r[0], r[1]))[:k]
+
+    def vote(found):
+        yes, total = toxicity.PRIOR_MASS * n_pos / every, toxicity.PRIOR_MASS
+        for c, i in found:
+            c = min(c, 1.0)
+            w = c * c / (1 - c + 0.05)
+            yes, total = yes + w * labels[ex[i]], total + w
+        return yes / total
+
+    bins = {}
+    for d in ex:
+        if bags[d]:
+            b = bins.setdefault(min(toxicity.BINS - 1, int(vote(near(held[d], d)) * toxicity.BINS)), [0, 0])
+            b[0], b[1] = b[0] + labels[d], b[1] + 1
+    at = [(b + 0.5) / toxicity.BINS for b in sorted(bins)]
+    to = toxicity.isotonic(at, [(bins[b][0] + 0.5 * a) / (bins[b][1] + 0.5) for b, a in zip(sorted(bins), at, strict=True)], [bins[b][1] for b in sorted(bins)])
+    out = {}
+    for d, b in bags.items():
+        found = near(unit(b))
+        out[d] = (float(np.interp(vote(found), at, to)) if found else None, [str(ex[i]) for _, i in found])
+    return out
+
+
+def test_toxicity_equals_brute_force_from_end_to_end(spark):
+    rng = random.Random(77)
+    common = [f"word{i}" for i in range(120)]
+    insults = ["idiot", "moronic", "moron", "scumbag"]
+    docs, labels = {}, {}
+    for d in range(260):
+        w = [rng.choice(common) for _ in range(rng.randint(0, 40))]
+        toxic = d % 4 == 0
+        w += [rng.choice(insults) for _ in range(2)] if toxic and w else []
+        rng.shuffle(w)
+        docs[d] = " ".join(w) if d % 50 else None
+        if d < 150:
+            labels[d] = int(toxic)
+    docs[500], docs[501] = "words nobody labelled", "idiot"
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    want = brute_toxicity(docs, labels)
+    blank = [d for d in labels if not words(docs[d])]
+    for r in toxicity.fit_and_score(table, marks).collect():
+        score, found = want[r.doc_id]
+        assert r.neighbours == found and r.predicted == (r.score >= 0.7)
+        assert r.score == pytest.approx(score if found else np.mean([labels[d] for d in blank]), abs=1e-6), r.doc_id
+        assert bool(found) == bool(set(words(docs[r.doc_id])) & {x for d in labels for x in words(docs[d])})
+
+
 def test_toxicity(spark, edges, empty):
     sf = "/root/testdata/sf0.01"
     rows = toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"), "doc_id").collect()
