@@ -131,7 +131,7 @@ def blocks_of(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 
     def runs(j: int) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - j), lambda i: sum((F.get("_sizes", i + k) for k in range(1, j)), F.get("_sizes", i)) <= RUN_CHARS)
-        found = F.transform(starts, lambda i: F.struct(number(i, j).alias("block"), F.array_join(F.slice("_lines", i + 1, j), " ").alias("line")))
+        found = F.transform(starts, lambda i: F.struct(number(i, j).alias("block"), F.concat_ws(" ", *(F.get("_lines", i + k) for k in range(j))).alias("line")))
         return F.when(F.size("_lines") >= j, found).otherwise(F.array().cast("array<struct<block:bigint,line:string>>"))
 
     one = F.transform("_lines", lambda t, i: F.struct(number(i, 1).alias("block"), t.alias("line")))
