@@ -52,8 +52,9 @@ def tokens(col) -> Column:
 
 
 def _gram_at(w: Column, n: int):
-    # a one-argument lambda: Spark reads a second parameter as the index
-    return lambda i: F.array_join(F.slice(w, i, n), " ")
+    # a one-argument lambda: Spark reads a second parameter as the index.  Single elements, not slices: a
+    # slice copies the whole array first, which made n-grams quadratic in the text
+    return lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
 
 
 def ngrams(words, lo: int = 1, hi: int = 1) -> Column:
@@ -66,7 +67,7 @@ def ngrams(words, lo: int = 1, hi: int = 1) -> Column:
         if n == 1:
             parts.append(w)
         else:
-            grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), _gram_at(w, n))
+            grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), _gram_at(w, n))
             parts.append(F.when(F.size(w) >= n, grams).otherwise(empty))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 

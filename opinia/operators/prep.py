@@ -430,7 +430,7 @@ def _cut_by_hash(h: DataFrame, cum: list[float], names, by: str | None) -> DataF
     return h.withColumn("part", expr)
 
 
-def sorted_index(df: DataFrame, order: list[Column], out: str = "idx") -> DataFrame:
+def sorted_index(df: DataFrame, order: list[Column], out: str = "idx", kind: str = "int") -> DataFrame:
     """Position (0-based) of every row in a global order, without a
     single-partition window: a range-partitioned sort, one count per
     partition (a row per partition comes back), then
@@ -447,7 +447,7 @@ def sorted_index(df: DataFrame, order: list[Column], out: str = "idx") -> DataFr
         offsets[pid] = acc
         acc += n
     if not offsets:
-        return s.drop("_pid", "_mid").withColumn(out, F.lit(None).cast("int"))
+        return s.drop("_pid", "_mid").withColumn(out, F.lit(None).cast(kind))
     off = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))])
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return s.withColumn(out, (off[F.col("_pid")] + pos).cast("int")).drop("_pid", "_mid")
+    return s.withColumn(out, (off[F.col("_pid")] + pos).cast(kind)).drop("_pid", "_mid")

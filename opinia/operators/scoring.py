@@ -31,29 +31,31 @@ def score_texts(df: DataFrame, col: str, make_scorer: Callable[[], Callable[[lis
     ``dedup=True`` scores each distinct text once (worth its two exchanges
     when the model is expensive and copies are common); ``dedup=False``
     scores rows in place with no exchange at all."""
-    schema = T.StructType([T.StructField("_text", T.StringType()), T.StructField(out, out_type)])
+    schema = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField(out, out_type)])
     if not dedup:
         keep = df.columns
         full = T.StructType(df.schema.fields + [T.StructField(out, out_type)])
         run_rows = _runner(make_scorer, col, out, batch, on_error, keep)
         return df.mapInPandas(run_rows, full)
-    texts = df.select(F.col(col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    # texts are told apart by 256 bits: what is shuffled and joined by is a hash, not the text itself
+    keyed = df.withColumn("_key", F.unhex(F.sha2(F.col(col), 256)))
+    texts = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.first(col).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for pdf in batches:
             vals = []
-            items = pdf["_text"].tolist()
+            items, keys = pdf["_text"].tolist(), pdf["_key"].tolist()
             for i in range(0, len(items), batch):
                 chunk = items[i:i + batch]
                 try:
                     vals.extend(scorer(chunk))
                 except Exception:  # noqa: BLE001  (one failed request -> null)
                     vals.extend(chunk if on_error == "text" else [None] * len(chunk))
-            yield pd.DataFrame({"_text": items, out: pd.Series(vals, dtype="object")})
+            yield pd.DataFrame({"_key": keys, out: pd.Series(vals, dtype="object")})
 
     scored = texts.mapInPandas(run, schema)
-    return df.join(scored, df[col] == scored["_text"], "left").drop("_text")
+    return keyed.join(scored, "_key", "left").drop("_key")
 
 
 def _runner(make_scorer, col, out, batch, on_error, keep):

@@ -193,6 +193,7 @@ def _nb(spark, d, alpha: float, fit_prior: bool):
     model = TF.fit_tfidf(labelled, "doc_id", "text", spec)
     vocab = model.vocab = model.vocab.persist()
     w = model.transform(labelled, "doc_id", "text").select("id", "term", F.col("weight").alias("value"))
+    w = w.persist()  # read for the fit, the mass and the hits; a recomputation would tokenise the texts again
     parts = P.split_column(lab.select("doc_id", "quality"), "doc_id", (0.6, 0.2, 0.2), 42, stratify="quality")
     parts = parts.persist()
     train = parts.where(F.col("part") == "train").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))

@@ -80,6 +80,28 @@ def t6_tokens(spark, d):
     )
 
 
+T6_ALL_SQL = f"SELECT doc_id, md5(array_to_string({S.tokens('text')}, ' ')) AS digest FROM documents"
+
+
+@register("t6_tokens_digest", T6_ALL_SQL, "T6")
+def t6_tokens_digest(spark, d):
+    """All tokens of each text in order, as a digest."""
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(T.tokens("text"), " ")).alias("digest"))
+
+
+T7_ALL_SQL = f"""
+SELECT doc_id, md5(array_to_string(g, '|')) AS digest
+FROM (SELECT doc_id, {S.ngrams('tk', 1, 3)} AS g FROM (SELECT doc_id, {S.tokens('text')} AS tk FROM documents))
+"""
+
+
+@register("t7_ngrams_digest", T7_ALL_SQL, "T7 T6")
+def t7_ngrams_digest(spark, d):
+    """All n-grams of each text in order, as a digest."""
+    x = table(spark, d, "documents").select("doc_id", T.tokens("text").alias("tk"))
+    return x.select("doc_id", F.md5(F.array_join(T.ngrams("tk", 1, 3), "|")).alias("digest"))
+
+
 T7_SQL = f"""
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_grams, CAST(len(list_distinct(g)) AS BIGINT) AS n_distinct,
        g[len(g)] AS last_gram
