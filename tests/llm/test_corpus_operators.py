@@ -353,3 +353,17 @@ def test_pipeline(spark):
     assert ids(single) == {r.doc_id for r in pre if groups.get(r.doc_id, (r.doc_id,))[0] == r.doc_id}
     assert ids(pure) <= ids(single) and ids(mixed) == ids(last) and all(r.rate > 0 for r in mixed)
     assert corpus_pipeline.run(spark, SF).count() == len(mixed)
+
+
+def test_pipeline_stages_on_edges(spark, edges, empty):
+    """Nulls in any column, empty and very long texts, repeated rows, extra columns and empty tables."""
+    columns = edges.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edges, SF).collect()
+        assert out and set(columns) <= set(out[0].asDict()) | {"score"}, name
+        kept = {(r.doc_id, r.text) for r in out}
+        if name != "line dedup":
+            assert kept <= {(r.doc_id, r.text) for r in edges.collect()}, name
+        assert (9, "no extras at all") in kept, name
+        none = stage(spark, empty, SF)
+        assert none.count() == 0 and none.columns[:5] == columns[:5], name
