@@ -37,7 +37,8 @@ from opinia.llm import common as C
 SAMPLE = 1000  # labelled rows per class
 PREFIX = 5
 LEAST_Z, STRENGTH = 3.0, 4.0
-K, BLOCK, BINS = 15, 64, 20
+K, BLOCK, BINS = 15, 256, 20
+DENSE, TOGETHER = 30, 256
 PRIOR_MASS = 1.0
 THRESHOLD = 0.7
 _TABLE = bytes(int(b) if b else 0x20 for b in C.ALNUM)
@@ -53,7 +54,9 @@ def features_of(word: bytes) -> list[str]:
 
 
 class Index:
-    """Inverted index of unit vectors (ids, weights); a cell holds the postings of one term in one block."""
+    """Inverted index of unit vectors (ids, weights); a cell holds the postings of one term in one block.  Terms that
+    more than a ``DENSE``-th of the vectors have are columns of a matrix instead of postings, so that a batch of
+    texts meets them in one product."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
@@ -65,6 +68,12 @@ class Index:
         term = np.concatenate([vectors[e][0] for e in self.own]).astype(np.int64) if self.n else empty
         weight = np.concatenate([vectors[e][1] for e in self.own]) if self.n else np.zeros(0)
         row = np.repeat(np.arange(self.n), size)
+        common = np.bincount(term, minlength=n_terms) * DENSE > self.n
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((int(common.sum()), self.n))
+        in_matrix = common[term]
+        self.matrix[self.column[term[in_matrix]], row[in_matrix]] = weight[in_matrix]
+        term, weight, row = term[~in_matrix], weight[~in_matrix], row[~in_matrix]
         cell = term * self.n_blocks + row // block
         by = np.argsort(cell, kind="stable")
         self.row, self.weight, cell = row[by].astype(np.int32), weight[by], cell[by]
@@ -74,26 +83,43 @@ class Index:
         self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.cells = np.searchsorted(cell[first], np.arange(n_terms + 1) * self.n_blocks)  # cells of each term
 
-    def top(self, ids: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> list[tuple[int, float]]:
-        """The k nearest (example, cosine > 0), best first, ties by example.  Blocks are
-        visited by falling bound, 2, 4, 8 ... at a time, until no bound reaches the k-th."""
+    def top_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[list[tuple[int, float]]]:
+        """``top`` of each query, the common terms of ``TOGETHER`` of them at a time."""
+        out = []
+        for lo in range(0, len(queries), TOGETHER):
+            part = queries[lo:lo + TOGETHER]
+            q = np.zeros((len(part), len(self.matrix)))
+            for j, (ids, w) in enumerate(part):
+                at = self.column[ids]
+                q[j, at[at >= 0]] = w[at >= 0]
+            base = q @ self.matrix
+            out += [self.top(ids, w, k, -1 if skip is None else skip[lo + j], base[j]) for j, (ids, w) in enumerate(part)]
+        return out
+
+    def top(self, ids: np.ndarray, q: np.ndarray, k: int, skip: int = -1, base: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """The k nearest (example, cosine > 0), best first, ties by example; ``base``: what the common terms add to
+        each.  Blocks are visited by falling bound, 2, 4, 8 ... at a time, until no bound reaches the k-th."""
+        if not len(ids) or not self.n:
+            return []
+        if base is None:
+            return self.top_many([(ids, q)], k, [skip])[0]
         spans = self.cells[ids + 1] - self.cells[ids]
         cell = np.repeat(self.cells[ids], spans) + C.ranges(spans)
         weight = np.repeat(q, spans)
         block = self.cell_block[cell]
-        bound = np.bincount(block, weight * self.cell_max[cell], minlength=self.n_blocks)
+        bound = np.bincount(block, weight * self.cell_max[cell], minlength=self.n_blocks) + np.maximum.reduceat(base, np.arange(0, self.n, self.block))
         order = np.argsort(-bound, kind="stable")
         order = order[:int((bound > 0).sum())]
         turn = np.full(self.n_blocks, len(order))
         turn[order] = np.arange(len(order))
-        turns = turn[block]
+        turns, row_turns = turn[block], np.repeat(turn, self.block)[:self.n]
         found, cos, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
         while at < len(order) and not (len(found) == k and bound[order[at]] + 1e-9 < cos[-1]):
             use = np.flatnonzero((turns >= at) & (turns < at + step))
             size = self.at[cell[use] + 1] - self.at[cell[use]]
             post = np.repeat(self.at[cell[use]], size) + C.ranges(size)
-            score = np.bincount(self.row[post], self.weight[post] * np.repeat(weight[use], size), minlength=self.n)
-            hit = np.flatnonzero(score)
+            score = base + np.bincount(self.row[post], self.weight[post] * np.repeat(weight[use], size), minlength=self.n)
+            hit = np.flatnonzero((score > 0) & (row_turns >= at) & (row_turns < at + step))
             example = self.own[hit]
             keep = example != skip
             found, cos = np.concatenate([found, example[keep]]), np.concatenate([cos, np.round(score[hit[keep]], 9)])
@@ -110,6 +136,13 @@ def unit(ids, counts, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, v / norm if norm else v
 
 
+def lists_of(col: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column."""
+    off = col.offsets.to_numpy()
+    flat = col.values.to_numpy(zero_copy_only=False)
+    return [flat[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
 def vote(near: list[tuple[int, float]], model: dict) -> float:
     """Distance-weighted share of toxic neighbours, shrunk to the toxic share."""
     yes, total = PRIOR_MASS * model["prior"], PRIOR_MASS
@@ -230,7 +263,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     model = {
         "index": Index([unit(r._ids, r._counts, strong) for r in filled], len(terms)), "weight": strong, "y": [r._y for r in filled],
         "ids": [str(r._id) for r in filled], "class_weight": {0: 0.0, 1: 0.0} | weight, "prior": share, "k": k,
-        "said": {i: w for i, (w, x) in enumerate(known) if x > LEAST_Z},
+        "said": {i: w for i, (w, x) in enumerate(known) if x > LEAST_Z}, "strong": z > LEAST_Z,
         "blank": blank[1] / sum(blank.values()) if sum(blank.values()) else share, "at": [], "to": [],
     }
     if filled:
@@ -243,10 +276,11 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
         m = held.value
         for b in batches:
             res = []
-            for ids, counts in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True):
-                near = m["index"].top(*unit(ids, counts, m["weight"]), m["k"]) if ids else []
+            lists = [lists_of(b.column(len(keep) + j)) for j in (0, 1)]
+            found = m["index"].top_many([unit(i, n, m["weight"]) for i, n in zip(*lists, strict=True)], m["k"])
+            for ids, near in zip(lists[0], found, strict=True):
                 s = float(np.interp(vote(near, m), m["at"], m["to"])) if near and m["at"] else m["blank"]
-                res.append((s, int(s >= THRESHOLD), [m["ids"][i] for i, _ in near], [m["said"][i] for i in ids if i in m["said"]]))
+                res.append((s, int(s >= THRESHOLD), [m["ids"][i] for i, _ in near], [m["said"][i] for i in ids[m["strong"][ids]].tolist()]))
             new = list(zip(*res, strict=True)) if res else [()] * 4
             cols = [b.column(i) for i in range(len(keep))]
             cols += [pa.array(v, schema.field(i - 4).type) for i, v in enumerate(new)]
@@ -264,8 +298,9 @@ def _calibrate(spark, model: dict, rows: list) -> None:
         m = held.value
         for b in batches:
             own = []
-            for r in b.to_pylist():
-                near = m["index"].top(*unit(r["ids"], r["counts"], m["weight"]), m["k"], skip=r["i"])
+            rows = b.to_pylist()
+            found = m["index"].top_many([unit(r["ids"], r["counts"], m["weight"]) for r in rows], m["k"], [r["i"] for r in rows])
+            for r, near in zip(rows, found, strict=True):
                 y = m["y"][r["i"]]
                 own.append((min(BINS - 1, int(vote(near, m) * BINS)), m["class_weight"][y] * y, m["class_weight"][y]))
             cols = list(zip(*own, strict=True)) if own else [(), (), ()]
