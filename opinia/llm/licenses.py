@@ -120,24 +120,33 @@ def need(n: int, threshold: float) -> int:
     return next(o for o in range(1, n + 1) if o / n >= threshold)
 
 
-def blocks_of(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys``, block, line: the lines of each text and the short runs of lines, joined by a space; block numbers
-    tell first line and number of lines."""
+def line_tokens(docs: DataFrame, keys: list[str], text: str, vocabulary: list[str]) -> DataFrame:
+    """``keys`` and ``_l``: per line of the text its vocabulary tokens and its length."""
+    known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
     x = docs.select(*keys, F.split(C.text_or_empty(text), "\n").alias("_lines"))
-    x = x.select("*", F.transform("_lines", lambda t: F.length(t)).alias("_sizes"))
+    return x.select(*keys, F.transform("_lines", lambda t: F.struct(
+        F.array_intersect(known, F.split(F.lower(t), GAP)).alias("own"), F.length(t).alias("size"))).alias("_l"))
 
-    def number(i: Column, j: int) -> Column:
-        return i.cast("long") * (RUN_LINES + 1) + j
+
+def blocks_of(lines: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """``keys``, block, own: the vocabulary tokens of the lines and of the short runs of lines that have at least
+    ``least`` of them; block numbers tell first line and number of lines.  A run's tokens are those of its lines, so
+    no text is split again."""
+    def total(i: Column, j: int, of) -> Column:
+        return sum((of(F.get("_l", i + k)) for k in range(1, j)), of(F.get("_l", i)))
 
     def runs(j: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - j), lambda i: sum((F.get("_sizes", i + k) for k in range(1, j)), F.get("_sizes", i)) <= RUN_CHARS)
-        found = F.transform(starts, lambda i: F.struct(number(i, j).alias("block"), F.concat_ws(" ", *(F.get("_lines", i + k) for k in range(j))).alias("line")))
-        return F.when(F.size("_lines") >= j, found).otherwise(F.array().cast("array<struct<block:bigint,line:string>>"))
+        starts = F.filter(F.sequence(F.lit(0), F.size("_l") - j), lambda i: (total(i, j, lambda e: F.size(e["own"])) >= least) & (
+            F.lit(True) if j == 1 else total(i, j, lambda e: e["size"]) <= RUN_CHARS))
+        found = F.transform(starts, lambda i: F.struct((i.cast("long") * (RUN_LINES + 1) + j).alias("block"), F.array_distinct(
+            F.concat(*(F.get("_l", i + k)["own"] for k in range(j)))).alias("own")))
+        return F.when(F.size("_l") >= j, found).otherwise(F.array().cast("array<struct<block:bigint,own:array<string>>>"))
 
-    one = F.transform("_lines", lambda t, i: F.struct(number(i, 1).alias("block"), t.alias("line")))
     # below the explode, so that no row of a block carries the whole text
-    x = x.select(*keys, F.concat(one, *(runs(j) for j in range(2, RUN_LINES + 1))).alias("_blocks"))
-    return x.select(*keys, F.explode("_blocks").alias("_b")).select(*keys, "_b.*")
+    x = lines.select(*keys, F.concat(*(runs(j) for j in range(1, RUN_LINES + 1))).alias("_blocks"))
+    # explode_outer: for explode, Spark adds a filter on the array's size, pushes it below the projections and so
+    # computes the lines' tokens again for each element
+    return x.select(*keys, F.explode_outer("_blocks").alias("_b")).select(*keys, "_b.*").where(F.size("own") >= least)
 
 
 def matches(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMPLATES,
@@ -147,11 +156,11 @@ def matches(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMP
     spark = docs.sparkSession
     sets = token_sets(templates, threshold)
     vocabulary = sorted(set().union(*(s for _, _, s, _ in sets))) if sets else []
-    blocks = blocks_of(docs, keys, text).select(*keys, "block", F.split(F.lower("line"), GAP).alias("tokens"))
+    lines = line_tokens(docs, keys, text, vocabulary)
 
-    # global order, rarest first: how many blocks hold each token of the vocabulary (one small row per token)
-    known = F.array_intersect(F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"), "tokens")
-    counted = {r[0]: r[1] for r in blocks.select(F.explode(known).alias("w")).groupBy("w").count().collect()}
+    # global order, rarest first: how many lines hold each token of the vocabulary (one small row per token)
+    held = F.flatten(F.transform("_l", lambda e: e["own"]))
+    counted = {r[0]: r[1] for r in lines.select(F.explode_outer(held).alias("w")).where("w IS NOT NULL").groupBy("w").count().collect()}
     order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
 
@@ -164,9 +173,9 @@ def matches(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMP
     whole_df = spark.createDataFrame(whole, "template int, label string, ttokens array<string>, tsize int, need int")
 
     # array_intersect keeps the order of its first argument: the block's tokens come out in the global order
-    ordered = F.array_intersect(F.array(*map(F.lit, order)) if order else F.array().cast("array<string>"), "tokens")
+    ordered = F.array_intersect(F.array(*map(F.lit, order)) if order else F.array().cast("array<string>"), "own")
     least = min((o for *_, o in sets), default=1)
-    cut = blocks.select(*keys, "block", ordered.alias("own")).where(F.size("own") >= least)
+    cut = blocks_of(lines, keys, least).select(*keys, "block", ordered.alias("own"))
     probes = cut.select(*keys, "block", "own", F.posexplode("own").alias("pos", "token"))
     room = F.least(F.size("own") - F.col("pos"), F.col("tsize") - F.col("tpos"))
     found = (
