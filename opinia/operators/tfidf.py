@@ -96,10 +96,16 @@ def doc_tokens(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec) -> Da
     return tk
 
 
+def each_gram(exploded: DataFrame) -> DataFrame:
+    """The rows of an outer explode that hold a term.  For a plain ``explode`` Spark adds a filter on the array's size
+    and pushes it below the projection of the tokens, where each n-gram runs the token regex again."""
+    return exploded.where(F.col("term").isNotNull())
+
+
 def doc_terms(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec) -> DataFrame:
     """``(id, term, tf)`` raw term counts of each document (all terms)."""
     tk = doc_tokens(df, id_col, text_col, spec)
-    grams = tk.select("id", F.explode(ngrams("tk", spec.lo, spec.hi)).alias("term"))
+    grams = each_gram(tk.select("id", F.explode_outer(ngrams("tk", spec.lo, spec.hi)).alias("term")))
     return grams.groupBy("id", "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
 
 
@@ -110,8 +116,8 @@ def term_stats(df: DataFrame, id_col: str, text_col: str, spec: TfidfSpec) -> Da
     needed); partial aggregation leaves one row per term per task."""
     tk = doc_tokens(df, id_col, text_col, spec)
     g = ngrams("tk", spec.lo, spec.hi)
-    occ = tk.select(F.explode(g).alias("term"), F.lit(1).alias("_o"), F.lit(0).alias("_d"))
-    dist = tk.select(F.explode(F.array_distinct(g)).alias("term"), F.lit(0).alias("_o"), F.lit(1).alias("_d"))
+    occ = each_gram(tk.select(F.explode_outer(g).alias("term"), F.lit(1).alias("_o"), F.lit(0).alias("_d")))
+    dist = each_gram(tk.select(F.explode_outer(F.array_distinct(g)).alias("term"), F.lit(0).alias("_o"), F.lit(1).alias("_d")))
     return occ.unionByName(dist).groupBy("term").agg(
         F.sum("_d").cast("bigint").alias("df"), F.sum("_o").cast("bigint").alias("total"))
 
@@ -127,7 +133,7 @@ class TfidfModel:
         (doc, term) exchange carries kept terms only."""
         bounded_vocab = self.spec.max_features is not None
         tk = doc_tokens(df, id_col, text_col, self.spec)
-        grams = tk.select("id", F.explode(ngrams("tk", self.spec.lo, self.spec.hi)).alias("term"))
+        grams = each_gram(tk.select("id", F.explode_outer(ngrams("tk", self.spec.lo, self.spec.hi)).alias("term")))
         kept = (lookup_join(grams, self.vocab, "term") if bounded_vocab else grams.join(self.vocab, "term"))
         tf = kept.groupBy("id", "term", "idf").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
         return _normalise(tf, self.spec)
