@@ -1,8 +1,8 @@
 """Toxicity (operator 7): nearest labelled examples by exact TF-IDF cosine.
 
 1. A bounded sample of labelled rows (``sample`` per class) is the example set.
-2. Features are all words of the examples and the beginnings (``PREFIX`` letters) of the longer
-   ones, which inflected forms share.  Document frequencies are counted over all documents.
+2. Features are all words of the examples and the beginnings (``PREFIX`` bytes) of the longer
+   ones (told apart by 64-bit hashes), which inflected forms share.  Document frequencies are counted over all documents.
 3. A feature's weight is its idf times 1 + ``STRENGTH`` (z - ``LEAST_Z``)^2, z being the signed root of its
    likelihood ratio with the toxic label, where z is above ``LEAST_Z``: association weighs, it selects nothing.
 4. The examples' normalised vectors form an inverted index whose postings are grouped by blocks of
@@ -38,7 +38,7 @@ SAMPLE = 1000  # labelled rows per class
 PREFIX = 5
 LEAST_Z, STRENGTH = 3.0, 4.0
 K, BLOCK, BINS = 15, 256, 20
-DENSE, TOGETHER = 30, 256
+DENSE, TOGETHER = 20, 256
 PRIOR_MASS = 1.0
 THRESHOLD = 0.7
 _TABLE = bytes(int(b) if b else 0x20 for b in C.ALNUM)
@@ -48,9 +48,27 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def features_of(word: bytes) -> list[str]:
-    w = word.decode("utf-8", "replace")
-    return [w, w[:PREFIX] + "*"] if len(w) > PREFIX else [w]
+def features_of(word: bytes) -> list[bytes]:
+    return [word, word[:PREFIX] + b"*"] if len(word) > PREFIX else [word]
+
+
+_BEGINS = np.uint64(0xA24BAED4963EE407)
+
+
+def feature_hashes(mapped: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the features of each word span, and the number of the word."""
+    long = np.flatnonzero(e - s > PREFIX)
+    begins = C.hash_spans(mapped, s[long], s[long] + PREFIX) ^ _BEGINS
+    return np.concatenate((C.hash_spans(mapped, s, e), begins)), np.concatenate((np.arange(len(s)), long))
+
+
+def hashes_of(terms: list[bytes]) -> np.ndarray:
+    """The same hashes of given features."""
+    plain = [t.removesuffix(b"*") for t in terms]
+    ends = np.cumsum([len(t) for t in plain], dtype=np.int64)
+    sizes = np.diff(ends, prepend=0)
+    h = C.hash_spans(np.frombuffer(b"".join(plain), np.uint8), ends - sizes, ends) if terms else np.zeros(0, np.uint64)
+    return np.where([t.endswith(b"*") for t in terms], h ^ _BEGINS, h) if terms else h
 
 
 class Index:
@@ -59,6 +77,7 @@ class Index:
     texts meets them in one product."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+        self.given = vectors, n_terms, block
         self.n, self.block = len(vectors), block
         self.n_blocks = max(1, -(-self.n // block))
         heavy = [int(i[np.argmax(w)]) if len(i) else -1 for i, w in vectors]
@@ -83,6 +102,14 @@ class Index:
         self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.cells = np.searchsorted(cell[first], np.arange(n_terms + 1) * self.n_blocks)  # cells of each term
 
+    def __reduce__(self):
+        """Only the vectors travel; each Python worker builds the index once."""
+        vectors, n_terms, block = self.given
+        size = np.array([len(i) for i, _ in vectors], np.int32)
+        ids = np.concatenate([i for i, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
+        weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        return _rebuilt, (size, ids, weights, n_terms, block)
+
     def top_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[list[tuple[int, float]]]:
         """``top`` of each query, the common terms of ``TOGETHER`` of them at a time."""
         out = []
@@ -128,6 +155,11 @@ class Index:
         return list(zip(found.tolist(), np.minimum(cos, 1.0).tolist(), strict=True))
 
 
+def _rebuilt(size: np.ndarray, ids: np.ndarray, weights: np.ndarray, n_terms: int, block: int) -> Index:
+    ends = np.cumsum(size)
+    return Index([(ids[b - n:b].astype(np.int64), weights[b - n:b]) for n, b in zip(size.tolist(), ends.tolist(), strict=True)], n_terms, block)
+
+
 def unit(ids, counts, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features and weights of a text, of length one."""
     i = np.asarray(ids, np.int64)
@@ -152,7 +184,7 @@ def vote(near: list[tuple[int, float]], model: dict) -> float:
     return yes / total
 
 
-def association(counted: DataFrame, n_pos: int, n_neg: int) -> list[tuple[str, float]]:
+def association(counted: DataFrame, n_pos: int, n_neg: int) -> list[tuple[bytes, float]]:
     """(feature, z) of all features, in their order; counted: word, pos, neg (examples that hold it)."""
     both, every = F.col("pos") + F.col("neg"), n_pos + n_neg
 
@@ -176,38 +208,42 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = list({f for w in set(words_of(t)) for f in features_of(w)})
                 word += own
                 y += [k] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(y, pa.int32())], names=["word", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(y, pa.int32())], names=["word", "toxic"])
 
 
-def vectors(docs: DataFrame, keep: list[str], text: str, terms: list[str]) -> DataFrame:
-    """``keep`` plus ids and counts of the feature words of each whole text."""
+def vectors(docs: DataFrame, keep: list[str], text: str, terms: list[bytes]) -> DataFrame:
+    """``keep`` plus ids and counts of the features of each whole text."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     base = docs.select(*keep, F.col(text).alias("_text"))
     out = StructType(base.schema.fields[:-1] + StructType.fromDDL("_ids array<int>, _counts array<int>").fields)
     schema = to_arrow_schema(out)
-    held = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
+    hashes = hashes_of(terms)
+    order = np.argsort(hashes)
+    held = docs.sparkSession.sparkContext.broadcast((hashes[order], order.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = held.value, {}
+        known, number = held.value
         for b in batches:
-            ids, counts = [], []
-            for t in b.column(len(keep)).to_pylist():
-                c: dict[int, int] = {}
-                for w, n in Counter(words_of(t)).items() if known else ():
-                    own = seen.get(w)
-                    if own is None:
-                        if len(seen) > 500_000:  # a cache, not a bound on words
-                            seen.clear()
-                        own = seen[w] = [known[f] for f in features_of(w) if f in known]
-                    for i in own:
-                        c[i] = c.get(i, 0) + n
-                ids.append(sorted(c))
-                counts.append([c[i] for i in ids[-1]])
-            cols = [b.column(i) for i in range(len(keep))]
-            cols += [pa.array(ids, schema.field(-2).type), pa.array(counts, schema.field(-1).type)]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            arr = C.strings(b.column(len(keep)))
+            for lo, hi in C.slices(arr):
+                buf, off = C.raw(arr.slice(lo, hi - lo))
+                mapped = C.ALNUM[buf]
+                s, e = C.word_spans(mapped, off)
+                h, word = feature_hashes(mapped, s, e)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    hit = known[at] == h
+                else:
+                    at, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+                doc = np.searchsorted(off, s[word[hit]], side="right") - 1
+                key, times = np.unique(doc * max(len(known), 1) + number[at[hit]] if len(known) else doc, return_counts=True)
+                doc, ids = key // max(len(known), 1), key % max(len(known), 1)
+                places = np.searchsorted(doc, np.arange(hi - lo + 1))
+                cols = [b.column(i).slice(lo, hi - lo) for i in range(len(keep))]
+                cols += [C.list_array(ids.astype(np.int32), places, pa.int32()), C.list_array(times.astype(np.int32), places, pa.int32())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return base.mapInArrow(run, out)
 
@@ -243,7 +279,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     weight = {y: true.get(y, 0) / sizes[y] for y in sizes}
     known: list[tuple[str, float]] = []
     if n_pos and n_neg:
-        counted = examples.select("_y", "_text").mapInArrow(_words, "word string, toxic int").groupBy("word").agg(
+        counted = examples.select("_y", "_text").mapInArrow(_words, "word binary, toxic int").groupBy("word").agg(
             F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
         known = association(counted, n_pos, n_neg)
     terms, z = [w for w, _ in known], np.array([x for _, x in known])
@@ -263,7 +299,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     model = {
         "index": Index([unit(r._ids, r._counts, strong) for r in filled], len(terms)), "weight": strong, "y": [r._y for r in filled],
         "ids": [str(r._id) for r in filled], "class_weight": {0: 0.0, 1: 0.0} | weight, "prior": share, "k": k,
-        "said": {i: w for i, (w, x) in enumerate(known) if x > LEAST_Z}, "strong": z > LEAST_Z,
+        "said": {i: w.decode("utf-8", "replace") for i, (w, x) in enumerate(known) if x > LEAST_Z}, "strong": z > LEAST_Z,
         "blank": blank[1] / sum(blank.values()) if sum(blank.values()) else share, "at": [], "to": [],
     }
     if filled:
@@ -311,6 +347,7 @@ def _calibrate(spark, model: dict, rows: list) -> None:
         part.repartition(C.partitions(spark)).mapInArrow(run, "bin int, yes double, n double")
         .groupBy("bin").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n")).orderBy("bin").collect()
     )
+    held.destroy()
     at = [(r.bin + 0.5) / BINS for r in bins]
     # half a pseudo-example at the vote itself keeps thin bins from jumping to 0 or 1
     to = isotonic(at, [(r.yes + 0.5 * a) / (r.n + 0.5) for r, a in zip(bins, at, strict=True)], [r.n for r in bins])
