@@ -24,7 +24,6 @@ stay, clashing ones are replaced.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
