@@ -150,7 +150,7 @@ def order_key(docs: DataFrame, doc_id: str) -> Column:
 
 LINE_SCHEMA = "o1 long, o2 long, line int, a long, b long, n int, s long, t long, warm boolean, prefix array<int>, pos array<int>"
 LINE_NAMES = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
-WINDOW_LINES = 100_000  # lines of a task that are looked through for equal sets at once
+WINDOW_LINES = 250_000  # lines of a task that are looked through for equal sets at once
 
 
 def rarity_code(n: float) -> float:
