@@ -60,6 +60,38 @@ def test_sparse_neighbours_equal_brute_force(spark, p, fold):
         assert {(r.qid, r.tid, r.label, r["rank"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_parts_of_one_table_meet_in_several_slabs(spark, p):
+    """Train and query rows of one table share their columns' origin."""
+    rows, r = sparse_table(spark, 300, 4)
+    want = brute([x for x in r if x[0] % 3], [x for x in r if x[0] % 3 == 0], 5, p)
+    for slab in (1 << 26, 6_000):
+        got = SK.neighbours(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), 5, p, slab_bytes=slab)
+        assert {(x.qid, x.tid, x.label, x["rank"]) for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_distances_through_terms_equal_those_of_rows(p):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(7)
+    idx = [np.sort(rnd.choice(30, rnd.integers(0, 9), replace=False)).tolist() for _ in range(500)]
+    table = pa.table({"tid": list(range(500)), "label": [0] * 500, "idx": pa.array(idx, pa.list_(pa.int32())),
+                      "val": pa.array([rnd.random(len(x)).tolist() for x in idx], pa.list_(pa.float64())), "fold": [i % 5 for i in range(500)]})
+    slab = SK.Slab(table, p)
+    for i, fold in ((0, None), (3, 3), (11, 1)):
+        qi, qv = np.array(idx[i], np.int64), np.array(table["val"][i].as_py())
+        dense = np.zeros(slab.width)
+        dense[qi] = qv
+        own = float((qv ** 2).sum() if p == 2 else qv.sum())
+        every = np.flatnonzero(slab.fold != fold) if fold is not None else np.arange(500)
+        d = slab._distances(every, dense, own)
+        best = every[np.lexsort((slab.rank[every], d))[:7]]
+        got, dist = slab._through_terms(qi, qv, own, 7, fold)
+        assert got.tolist() == best.tolist()
+        assert slab.nearest(qi, qv, 7, fold)[0].tolist() == best.tolist()
+
+
 def test_blocks_are_skipped_and_the_answer_stays(monkeypatch):
     import pyarrow as pa
 
