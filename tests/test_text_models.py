@@ -220,3 +220,26 @@ def test_folds_of_the_grid_are_those_of_cross_validation(spark):
     ids = spark.range(50).select("id", (F.col("id") % 2).cast("int").alias("label"))
     folds = ML.fold_column(ids, "id", "label", 5)
     assert sorted(r["count"] for r in folds.groupBy("label", "fold").count().collect()) == [5] * 10
+
+
+def test_models_of_several_slabs_score_rows_and_streams(spark, tmp_path):
+    """Repeated vectors, repeated keys and empty vectors, by one slab, by several, and as a stream by batches."""
+    from opinia.operators.review_models import knn_in_place
+    from opinia.streaming.score import score_stream
+
+    train, _ = sparse_table(spark, 300, 8)
+    query, _ = sparse_table(spark, 60, 9)
+    query = query.select(F.col("id").alias("key"), "idx", "val").unionByName(
+        spark.createDataFrame([(0, [], []), (None, [], []), (0, [3], [1.0])], "key int, idx array<int>, val array<double>"))
+    model = SK.fit(train, k=5)
+
+    def rows(df):
+        return sorted((-1 if r.key is None else r.key, r.idx, r.prediction) for r in df.collect())
+
+    one = rows(knn_in_place(query, model))
+    assert len(one) == query.count() and rows(knn_in_place(query, model, slab_bytes=6_000)) == one
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    query.repartition(2).write.parquet(src)
+    for _ in range(2):  # the second run finds nothing new
+        score_stream(spark, src, query.schema, lambda b: knn_in_place(b, model, slab_bytes=6_000), out, str(tmp_path / "ckpt"), by_batch=True)
+        assert rows(spark.read.parquet(out).drop("batch")) == one
