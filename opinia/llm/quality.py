@@ -7,8 +7,7 @@ is kept if some language is close enough in both.  Texts with fewer than
 ``min_chars`` characters skip the character test, texts with fewer than
 ``min_words`` words the word test (minimum-length guards).
 
-The references are fitted on a bounded sample: about ``sample`` labelled good
-texts per language.  Plain counts (n_words, word_chars, n_symbols,
+The references are fitted on all labelled good texts.  Plain counts (n_words, word_chars, n_symbols,
 n_dup_lines, n_repeat_words) decide first: ``base_failed`` texts are not kept.
 
 Defined results: null and empty texts have no words, fail the base rules and
@@ -19,12 +18,11 @@ inside the row, without a shuffle of texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinia.llm import common as C
 
-SAMPLE = 1500  # labelled good texts per language that a reference is fitted on
 COMMON_WORDS = 12  # common words per language
 MIN_CHARS, MIN_WORDS = 200, 40
 MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.10, 0.25
@@ -113,24 +111,23 @@ def word_counts(words: Column, vocabulary: list[str]) -> Column:
         F.array((F.size(words) - F.size(c)).cast("double"))))
 
 
-def references(docs: DataFrame, sample: int = SAMPLE, common: int = COMMON_WORDS, lang: str = "lang",
-               doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[tuple[str, list, list]]]:
-    """(vocabulary, [(language, character histogram, word histogram)]) fitted on a
-    bounded sample of ``docs``, which hold labelled good texts only."""
-    good = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("t"))
-    picked = C.sample_per_class(good.where("lang IS NOT NULL AND t IS NOT NULL"), "lang", "doc_id", sample)
-    picked = C.cut(picked.select("lang", "t", words_of(F.col("t")).alias("w")), "quality-sample")
-    tops = (
-        picked.select("lang", F.explode("w").alias("word")).groupBy("lang", "word").count()
-        .groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "word")), asc=False), 1, common).alias("top"))
-    ).collect()
-    vocabulary = sorted({s["word"] for r in tops for s in r["top"]})
+def references(docs: DataFrame, common: int = COMMON_WORDS, lang: str = "lang",
+               text: str = "text") -> tuple[list[str], list[tuple[str, list, list]]]:
+    """(vocabulary, [(language, character histogram, word histogram)]) fitted on all
+    ``docs``, which hold labelled good texts only: sums by word, then by language."""
+    good = docs.select(F.col(lang).alias("lang"), F.col(text).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
+    good = good.select("lang", "t", words_of(F.col("t")).alias("w"))
+    # outer: a plain explode adds a filter that splits the text again
+    counts = good.select("lang", F.explode_outer("w").alias("word")).where("word IS NOT NULL").groupBy("lang", "word").count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), F.desc("word")))
+    tops = counts.withColumn("place", place).where(F.col("place") <= common).select("word").collect()
+    vocabulary = sorted({r["word"] for r in tops})
     if not vocabulary:
         return [], []
     chars, words = char_counts(F.col("t"), F.col("w")), word_counts(F.col("w"), vocabulary)
     n_c, n_w = len(CHAR_COLUMNS), len(vocabulary) + 1
     sums = (
-        picked.select("lang", chars.alias("c"), words.alias("v"))
+        good.select("lang", chars.alias("c"), words.alias("v"))
         .groupBy("lang").agg(*(F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n_c)),
                              *(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(n_w)))
     ).collect()

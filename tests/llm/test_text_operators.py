@@ -106,6 +106,17 @@ def test_quality_counts_and_divergence(spark, edges, empty):
     assert all(r.kept != r.base_failed for r in quality.judge(edges, ([], [])).collect())
 
 
+def test_quality_references_count_every_good_text(spark):
+    n = 3200
+    docs = spark.createDataFrame([(i, "common" + (" rare" if i % 4 == 0 else ""), "en") for i in range(n)] + [(n, None, "en"), (n + 1, "lost", None)],
+                                 "doc_id long, text string, lang string")
+    vocabulary, [(lang, chars, words)] = quality.references(docs)
+    assert (vocabulary, lang) == (["common", "rare"], "en")
+    assert words == [0.8, 0.2, 0.0]  # of 3,200 and 800 words
+    letters, spaces = 6 * n + 4 * n // 4, n // 4
+    assert chars[:2] == [letters / (letters + spaces), spaces / (letters + spaces)]
+
+
 def test_quality_keeps_good_texts(spark):
     rows = quality.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     good = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
