@@ -12,8 +12,8 @@ n_dup_lines, n_repeat_words) decide first: ``base_failed`` texts are not kept.
 
 Defined results: null and empty texts have no words, fail the base rules and
 are not kept; without any labelled text there is no reference and the base
-rules alone decide; repeated rows each get a row.  Everything is computed
-inside the row, without a shuffle of texts.
+rules alone decide; repeated rows each get a row.  Rows are judged without a
+shuffle; for the references each text's counts and frequent words are joined with the labels.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from opinia.llm import common as C
 
 COMMON_WORDS = 12  # common words per language
+CANDIDATES = 64  # words per language that are looked at for them before any text is joined
 MIN_CHARS, MIN_WORDS = 200, 40
 MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.10, 0.25
 WINDOW = 5
@@ -111,29 +112,66 @@ def word_counts(words: Column, vocabulary: list[str]) -> Column:
         F.array((F.size(words) - F.size(c)).cast("double"))))
 
 
-def references(docs: DataFrame, common: int = COMMON_WORDS, lang: str = "lang",
-               text: str = "text") -> tuple[list[str], list[tuple[str, list, list]]]:
+def references(docs: DataFrame, good: DataFrame | None = None, common: int = COMMON_WORDS, lang: str = "lang", doc_id: str = "doc_id",
+               text: str = "text", candidates: int = CANDIDATES) -> tuple[list[str], list[tuple[str, list, list]]]:
     """(vocabulary, [(language, character histogram, word histogram)]) fitted on all
-    ``docs``, which hold labelled good texts only: sums by word, then by language."""
-    good = docs.select(F.col(lang).alias("lang"), F.col(text).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
-    good = good.select("lang", "t", words_of(F.col("t")).alias("w"))
-    # outer: a plain explode adds a filter that splits the text again
-    counts = good.select("lang", F.explode_outer("w").alias("word")).where("word IS NOT NULL").groupBy("lang", "word").count()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), F.desc("word")))
-    tops = counts.withColumn("place", place).where(F.col("place") <= common).select("word").collect()
-    vocabulary = sorted({r["word"] for r in tops})
+    ``docs`` whose id is in ``good`` (None: on all of them).
+
+    Texts are not shuffled to meet the ids of ``good``: each is reduced to its counts and to its words among the
+    ``candidates`` most frequent of all texts of each language first.  If the last common word found
+    is more frequent in good texts than any other word is in all, none is missed; a language where
+    that does not hold is counted by a join of its texts."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
+    own = own.select("doc_id", "lang", "t", words_of(F.col("t")).alias("w"))
+
+    def chosen(x: DataFrame) -> DataFrame:
+        # one way to join at every size: ids grow with the texts
+        return x if good is None else x.join(good.select(F.col(doc_id).alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+
+    def counted(x: DataFrame) -> DataFrame:
+        # outer: a plain explode adds a filter that splits the text again
+        return x.select("lang", F.explode_outer("w").alias("word")).where("word IS NOT NULL").groupBy("lang", "word").count()
+
+    def among(words: set) -> Column:
+        return F.filter("w", lambda x: x.isin(sorted(words))).alias("w")
+
+    def by_lang(rows) -> dict[str, dict]:
+        out: dict[str, dict] = {}
+        for r in rows:
+            out.setdefault(r["lang"], {})[r["word"]] = r["count"]
+        return out
+
+    def frequent(x: DataFrame, n: int) -> dict[str, dict]:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), F.desc("word")))
+        return by_lang(counted(x).withColumn("place", place).where(F.col("place") <= n).collect())
+
+    def first(v: dict, n: int) -> list:
+        return sorted(((c, w) for w, c in v.items()), reverse=True)[:n]
+
+    size = common if good is None else candidates
+    tops = frequent(own, size + 1)
+    listed = {w for v in tops.values() for _, w in first(v, size)}
+    if not listed:
+        return [], []
+    met = C.cut(chosen(own.select("doc_id", "lang", char_counts(F.col("t"), F.col("w")).alias("c"), F.size("w").alias("n"), among(listed))).drop("doc_id"), "quality-counts")
+    counts = by_lang(counted(met).collect())
+    best = {k: first(v, common) for k, v in counts.items()}
+    n_c = len(CHAR_COLUMNS)
+    sums = met.groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n_c))).collect()
+    rest = [] if good is None else [r["lang"] for r in sums if r["n"] and len(tops[r["lang"]]) > size and (
+        len(best.get(r["lang"], [])) < common or best[r["lang"]][-1][0] <= first(tops[r["lang"]], size + 1)[-1][0])]
+    if rest:
+        best |= {k: first(v, common) for k, v in frequent(chosen(own.where(F.col("lang").isin(rest))), common).items()}
+    vocabulary = sorted({w for v in best.values() for _, w in v})
     if not vocabulary:
         return [], []
-    chars, words = char_counts(F.col("t"), F.col("w")), word_counts(F.col("w"), vocabulary)
-    n_c, n_w = len(CHAR_COLUMNS), len(vocabulary) + 1
-    sums = (
-        good.select("lang", chars.alias("c"), words.alias("v"))
-        .groupBy("lang").agg(*(F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n_c)),
-                             *(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(n_w)))
-    ).collect()
+    if more := set(vocabulary) - listed:
+        for k, v in by_lang(counted(chosen(own.select("doc_id", "lang", among(more)))).collect()).items():
+            counts[k] = counts.get(k, {}) | v
     out = []
     for r in sorted(sums, key=lambda r: r["lang"]):
-        c, v = [r[f"c{i}"] for i in range(n_c)], [r[f"v{i}"] for i in range(n_w)]
+        c, v = [r[f"c{i}"] for i in range(n_c)], [float(counts.get(r["lang"], {}).get(w, 0)) for w in vocabulary]
+        v.append(r["n"] - sum(v))
         if sum(c) and sum(v):
             out.append((r["lang"], [x / sum(c) for x in c], [x / sum(v) for x in v]))
     return vocabulary, out
@@ -188,6 +226,5 @@ CONTRACT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_re
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    out = judge(docs.select("doc_id", "text"), references(good))
+    out = judge(docs.select("doc_id", "text"), references(docs, labels.where("quality = 1")))
     return out.select(*CONTRACT, "nearest", "char_divergence", "word_divergence")

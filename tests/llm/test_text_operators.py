@@ -117,6 +117,17 @@ def test_quality_references_count_every_good_text(spark):
     assert chars[:2] == [letters / (letters + spaces), spaces / (letters + spaces)]
 
 
+def test_quality_references_find_common_words_of_good_texts(spark):
+    """By candidates, and by a join where the words of all texts hide those of good ones."""
+    rows = [(i, " ".join(f"w{j:02d}" for j in range(i % 40 + 1)) + (" hidden" if i % 3 == 0 else " loud noisy"), "en" if i % 2 else "de") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (900, "solo", "fr"), (None, "w00", "en"), (3, "w00 again", "en")], "doc_id long, text string, lang string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 400, 3)] * 2 + [(None,)], "doc_id long")
+    want = quality.references(docs.join(ids, "doc_id", "left_semi"), common=4)
+    assert "hidden" in want[0] and [r[0] for r in want[1]] == ["de", "en"]
+    for candidates in (4, 8, 64):
+        assert quality.references(docs, ids, common=4, candidates=candidates) == want
+
+
 def test_quality_keeps_good_texts(spark):
     rows = quality.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     good = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
