@@ -121,12 +121,15 @@ def m8_grid_search(spark, d):
 
 def lexicon_scores(spark, docs):
     scores = LX.valence_scores(docs, "doc_id", "text", lexicon_df(spark), boosters_df(spark), DEMO_NEGATORS)
-    return scores.withColumnRenamed("doc_id", "id").persist()  # four numbers a text, read by each pass of the forest
+    path = scratch_path(spark, f"scores-{uuid.uuid4().hex[:12]}")
+    scores.withColumnRenamed("doc_id", "id").write.parquet(path)  # four numbers a text, read by each pass of the forest
+    return spark.read.parquet(path)
 
 
-def rated_scores(spark, d):
+def rated_scores(spark, d, scores=None):
     rating = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("Rating"))
-    return lexicon_scores(spark, table(spark, d, "documents").select("doc_id", "text")).join(rating, "id")
+    scores = lexicon_scores(spark, table(spark, d, "documents").select("doc_id", "text")) if scores is None else scores
+    return scores.join(rating, "id")
 
 
 @register("m10_rating_from_lexicon", None, "M10 L1 L4 M3")
@@ -146,10 +149,10 @@ def m10_rating_report(spark, d):
 def m10_apply_to_new_reviews(spark, d):
     """The saved and loaded model on reviews without a rating (all documents); agree: the prediction equals the one that the
     saved trees give on the four scores, clipped to 1-9."""
-    model, _ = ML.rating_from_lexicon(rated_scores(spark, d), "Rating", key="id")
+    scores = lexicon_scores(spark, table(spark, d, "documents").select("doc_id", "text"))
+    model, _ = ML.rating_from_lexicon(rated_scores(spark, d, scores), "Rating", key="id")
     path = scratch_path(spark, f"model-{uuid.uuid4().hex[:12]}")
     save_model(model, path, spark=spark)
-    scores = lexicon_scores(spark, table(spark, d, "documents").select("doc_id", "text"))
     out = ML.apply_rating(load_model(spark, path), scores)
     forest = scratch_path(spark, f"forest-{uuid.uuid4().hex[:12]}")
     save_model(model.stages[-1], forest, spark=spark)

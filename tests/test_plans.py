@@ -96,3 +96,9 @@ def test_lexicon_explode_passes_no_text_and_no_array_up(spark):
 def test_knn_gives_k_rows_per_query_and_block(spark):
     p = _plan(QUERIES["m1_knn_euclid_uniform"].build(spark, SF_SMALL))
     assert "MapInArrow" in p and "Join" not in p
+
+
+def test_rating_keeps_no_scores_in_memory(spark):
+    """Scores kept in memory would stand in for the scoring of every later query on the same texts."""
+    QUERIES["m10_rating_from_lexicon"].build(spark, SF_SMALL)
+    assert "InMemory" not in _plan(QUERIES["l1_valence_scores"].build(spark, SF_SMALL))
