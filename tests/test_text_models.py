@@ -243,3 +243,15 @@ def test_models_of_several_slabs_score_rows_and_streams(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         score_stream(spark, src, query.schema, lambda b: knn_in_place(b, model, slab_bytes=6_000), out, str(tmp_path / "ckpt"), by_batch=True)
         assert rows(spark.read.parquet(out).drop("batch")) == one
+
+
+def test_rows_of_a_class_are_dealt_to_several_tasks(spark, monkeypatch):
+    from opinia.operators import mllib as ML
+
+    df = spark.range(500).select("id", (F.col("id") % 2).alias("label"))
+    folds = ML.fold_column(df, "id", "label")
+    assert ML.dealt(folds, "id") is folds
+    monkeypatch.setattr(ML, "DEALT_ROWS", 100)
+    spread = ML.dealt(folds, "id")
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, folds.collect()))
+    assert spread.where("label = 0").select(F.spark_partition_id().alias("p")).distinct().count() > 2
