@@ -101,4 +101,4 @@ def test_knn_gives_k_rows_per_query_and_block(spark):
 def test_rating_keeps_no_scores_in_memory(spark):
     """Scores kept in memory would stand in for the scoring of every later query on the same texts."""
     QUERIES["m10_rating_from_lexicon"].build(spark, SF_SMALL)
-    assert "InMemory" not in _plan(QUERIES["l1_valence_scores"].build(spark, SF_SMALL))
+    assert "InMemoryTableScan" not in _plan(QUERIES["l1_valence_scores"].build(spark, SF_SMALL))
