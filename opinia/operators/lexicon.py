@@ -20,6 +20,7 @@ from opinia.functions.text import PUNCTUATION, WHITESPACE_RUN, strip_ws
 from opinia.operators.aggregates import majority_label
 from opinia.operators.joins import lookup_join, strongest
 from opinia.operators.nested import split_reviews
+from opinia.operators.spread import spread
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,8 @@ def _tokens(df: DataFrame, id_col: str, text_col: str, back: int, **extra) -> Da
     analyser ignores them).  Looking back is done in the row's token array, so
     no token is shuffled.  A text without tokens keeps one row of nulls.
     ``extra`` are expressions of the arrays ``_toks`` and ``_low`` and of ``_text``."""
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_raw"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    df = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_raw")), "id", "_raw")
+    base = df.select("id", "_raw", F.coalesce("_raw", F.lit("")).alias("_text"))
     pieces = F.transform(F.split("_text", WHITESPACE_RUN), lambda t: F.btrim(t, F.lit(PUNCTUATION)))
     x = base.withColumn("_toks", F.filter(pieces, lambda t: F.length(t) > 1))
     x = x.withColumn("_low", F.transform("_toks", lambda t: F.lower(t)))
@@ -153,7 +155,7 @@ def review_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
     polarity (L2), label it (L3) and attach the row's majority label (G3).
     Output ``(id, pos, review, sentiment, polarity, overall_sentiment)`` with
     ``polarity`` rescaled to 1-9 as the reference writes it."""
-    pieces = split_reviews(df.select(id_col, text_col), text_col, "\n", keep=[id_col])
+    pieces = split_reviews(spread(df.select(id_col, text_col), id_col, text_col), text_col, "\n", keep=[id_col])
     pieces = pieces.withColumn("_rid", F.concat_ws(":", F.col(id_col).cast("string"), F.col("pos").cast("string")))
     pol = polarity(pieces, "_rid", "review", lexicon)
     lab = pieces.join(pol, "_rid").select(
