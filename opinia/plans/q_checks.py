@@ -8,7 +8,9 @@ more query tells models that have learned from those that always give the most f
 from __future__ import annotations
 
 import uuid
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -105,6 +107,7 @@ def m_models_beat_majority(spark, d):
     return out
 
 
+GRID_THREADS = 8
 M8_GRID = {"maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 4]}
 M8_SQL = f"""
 SELECT CAST(d AS INTEGER) AS max_depth, CAST(n AS INTEGER) AS min_rows, true AS agree
@@ -117,13 +120,21 @@ def m8_grid_candidates(spark, d):
     """One row per grid point; agree: its score is the mean of the accuracies of a separate fit per fold, and the best
     point's is the largest."""
     train = Q._emb(spark, d).where(F.col("part") != "test")
-    _, points, best = ML.scored_grid(ML.decision_tree({"max_depth": 5}), M8_GRID, train, folds=5, key="id")
-    data = ML.fold_column(train, "id", "label", 5, 42).persist()
+    _, points, best = ML.scored_grid(ML.decision_tree({"max_depth": 5}), M8_GRID, train, folds=5, key="id", parallelism=GRID_THREADS)
+    data = ML.dealt(ML.fold_column(train, "id", "label", 5, 42), "id").persist()
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    rows = []
-    for p, x in points:
+
+    def accuracy(task):
+        p, f = task
         est = ML.decision_tree({"max_depth": p["maxDepth"], "min_samples_leaf": p["minInstancesPerNode"]})
-        each = [ev.evaluate(est.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f))) for f in range(5)]
+        return ev.evaluate(est.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f)))
+
+    # the fits are many short jobs that leave most cores idle one by one
+    with ThreadPool(GRID_THREADS) as pool:
+        scores = pool.map(inheritable_thread_target(spark)(accuracy), [(p, f) for p, _ in points for f in range(5)], chunksize=1)
+    rows = []
+    for i, (p, x) in enumerate(points):
+        each = scores[5 * i:5 * i + 5]
         rows.append((p["maxDepth"], p["minInstancesPerNode"], bool(abs(sum(each) / 5 - x) < 1e-9 and x <= points[best][1])))
     data.unpersist()
     return local_df(spark, rows, "max_depth int, min_rows int, agree boolean")
