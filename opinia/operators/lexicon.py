@@ -104,25 +104,19 @@ def valence_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
     toks = lookup_join(toks, lex, "w", "left")
     for j in range(1, back + 1):
         toks = lookup_join(toks, bst.select(F.col("word").alias(f"p{j}"), F.col("increment").alias(f"_i{j}")), f"p{j}", "left")
-    toks = toks.withColumns({
-        "_v0": F.coalesce(F.col("_v0"), F.lit(0.0)), "_caps": caps(F.col("tok")),
-        **{f"_n{j}": F.coalesce(F.col(f"p{j}").isin(negators), F.lit(False)) for j in range(1, back + 1)},
-    })
+    # Each part of the value stands once in the expression: repeated in the branches of a CASE, the code of a token grew past
+    # what the JVM compiles, and every token was interpreted.
+    toks = toks.withColumn("_v0", F.coalesce(F.col("_v0"), F.lit(0.0)))
     v0 = F.col("_v0")
     sign = F.signum(v0)
-    v = v0 + F.when(F.col("_caps") & F.col("_mixed") & (v0 != 0), sign * rules.caps).otherwise(0.0)
+    v = v0 + F.when((v0 != 0) & F.col("_mixed") & caps(F.col("tok")), sign * rules.caps).otherwise(0.0)
     for j, decay in enumerate(rules.booster_decay, start=1):
         inc = F.col(f"_i{j}")
         v = v + F.when((v0 != 0) & inc.isNotNull(), sign * F.abs(inc) * F.signum(inc) * decay).otherwise(0.0)
-    negated = reduce(lambda a, j: a | F.col(f"_n{j}"), range(1, back + 1), F.lit(False))
-    v = F.when(negated & (v0 != 0), v * rules.negation).otherwise(v)
+    negated = reduce(lambda a, j: a | F.coalesce(F.col(f"p{j}").isin(negators), F.lit(False)), range(1, back + 1), F.lit(False))
     but_pos = F.col("_but")
-    v = (
-        F.when(but_pos.isNull(), v)
-        .when(F.col("pos") < but_pos, v * rules.but_before)
-        .when(F.col("pos") > but_pos, v * rules.but_after)
-        .otherwise(v)
-    )
+    v = v * F.when((v0 != 0) & negated, rules.negation).otherwise(1.0) * F.when(F.col("pos") < but_pos, rules.but_before).when(
+        F.col("pos") > but_pos, rules.but_after).otherwise(1.0)
     scored = toks.select("id", "_e", F.when(F.col("tok").isNotNull(), v).alias("_s"))
     j = scored.groupBy("id").agg(
         F.coalesce(F.sum("_s"), F.lit(0.0)).alias("s"),
