@@ -25,6 +25,7 @@ from opinia.operators.spread import spread
 
 BLOCK_BYTES = 64 << 20
 QUERY_ROWS = 500  # of a task that compares each with all train rows
+CACHED = 32_768  # values of train rows compared at once, which stay in a core's cache
 
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
@@ -36,15 +37,25 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(col), width)
 
 
+def _distances(train: np.ndarray, q: np.ndarray, p: int, space: np.ndarray) -> np.ndarray:
+    """Of a query to all train rows, as many at once as ``space`` has rows."""
+    d = np.empty(len(train))
+    for a in range(0, len(train), len(space)):
+        part = train[a:a + len(space)]
+        diff = np.subtract(part, q, out=space[:len(part)])
+        (np.multiply(diff, diff, out=diff) if p == 2 else np.abs(diff, out=diff)).sum(axis=1, out=d[a:a + len(part)])
+    return np.sqrt(d, out=d) if p == 2 else d
+
+
 def _nearest(block: pa.Table, rows: pa.RecordBatch | pa.Table, k: int, p: int, width: int) -> list[pa.Array]:
     """(qid, tid, label, dist): the k nearest rows of a block, in the order of its ids, for
     each row (qid, q), best first."""
     train, tid, label = _matrix(block["v"], width), block["tid"].combine_chunks(), block["label"].combine_chunks()
     n = min(k, len(train))
     near, dist = [], []
+    space = np.empty((max(CACHED // max(width, 1), 1), width))
     for q in _matrix(rows.column("q"), width):
-        diff = train - q
-        d = np.sqrt((diff * diff).sum(axis=1)) if p == 2 else np.abs(diff).sum(axis=1)
+        d = _distances(train, q, p, space)
         within = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
         best = within[np.argsort(d[within], kind="stable")][:n]
         near.append(best)
