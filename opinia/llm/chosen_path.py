@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinia.llm import common as C
-from opinia.llm.line_dedup import grouped, order_key, starts_of
+from opinia.llm.line_dedup import BLOOM_BITS, _bit_map, _marked, grouped, order_key, starts_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 RECALL = 0.999  # of pairs at the threshold; more similar pairs are found more surely
@@ -134,6 +134,38 @@ def doc_table(keyed: DataFrame, runs: int, threshold: float) -> DataFrame:
     return keyed.mapInArrow(run, DOC_SCHEMA)
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+
+
+def first_members(classes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(path, a, b, n, sketch) for the first paths of the classes, without most paths of one set only (a bit map of
+    ``sizes``, the paths of several, says which), so that few rows carry a sketch."""
+    held = classes.sparkSession.sparkContext.broadcast(_bit_map(sizes, "path"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column(0)
+            size = paths.value_lengths().to_numpy()
+            path = paths.flatten().to_numpy()
+            own = np.flatnonzero(_marked(held.value, _slots(path)))
+            who = pa.array(np.repeat(np.arange(len(size)), size)[own])
+            yield pa.RecordBatch.from_arrays([pa.array(path[own]), *(b.column(i).take(who) for i in range(1, 5))], names=["path", "a", "b", "n", "sketch"])
+
+    return classes.select("paths", "a", "b", "n", "sketch").mapInArrow(run, "path long, a long, b long, n int, sketch binary")
+
+
+def _of_members(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """The sets of ``members`` (and a few more), by a bit map: a level's join takes no other set along."""
+    held = sets.sparkSession.sparkContext.broadcast(_bit_map(members, "a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_marked(held.value, _slots(b.column(0).to_numpy()))))
+
+    return sets.select("a", "b", "s").mapInArrow(run, "a long, b long, s array<long>")
+
+
 def alike_paths(big: DataFrame) -> DataFrame:
     """Buckets whose sketches agree in ALIKE of the cases on average, over four bins: of m
     values, k_1, k_2, ... equal ones agree in the sum of k^2 / m^2 of the pairs."""
@@ -202,10 +234,14 @@ def set_rows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long, s array<long>").groupBy("a", "b").agg(F.first("s").alias("s"))
 
 
-def split(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The next level of paths of the sets in ``members`` (path, a, b, n, sketch)."""
+def with_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets in ``members`` (path, a, b, n, sketch) with their paths and shingles."""
     per_set = members.groupBy("a", "b").agg(F.collect_set("path").alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    full = per_set.join(sets, ["a", "b"]).select("a", "b", "n", "sketch", "at", "s")
+    return per_set.join(sets, ["a", "b"]).select("a", "b", "n", "sketch", "at", "s")
+
+
+def split(full: DataFrame, threshold: float) -> DataFrame:
+    """The next level of paths of the sets of ``with_sets``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -327,10 +363,12 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         F.min(F.struct("o1", "o2")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"),
         F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "path-classes")
 
-    members = classes.select(F.explode("paths").alias("path"), "a", "b", "n", "sketch")
+    members = classes.select(F.explode("paths").alias("path"))
     leaves, sets = [], None
     for depth in range(1, MAX_DEPTH + 1):
-        sizes = members.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
+        sizes = C.cut(members.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "path-sizes")
+        if depth == 1:
+            members = first_members(classes, sizes)
         held = C.cut(members.join(sizes, "path"), "path-members")
         leaf = C.cut(partners(held.where(F.col("m") <= LIMIT), threshold), "path-leaves").withColumn("tiles", F.lit(1))
         leaves.append(leaf)
@@ -345,9 +383,11 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         if rest.isEmpty():
             break
         if sets is None:  # what is left at deeper levels is a part of these
-            wanted = rest.select("a", "b").distinct()
-            sets = C.cut(set_rows(keyed, wanted).join(wanted, ["a", "b"], "left_semi"), "path-sets")
-        members = split(rest, sets, threshold)
+            full = C.cut(with_sets(rest, set_rows(keyed, rest.select("a", "b").distinct())), "path-sets")
+            sets = full.select("a", "b", "s")
+        else:
+            full = with_sets(rest, _of_members(sets, rest))
+        members = C.cut(split(full, threshold), "path-split")
     every = leaves[0]
     for leaf in leaves[1:]:
         every = every.unionByName(leaf)

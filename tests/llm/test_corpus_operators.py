@@ -150,6 +150,27 @@ def test_chosen_path_recall_on_thousands_of_pairs(spark, monkeypatch):
         assert sum(got[i] for i in range(len(rows))) >= 0.99 * sum(want[s] for s in sets)
 
 
+def test_chosen_path_carries_only_what_a_level_compares(spark, monkeypatch):
+    """A path of one set carries no sketch, and a deeper level takes no set along that has no member there."""
+    classes = spark.createDataFrame([([11, 12, 13], 1, 1, 5, b"x"), ([12, 14], 2, 2, 5, b"y"), ([], 3, 3, 5, b"z")],
+                                    "paths array<long>, a long, b long, n int, sketch binary")
+    got = chosen_path.first_members(classes, spark.createDataFrame([(12, 2)], "path long, m long")).collect()
+    assert sorted((r.path, r.a, r.b, r.n, bytes(r.sketch)) for r in got) == [(12, 1, 1, 5, b"x"), (12, 2, 2, 5, b"y")]
+
+    levels, real = [], chosen_path.with_sets
+
+    def with_sets(members, sets):
+        levels.append((members.select("a").distinct().count(), sets.count()))
+        return real(members, sets)
+
+    monkeypatch.setattr(chosen_path, "with_sets", with_sets)
+    monkeypatch.setattr(chosen_path, "LIMIT", 3)
+    texts = [" ".join([f"c{g}w{i}" for i in range(40)] + [f"d{g}n{k}w{i}" for i in range(40)]) for g in range(6) for k in range(3 + 3 * g)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert chosen_path.join(docs).count() == docs.count()
+    assert len(levels) > 1 and all(members == sets for members, sets in levels), levels
+
+
 def test_chosen_path_edges(edges, empty):
     out = chosen_path.join(edges).collect()
     assert len(out) == edges.count() and {r.path for r in out} == {"p", None}
