@@ -255,3 +255,57 @@ def test_rows_of_a_class_are_dealt_to_several_tasks(spark, monkeypatch):
     spread = ML.dealt(folds, "id")
     assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, folds.collect()))
     assert spread.where("label = 0").select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+def _arrow_rows(n, seed, columns=300):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(seed)
+    common = 1 / np.arange(1, columns + 1)
+    idx = [np.sort(rnd.choice(columns, rnd.integers(0, 25), replace=False, p=common / common.sum())) for _ in range(n)]
+    val = [(v := rnd.integers(1, 4, len(x)).astype(float)) / max(np.linalg.norm(v), 1) for x in idx]
+    idx, val = idx + idx[:40], val + val[:40]  # copies tie
+    return pa.table({"tid": list(range(len(idx))), "label": [i % 3 for i in range(len(idx))], "idx": pa.array([x.tolist() for x in idx], pa.list_(pa.int32())),
+                     "val": pa.array([v.tolist() for v in val], pa.list_(pa.float64())), "fold": [i % 4 for i in range(len(idx))]})
+
+
+@pytest.mark.parametrize("p,fold", [(2, True), (1, True), (2, False), (1, False)])
+def test_matrix_search_equals_block_search_over_any_pieces(p, fold):
+    from opinia.operators.sparse_search import Piece, Search
+
+    table = _arrow_rows(900, 11)
+    table = table if fold else table.drop_columns(["fold"])
+    query = table.slice(0, 130)
+    slab, (idx, off), (val, _) = SK.Slab(table, p), SK._flat(query["idx"]), SK._flat(query["val"])
+    for cuts in ([0, 940], [0, 3, 500, 940]):
+        search = Search(idx, off, val, 7, p, query["fold"].to_numpy() if fold else None)
+        for number, (a, b) in reversed(list(enumerate(itertools.pairwise(cuts)))):
+            search.meet(Piece(table.slice(a, b - a), p), number)
+        who, tid, label, dist = search.result()
+        for i in range(130):
+            near, far = slab.nearest(idx[off[i]:off[i + 1]].astype(np.int64), val[off[i]:off[i + 1]], 7, i % 4 if fold else None)
+            mine = np.flatnonzero(who == i)
+            assert [tid[j].as_py() for j in mine] == [slab.tid[int(j)].as_py() for j in near]
+            assert [label[j].as_py() for j in mine] == [slab.label[int(j)].as_py() for j in near]
+            assert np.allclose(dist[mine], far, atol=1e-8)
+
+
+def test_larger_slabs_are_searched_by_products():
+    """The rows of a model of more than ``FEW_ROWS``, as a scorer or a search holds them."""
+    table = _arrow_rows(SK.FEW_ROWS, 12)
+    held, slab = SK.Held(table, 2), SK.Slab(table, 2)
+    assert held.slab is None and held.piece.n == table.num_rows
+    query = table.slice(0, 20).rename_columns(["qid", *table.column_names[1:]])
+    who, tid, _, _ = held.nearest(query, 5)
+    for i in range(20):
+        idx, val = (np.array(query[c][i].as_py()) for c in ("idx", "val"))
+        want = slab.nearest(idx.astype(np.int64), val.astype(float), 5, i % 4)[0]
+        assert tid.take(np.flatnonzero(who == i)).to_pylist() == slab.tid.take(want).to_pylist()
+
+
+def test_many_slabs_copy_no_rows_and_a_grid_searches_once(spark):
+    rows, _ = sparse_table(spark, 200, 9, folds=True)
+    plan = SK.neighbours(rows, rows, 5, fold="fold", slab_bytes=6_000)._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan
+    for scores in (G.knn_scores(rows, (3,), ("uniform",), (1, 2)), SK.sweep(rows, rows, (1, 3))):
+        assert "InArrow" not in scores._jdf.queryExecution().toString()
