@@ -309,3 +309,13 @@ def test_many_slabs_copy_no_rows_and_a_grid_searches_once(spark):
     assert "CoGroup" not in plan
     for scores in (G.knn_scores(rows, (3,), ("uniform",), (1, 2)), SK.sweep(rows, rows, (1, 3))):
         assert "InArrow" not in scores._jdf.queryExecution().toString()
+
+
+def test_rows_that_meet_a_large_model_are_counted_without_their_vectors(spark, monkeypatch):
+    from opinia.operators.review_models import knn_in_place
+
+    rows, _ = sparse_table(spark, 120, 3)
+    seen, real = [], SK.neighbours
+    monkeypatch.setattr(SK, "neighbours", lambda *a, **kw: seen.append(kw.get("query_rows")) or real(*a, **kw))
+    model = SK.fit(rows, k=3)
+    assert knn_in_place(rows.select("id", "idx", "val"), model, slab_bytes=6_000).count() == rows.count() == seen[0]
